@@ -4,9 +4,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions.prompts import SYSTEM_PROMPT
+from evalspark.staging import stage
 
 # Request settings of the answering and the judging call.
 ANSWER_SETTINGS = {
@@ -89,10 +91,38 @@ def batch_judge(df: DataFrame, prompt: str, model: Model, **options) -> DataFram
     return batch_infer(df, prompt, model, JUDGE_SETTINGS, **options)
 
 
+def ask_once(
+    df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, path: str | None = None,
+    requests: int | None = None, batch_size: int = 64,
+) -> DataFrame:
+    """Written answers of the prompts of a column, one row per ``prompt_key``.
+
+    Answers are written before use, so later steps never ask again. With a ``path`` they are
+    added to the answers of earlier runs found there, whose prompts are not asked a second time;
+    failed ones are. A success wins over a failure.
+    """
+    options = {"requests": requests, "batch_size": batch_size}
+    if path is None:
+        return stage(batch_infer(df, prompt, model, settings, **options), name="answers")
+    written = df.sparkSession.read.schema(ANSWER_SCHEMA)
+    try:
+        done = written.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None
+    batch_infer(df, prompt, model, settings, done=done, **options).write.mode("append").parquet(path)
+    reply = F.struct("answer", "error_kind", "error_message")
+    best = F.max_by(reply, F.struct(F.col("error_kind").isNull(), "answer", "error_kind", "error_message"))
+    return written.parquet(path).groupBy("prompt_key").agg(best.alias("r")).select("prompt_key", "r.*")
+
+
 def attach_answers(df: DataFrame, prompt: str, answers: DataFrame, settings: dict = ANSWER_SETTINGS) -> DataFrame:
     """Rows with the answer, error kind and error message of their prompt; the prompt is dropped.
 
-    Answer keys are unique, so a prompt shared by many rows makes only the left side hot.
+    Answer keys are unique, so a prompt shared by many rows makes only the left side hot. Rows
+    without a prompt get keys of their own, so that they do not meet in one task.
     """
-    keyed = df.withColumn("prompt_key", prompt_key(F.col(prompt), settings)).drop(prompt)
-    return keyed.join(answers, "prompt_key", "left").drop("prompt_key")
+    rest = [F.col(f"`{name}`") for name in df.columns if name != prompt]
+    key = F.coalesce(prompt_key(F.col(prompt), settings), F.concat(F.lit("/"), F.xxhash64(*rest)))
+    return df.select(*rest, key.alias("prompt_key")).join(answers, "prompt_key", "left").drop("prompt_key")

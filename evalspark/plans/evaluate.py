@@ -13,7 +13,7 @@ from evalspark.functions.grading import (
 from evalspark.functions.prompts import build_judge_prompt, build_prompt
 from evalspark.functions.text import is_blank, truncate_answer
 from evalspark.operators.inference import (
-    ANSWER_SETTINGS, JUDGE_SETTINGS, Model, attach_answers, batch_infer, batch_judge,
+    ANSWER_SETTINGS, JUDGE_SETTINGS, Model, ask_once, attach_answers,
 )
 from evalspark.operators.joins import join_results, join_silver_text
 from evalspark.operators.mutations import checked_updates, upsert_results
@@ -56,18 +56,10 @@ def plan_attempts(
 
 
 def answer_attempts(
-    attempts: DataFrame, model: Model, requests: int | None = None, done: DataFrame | None = None,
-    answers_path: str | None = None,
+    attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int | None = None
 ) -> DataFrame:
-    """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed.
-
-    The answers are written before use, so judging and counting never ask the model again.
-    ``done`` holds the answers of an earlier run.
-    """
-    new = stage(batch_infer(attempts, "prompt", model, ANSWER_SETTINGS, requests, done=done), answers_path, "answers")
-    answers = new if done is None else new.unionByName(
-        done.where(F.col("error_kind").isNull()).join(new.select("prompt_key"), "prompt_key", "left_anti")
-    )
+    """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed."""
+    answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests)
     joined = attach_answers(attempts, "prompt", answers, ANSWER_SETTINGS)
     return joined.withColumns({
         "chatgpt_response": truncate_answer(F.col("answer")),
@@ -81,14 +73,14 @@ def _has_response() -> Column:
 
 
 def judge_attempts(
-    answered: DataFrame, judge: Model, requests: int | None = None, strict: bool = False,
-    verdicts_path: str | None = None,
+    answered: DataFrame, judge: Model, verdicts_path: str | None = None, requests: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Answered attempts with the ``status`` their verdict gives."""
     asked = answered.where(_has_response()).withColumn(
         "prompt", build_judge_prompt(F.col("Question"), F.col("FinalAnswer"), F.col("chatgpt_response"))
     )
-    verdicts = stage(batch_judge(asked, "prompt", judge, requests=requests), verdicts_path, "verdicts")
+    verdicts = ask_once(asked, "prompt", judge, JUDGE_SETTINGS, verdicts_path, requests)
     judged = attach_answers(asked, "prompt", verdicts, JUDGE_SETTINGS)
     status = F.coalesce(
         judge_error_status(F.col("error_kind")),
@@ -100,18 +92,21 @@ def judge_attempts(
 def run_evaluation(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, judge: Model,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
-    requests: int | None = None, strict: bool = False, created: Column | None = None,
+    requests: int | None = None, strict: bool = False, work_path: str | None = None,
+    created: Column | None = None,
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
     Failed calls are left out; with ``keep_errors`` their error texts are judged and recorded as
-    if they were answers. ``seq`` orders this run among all updates.
+    if they were answers. ``seq`` orders this run among all updates. A run that is repeated with
+    the same ``work_path`` goes on with the answers and verdicts it already has.
     """
+    answers_path, verdicts_path = work_path and f"{work_path}/answers", work_path and f"{work_path}/verdicts"
     attempts = plan_attempts(questions, results, silver, user_id, split, method)
-    answered = answer_attempts(attempts, model, requests)
+    answered = answer_attempts(attempts, model, answers_path, requests)
     if keep_errors:
         answered = answered.withColumn("chatgpt_response", F.coalesce("error_text", "chatgpt_response"))
-    judged = judge_attempts(answered, judge, requests, strict)
+    judged = judge_attempts(answered, judge, verdicts_path, requests, strict)
     updates = stage(judged.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",
         F.lit(seq).cast("long").alias("seq"),
@@ -122,7 +117,7 @@ def run_evaluation(
 def run_manual_review(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, reviews: DataFrame,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int | None = None,
-    created: Column | None = None,
+    work_path: str | None = None, created: Column | None = None,
 ) -> Evaluation:
     """Answers for a split without reference answers, with the statuses reviewers gave them.
 
@@ -130,7 +125,7 @@ def run_manual_review(
     nor are reviews with a status that is not an accepted one.
     """
     attempts = plan_attempts(questions, results, silver, user_id, split, method)
-    answered = answer_attempts(attempts, model, requests)
+    answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests)
     reviewed = answered.where(_has_response()).join(reviews.select("task_id", "status"), "task_id")
     updates = reviewed.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",

@@ -67,6 +67,17 @@ def overwrite_table(df: DataFrame, path: str, partition: str = "dataset_split")
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
+def overwrite_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Write a table in buckets of its key, one sorted file each.
+
+    A join on the whole key, such as an upsert, then reads the table without shuffling it, as
+    long as there are at least as many buckets as shuffle partitions.
+    """
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

@@ -13,9 +13,14 @@ from evalspark import schemas
 from evalspark.operators.mutations import checked_updates, latest_updates, upsert_results
 
 
-def read_updates(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Stream of update files."""
-    return spark.readStream.schema(schemas.RESULT_UPDATES).format(fmt).load(path)
+def read_updates(
+    spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """Stream of update files, all that have arrived in one batch unless a number of files is given."""
+    reader = spark.readStream.schema(schemas.RESULT_UPDATES).format(fmt)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def write_batch(batch: DataFrame, batch_id: int, log_path: str) -> None:
@@ -44,4 +49,5 @@ def current_results(base: DataFrame, log: DataFrame, created: Column | None = No
 def compact(base: DataFrame, log: DataFrame, new_base_path: str, created: Column | None = None) -> DataFrame:
     """Write the current results as a new base, beside the one being read."""
     current_results(base, log, created).write.mode("overwrite").partitionBy("dataset_split").parquet(new_base_path)
-    return base.sparkSession.read.schema(schemas.USER_RESULTS).parquet(new_base_path)
+    stored = base.sparkSession.read.schema(schemas.USER_RESULTS).parquet(new_base_path)
+    return stored.select(*schemas.USER_RESULTS.fieldNames())

@@ -1,0 +1,234 @@
+"""Whole jobs on small hand-written tables."""
+
+import datetime
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from evalspark import schemas
+from evalspark.functions.grading import JUDGE_UNAVAILABLE_TEXT
+from evalspark.operators.inference import ModelError
+from evalspark.plans import evaluate, extract, ingest, report
+from evalspark.sources import objects, tables
+
+OLD = datetime.datetime(2024, 1, 1)
+NEW = datetime.datetime(2025, 1, 1)
+
+
+def _questions(spark, data):
+    """Questions from (task_id, file_name, split)."""
+    names = schemas.QUESTIONS.fieldNames()
+    blank = dict.fromkeys(names)
+    return spark.createDataFrame([
+        {**blank, "task_id": task, "Question": f"q {task}", "Level": 1, "FinalAnswer": "42", "file_name": name,
+         "Annotator_Metadata_Steps": f"steps {task}", "dataset_split": split}
+        for task, name, split in data
+    ], schemas.QUESTIONS)
+
+
+def _results(spark, data):
+    """Results from (user, task, split, status)."""
+    return spark.createDataFrame(
+        [(user, task, split, status, "old", OLD, 0) for user, task, split, status in data], schemas.USER_RESULTS
+    )
+
+
+def _silver(spark):
+    return spark.createDataFrame(
+        [("validation", "has", "the text", "pymupdf"), ("test", "has", "test text", "pymupdf")], schemas.SILVER
+    )
+
+
+@pytest.fixture
+def tables_in(spark):
+    data = [
+        ("plain", "", "validation"), ("pdf", "has.pdf", "validation"), ("nopdf", "none.pdf", "validation"),
+        ("sheet", "x.xlsx", "validation"), ("again", None, "validation"), ("sheet2", "y.xlsx", "validation"),
+        ("fail", "", "validation"), ("judgefail", "", "validation"), ("t1", "", "test"), ("t2", "has.pdf", "test"),
+        ("t3", "", "test"), ("t4", "z.csv", "test"),
+    ]
+    results = [
+        ("u", "again", "validation", "Incorrect without Instruction"),
+        ("u", "sheet2", "validation", "Correct with Instruction"),
+        ("v", "plain", "validation", "Correct without Instruction"),
+        ("u", "t1", "test", "Correct without Instruction"),
+    ]
+    return _questions(spark, data), _results(spark, results), _silver(spark)
+
+
+def model(prompts, settings):
+    def answer(prompt):
+        question = prompt.split("\n", 1)[0].removeprefix("Question: ")
+        if question == "q fail":
+            return ModelError("rate_limit", "slow down")
+        marks = [mark for mark in ("Instructions: ", "Reference Data: ") if mark in prompt]
+        return f"{question} {marks}"
+    return [answer(prompt) for prompt in prompts]
+
+
+def judge(prompts, settings):
+    def verdict(prompt):
+        assert "Original Answer: 42" in prompt
+        if "q judgefail" in prompt:
+            return ModelError("connection")
+        return "Yes" if "Reference" in prompt else "no"
+    return [verdict(prompt) for prompt in prompts]
+
+
+def test_plan_attempts(tables_in):
+    attempts = evaluate.plan_attempts(*tables_in, "u", "validation")
+    routes = {row.task_id: (row.route, row.sent, row.instructions) for row in attempts.collect()}
+    assert routes == {
+        "plain": ("send", True, None), "pdf": ("send", True, None), "nopdf": ("missing_text", False, None),
+        "sheet": ("unsupported", False, None), "again": ("send", True, "steps again"),
+        "sheet2": ("unsupported", True, "steps sheet2"), "fail": ("send", True, None),
+        "judgefail": ("send", True, None),
+    }
+
+
+def test_run_evaluation(tables_in):
+    done = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, created=F.lit(NEW))
+    updates = {row.task_id: (row.status, row.chatgpt_response) for row in done.updates.collect()}
+    assert updates == {
+        "plain": ("Incorrect without Instruction", "q plain []"),
+        "pdf": ("Correct without Instruction", "q pdf ['Reference Data: ']"),
+        "again": ("Incorrect with Instruction", "q again ['Instructions: ']"),
+        "sheet2": ("Incorrect with Instruction", "q sheet2 ['Instructions: ']"),
+        "judgefail": (JUDGE_UNAVAILABLE_TEXT, "q judgefail []"),
+    }
+    failed = done.attempts.where("error_text is not null").collect()
+    assert [(row.task_id, row.error_text) for row in failed] == [("fail", "Error: slow down")]
+    assert done.attempts.count() == 8
+    stored = {(row.user_id, row.task_id): (row.user_result_status, row.created_date) for row in done.results.collect()}
+    assert stored[("u", "again")] == ("Incorrect with Instruction", OLD)
+    assert stored[("u", "pdf")] == ("Correct without Instruction", NEW)
+    assert stored[("v", "plain")] == ("Correct without Instruction", OLD)
+    assert ("u", "fail") not in stored and len(stored) == 7
+
+
+def test_error_texts_can_be_kept_as_answers(tables_in):
+    done = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, keep_errors=True)
+    updates = {row.task_id: (row.status, row.chatgpt_response) for row in done.updates.collect()}
+    assert updates["fail"] == ("Incorrect without Instruction", "Error: slow down")
+
+
+def test_a_repeated_run_does_not_ask_again(tables_in, tmp_path):
+    work = str(tmp_path / "work")
+    first = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, work_path=work)
+
+    def refuse(prompts, settings):
+        return [ModelError("service") for _ in prompts]
+
+    second = evaluate.run_evaluation(*tables_in, "u", refuse, refuse, seq=3, work_path=work)
+    # The verdict that failed is asked for again and now fails in another way.
+    changed = "task_id <> 'judgefail'"
+    assert rows(second.updates.where(changed)) == rows(first.updates.where(changed))
+
+
+def test_run_manual_review(spark, tables_in):
+    reviews = spark.createDataFrame(
+        [("t1", "Incorrect with Instruction"), ("t2", "Great"), ("t4", "Correct with Instruction")],
+        "task_id string, status string",
+    )
+    done = evaluate.run_manual_review(*tables_in, "u", model, reviews, seq=3, created=F.lit(NEW))
+    answers = {row.task_id: row.chatgpt_response for row in done.attempts.collect()}
+    assert answers == {
+        "t1": "q t1 ['Instructions: ']", "t2": "q t2 ['Instructions: ', 'Reference Data: ']",
+        "t3": "q t3 ['Instructions: ']", "t4": None,
+    }
+    assert rows(done.updates.select("task_id", "status")) == [("t1", "Incorrect with Instruction")]
+    stored = done.results.where("task_id = 't1'").first()
+    assert (stored.user_result_status, stored.created_date) == ("Incorrect with Instruction", OLD)
+
+
+def test_run_ingest(spark, tmp_path):
+    meta = ("s", "1", "1 min", "t", "2")
+    raw = spark.createDataFrame([
+        ("a", "q", "1", "x", "a.pdf", "old", meta, "test"), ("b", "q", "1", "x", "gone.pdf", "old", meta, "test"),
+        ("c", "q", "1", "x", "", "old", meta, "test"), ("x" * 51, "q", "1", "x", "", "old", meta, "test"),
+        ("d", "q", "inf", "x", "", "old", meta, "test"),
+    ], schemas.RAW_QUESTIONS)
+    (tmp_path / "repo" / "test").mkdir(parents=True)
+    (tmp_path / "repo" / "validation").mkdir()
+    (tmp_path / "repo" / "test" / "a.pdf").write_bytes(b"A")
+    (tmp_path / "repo" / "test" / "unused.pdf").write_bytes(b"U")
+    files = objects.read_split_files(spark, str(tmp_path / "repo"), schemas.SPLITS)
+    done = ingest.run_ingest(spark, raw, files, "bkt", str(tmp_path / "q"), str(tmp_path / "b"))
+    assert rows(done.questions.select("task_id", "file_path")) == [
+        ("a", "https://bkt.s3.amazonaws.com/bronze/test/a.pdf"), ("b", "old"), ("c", "old")
+    ]
+    assert sorted(row.reject_reason for row in done.rejects.collect()) == [
+        "Level: number out of range", "task_id too long"
+    ]
+    assert rows(done.attachments) == [("test", 2, 1, 1, ".pdf")]
+    report_rows = {row.dataset_split: row for row in done.summary.collect()}
+    test = report_rows["test"]
+    assert (test.records, test.files_landed, test.rows_written, test.table_written) == (5, 1, 3, False)
+    assert report_rows["validation"].status == "Not Processed"
+    bronze = tables.read_table(spark, str(tmp_path / "b"), schemas.BRONZE)
+    assert rows(bronze.select("file_name")) == [("a.pdf",)]
+
+
+def test_run_extract(spark, tmp_path):
+    bronze = spark.createDataFrame(
+        [("a.pdf", 1, bytearray(b"x|y"), "test"), ("bad.pdf", 1, bytearray(b"!"), "test"),
+         ("c.txt", 1, bytearray(b"z"), "test")], schemas.BRONZE
+    )
+    blocks = spark.createDataFrame(
+        [("test", "a.pdf", 1, "LINE", "second", "SUCCEEDED"), ("test", "a.pdf", 0, "LINE", "first", "SUCCEEDED"),
+         ("test", "bad.pdf", 0, "LINE", "no", "FAILED")],
+        "dataset_split string, file_name string, pos int, block_type string, text string, job_status string",
+    )
+
+    def pages(content):
+        if content == b"!":
+            raise ValueError("broken")
+        return content.decode().split("|")
+
+    path = str(tmp_path / "silver")
+    done = extract.run_extract(bronze, blocks, pages, path)
+    silver = tables.read_table(spark, path, schemas.SILVER)
+    assert rows(silver.select("method", "base_name", "text")) == [
+        ("pymupdf", "a", "xy"), ("textract", "a", "first\nsecond\n")
+    ]
+    assert rows(done.failed.select("file_name", "error")) == [("bad.pdf", "ValueError: broken")]
+    assert rows(done.counts) == [("pymupdf", 2, 1), ("textract", 2, 1)]
+
+
+def test_run_summary(tables_in):
+    questions, results, _ = tables_in
+    summary = report.run_summary(questions, results, "u", "validation")
+    assert [tuple(row) for row in summary.counts.collect()] == [
+        ("Correct with Instruction", 1), ("Incorrect without Instruction", 1)
+    ]
+    assert rows(summary.totals) == [(8, 2, 6)]
+    nobody = report.run_summary(questions, results, "nobody", "test")
+    assert rows(nobody.counts) == [] and rows(nobody.totals) == [(4, 0, 4)]
+
+
+def test_run_summary_all_agrees_with_single_summaries(tables_in):
+    questions, results, _ = tables_in
+    everyone = report.run_summary_all(questions, results)
+    for row in everyone.totals.collect():
+        one = report.run_summary(questions, results, row.user_id, row.dataset_split)
+        assert rows(one.totals) == [(row.total, row.answered, row.unanswered)]
+        mine = everyone.counts.where((F.col("user_id") == row.user_id) & (F.col("dataset_split") == row.dataset_split))
+        assert rows(mine.select("user_result_status", "n")) == rows(one.counts)
+    assert everyone.totals.count() == 3
+
+
+def test_run_browse(tables_in):
+    questions, results, _ = tables_in
+    view = report.run_browse(questions, results, "u", "validation", page=7)
+    assert (view.page, view.total) == (0, 8)
+    assert [row.task_id for row in view.rows.collect()] == [
+        "again", "fail", "judgefail", "nopdf", "pdf", "plain", "sheet", "sheet2"
+    ]
+    filtered = report.run_browse(
+        questions, results, "u", "validation", [1], ["No File"], ["Incorrect without Instruction"]
+    )
+    assert [row.task_id for row in filtered.rows.collect()] == ["again"]
+    nothing = report.run_browse(questions, results, "u", "validation", [9], page=4)
+    assert (nothing.page, nothing.total, nothing.rows.count()) == (0, 0, 0)
+    assert {row.value for row in view.facets.collect()} >= {".pdf", ".xlsx", "No File", "N/A", "1"}

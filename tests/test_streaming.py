@@ -1,0 +1,76 @@
+import datetime
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from evalspark import schemas
+from evalspark.operators.mutations import upsert_results
+from evalspark.streaming import documents, results
+
+OLD, NEW = datetime.datetime(2024, 1, 1), datetime.datetime(2025, 1, 1)
+
+
+def _updates(spark, data):
+    return spark.createDataFrame(data, schemas.RESULT_UPDATES)
+
+
+FIRST = [("u", "t1", "B", "x", "test", 5), ("u", "t2", "B", "y", "test", 6), ("u", "t9", "B", "y", "train", 6)]
+SECOND = [("u", "t1", "C", "late", "test", 3), ("u", "t2", "C", "z", "test", 9), ("w", "t1", "A", "n", "validation", 7)]
+
+
+def _base(spark):
+    return spark.createDataFrame([("u", "t1", "test", "A", "r", OLD, 1)], schemas.USER_RESULTS)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    feed, log, check = (str(tmp_path / name) for name in ("feed", "log", "check"))
+    for batch in (FIRST, SECOND):
+        _updates(spark, batch).coalesce(1).write.mode("append").parquet(feed)
+        results.stream_results(results.read_updates(spark, feed), log, check).awaitTermination()
+    streamed = results.current_results(_base(spark), results.read_log(spark, log), F.lit(NEW))
+    accepted = [row for row in FIRST + SECOND if row[4] != "train"]
+    expected = rows(upsert_results(_base(spark), _updates(spark, accepted), F.lit(NEW)))
+    assert rows(streamed) == expected
+    assert spark.read.parquet(f"{log}/rejected").count() == 1
+
+    results.write_batch(_updates(spark, SECOND), 1, log)  # a replayed batch
+    assert rows(results.current_results(_base(spark), results.read_log(spark, log), F.lit(NEW))) == expected
+
+    compacted = results.compact(_base(spark), results.read_log(spark, log), str(tmp_path / "v1"), F.lit(NEW))
+    assert rows(compacted) == expected
+    # Applying the old log to the new base changes nothing.
+    assert rows(results.current_results(compacted, results.read_log(spark, log), F.lit(OLD))) == expected
+
+
+def test_files_per_batch(spark, tmp_path):
+    feed, log, check = (str(tmp_path / name) for name in ("feed", "log", "check"))
+    for batch in (FIRST, SECOND):
+        _updates(spark, batch).coalesce(1).write.mode("append").parquet(feed)
+    updates = results.read_updates(spark, feed, files_per_batch=1)
+    results.stream_results(updates, log, check).awaitTermination()
+    assert spark.read.parquet(f"{log}/accepted").select("batch").distinct().count() == 2
+
+
+def text_pages(content):
+    if content.startswith(b"!"):
+        raise ValueError("broken")
+    return [content.decode()]
+
+
+def test_documents_are_extracted_once_as_they_arrive(spark, tmp_path):
+    root, log, check = tmp_path / "bronze", str(tmp_path / "log"), str(tmp_path / "check")
+    (root / "test").mkdir(parents=True)
+
+    def run():
+        arriving = documents.read_files(spark, str(root), "test")
+        documents.stream_documents(arriving, text_pages, log, check).awaitTermination()
+        return rows(documents.read_silver(spark, log))
+
+    (root / "test" / "a.pdf").write_bytes(b"one")
+    (root / "test" / "b.txt").write_bytes(b"skipped")
+    assert run() == [("pymupdf", "test", "a", "one")]
+    (root / "test" / "sub").mkdir()
+    (root / "test" / "sub" / "a.pdf").write_bytes(b"newer")
+    (root / "test" / "bad.pdf").write_bytes(b"!")
+    assert run() == [("pymupdf", "test", "a", "newer")]
+    assert spark.read.parquet(log).where("error is not null").count() == 1
