@@ -8,7 +8,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = f"[{WHITESPACE}]+"
+
+# The same set as a pattern. Listing its characters in a class makes splitting five times slower.
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # Longest answer kept.
 MAX_SENTENCES = 10
@@ -32,7 +34,8 @@ def utf16_length(text: Column) -> Column:
 def truncate_answer(answer: Column, max_sentences: int = MAX_SENTENCES, max_words: int = MAX_WORDS) -> Column:
     """Shorten an answer to a number of '.'-separated pieces, or of words when that also overflows.
 
-    A split stops one piece past the limit, so a long answer is never cut into all its pieces.
+    A split stops one piece past the limit, and a text too short to hold more words than allowed
+    is not split into words at all.
     """
     text = strip(answer)
     pieces = F.split(text, r"\.", max_sentences + 1)
@@ -40,7 +43,7 @@ def truncate_answer(answer: Column, max_sentences: int = MAX_SENTENCES, max_word
     by_sentence = F.concat(F.array_join(F.slice(pieces, 1, max_sentences), ". "), F.lit("."))
     by_word = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("..."))
     return strip(
-        F.when(F.size(words) > max_words, by_word)
+        F.when((F.length(text) > 2 * max_words) & (F.size(words) > max_words), by_word)
         .when(F.size(pieces) > max_sentences, by_sentence)
         .otherwise(text)
     )

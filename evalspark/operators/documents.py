@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, types as T
 # Takes the bytes of a document, returns the texts of its pages.
 Extractor = Callable[[bytes], Sequence[str]]
 
+# Pages gathered before they are handed back to the JVM.
+PAGES_PER_BATCH = 2_000
+
 
 def _schema(files: DataFrame, keys: Sequence[str], *fields: T.StructField) -> T.StructType:
     return T.StructType([files.schema[key] for key in keys] + list(fields))
@@ -17,26 +20,30 @@ def extract_documents(
     files: DataFrame, extractor: Extractor, keys: Sequence[str] = ("dataset_split", "file_name")
 ) -> DataFrame:
     """Pages as (keys, page, text, error). A failing document gives one row with its error."""
+    names = [*keys, "page", "text", "error"]
     schema = _schema(
         files, keys, T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()),
         T.StructField("error", T.StringType()),
     )
 
-    def pages(row: dict) -> pd.DataFrame:
+    def pages(content: bytes) -> list[tuple]:
         try:
-            texts, error = list(extractor(row["content"])) or [""], None
+            return [(page, text, None) for page, text in enumerate(list(extractor(content)) or [""])]
         except Exception as failure:
-            texts, error = [None], f"{type(failure).__name__}: {failure}"
-        numbers = [None] if error else range(len(texts))
-        return pd.DataFrame({
-            **{key: [row[key]] * len(texts) for key in keys},
-            "page": pd.array(list(numbers), dtype="Int32"), "text": texts, "error": [error] * len(texts),
-        })
+            return [(None, None, f"{type(failure).__name__}: {failure}")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                yield pages(row)
+            rows = []
+            for *key, content in batch.itertuples(index=False, name=None):
+                rows += [(*key, *page) for page in pages(content)]
+                if len(rows) >= PAGES_PER_BATCH:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return files.select(*keys, "content").mapInPandas(run, schema)
 

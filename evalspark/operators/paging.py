@@ -18,13 +18,13 @@ _ROW_BITS = 33
 
 def clamp_page(requested: int, rows: int, page_size: int = PAGE_SIZE) -> int:
     """Requested page within the pages there are; 0 for an empty table."""
-    return max(0, min(requested, (rows - 1) // page_size))
+    return min(max(requested, 0), max(rows - 1, 0) // page_size)
 
 
 def page_clamp(requested: Column, rows: Column, page_size: int = PAGE_SIZE) -> Column:
     """Column form of ``clamp_page``."""
-    last = F.floor((rows - 1) / page_size)
-    return F.greatest(F.lit(0), F.least(requested, last)).cast("int")
+    last = F.floor(F.greatest(rows - 1, F.lit(0)) / page_size)
+    return F.least(F.greatest(requested, F.lit(0)), last).cast("int")
 
 
 def page_slice(

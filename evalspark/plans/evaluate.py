@@ -58,13 +58,16 @@ def plan_attempts(
 def answer_attempts(
     attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int | None = None
 ) -> DataFrame:
-    """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed."""
+    """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed.
+
+    The rows are staged, because judging reads them several times.
+    """
     answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests)
-    joined = attach_answers(attempts, "prompt", answers, ANSWER_SETTINGS)
-    return joined.withColumns({
+    joined = attach_answers(attempts.drop("context"), "prompt", answers, ANSWER_SETTINGS)
+    return stage(joined.withColumns({
         "chatgpt_response": truncate_answer(F.col("answer")),
         "error_text": answer_error_text(F.col("error_kind"), F.col("error_message")),
-    }).drop("answer", "error_kind", "error_message")
+    }).drop("answer", "error_kind", "error_message"), name="answered")
 
 
 def _has_response() -> Column:

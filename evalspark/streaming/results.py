@@ -6,13 +6,16 @@ current results are the base table with the log applied; compaction writes that
 Rows carry the seq that wrote them, so applying an old log again changes nothing.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark import schemas
 from evalspark.operators.mutations import checked_updates, latest_updates, upsert_results
 
 
+_LOGGED = T.StructType(schemas.RESULT_UPDATES.fields + [T.StructField("batch", T.LongType())])
+
+
 def read_updates(
     spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int | None = None
 ) -> DataFrame:
@@ -38,8 +41,10 @@ def stream_results(updates: DataFrame, log_path: str, checkpoint: str) -> Stream
     )
 
 
-def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(schemas.RESULT_UPDATES).parquet(f"{log_path}/accepted")
+def read_log(spark: SparkSession, log_path: str, after: int = -1) -> DataFrame:
+    """Logged updates; those of the batches up to ``after``, compacted before, are not read."""
+    logged = spark.read.schema(_LOGGED).parquet(f"{log_path}/accepted")
+    return logged.where(F.col("batch") > after).drop("batch")
 
 
 def current_results(base: DataFrame, log: DataFrame, created: Column | None = None) -> DataFrame:

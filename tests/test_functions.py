@@ -12,6 +12,14 @@ def test_whitespace_is_that_of_python():
     assert set(text.WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
 
 
+def test_whitespace_pattern_is_the_same_set(column):
+    chars = [chr(i) for i in range(0x3100) if i] + ["\ufeff", "\U0001F600"]
+    found = column(chars, A("a").rlike(text.WHITESPACE_RUN))
+    assert [char for char, hit in zip(chars, found) if hit] == sorted(text.WHITESPACE)
+    assert column(["a" + char + "b" for char in text.WHITESPACE], F.size(F.split("a", text.WHITESPACE_RUN))) == \
+        [2] * len(text.WHITESPACE)
+
+
 def test_file_extension(column):
     cases = {
         "a.pdf": ".pdf", "a.PDF": ".PDF", "a.tar.gz": ".gz", "a.": ".", "..a.b": ".b",

@@ -40,6 +40,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(compacted) == expected
     # Applying the old log to the new base changes nothing.
     assert rows(results.current_results(compacted, results.read_log(spark, log), F.lit(OLD))) == expected
+    late = results.read_log(spark, log, after=0)
+    assert rows(late.select("user_id", "seq")) == [("u", 3), ("u", 9), ("w", 7)]
 
 
 def test_files_per_batch(spark, tmp_path):

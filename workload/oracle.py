@@ -1,7 +1,7 @@
 """SQL for every registered query that SQL can express."""
 
 from evalspark.functions.prompts import ANSWER_RULES, JUDGE_RULES
-from evalspark.functions.text import MAX_SENTENCES, MAX_WORDS, WHITESPACE, WHITESPACE_RUN
+from evalspark.functions.text import MAX_SENTENCES, MAX_WORDS, WHITESPACE
 from workload.models import LONGEST_PROMPT
 
 
@@ -122,7 +122,7 @@ def to_int(x: str) -> str:
 
 def truncated(x: str) -> str:
     text = strip(x)
-    words = f"regexp_split_to_array({text}, {lit(WHITESPACE_RUN)})"
+    words = f"regexp_split_to_array({text}, {lit(f'[{WHITESPACE}]+')})"
     pieces = f"string_split({text}, '.')"
     return strip(f"""(CASE WHEN len({words}) > {MAX_WORDS}
         THEN array_to_string(({words})[1:{MAX_WORDS}], ' ') || '...'
