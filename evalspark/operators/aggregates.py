@@ -1,6 +1,7 @@
 """Counts, totals, facets, summaries and ordered concatenation."""
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,7 +13,10 @@ from evalspark.operators.filters import filter_answered
 STATUS = "user_result_status"
 
 # Most pieces of a document that one group collects.
-PIECES_PER_PART = 100_000
+PIECES_PER_PART = 10_000
+
+# Largest document that is brought together in one cell.
+MAX_TEXT_BYTES = 1 << 30
 
 
 def status_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -95,9 +99,9 @@ def _concat(df: DataFrame, keys: Sequence[str], order: str, piece: Column, end:
 def concat_pages(pages: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = PIECES_PER_PART) -> DataFrame:
     """Page texts in page order without a separator, as (keys, part, text).
 
-    A part covers a fixed range of page numbers. A document of up to ``pieces`` pages is one
-    part, number 0; a longer one has several, which in order make up its text, so that no task
-    collects a document of unlimited length.
+    A part covers a fixed range of page numbers, each of which a document has once. A document
+    of up to ``pieces`` pages is one part, number 0; a longer one has several, which in order
+    make up its text, so that no task collects a document of unlimited length.
     """
     return _concat(pages, keys, "page", F.col("text"), "", pieces)
 
@@ -113,10 +117,29 @@ def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int
     return _concat(done, keys, "pos", line, "\n", pieces)
 
 
-def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",)) -> DataFrame:
-    """One text per document, for readers that need it in one cell, such as a prompt."""
+class Documents(NamedTuple):
+    """``oversize`` are the keys and bytes of documents too large for one text; their parts remain."""
+
+    texts: DataFrame
+    oversize: DataFrame
+
+
+def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), max_bytes: int = MAX_TEXT_BYTES) -> Documents:
+    """One text per document, for readers that need it in one cell, such as a prompt.
+
+    Documents of one part, nearly all, pass through. The parts of a longer one are brought
+    together only after their sizes have been added up.
+    """
+    long = parts.where(F.col("part") > 0).select(*keys).distinct()
+    short_texts = parts.join(long, [*keys], "left_anti").select(*keys, "text")
+    long_parts = parts.join(long, [*keys], "left_semi")
+    sizes = long_parts.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    fitting = long_parts.join(sizes.where(F.col("bytes") <= max_bytes), [*keys], "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+    long_texts = fitting.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")
+    )
+    return Documents(short_texts.unionByName(long_texts), sizes.where(F.col("bytes") > max_bytes))
 
 
 def extract_counts(documents: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ PAGE_SIZE = 9
 # Up to this many leading rows a page is taken by a bounded top-n; deeper pages use page numbers.
 SHALLOW_ROWS = 10_000
 
+# Copies of one row that one task unfolds at a time.
+COPIES_PER_BLOCK = 100_000
+
 # monotonically_increasing_id keeps the partition above this bit and the row number below it.
 _ROW_BITS = 33
 
@@ -36,6 +39,27 @@ def page_slice(
     return page_assign(df, order_by, page_size).where(F.col("page") == page).drop("page", "position")
 
 
+def _unfold(rows: DataFrame, partitions: int) -> DataFrame:
+    """Each row once per copy, with consecutive positions from ``_start``.
+
+    Many copies of one row are cut into blocks, and the blocks spread over tasks.
+    """
+    def copies(start: Column, count: Column) -> Column:
+        return F.explode(F.sequence(start, start + count - 1))
+
+    few = rows.where(F.col("_copies") <= COPIES_PER_BLOCK).withColumn(
+        "position", copies(F.col("_start"), F.col("_copies"))
+    )
+    last = F.floor((F.col("_copies") - 1) / COPIES_PER_BLOCK)
+    blocks = rows.where(F.col("_copies") > COPIES_PER_BLOCK).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    ).repartition(partitions, "_id", "_block")
+    done = F.col("_block") * COPIES_PER_BLOCK
+    size = F.least(F.lit(COPIES_PER_BLOCK).cast("long"), F.col("_copies") - done)
+    many = blocks.withColumn("position", copies(F.col("_start") + done, size)).drop("_block")
+    return few.unionByName(many)
+
+
 def page_assign(
     df: DataFrame, order_by: Sequence[str] = ("task_id",), page_size: int = PAGE_SIZE,
     unique: bool = True, partitions: int | None = None,
@@ -75,8 +99,6 @@ def page_assign(
     else:
         running = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
         end = F.col("_offset") + F.sum("_copies").over(running)
-        placed = placed.withColumn("_end", end).withColumn(
-            "position", F.explode(F.sequence(F.col("_end") - F.col("_copies"), F.col("_end") - 1))
-        )
+        placed = _unfold(placed.withColumn("_start", end - F.col("_copies")), partitions)
     page = F.floor(F.col("position") / page_size).cast("long")
     return placed.select(*[F.col(f"`{name}`") for name in names], "position", page.alias("page"))

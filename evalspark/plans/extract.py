@@ -30,7 +30,8 @@ def run_extract(
         F.lit(PYMUPDF_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text"
     )
     keys = ["dataset_split", "file_name"]
-    lines = join_parts(concat_lines(blocks, keys), keys).select(
+    recognised = join_parts(concat_lines(blocks, keys), keys)
+    lines = recognised.texts.select(
         F.lit(TEXTRACT_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text"
     )
     silver_write(read.unionByName(lines).withColumn("written", F.lit(0)), silver_path)
@@ -40,4 +41,7 @@ def run_extract(
     documents = pages.select(F.lit("pymupdf").alias("method"), status.alias("job_status")).unionByName(
         jobs.select(F.lit("textract").alias("method"), "job_status")
     )
-    return Extraction(pages.where(F.col("error").isNotNull()).drop("text"), extract_counts(documents))
+    failed = pages.where(F.col("error").isNotNull()).drop("text").unionByName(
+        recognised.oversize.select(*keys, F.lit("too large for one text").alias("error"))
+    )
+    return Extraction(failed, extract_counts(documents))

@@ -214,7 +214,11 @@ def test_long_documents_come_in_parts(spark):
     )
     parts = aggregates.concat_pages(pages, pieces=4)
     assert rows(parts) == [("d", 0, "0123"), ("d", 1, "4567"), ("d", 2, "89")]
-    assert rows(aggregates.join_parts(parts)) == [("d", "0123456789")]
+    one_part = spark.createDataFrame([("e", 0, "x")], "doc string, part long, text string")
+    whole = aggregates.join_parts(parts.unionByName(one_part))
+    assert rows(whole.texts) == [("d", "0123456789"), ("e", "x")] and whole.oversize.count() == 0
+    limited = aggregates.join_parts(parts.unionByName(one_part), max_bytes=9)
+    assert rows(limited.texts) == [("e", "x")] and rows(limited.oversize) == [("d", 10)]
 
 
 def test_extract_counts(spark):

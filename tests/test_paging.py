@@ -31,7 +31,9 @@ def test_shallow_and_deep_pages_agree(spark, monkeypatch):
     assert [len(page) for page in shallow] == [9] * 11 + [1, 0]
 
 
-def test_pages_of_copies(spark):
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_pages_of_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(paging, "COPIES_PER_BLOCK", block)
     df = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 10)).alias("k"),
         (F.col("id") % 2).alias("v"),

@@ -53,8 +53,8 @@ VIEW_SQL = {
             ELSE 'SUCCEEDED' END AS job_status FROM conversations""",
     "silver": """SELECT 'pymupdf' AS method, dataset_split, CAST(page_id AS VARCHAR) AS base_name, html AS text
             FROM page_files
-        UNION ALL SELECT 'textract', s.split, CAST(conv_id AS VARCHAR), string_agg(text, '' ORDER BY turn)
-            FROM conversations, (VALUES ('test'), ('validation')) s(split) GROUP BY s.split, conv_id""",
+        UNION ALL SELECT 'textract', s.split, CAST(item_id AS VARCHAR), text
+            FROM benchmark, (VALUES ('test'), ('validation')) s(split)""",
     "feed": f"""SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS task_id, {FEED_STATUS} AS status,
         props AS chatgpt_response,
         CASE WHEN event_type IN ('view', 'click') THEN 'test' ELSE 'validation' END AS dataset_split,
@@ -347,6 +347,8 @@ ORACLE = {
         FROM matched GROUP BY dataset_split""", "matched"),
     "concat_pages": """SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(0 AS BIGINT) AS part,
         string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
+    "join_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(text, '' ORDER BY turn) AS text
+        FROM conversations GROUP BY conv_id""",
     "concat_lines": with_views(
         """SELECT doc, CAST(0 AS BIGINT) AS part,
         coalesce(string_agg(text || chr(10), '' ORDER BY pos) FILTER (block_type = 'LINE'), '') AS text

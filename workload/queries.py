@@ -243,6 +243,11 @@ def concat_pages(spark, sf):
     return aggregates.concat_pages(views.pages_text(spark, sf))
 
 
+def join_parts(spark, sf):
+    parts = aggregates.concat_pages(views.pages_text(spark, sf), pieces=3)
+    return aggregates.join_parts(parts).texts
+
+
 def concat_lines(spark, sf):
     return aggregates.concat_lines(views.blocks(spark, sf))
 
@@ -571,8 +576,8 @@ QUERIES = {
         validate_domain,
         join_results, join_results_text_key, join_empty_default, join_attachments, join_silver_text, merge_match,
         cascade_anti,
-        status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages, concat_lines,
-        extract_counts, prefix_counts,
+        status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages, join_parts,
+        concat_lines, extract_counts, prefix_counts,
         page_slice, page_slice_deep, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
         first_n_listing, union_splits,
         clean_strings, coerce_int, file_extension, file_type_bucket, base_name, silver_key, rewrite_path,

@@ -2,8 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evalspark.operators.aggregates import concat_pages, join_parts
-
 def created() -> Column:
     return F.to_timestamp(F.lit("2024-01-01 00:00:00"))
 
@@ -145,17 +143,17 @@ def pages_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, sf: str) -> DataFrame:
-    """Extracted texts: pages by one method, conversations (for either split) by the other."""
+    """Extracted texts: pages by one method, benchmark items (for either split) by the other."""
     pages = page_files(spark, sf, "").select(
         F.lit("pymupdf").alias("method"), "dataset_split", F.col("file_name").alias("base_name"),
         F.decode("content", "UTF-8").alias("text"),
     )
-    talks = join_parts(concat_pages(pages_text(spark, sf))).select(
+    items = table(spark, sf, "benchmark").select(
         F.lit("textract").alias("method"),
         F.explode(F.array(F.lit("test"), F.lit("validation"))).alias("dataset_split"),
-        F.col("doc").alias("base_name"), "text",
+        F.col("item_id").cast("string").alias("base_name"), "text",
     )
-    return pages.unionByName(talks)
+    return pages.unionByName(items)
 
 
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
