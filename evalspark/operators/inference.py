@@ -39,7 +39,10 @@ Model = Callable[[list[str], dict], list]
 
 def _ask(model: Model, prompts: list[str], settings: dict) -> list:
     try:
-        return list(model(prompts, settings))
+        replies = list(model(prompts, settings))
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+        return replies
     except Exception as error:
         if len(prompts) > 1:
             return [_ask(model, [prompt], settings)[0] for prompt in prompts]

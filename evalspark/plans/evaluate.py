@@ -95,17 +95,20 @@ def judge_attempts(
 def run_evaluation(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, judge: Model,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
-    requests: int | None = None, strict: bool = False, work_path: str | None = None,
-    created: Column | None = None,
+    requests: int | None = None, strict: bool = False, retries_only: bool = False,
+    work_path: str | None = None, created: Column | None = None,
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
+    With ``retries_only`` just the questions that an earlier attempt left for an instructed one.
     Failed calls are left out; with ``keep_errors`` their error texts are judged and recorded as
     if they were answers. ``seq`` orders this run among all updates. A run that is repeated with
     the same ``work_path`` goes on with the answers and verdicts it already has.
     """
     answers_path, verdicts_path = work_path and f"{work_path}/answers", work_path and f"{work_path}/verdicts"
     attempts = plan_attempts(questions, results, silver, user_id, split, method)
+    if retries_only:
+        attempts = attempts.where(F.col("is_retry"))
     answered = answer_attempts(attempts, model, answers_path, requests)
     if keep_errors:
         answered = answered.withColumn("chatgpt_response", F.coalesce("error_text", "chatgpt_response"))

@@ -77,6 +77,13 @@ def test_one_bad_prompt_does_not_fail_its_batch(spark):
     ]
 
 
+def test_a_reply_is_expected_for_every_prompt(spark):
+    def forgetful(prompts, settings):
+        return shout(prompts, settings)[:1] if len(prompts) > 1 else shout(prompts, settings)
+    answers = inference.batch_infer(_asked(spark, ["a", "b", "c"]), "prompt", forgetful, requests=1)
+    assert rows(answers.select("answer")) == [("A",), ("B",), ("C",)]
+
+
 def test_batches_are_bounded(spark):
     def model(prompts, settings):
         return [str(len(prompts))] * len(prompts)

@@ -113,6 +113,18 @@ def test_error_texts_can_be_kept_as_answers(tables_in):
     assert updates["fail"] == ("Incorrect without Instruction", "Error: slow down")
 
 
+def test_instructed_retry_follows_a_first_attempt(tables_in):
+    questions, results, silver = tables_in
+    first = evaluate.run_evaluation(questions, results, silver, "u", model, judge, seq=3)
+    second = evaluate.run_evaluation(
+        questions, first.results, silver, "u", model, judge, seq=4, retries_only=True
+    )
+    updates = {row.task_id: (row.status, row.chatgpt_response) for row in second.updates.collect()}
+    assert updates == {
+        task: ("Incorrect with Instruction", f"q {task} ['Instructions: ']") for task in ("plain", "again", "sheet2")
+    }
+
+
 def test_a_repeated_run_does_not_ask_again(tables_in, tmp_path):
     work = str(tmp_path / "work")
     first = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, work_path=work)

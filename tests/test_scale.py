@@ -91,7 +91,8 @@ def test_split_scan_prunes_partitions(spark, plan, tmp_path):
     assert "Question" not in text.split("ReadSchema")[1]
 
 
-PYTHON = {"batch_infer", "batch_judge", "extract_documents", "stream_documents", "run_evaluation", "run_manual_review"}
+PYTHON = {"batch_infer", "batch_judge", "extract_documents", "stream_documents", "run_evaluation",
+          "run_evaluation_retry", "run_extract", "run_manual_review"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))

@@ -474,6 +474,14 @@ ORACLE = {
     "extract_documents": with_views(EXTRACTED, "page_files"),
     "run_evaluation": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
         + evaluation("validation", "src3") + "\n" + recorded(EVALUATED, "src3"),
+    "run_evaluation_retry": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
+        + evaluation("validation", "src3")
+        + f"\nSELECT task_id, {JUDGED_STATUS} AS status, response AS chatgpt_response FROM judged WHERE is_retry",
+    "run_extract": with_views(
+        f"""SELECT dataset_split, CAST(page_id AS VARCHAR) AS base_name, {DOCUMENT_TEXT} AS text, 'pymupdf' AS method
+        FROM page_files UNION ALL SELECT 'test', doc,
+        coalesce(string_agg(text || chr(10), '' ORDER BY pos) FILTER (block_type = 'LINE'), ''), 'textract'
+        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc""", "page_files", "blocks"),
     "run_manual_review": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
         + evaluation("test", "src3") + "\n" + recorded(REVIEWED, "src3"),
     "run_ingest": with_views(

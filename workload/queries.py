@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from evalspark import schemas
 from evalspark.functions import cleaning, files as names, grading, prompts, text
 from evalspark.operators import aggregates, documents, filters, inference, joins, mutations, paging, shaping
-from evalspark.plans import evaluate, ingest, report
+from evalspark.plans import evaluate, extract, ingest, report
 from evalspark.sources import objects, tables
 from evalspark.staging import new_path, stage
 from evalspark.streaming import documents as document_stream, results as result_stream
@@ -546,6 +546,25 @@ def run_ingest(spark, sf):
     return done.questions
 
 
+def run_extract(spark, sf):
+    path = new_path(spark, "silver")
+    blocks = views.blocks(spark, sf).select(
+        F.lit("test").alias("dataset_split"), F.concat("doc", F.lit(".pdf")).alias("file_name"),
+        "pos", "block_type", "text", "job_status",
+    )
+    extract.run_extract(views.page_files(spark, sf, ".pdf"), blocks, models.html_pages, path)
+    return tables.read_table(spark, path, schemas.SILVER)
+
+
+def run_evaluation_retry(spark, sf):
+    questions, silver = views.questions(spark, sf), views.silver(spark, sf)
+    done = evaluate.run_evaluation(
+        questions, views.user_results(spark, sf), silver, USER, models.echo_model, models.length_judge, seq=1,
+        retries_only=True, created=created(),
+    )
+    return done.updates.select("task_id", "status", "chatgpt_response")
+
+
 def run_summary(spark, sf):
     return report.run_summary(views.questions(spark, sf), views.user_results(spark, sf), USER, "validation").counts
 
@@ -586,7 +605,8 @@ QUERIES = {
         stream_results, stream_documents,
         upsert_results, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
         delete_cascade_unknown, update_role,
-        batch_infer, batch_judge, extract_documents, run_evaluation, run_manual_review, run_ingest, run_summary,
+        batch_infer, batch_judge, extract_documents, run_evaluation, run_evaluation_retry,
+        run_manual_review, run_ingest, run_extract, run_summary,
         run_summary_all, run_summary_all_counts, run_browse,
     )
 }
