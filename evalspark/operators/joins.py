@@ -13,21 +13,30 @@ from evalspark.operators.shaping import drop_conflicting
 FILLED = ["user_result_status", "chatgpt_response"]
 
 
+def _comparable(key: str) -> list[Column]:
+    """A key as two values that are never null, so that null equals null under plain equality."""
+    return [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()]
+
+
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[str], right_unique: bool = False) -> DataFrame:
     """LEFT equi-join in which null keys match each other and repeated right keys multiply rows.
 
     An outer join cannot split a hot key of its right side over tasks, an inner join can split
     both sides. Unless the right keys are unique the join is therefore the inner matches plus
-    the left rows that have none among the distinct right keys.
+    the left rows that have none among the distinct right keys. Both read the same shuffle of
+    the left side, and the distinct keys are shuffled once.
     """
-    names = {key: f"_right_{key}" for key in on}
-    other = right.withColumnsRenamed(names)
-    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+    names = [f"_right_{key}" for key in on]
+    other = right.withColumnsRenamed(dict(zip(on, names)))
+    wanted = [value for key in on for value in _comparable(key)]
+    given = [value for name in names for value in _comparable(name)]
+    same = reduce(Column.__and__, [a == b for a, b in zip(wanted, given)])
     if right_unique:
-        return left.join(other, same, "left").drop(*names.values())
-    matched = left.join(other, same, "inner").drop(*names.values())
-    unmatched = left.join(other.select(*names.values()).distinct(), same, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+        return left.join(other, same, "left").drop(*names)
+    keys = other.select(*[value.alias(f"_key{i}") for i, value in enumerate(given)]).distinct()
+    known = reduce(Column.__and__, [value == F.col(f"_key{i}") for i, value in enumerate(wanted)])
+    matched = left.join(other, same, "inner").drop(*names)
+    return matched.unionByName(left.join(keys, known, "left_anti"), allowMissingColumns=True)
 
 
 def join_results(

@@ -363,7 +363,8 @@ ORACLE = {
     # Sorts, limits, pages
     "page_slice": with_views(
         """SELECT task_id, dataset_split, "Level" FROM questions ORDER BY task_id LIMIT 9 OFFSET 27""", "questions"),
-    "page_slice_deep": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 9 OFFSET 9990",
+    "page_slice_deep": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+        ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 9 OFFSET 10800""",
     "page_clamp": """SELECT user_id, count(*) AS rows, greatest(0, least(max(event_id) // 100, (count(*) - 1) // 9))
         ::INTEGER AS page FROM events GROUP BY user_id""",
     "page_assign": with_views(

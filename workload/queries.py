@@ -273,8 +273,8 @@ def page_slice(spark, sf):
 
 
 def page_slice_deep(spark, sf):
-    events = views.table(spark, sf, "events").select("event_id", "event_type")
-    return paging.page_slice(events, 1110, ["event_id"]).select("event_id", "event_type")
+    items = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return paging.page_slice(items, 1200, items.columns)
 
 
 def page_clamp(spark, sf):
