@@ -1,5 +1,7 @@
 """Text helpers with Python's notion of whitespace."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters Python treats as whitespace.
@@ -31,22 +33,34 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def truncate_answer(answer: Column, max_sentences: int = MAX_SENTENCES, max_words: int = MAX_WORDS) -> Column:
     """Shorten an answer to a number of '.'-separated pieces, or of words when that also overflows.
 
     A split stops one piece past the limit, and a text too short to hold more words than allowed
     is not split into words at all.
     """
-    text = strip(answer)
-    pieces = F.split(text, r"\.", max_sentences + 1)
-    words = F.split(text, WHITESPACE_RUN, max_words + 1)
-    by_sentence = F.concat(F.array_join(F.slice(pieces, 1, max_sentences), ". "), F.lit("."))
-    by_word = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("..."))
-    return strip(
-        F.when((F.length(text) > 2 * max_words) & (F.size(words) > max_words), by_word)
-        .when(F.size(pieces) > max_sentences, by_sentence)
-        .otherwise(text)
-    )
+    def by_word(words: Column) -> Column:
+        return F.when(
+            F.size(words) > max_words, F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("..."))
+        )
+
+    def by_sentence(pieces: Column) -> Column:
+        return F.when(
+            F.size(pieces) > max_sentences,
+            F.concat(F.array_join(F.slice(pieces, 1, max_sentences), ". "), F.lit(".")),
+        )
+
+    def shorten(text: Column) -> Column:
+        words = _once(F.split(text, WHITESPACE_RUN, max_words + 1), by_word)
+        pieces = _once(F.split(text, r"\.", max_sentences + 1), by_sentence)
+        return F.coalesce(F.when(F.length(text) > 2 * max_words, words), pieces, text)
+
+    return strip(_once(strip(answer), shorten))
 
 
 def preview(text: Column, width: int = 50) -> Column:

@@ -33,9 +33,12 @@ def upsert_results(target: DataFrame, updates: DataFrame, created: Column | None
     """Stored results after a batch of updates.
 
     A known key gets the new status and response and keeps its creation time, an unknown one is
-    inserted. An update whose seq is not above the stored one is stale and changes nothing.
+    inserted. An update whose seq is not above the stored one is stale and changes nothing; rows
+    stored without a seq are older than any update.
     """
     moment = F.current_timestamp() if created is None else created
+    if "seq" not in target.columns:
+        target = target.withColumn("seq", F.lit(None).cast("long"))
     stored = target.withColumn("_stored", F.lit(True))
     given = latest_updates(updates).withColumnsRenamed({
         "status": "_status", "chatgpt_response": "_response", "seq": "_seq"

@@ -27,7 +27,7 @@ def clamp_page(requested: int, rows: int, page_size: int = PAGE_SIZE) -> int:
 def page_clamp(requested: Column, rows: Column, page_size: int = PAGE_SIZE) -> Column:
     """Column form of ``clamp_page``."""
     last = F.floor(F.greatest(rows - 1, F.lit(0)) / page_size)
-    return F.least(F.greatest(requested, F.lit(0)), last).cast("int")
+    return F.least(F.greatest(requested, F.lit(0)), last).cast("long")
 
 
 def page_slice(

@@ -25,7 +25,7 @@ def list_objects(
 def relative_name(path: Column, folder: str) -> Column:
     """Part of a path below a folder, with or without a file-system scheme in front."""
     inner = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return F.substring_index(path, inner + "/", -1)
+    return F.get(F.split(path, rf"\Q{inner}/\E", 2), 1)
 
 
 def read_split_files(spark: SparkSession, root: str, splits: list[str]) -> DataFrame:

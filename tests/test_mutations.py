@@ -53,6 +53,13 @@ def test_upsert_is_idempotent_and_composes(spark):
     assert rows(_upsert(spark, once, second)) == rows(_upsert(spark, target, first + second))
 
 
+def test_upsert_of_a_table_without_seq(spark):
+    result = _upsert(spark, _target(spark).drop("seq"), [("u", "t1", "B", "n", "test", 1)])
+    assert rows(result.select("user_id", "task_id", "user_result_status", "seq")) == [
+        ("u", "t1", "B", 1), ("u", "t2", "A", None), ("v", "t1", "A", None)
+    ]
+
+
 def test_upsert_ties_do_not_depend_on_order(spark):
     tied = [("w", "t", "A", "x", "test", 1), ("w", "t", "B", "y", "test", 1)]
     target = _target(spark).limit(0)

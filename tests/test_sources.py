@@ -85,6 +85,14 @@ def test_list_objects(spark, tmp_path):
     assert listed(case_sensitive=False, recursive=False) == ["a.pdf", "b.PDF"]
 
 
+def test_relative_name(spark):
+    def name(path, folder):
+        return spark.range(1).select(objects.relative_name(F.lit(path), folder)).first()[0]
+    assert name("file:/data/r/test/a.pdf", "/data/r/test") == "a.pdf"
+    assert name("file:/data/r/test/x/a b.pdf", "file:///data/r/test/") == "x/a b.pdf"
+    assert name("s3a://b/r/test/b/r/test/a.pdf", "s3a://b/r/test") == "b/r/test/a.pdf"
+
+
 def test_listing_does_not_read_bytes(spark, tmp_path, plan):
     listing = objects.list_objects(spark, _files(tmp_path))
     assert "content" not in plan(listing).split("ReadSchema")[1]

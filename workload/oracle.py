@@ -366,7 +366,7 @@ ORACLE = {
     "page_slice_deep": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 9 OFFSET 10800""",
     "page_clamp": """SELECT user_id, count(*) AS rows, greatest(0, least(max(event_id) // 100, (count(*) - 1) // 9))
-        ::INTEGER AS page FROM events GROUP BY user_id""",
+        ::BIGINT AS page FROM events GROUP BY user_id""",
     "page_assign": with_views(
         """SELECT task_id, dataset_split, position, position // 9 AS page FROM
         (SELECT *, row_number() OVER (ORDER BY task_id) - 1 AS position FROM questions)""", "questions"),
