@@ -60,10 +60,12 @@ def answer_attempts(
 ) -> DataFrame:
     """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed.
 
-    The rows are staged, because judging reads them several times.
+    The attempts are staged, so that the prompts asked and the rows they go back to are the same
+    whatever happens to the tables meanwhile; so is the result, because judging reads it twice.
     """
+    attempts = stage(attempts.drop("context"), name="attempts")
     answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests)
-    joined = attach_answers(attempts.drop("context"), "prompt", answers, ANSWER_SETTINGS)
+    joined = attach_answers(attempts, "prompt", answers, ANSWER_SETTINGS)
     return stage(joined.withColumns({
         "chatgpt_response": truncate_answer(F.col("answer")),
         "error_text": answer_error_text(F.col("error_kind"), F.col("error_message")),

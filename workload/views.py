@@ -6,8 +6,15 @@ def created() -> Column:
     return F.to_timestamp(F.lit("2024-01-01 00:00:00"))
 
 
+_SCHEMAS = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. Its schema is looked up once, as in a catalog, not for every query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _split(lang):
