@@ -9,6 +9,7 @@ from evalspark import schemas
 from evalspark.functions.files import file_extension, file_type_bucket
 from evalspark.functions.text import is_blank
 from evalspark.operators.filters import filter_answered
+from evalspark.operators.joins import key_join
 
 STATUS = "user_result_status"
 
@@ -131,10 +132,10 @@ def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), max_bytes: int
     together only after their sizes have been added up.
     """
     long = parts.where(F.col("part") > 0).select(*keys).distinct()
-    short_texts = parts.join(long, [*keys], "left_anti").select(*keys, "text")
-    long_parts = parts.join(long, [*keys], "left_semi")
+    short_texts = key_join(parts, long, keys, "left_anti").select(*keys, "text")
+    long_parts = key_join(parts, long, keys, "left_semi")
     sizes = long_parts.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    fitting = long_parts.join(sizes.where(F.col("bytes") <= max_bytes), [*keys], "left_semi")
+    fitting = key_join(long_parts, sizes.where(F.col("bytes") <= max_bytes), keys, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
     long_texts = fitting.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")

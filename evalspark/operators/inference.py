@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions.prompts import SYSTEM_PROMPT
+from evalspark.operators.joins import key_join
 from evalspark.staging import stage
 
 # Request settings of the answering and the judging call.
@@ -128,4 +129,5 @@ def attach_answers(df: DataFrame, prompt: str, answers: DataFrame, settings: dic
     """
     rest = [F.col(f"`{name}`") for name in df.columns if name != prompt]
     key = F.coalesce(prompt_key(F.col(prompt), settings), F.concat(F.lit("/"), F.xxhash64(*rest)))
-    return df.select(*rest, key.alias("prompt_key")).join(answers, "prompt_key", "left").drop("prompt_key")
+    keyed = df.select(*rest, key.alias("prompt_key"))
+    return key_join(keyed, answers, ["prompt_key"], "left").drop("prompt_key")

@@ -13,30 +13,30 @@ from evalspark.operators.shaping import drop_conflicting
 FILLED = ["user_result_status", "chatgpt_response"]
 
 
-def _comparable(key: str) -> list[Column]:
-    """A key as two values that are never null, so that null equals null under plain equality."""
-    return [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()]
+def key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on keys of equal name, in which null keys match each other.
+
+    Adaptive execution splits a hot key only where both sides come straight from a shuffle made
+    for the join. A side aggregated by the same key would be joined as it is; compared this way
+    its few remaining keys are shuffled once more, and the hot key of the other side is split.
+    """
+    names = {key: f"_right_{key}" for key in on}
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[str], right_unique: bool = False) -> DataFrame:
-    """LEFT equi-join in which null keys match each other and repeated right keys multiply rows.
+    """LEFT ``key_join``; repeated right keys multiply rows.
 
     An outer join cannot split a hot key of its right side over tasks, an inner join can split
     both sides. Unless the right keys are unique the join is therefore the inner matches plus
     the left rows that have none among the distinct right keys. Both read the same shuffle of
-    the left side, and the distinct keys are shuffled once.
+    the left side.
     """
-    names = [f"_right_{key}" for key in on]
-    other = right.withColumnsRenamed(dict(zip(on, names)))
-    wanted = [value for key in on for value in _comparable(key)]
-    given = [value for name in names for value in _comparable(name)]
-    same = reduce(Column.__and__, [a == b for a, b in zip(wanted, given)])
     if right_unique:
-        return left.join(other, same, "left").drop(*names)
-    keys = other.select(*[value.alias(f"_key{i}") for i, value in enumerate(given)]).distinct()
-    known = reduce(Column.__and__, [value == F.col(f"_key{i}") for i, value in enumerate(wanted)])
-    matched = left.join(other, same, "inner").drop(*names)
-    return matched.unionByName(left.join(keys, known, "left_anti"), allowMissingColumns=True)
+        return key_join(left, right, on, "left")
+    unmatched = key_join(left, right.select(*on).distinct(), on, "left_anti")
+    return key_join(left, right, on, "inner").unionByName(unmatched, allowMissingColumns=True)
 
 
 def join_results(
@@ -46,7 +46,7 @@ def join_results(
 
     Pass ``one_per_task`` when the results are those of one user and split, whose tasks are unique.
     """
-    joined = left_join(questions, results.select(*on, *FILLED), on, one_per_task)
+    joined = left_join(questions.drop(*FILLED), results.select(*on, *FILLED), on, one_per_task)
     return joined.withColumns({name: fill_na(F.col(name)) for name in FILLED})
 
 
@@ -75,7 +75,7 @@ def join_attachments(questions: DataFrame, files: DataFrame) -> DataFrame:
         "dataset_split", F.col("file_name").alias("_key"), F.lit(True).alias("_listed")
     )
     keyed = questions.withColumn("_key", _spread(F.col("file_name"), ~is_blank(F.col("file_name"))))
-    joined = keyed.join(listed, ["dataset_split", "_key"], "left")
+    joined = key_join(keyed, listed, ["dataset_split", "_key"], "left")
     found = F.coalesce("_listed", F.lit(False))
     return joined.select(*[F.col(f"`{name}`") for name in questions.columns], found.alias("found"))
 
@@ -91,5 +91,5 @@ def join_silver_text(questions: DataFrame, silver: DataFrame, method: str) -> Da
     )
     pdf = F.coalesce(F.lower(file_extension(F.col("file_name"))) == ".pdf", F.lit(False))
     keyed = questions.withColumn("_key", _spread(base_name(F.col("file_name")), pdf))
-    joined = keyed.join(texts, ["dataset_split", "_key"], "left")
+    joined = key_join(keyed, texts, ["dataset_split", "_key"], "left")
     return joined.select(*[F.col(f"`{name}`") for name in questions.columns], "context")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark import schemas
 from evalspark.operators.filters import validate_domain
+from evalspark.operators.joins import key_join
 from evalspark.operators.shaping import split_rejects
 
 KEY = schemas.RESULT_KEY
@@ -67,8 +68,9 @@ def checked_updates(updates: DataFrame, statuses: list[str] | None = None) -> tu
 
 
 def cascade_anti(children: DataFrame, parents: DataFrame, key: str = "user_id") -> DataFrame:
-    """Children whose parent is not in the frame of deleted parents."""
-    return children.join(parents.select(key).distinct(), key, "left_anti")
+    """Children whose parent is not in the frame of deleted parents; those without a parent stay."""
+    deleted = parents.where(F.col(key).isNotNull()).select(key).distinct()
+    return key_join(children, deleted, [key], "left_anti")
 
 
 class Erasure(NamedTuple):

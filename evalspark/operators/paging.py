@@ -33,7 +33,7 @@ def page_clamp(requested: Column, rows: Column, page_size: int = PAGE_SIZE) -> C
 def page_slice(
     df: DataFrame, page: int, order_by: Sequence[str] = ("task_id",), page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """Rows of one page."""
+    """Rows of one page; ``order_by`` should identify rows, else equal ones may change places."""
     if (page + 1) * page_size <= SHALLOW_ROWS:
         return df.orderBy(*order_by).offset(page * page_size).limit(page_size)
     return page_assign(df, order_by, page_size).where(F.col("page") == page).drop("page", "position")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.functions.files import base_name, is_pdf, method_folder
 from evalspark.functions.text import is_blank
+from evalspark.operators.joins import key_join
 
 
 def read_objects(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -104,4 +105,5 @@ def silver_lookup(requests: DataFrame, silver: DataFrame) -> DataFrame:
         "folder": method_folder(F.col("method")),
     })
     texts = silver.select(F.col("method").alias("folder"), "dataset_split", "base_name", "text")
-    return keyed.join(texts, ["folder", "dataset_split", "base_name"], "left").drop("folder", "base_name")
+    joined = key_join(keyed, texts, ["folder", "dataset_split", "base_name"], "left")
+    return joined.drop("folder", "base_name")

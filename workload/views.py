@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from evalspark.operators.joins import key_join
+
+
 def created() -> Column:
     return F.to_timestamp(F.lit("2024-01-01 00:00:00"))
 
@@ -133,7 +136,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Recognised blocks: assistant turns are lines; a conversation with a system turn failed."""
     turns = table(spark, sf, "conversations")
     failed = turns.where(F.col("role") == "system").select("conv_id").distinct().withColumn("failed", F.lit(True))
-    return turns.join(failed, "conv_id", "left").select(
+    return key_join(turns, failed, ["conv_id"], "left").select(
         F.col("conv_id").cast("string").alias("doc"),
         F.col("turn").cast("int").alias("pos"),
         F.when(F.col("role") == "assistant", "LINE").otherwise("WORD").alias("block_type"),
