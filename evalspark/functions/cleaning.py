@@ -2,10 +2,10 @@
 
 from pyspark.sql import Column, functions as F
 
-from evalspark.functions.text import strip
-
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+# A cast alone would also take texts such as '1d', and is slow on texts that are no numbers.
+_SPACE = r"[ \t-\r]*"
+_NUMBER = rf"^{_SPACE}[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?{_SPACE}\z"
+_INFINITE = rf"(?i)^{_SPACE}[+-]?inf(?:inity)?{_SPACE}\z"
 
 
 def clean_string(value: Column, null_text: str = "None") -> Column:
@@ -14,18 +14,18 @@ def clean_string(value: Column, null_text: str = "None") -> Column:
     return F.when(text == "?", F.lit("")).otherwise(text)
 
 
-def _parsed(value: Column) -> Column:
-    text = strip(value.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+def _truncated(text: Column) -> Column:
+    return text.try_cast("double").try_cast("int")
 
 
 def coerce_int(value: Column) -> Column:
     """Number in a text, truncated toward zero; 0 for anything that is not one."""
-    return F.coalesce(_parsed(value).try_cast("int"), F.lit(0))
+    text = value.cast("string")
+    return F.coalesce(F.when(text.rlike(_NUMBER), _truncated(text)), F.lit(0))
 
 
 def coerce_int_reject(value: Column) -> Column:
     """Why a value cannot become an int although it is a number, else null."""
-    too_large = _parsed(value).isNotNull() & _parsed(value).try_cast("int").isNull()
-    infinite = strip(value.cast("string")).rlike(_INFINITE)
-    return F.when(F.coalesce(infinite | too_large, F.lit(False)), F.lit("number out of range"))
+    text = value.cast("string")
+    beyond = F.when(text.rlike(_NUMBER), _truncated(text).isNull()).otherwise(text.rlike(_INFINITE))
+    return F.when(beyond, F.lit("number out of range"))

@@ -57,7 +57,7 @@ def test_clean_string(column):
 
 def test_coerce_int(column):
     cases = {
-        "1": 1, "2.9": 2, "-2.9": -2, " 5 ": 5, "1e3": 1000, "+7": 7, ".5": 0, "5.": 5, " 8\t": 8,
+        "1": 1, "2.9": 2, "-2.9": -2, " 5 ": 5, "1e3": 1000, "+7": 7, ".5": 0, "5.": 5, " 8\t": 8, "\xa08": 0, "8\u2028": 0,
         "?": 0, "": 0, "abc": 0, "nan": 0, "1d": 0, "1f": 0, "0x10": 0, "1,000": 0, "True": 0, "inf": 0,
         "-Infinity": 0, "3000000000": 0, "1e999": 0,
     }
@@ -73,7 +73,7 @@ def test_coerce_int_reject(column):
 
 
 @pytest.mark.parametrize("verdict, status", [
-    ("YES", "Correct"), (" yes. ", "Correct"), ("yes, not no", "Correct"), (" Yes", "Correct"),
+    ("YES", "Correct"), (" yes. ", "Correct"), ("yes, not no", "Correct"), ("\xa0Yes", "Correct"),
     ("NO", "Incorrect"), ("cannot tell", "Incorrect"), ("unknown", "Incorrect"),
 ])
 def test_parse_verdict(column, verdict, status):
@@ -106,13 +106,13 @@ def test_truncate_answer_by_word(column):
     many = ". ".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(12))
     kept = many.split()[:200]
     exact = " ".join(["w"] * 200)
-    assert column([many, exact, exact + " x"], text.truncate_answer(A("a"))) == [
+    assert column([many, exact, exact + "\xa0x"], text.truncate_answer(A("a"))) == [
         " ".join(kept) + "...", exact, exact + "..."
     ]
 
 
 def test_truncate_answer_edges(column):
-    assert column(["", "   ", None, " a ", "1.2.3"], text.truncate_answer(A("a"))) == [
+    assert column(["", "   ", None, "\xa0a\u2003", "1.2.3"], text.truncate_answer(A("a"))) == [
         "", "", None, "a", "1.2.3"
     ]
 
@@ -134,7 +134,7 @@ def test_build_prompt_skips_empty_lines(column):
 
 
 def test_build_judge_prompt(column):
-    built = column([(" Q ", None, " r\n")], prompts.build_judge_prompt(A("a"), A("b"), F.col("c")))[0]
+    built = column([(" Q ", None, "\xa0r\n")], prompts.build_judge_prompt(A("a"), A("b"), F.col("c")))[0]
     assert built.startswith("\nQuestion: Q\n\nOriginal Answer: None\n\nAI Response: r\n\nInstructions:\n1. ")
     assert built.endswith("Respond with only 'YES' or 'NO'.\n")
 

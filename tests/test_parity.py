@@ -28,7 +28,7 @@ def test_base_name(column):
 
 
 def test_coerce_int(column):
-    numbers = [n for n in _texts("0123456789" + "+-..eE ", 6000, 6) if "inf" not in n.lower()]
+    numbers = [n for n in _texts("0123456789" + "+-..eE \t\n\xa0", 6000, 6) if "inf" not in n.lower()]
 
     def expected(value):
         number = pd.to_numeric(pd.Series([value]), errors="coerce").fillna(0).iloc[0]
@@ -40,7 +40,7 @@ def test_coerce_int(column):
 
 
 def test_strip_and_words(column):
-    alphabet = "ab." + text.WHITESPACE + "​᠎"
+    alphabet = "ab." + text.WHITESPACE + "\u200b\u180e"
     texts = _texts(alphabet, 3000, 10)
     assert column(texts, text.strip(F.col("a"))) == [t.strip() for t in texts]
     words = F.filter(F.split(text.strip(F.col("a")), text.WHITESPACE_RUN), lambda w: w != "")

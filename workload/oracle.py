@@ -115,8 +115,9 @@ def clean(x: str) -> str:
 
 
 def to_int(x: str) -> str:
-    number = lit("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
-    return (f"CAST(coalesce(CASE WHEN regexp_matches({strip(x)}, {number}) "
+    space = "[ \t-\r]*"
+    number = lit(f"^{space}[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?{space}$")
+    return (f"CAST(coalesce(CASE WHEN regexp_matches({x}, {number}) "
             f"THEN trunc(try_cast({strip(x)} AS DOUBLE)) END, 0) AS INTEGER)")
 
 
