@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.packing import pack_documents
+from evalspark.llm.simhash import simhash_near_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +15,12 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(documents(spark, sf_dir), shingle_words=3, distance=2)
+
+
 QUERIES = {
     "op2_pack": op2_pack,
+    "op8_simhash": op8_simhash,
 }
 ORACLE: dict[str, str] = {}
