@@ -39,22 +39,21 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sampled(df: DataFrame, key: str, rows: int, strata: str | None = None) -> DataFrame:
-    """About `rows` rows (of each stratum, if named), the same ones on every run, chosen by a hash of the key.
-
-    Each row is kept with probability rows / all rows, so no task has to sort or hold the sample.
-    """
-    named = [F.col(strata)] if strata else []
-    sizes = df.groupBy(*[c.alias("sample_stratum") for c in named]).agg(F.count(F.lit(1)).alias("sample_of"))
-    luck = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    drawn = df.withColumn("sample_luck", luck)
-    joined = drawn.join(sizes, drawn[strata] == sizes["sample_stratum"]) if strata else drawn.crossJoin(F.broadcast(sizes))
-    return joined.filter(F.col("sample_luck") * F.col("sample_of") < rows).select(*[joined[c] for c in df.columns])
-
-
 def kept(name: str, make: Callable[[], object]) -> object:
     """An object that the Python worker keeps between tasks, made on first use. For tables that are costly to load."""
     store = vars(sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")))
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+def labelled_sample(labels: DataFrame, key: str, label: str, rows: int, parts: int, part: int) -> DataFrame:
+    """(label_key, label) of at most about `rows` labelled rows, without null labels, null keys and held-out keys.
+
+    The rows are thinned by a hash of the key to an expected number of `rows`, which bounds what is broadcast or learned.
+    """
+    usable = labels.select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label")).dropna()
+    usable = usable.filter(~held_out(F.col("label_key"), parts, part))
+    share = rows / max(1, usable.count())
+    luck = F.shiftrightunsigned(F.xxhash64(F.col("label_key").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
+    return usable.filter(luck < share)

@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.packing import pack_documents
+from evalspark.llm.quality import classify_quality
 from evalspark.llm.simhash import simhash_near_dedup
 
 
@@ -11,6 +12,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,8 +24,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir), shingle_words=3, distance=2)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), rows=20_000, parts=3, part=1, threshold=0.5)
+
+
 QUERIES = {
     "op2_pack": op2_pack,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
 ORACLE: dict[str, str] = {}
