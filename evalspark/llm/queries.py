@@ -2,7 +2,9 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evalspark.llm.decontamination import find_leaks, question_and_answer
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import classify_quality
 from evalspark.llm.simhash import simhash_near_dedup
@@ -28,7 +30,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), rows=20_000, parts=3, part=1, threshold=0.5)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
