@@ -39,12 +39,12 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def kept(name: str, make: Callable[[], object]) -> object:
-    """An object that the Python worker keeps between tasks, made on first use. For tables that are costly to load."""
+def kept(slot: str, tag: str, make: Callable[[], object]) -> object:
+    """An object that the Python worker keeps between tasks, one per slot, made anew when the tag changes."""
     store = vars(sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")))
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if store.get(slot, (None,))[0] != tag:
+        store[slot] = (tag, make())
+    return store[slot][1]
 
 
 def labelled_sample(labels: DataFrame, key: str, label: str, rows: int, parts: int, part: int) -> DataFrame:

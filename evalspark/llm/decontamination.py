@@ -10,6 +10,7 @@ from pivot to pivot. Every item retrieved is verified: enough word shingles of i
 occur in the passage.
 """
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -233,8 +234,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Colu
     arrow = arrow_schema(schema)
 
     def searched(shared):
+        tag = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = kept(f"search {shared.id}", lambda: Searcher(shared.value))
+            search = kept("search", tag, lambda: Searcher(shared.value))
             for batch in batches:
                 rows = []
                 for key_value, value in zip(batch.column(0).to_pylist(), texts_of(batch)):

@@ -306,7 +306,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
     ending = np.array([end_id], "<u4").tobytes()
 
     def examples():
-        tokenize = kept(f"tokenizer {tokenizer_path}", lambda: Tokenizer(tokenizer_path))
+        tokenize = kept("tokenizer", tokenizer_path, lambda: Tokenizer(tokenizer_path))
 
         def read(batch):
             for key_value, value in zip(batch.column(0).to_pylist(), texts_of(batch)):
