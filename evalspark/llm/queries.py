@@ -4,10 +4,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.decontamination import find_leaks, question_and_answer
-from evalspark.llm.packing import pack_documents
-from evalspark.llm.quality import classify_quality
-from evalspark.llm.simhash import simhash_near_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +31,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(documents(spark, sf_dir), length=100)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op3_repeats": op3_repeats,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
