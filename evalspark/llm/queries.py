@@ -4,6 +4,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.decontamination import find_leaks, question_and_answer
+from evalspark.llm.packing import pack_documents
+from evalspark.llm.quality import classify_quality
+from evalspark.llm.repeats import find_repeats
+from evalspark.llm.sharding import shard_records
+from evalspark.llm.simhash import simhash_near_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,25 +20,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_near_dedup(documents(spark, sf_dir), shingle_words=3, distance=2)
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(documents(spark, sf_dir), length=100)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), rows=20_000, parts=3, part=1, threshold=0.5)
 
 
-def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")))
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(documents(spark, sf_dir), shingle_words=3, distance=2)
 
 
-def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(documents(spark, sf_dir), length=100)
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(documents(spark, sf_dir), weights=[1.0] * 40)
 
 
 QUERIES = {
@@ -41,5 +51,6 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op10_shard": op10_shard,
 }
 ORACLE: dict[str, str] = {}
