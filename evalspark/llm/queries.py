@@ -10,6 +10,7 @@ from evalspark.llm.quality import classify_quality
 from evalspark.llm.repeats import find_repeats
 from evalspark.llm.sharding import shard_records
 from evalspark.llm.simhash import simhash_near_dedup
+from evalspark.llm.toxicity import classify_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir), shingle_words=3, distance=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), rows=16_000, parts=4, part=2, threshold=0.3)
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(documents(spark, sf_dir), weights=[1.0] * 40)
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_shard": op10_shard,
 }
 ORACLE: dict[str, str] = {}
