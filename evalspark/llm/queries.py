@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.decontamination import find_leaks, question_and_answer
+from evalspark.llm.language import identify_language
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import classify_quality
 from evalspark.llm.repeats import find_repeats
@@ -34,6 +35,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(documents(spark, sf_dir), length=100)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(documents(spark, sf_dir), parts=4, part=2)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), rows=20_000, parts=3, part=1, threshold=0.5)
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op3_repeats": op3_repeats,
+    "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
