@@ -65,29 +65,29 @@ OP5_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
 ), worded AS (
-  SELECT *, row_number() OVER () AS row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts
+  SELECT *, row_number() OVER () AS rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts
 ), windows AS (
-  SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
-  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM worded)
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM worded)
 ), counted_windows AS (
-  SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM windows
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows
 ), covered AS (
-  SELECT row, count(DISTINCT at) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS at FROM counted_windows WHERE n > 1) GROUP BY row
+  SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM counted_windows WHERE n > 1) GROUP BY rid
 ), raw_lines AS (
-  SELECT row, host, unnest(string_split(text, chr(10))) AS line FROM worded
+  SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM worded
 ), lines AS (
-  SELECT row, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+  SELECT rid, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
          lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), repeated AS (
-  SELECT row, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY row
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid
 ), sizes AS (
   SELECT host, count(*) AS documents FROM worded GROUP BY host
 ), frequent AS (
-  SELECT host, h FROM (SELECT host, h, count(DISTINCT row) AS n FROM lines GROUP BY host, h) JOIN sizes USING (host)
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT rid) AS n FROM lines GROUP BY host, h) JOIN sizes USING (host)
   WHERE n > 20 AND n > documents * 0.01::DOUBLE
 ), lost AS (
-  SELECT row, sum(words)::BIGINT AS removed FROM lines JOIN frequent USING (host, h) GROUP BY row
+  SELECT rid, sum(words)::BIGINT AS removed FROM lines JOIN frequent USING (host, h) GROUP BY rid
 ), base AS (
   SELECT doc_id, len(words)::BIGINT AS n_words,
          length(array_to_string(words, ''))::BIGINT AS word_chars,
@@ -95,7 +95,7 @@ WITH texts AS (
          coalesce(repeated.n, 0)::BIGINT AS n_dup_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
          coalesce(removed, 0)::BIGINT AS removed_words
-  FROM worded LEFT JOIN covered USING (row) LEFT JOIN repeated USING (row) LEFT JOIN lost USING (row)
+  FROM worded LEFT JOIN covered USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN lost USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
