@@ -9,12 +9,13 @@ Suffixes are put in corpus order in two steps, each sorted within partitions:
 
 1. Occurrences by (trigger, phrase, place). All but the first of a phrase are repeats as a whole. A first occurrence
    can share strings with others only if its trigger occurs in another phrase as well; only then it goes on.
-2. The suffixes of those phrases, up to the judged length, by (content, place). All but the first of equal ones repeat.
+2. The suffixes of the dictionary's phrases that went on, trigger by trigger, by (content, place). All but the first of
+   equal ones are repeats.
 
-Places are (document, byte). Contents are compared by two 64-bit hashes, so only ranks and places are shuffled, and the
-order of the suffixes is that of their hashes instead of the alphabet: equal ones meet, earliest first, which is all
-that the removal needs. Each task first settles what repeats inside itself, so a string with very many copies reaches
-a reducer once per task; and a trigger with very many phrases in one task is dealt out by phrase.
+Places are (document, byte). Contents are compared by two 64-bit hashes, so the order of the suffixes is that of their
+hashes instead of the alphabet: equal ones meet, earliest first, which is all that the removal needs. Each task first
+settles what repeats inside itself, so a string with very many copies reaches a reducer once per task. A trigger with
+very many phrases is not brought together: its phrases are dealt out one by one, and then their suffixes.
 """
 
 import hashlib
@@ -31,26 +32,29 @@ from evalspark.llm.common import arrow_schema, batches_of, kept
 from evalspark.staging import stage
 
 TRIGGER = 32
+WIDEST = 96
 SEGMENT = 1 << 18
 CHUNK = 1_200_000
-LONGEST_PHRASE = 64
-CROWDED = 48
+LONGEST_PHRASE = 128
+CROWD_IN_TASK = 48
+CROWD = 2048
 NO_KEY = (1 << 63) - 1
 PLACE_BITS = 25
-ONCE, SHARED, REPEAT = 0, 1, 2
+ONCE, SHARED, REPEAT, CROWDED = 0, 1, 2, 3
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 SCHEMA = "k long, h long, doc long, at long"
+WITH_TEXT = SCHEMA + ", text binary"
 U64 = np.uint64
 
 
 def _pack(start: np.ndarray, n: np.ndarray, kind: np.ndarray | int, tie: np.ndarray) -> np.ndarray:
-    """Start byte, number of string starts (up to 64), kind, and the text's tie value, in one sortable number."""
+    """Start byte, number of string starts (up to 128), kind, and the text's tie value, in one sortable number."""
     return (start << PLACE_BITS) | (tie << 9) | ((n - 1) << 2) | kind
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return at >> PLACE_BITS, ((at >> 2) & 63) + 1, at & 3, (at >> 9) & 0xFFFF
+    return at >> PLACE_BITS, ((at >> 2) & 127) + 1, at & 3, (at >> 9) & 0xFFFF
 
 
 def _powers(base: int, size: int) -> np.ndarray:
@@ -73,11 +77,11 @@ class Segment:
 
     def __init__(self, texts: list[bytes], length: int):
         joined = np.frombuffer(b"".join(texts), np.uint8)
-        n, trigger = len(joined), min(TRIGGER, length)
+        n, trigger = len(joined), min(max(TRIGGER, length - WIDEST), length)
         self.length, self.inverse = length, _powers(INVERSE, SEGMENT + length + 1)
         self.sums = np.zeros(n + 1, U64)
         np.cumsum((joined.astype(U64) + U64(1)) * _powers(BASE, SEGMENT + length + 1)[:n], out=self.sums[1:])
-        least = _mixed(self.hashes(np.arange(n - trigger + 1), trigger))
+        self.triggers = least = _mixed(self.hashes(np.arange(n - trigger + 1), trigger))
         width, reach = length - trigger + 1, 1
         while 2 * reach <= width:
             least = np.minimum(least[:-reach], least[reach:])
@@ -122,7 +126,9 @@ def _phrases(rows: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
         place = np.arange(len(owner)) - np.repeat(starts.cumsum() - starts, starts)
         position = place + first[owner]
         least = segment.least[position]
-        new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))))
+        # A phrase also ends where its trigger leaves the string, or it could hold a string twice.
+        left = segment.triggers[position] == least
+        new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | left[:-1])))
         run = np.diff(np.concatenate((new, [len(owner)])))
         cuts = -(-run // LONGEST_PHRASE)
         piece = np.arange(cuts.sum()) - np.repeat(cuts.cumsum() - cuts, cuts)
@@ -133,23 +139,42 @@ def _phrases(rows: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
         yield [least[new], h, doc[whose], _pack(place[new] + at[whose], n, ONCE, tie[whose])]
 
 
-def _suffixes(rows: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
-    """Suffixes of the phrases listed for each document: content hash twice, doc, packed place."""
-    sorted_rows = ((doc, tie, text, np.sort(np.array(places, np.int64))) for doc, tie, text, places in rows)
-    for segment, first, sizes, doc, tie, at, others in _segments(sorted_rows, length):
-        position, whose = [], []
-        for i, (places,) in enumerate(others):
-            last = at[i] + sizes[i] - length
-            span = slice(*np.searchsorted(places, [max(0, int(at[i]) - LONGEST_PHRASE) << PLACE_BITS, int(last + 1) << PLACE_BITS]))
-            start, n, _, _ = _unpack(places[span])
-            wanted = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-            wanted = wanted[(wanted >= at[i]) & (wanted <= last)]
-            position.append(wanted - at[i] + first[i])
-            whose.append(np.full(len(wanted), i))
-        position, whose = np.concatenate(position), np.concatenate(whose)
-        if len(position):
-            place = position - first[whose] + at[whose]
-            yield [_mixed(segment.hashes(position, length)), segment.least[position], doc[whose], _pack(place, np.ones(len(place), np.int64), ONCE, tie[whose])]
+def _kind(at: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return (at & ~np.int64(3)) | kind
+
+
+def _listed_phrases(rows: Iterator[tuple], length: int, kinds: tuple[int, ...]) -> Iterator[tuple]:
+    """(doc, tie, bytes, place, bytes) of the listed phrases of some kinds, each as a short text of its own."""
+    for doc, tie, text, places in rows:
+        listed = np.array(places, np.int64)
+        listed = listed[np.isin(listed & 3, kinds)]
+        start, n, _, _ = _unpack(listed)
+        for at, a, b in zip(listed.tolist(), start.tolist(), (start + n - 1 + length).tolist()):
+            yield doc, tie, text[a:b], at, text[a:b]
+
+
+def _suffixes(phrases: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
+    """All suffixes of phrases, up to the judged length: content hash twice, doc, packed place."""
+    for segment, first, sizes, doc, tie, _, others in _segments(phrases, length):
+        n = sizes - length + 1
+        whose = np.repeat(np.arange(len(first)), n)
+        place = np.arange(len(whose)) - np.repeat(n.cumsum() - n, n)
+        position = place + first[whose]
+        start = _unpack(np.array([at for at, *_ in others], np.int64))[0]
+        yield [_mixed(segment.hashes(position, length)), segment.least[position], doc[whose], _pack(place + start[whose], np.ones(len(place), np.int64), ONCE, tie[whose])]
+
+
+def _ranges(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of single starts, joined where they follow each other in one text."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    start, _, _, tie = _unpack(at)
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (tie[1:] != tie[:-1]))) if len(at) else np.zeros(0, bool)
+    run = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
+    cuts = -(-run // LONGEST_PHRASE)
+    firsts = np.repeat(np.flatnonzero(new), cuts) + (np.arange(cuts.sum()) - np.repeat(cuts.cumsum() - cuts, cuts)) * LONGEST_PHRASE
+    n = np.diff(np.concatenate((firsts, [len(at)])))
+    return doc[firsts], _pack(start[firsts], n, REPEAT, tie[firsts])
 
 
 def _ranked(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -166,41 +191,54 @@ def _later(rows: list[np.ndarray], new: np.ndarray) -> np.ndarray:
     return (rows[2] != rows[2][first]) | (rows[3] >> PLACE_BITS != rows[3][first] >> PLACE_BITS)
 
 
-def _settled(chunks: Iterator[list[np.ndarray]], spread: bool) -> Iterator[list[np.ndarray]]:
-    """Join chunks up to a bounded size and mark what repeats inside them; marked rows are dealt out by place.
+def _dealt_anyhow(doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Settled places, to be dealt out evenly."""
+    return [_mixed(doc.view(U64) * U64(31) + at.view(U64)), np.zeros(len(doc), U64), doc, at]
 
-    With `spread`, a trigger with very many phrases is dealt out by phrase, but for two that tell its reducer about it.
-    """
-    waiting, size = [], 0
-
-    def settle():
-        rows, new_k, new = _ranked([np.concatenate(row) for row in zip(*waiting)])
-        later = _later(rows, new)
-        k = np.where(later, _mixed(rows[2].view(U64) * U64(31) + rows[3].view(U64)), rows[0])
-        rows[3] = np.where(later, rows[3] | REPEAT, rows[3])
-        if spread:
-            group = new_k.cumsum() - 1
-            nth = new.cumsum()
-            nth = nth - nth[np.flatnonzero(new_k)][group]
-            crowded = np.bincount(group, new)[group] > CROWDED
-            moved = crowded & ~later & (nth >= 2)
-            k = np.where(moved, _mixed(rows[0] ^ rows[1]), k)
-            rows[3] = np.where(crowded & ~later, rows[3] | SHARED, rows[3])
-        return [k, *rows[1:]]
 
+def _joined(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Chunks put together up to a bounded size."""
+    waiting, size = [], 0
     for rows in chunks:
         waiting.append(rows)
         size += len(rows[0])
         if size >= CHUNK:
-            yield settle()
+            yield [np.concatenate(row) for row in zip(*waiting)]
             waiting, size = [], 0
-    if waiting:
-        yield settle()
+    if size:
+        yield [np.concatenate(row) for row in zip(*waiting)]
+
 
+def _settled_phrases(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Occurrences, with those marked and dealt out evenly that repeat inside their chunk.
 
-def _batch(rows: list[np.ndarray], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    Triggers with very many phrases in a chunk are dealt out by phrase, but for two that tell the trigger's reducer.
+    """
+    for rows in _joined(chunks):
+        rows, new_k, new = _ranked(rows)
+        later = _later(rows, new)
+        group = new_k.cumsum() - 1
+        nth = new.cumsum()
+        nth = nth - nth[np.flatnonzero(new_k)][group]
+        crowded = (np.bincount(group, new)[group] > CROWD_IN_TASK) & ~later
+        rows[3] = np.where(crowded, _kind(rows[3], CROWDED), rows[3])
+        rows[0] = np.where(crowded & (nth >= 2), _mixed(rows[0] ^ rows[1]), rows[0])
+        yield [row[~later] for row in rows]
+        yield _dealt_anyhow(rows[2][later], _kind(rows[3][later], REPEAT))
+
+
+def _settled_suffixes(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Suffixes without those that repeat inside their chunk, whose places follow as ranges."""
+    for rows in _joined(chunks):
+        rows, _, new = _ranked(rows)
+        later = _later(rows, new)
+        yield [row[~later] for row in rows]
+        yield _dealt_anyhow(*_ranges(rows[2][later], rows[3][later]))
+
+
+def _batch(rows: list, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     if len(rows[0]):
-        yield from batches_of(dict(zip(arrow.names, [rows[0].view(np.int64), rows[1].view(np.int64), rows[2], rows[3]])), arrow)
+        yield from batches_of(dict(zip(arrow.names, [rows[0].view(np.int64), rows[1].view(np.int64), *rows[2:]])), arrow)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -212,66 +250,99 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _merged(dealt: DataFrame, judge) -> DataFrame:
-    """Deal rows by k, sort them within partitions and judge whole runs of k; the last run of a batch waits."""
+    """Deal rows by k, sort them within partitions, and let `judge` turn the batches into places."""
     arrow = arrow_schema(T.StructType.fromDDL("doc long, at long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {}
-        for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if len(rows[0]):
-                found = judge(rows, state)
-                if len(found[0]):
-                    yield from batches_of({"doc": found[0], "at": found[1]}, arrow)
-        found = judge(None, state)
-        if len(found[0]):
-            yield from batches_of({"doc": found[0], "at": found[1]}, arrow)
+        for doc, at in judge(batches):
+            if len(doc):
+                yield from batches_of({"doc": doc, "at": at}, arrow)
 
     return dealt.repartition("k").sortWithinPartitions("k", "h", "doc", "at").mapInArrow(run, "doc long, at long")
 
 
-def _judge_suffixes(rows: list[np.ndarray] | None, state: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all but the first of equal suffixes. The state is the first row of the run that goes on."""
-    if rows is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if "first" in state:
-        rows = [np.concatenate(([first], row)) for first, row in zip(state["first"], rows)]
-    new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+
+
+def _judged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole triggers: the repeats, and the first occurrences whose trigger has other phrases."""
+    rows, new_k, new = _ranked(rows)
     repeats = _later(rows, new) | (rows[3] & 3 == REPEAT)
-    if "first" in state:
-        repeats[0] = False
-    start = int(np.flatnonzero(new)[-1])
-    state["first"] = [row[start] for row in rows]
-    return rows[2][repeats], rows[3][repeats] | REPEAT
+    group = new_k.cumsum() - 1
+    phrases = np.bincount(group, new)
+    crowded = ((np.bincount(group, rows[3] & 3 == CROWDED) > 0) | (phrases > CROWD))[group]
+    kind = np.where(repeats, REPEAT, np.where(crowded, CROWDED, SHARED))
+    out = repeats | crowded | (phrases > 1)[group]
+    return rows[2][out], _kind(rows[3], kind)[out]
 
 
-def _judge_phrases(rows: list[np.ndarray] | None, state: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Repeats, and first occurrences whose trigger has other phrases.
+def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole triggers at a time. One with too many rows is passed on as crowded, row by row, with its last phrase's first row in mind."""
+    waiting, first = None, None
+    for batch in batches:
+        rows = _columns(batch)
+        if not len(rows[0]):
+            continue
+        if first is not None:
+            same = rows[0] == first[0]
+            crowd = [np.concatenate(([value], row[same])) for value, row in zip(first, rows)]
+            new = np.concatenate(([True], crowd[1][1:] != crowd[1][:-1]))
+            repeats = _later(crowd, new)
+            yield crowd[2][1:], _kind(crowd[3], np.where(repeats, REPEAT, CROWDED))[1:]
+            rows = [row[~same] for row in rows]
+            first = [row[np.flatnonzero(new)[-1]] for row in crowd] if not len(rows[0]) else None
+            if not len(rows[0]):
+                continue
+        if waiting is not None:
+            rows = [np.concatenate(pair) for pair in zip(waiting, rows)]
+        whole = len(rows[0]) - int((rows[0] == rows[0][-1]).sum())
+        if whole:
+            yield _judged([row[:whole] for row in rows])
+        waiting = [row[whole:] for row in rows]
+        if len(waiting[0]) > CROWD:
+            new = np.concatenate(([True], waiting[1][1:] != waiting[1][:-1]))
+            repeats = _later(waiting, new) | (waiting[3] & 3 == REPEAT)
+            yield waiting[2], _kind(waiting[3], np.where(repeats, REPEAT, CROWDED))
+            waiting, first = None, [row[np.flatnonzero(new)[-1]] for row in waiting]
+    if waiting is not None:
+        yield _judged(waiting)
+
+
+def _judge_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all but the first of equal suffixes: of the phrases of whole triggers, and of suffixes that came alone."""
+    phrases, first = [], None
+
+    def of_phrases(listed: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(_suffixes(((doc, at >> 9 & 0xFFFF, text, at) for _, doc, at, text in listed), length))
+        rows, _, new = _ranked([np.concatenate(row) for row in zip(*found)])
+        later = _later(rows, new)
+        return _ranges(rows[2][later], rows[3][later])
 
-    Of the trigger that goes on into the next batch, the state keeps the first rows of its first and its last phrase,
-    and whether it is known to have several.
-    """
-    none = np.zeros(0, np.int64)
-    if rows is None:
-        return none, none
-    carried = state.get("rows", [])
-    if carried:
-        rows = [np.concatenate((np.array([row[i] for row in carried], rows[i].dtype), rows[i])) for i in range(4)]
-    done = np.zeros(len(rows[0]), bool)
-    done[: len(carried)] = state.get("done", [])
-    new_k = np.concatenate(([True], rows[0][1:] != rows[0][:-1]))
-    new = new_k | np.concatenate(([True], rows[1][1:] != rows[1][:-1]))
-    repeats = (_later(rows, new) | (rows[3] & 3 == REPEAT)) & ~done
-    group = new_k.cumsum() - 1
-    several = (np.bincount(group, new) > 1) | (np.bincount(group, rows[3] & 3 == SHARED) > 0)
-    shared = several[group] & ~repeats & ~done
-    last = int(np.flatnonzero(new_k)[-1])
-    ends = [last] if not new[last + 1 :].any() else [last, int(np.flatnonzero(new)[-1])]
-    state["rows"] = [[row[i] for row in rows] for i in ends]
-    state["done"] = [bool(done[i] or shared[i] or repeats[i]) for i in ends]
-    at = np.where(repeats, rows[3] | REPEAT, (rows[3] & ~np.int64(3)) | SHARED)
-    out = repeats | shared
-    return rows[2][out], at[out]
+    for batch in batches:
+        rows, texts = _columns(batch), batch.column(4)
+        alone = texts.is_null().to_numpy(zero_copy_only=False)
+        if not alone.all():
+            at = np.flatnonzero(~alone)
+            phrases += zip(rows[0][at].tolist(), rows[2][at].tolist(), rows[3][at].tolist(), texts.take(pa.array(at)).to_pylist())
+            last = phrases[-1][0]
+            whole = next((i for i in range(len(phrases) - 1, -1, -1) if phrases[i][0] != last), -1) + 1
+            if whole:
+                yield of_phrases(phrases[:whole])
+                del phrases[:whole]
+        rows = [row[alone] for row in rows]
+        settled = rows[3] & 3 == REPEAT
+        yield rows[2][settled], rows[3][settled]
+        rows = [row[~settled] for row in rows]
+        if len(rows[0]):
+            if first is not None:
+                rows = [np.concatenate(([value], row)) for value, row in zip(first, rows)]
+            new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+            later = _later(rows, new)
+            yield _ranges(rows[2][later], rows[3][later])
+            first = [row[np.flatnonzero(new)[-1]] for row in rows]
+    if phrases:
+        yield of_phrases(phrases)
 
 
 def _listed(places: DataFrame) -> DataFrame:
@@ -282,21 +353,27 @@ def _listed(places: DataFrame) -> DataFrame:
 
 def _repeats(frame: DataFrame, length: int) -> DataFrame:
     """`frame` (doc, tie, text and others) with the list `places` of repeated string starts; null where there are none."""
-    arrow = arrow_schema(T.StructType.fromDDL(SCHEMA))
+    arrow, with_text = (arrow_schema(T.StructType.fromDDL(schema)) for schema in (SCHEMA, WITH_TEXT))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _settled(_phrases(_texts(batches), length), spread=True):
+        for rows in _settled_phrases(_phrases(_texts(batches), length)):
             yield from _batch(rows, arrow)
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _settled(_suffixes(_texts(batches), length), spread=False):
-            yield from _batch(rows, arrow)
+    def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shared phrases with their texts, under their triggers; crowded ones as suffixes."""
+        for batch in batches:
+            rows = list(_texts(iter([batch])))
+            for segment, first, _, doc, _, _, others in _segments(_listed_phrases(iter(rows), length, (SHARED,)), length):
+                at, texts = zip(*others)
+                yield from batches_of({"k": segment.least[first].view(np.int64), "h": np.zeros(len(doc), np.int64), "doc": doc, "at": list(at), "text": list(texts)}, with_text)
+            for found in _settled_suffixes(_suffixes(_listed_phrases(iter(rows), length, (CROWDED,)), length)):
+                yield from _batch([*found, [None] * len(found[0])], with_text)
 
     places = stage(_merged(frame.select("doc", "tie", "text").mapInArrow(parse, SCHEMA), _judge_phrases), name="places")
     settled = F.col("at").bitwiseAND(3) == REPEAT
-    shared = frame.join(_listed(places.filter(~settled)), [F.col("doc") == F.col("of_doc"), F.col("tie") == F.col("of_tie")])
-    edges = _merged(shared.select("doc", "tie", "text", "places").mapInArrow(suffixes, SCHEMA), _judge_suffixes)
-    found = _listed(places.filter(settled).unionByName(edges))
+    open_phrases = frame.join(_listed(places.filter(~settled)), [F.col("doc") == F.col("of_doc"), F.col("tie") == F.col("of_tie")])
+    suffixes = _merged(open_phrases.select("doc", "tie", "text", "places").mapInArrow(dictionary, WITH_TEXT), lambda batches: _judge_suffixes(batches, length))
+    found = _listed(places.filter(settled).unionByName(suffixes))
     return frame.join(found, [F.col("doc") == F.col("of_doc"), F.col("tie") == F.col("of_tie")], "left").drop("of_doc", "of_tie")
 
 

@@ -64,9 +64,10 @@ def test_equals_brute_force(spark, monkeypatch, seed, length):
     assert sorted(map(tuple, find_repeats(frame, length).collect()), key=repr) == _expected(rows, length)
 
 
-def test_small_segments_chunks_and_crowds(spark, monkeypatch, conf):
-    """The same with texts cut into many segments, tasks that settle in many chunks, and small batches."""
-    for name, value in (("SEGMENT", 700), ("CHUNK", 60), ("CROWDED", 3)):
+@pytest.mark.parametrize("limits", [{}, {"CROWD_IN_TASK": 3, "CROWD": 5}, {"CROWD_IN_TASK": 1, "CROWD": 1, "LONGEST_PHRASE": 9}, {"CROWD": 4}])
+def test_small_segments_chunks_and_crowds(spark, monkeypatch, conf, limits):
+    """The same with texts cut into many segments, tasks that settle in many chunks, small batches and crowds."""
+    for name, value in ({"SEGMENT": 700, "CHUNK": 60} | limits).items():
         monkeypatch.setattr(repeats, name, value)
     conf({"spark.sql.execution.arrow.maxRecordsPerBatch": "7"})
     rows = _texts(4, 150)
