@@ -13,6 +13,7 @@ from evalspark.llm.repeats import find_repeats
 from evalspark.llm.sharding import shard_records
 from evalspark.llm.simhash import simhash_near_dedup
 from evalspark.llm.toxicity import classify_toxicity
+from evalspark.llm.url_templates import filter_urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(documents(spark, sf_dir), length=100)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filter_urls(pages, allow=["com/", "www.example.com/en/"], block=["example.com/en/", "net/es/", "net/fr/"])
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge_lines(documents(spark, sf_dir), least_documents=20, share=0.01, kept_share=0.5)
     return found.drop("removed_lines")
@@ -108,6 +114,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op3_repeats": op3_repeats,
+    "op4_urls": op4_urls,
     "op5_lines": op5_lines,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
