@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_schema, batches_of, keyed_texts
+from evalspark.llm.common import arrow_schema, batches_of
 from evalspark.llm.components import components
 from evalspark.staging import stage
 
@@ -48,17 +48,23 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > last).tobytes(), "big")
 
 
+def row_marks(key: str, text: str) -> list[Column]:
+    """Two hashes that tell rows apart by key and text."""
+    return [F.xxhash64(key, text).alias("mark"), F.hash(text, key).alias("mark_2")]
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(key, fingerprint) of every row, the fingerprint as a signed long with the same bits. A null text is empty."""
-    frame = keyed_texts(docs, key, text)
-    schema = frame.select("key", F.lit(0).cast("long").alias("fingerprint")).schema
+    """(key, mark, mark_2, fingerprint) of every row, the fingerprint as a signed long with the same bits. A null text is empty."""
+    frame = docs.select(F.col(key).alias("key"), *row_marks(key, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = frame.select("key", "mark", "mark_2", F.lit(0).cast("long").alias("fingerprint")).schema
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(value, shingle_words) for value in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(found.view(np.int64))], schema=arrow)
+            kept = [batch.column(i).cast(arrow.field(i).type) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], schema=arrow)
 
     return frame.mapInArrow(run, schema)
 
@@ -211,6 +217,18 @@ def near_links(distinct: DataFrame, distance: int = 2, largest_group: int = LARG
     return first.filter("b is not null").select("a", "b").unionByName(_linked(large, distance, None).select("a", "b"))
 
 
+def _classes(docs: DataFrame, shingle_words: int, distance: int, key: str, text: str) -> DataFrame:
+    """(key, mark, mark_2, fingerprint, component_id, root) of every row; the root is the component's own fingerprint."""
+    marked = stage(fingerprints(docs, key, text, shingle_words), name="fingerprints")
+    distinct = stage(marked.groupBy("fingerprint").agg(F.min("key").alias("least")), name="distinct")
+    roots = components(near_links(distinct, distance))
+    joined = distinct.join(roots, distinct.fingerprint == roots.node, "left")
+    owned = stage(joined.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), name="owned")
+    least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = owned.join(least, "root").select(F.col("fingerprint").alias("found"), "component_id", "root")
+    return marked.join(classes, F.col("fingerprint") == F.col("found")).drop("found")
+
+
 def simhash_near_dedup(docs: DataFrame, shingle_words: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its fingerprint (16 hex digits) and component_id, the least key it is linked to, over any steps.
 
@@ -218,12 +236,19 @@ def simhash_near_dedup(docs: DataFrame, shingle_words: int = 3, distance: int =
     key count each for itself. A null key belongs to the component of its fingerprint and is never a component's id,
     unless all keys of the component are null. Other columns are not read. An empty table gives an empty result.
     """
-    marked = stage(fingerprints(docs, key, text, shingle_words), name="fingerprints")
-    distinct = stage(marked.groupBy("fingerprint").agg(F.min("key").alias("least")), name="distinct")
-    roots = components(near_links(distinct, distance))
-    joined = distinct.join(roots, distinct.fingerprint == roots.node, "left")
-    owned = stage(joined.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), name="owned")
-    least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = owned.join(least, "root").select(F.col("fingerprint").alias("found"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return marked.join(classes, F.col("fingerprint") == F.col("found")).select(F.col("key").alias(key), hexed, "component_id")
+    return _classes(docs, shingle_words, distance, key, text).select(F.col("key").alias(key), hexed, "component_id")
+
+
+def near_duplicates_removed(docs: DataFrame, shingle_words: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the least key.
+
+    If several texts of a component share that key, the one with the least hash stays. Rows that are alike in key and
+    text stay once. In a component without any key a text of the least hash stays.
+    """
+    own = _classes(docs, shingle_words, distance, key, text).filter(F.col("key").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("root").agg(F.min(F.struct("mark", "mark_2")).alias("first"))
+    kept = kept.select(F.col("first.mark").alias("kept_mark"), F.col("first.mark_2").alias("kept_mark_2")).distinct()
+    marked = docs.select("*", *[mark.alias(f"kept {name}") for mark, name in zip(row_marks(key, text), ("mark", "mark_2"))])
+    joined = marked.join(kept, (F.col("kept mark") == F.col("kept_mark")) & (F.col("kept mark_2") == F.col("kept_mark_2")))
+    return joined.dropDuplicates(["kept mark", "kept mark_2"]).select(*[F.col(f"`{name}`") for name in docs.columns])

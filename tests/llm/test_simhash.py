@@ -2,12 +2,12 @@
 
 import random
 
+import numpy as np
 import xxhash
 
 from evalspark.llm import simhash
 from evalspark.llm.components import components
-from evalspark.llm.simhash import GrayIndex, near_links, simhash_near_dedup
-import numpy as np
+from evalspark.llm.simhash import GrayIndex, near_duplicates_removed, near_links, simhash_near_dedup
 
 
 def _bits(text):
@@ -92,7 +92,14 @@ def test_documents(spark):
     assert sorted((tuple(row) for row in result), key=repr) == expected
 
 
+    one_of_each = near_duplicates_removed(frame)
+    assert one_of_each.columns == frame.columns
+    kept = [(row.doc_id, classes[_bits(row.text or "")]) for row in one_of_each.collect()]
+    assert sorted(kept, key=repr) == sorted(((key, c) for c, key in least.items()), key=repr)
+
+
 def test_empty_table(spark):
+    assert near_duplicates_removed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert simhash_near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
