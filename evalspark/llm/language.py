@@ -81,7 +81,7 @@ def fit_profiles(docs: DataFrame, size: int = 400, rows: int = 1500, parts: int
     N-grams are counted within tasks, then summed by Spark; only the `size` most frequent of each language come back.
     """
     usable = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    usable = usable.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key"), parts, part))
+    usable = usable.filter(F.col("key").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key"), parts, part))
     sizes = usable.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "of_lang").limit(LANGUAGES)
     luck = F.shiftrightunsigned(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
     rates = sizes.select("of_lang", (F.lit(float(rows)) / F.col("n")).alias("rate"))
@@ -112,7 +112,7 @@ def identify_language(docs: DataFrame, size: int = 400, rows: int = 1500, parts:
     """key, held_out, lang_pred and score of every row.
 
     A null text or one without a letter gets `und` and 0, and so does every row if nothing can be learned. A null key
-    is not held out; rows with a null language teach nothing. Repeated rows get the same result. Other columns are not
+    is not held out; rows with a null key or language teach nothing. Repeated rows get the same result. Other columns are not
     read. An empty table gives an empty result.
     """
     model = fit_profiles(docs, size, rows, parts, part, key, text, lang)
