@@ -5,11 +5,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.functions.prompts import SYSTEM_PROMPT
 from evalspark.operators.joins import key_join
-from evalspark.staging import stage
+from evalspark.staging import new_path, stage
 
 # Request settings of the answering and the judging call.
 ANSWER_SETTINGS = {
@@ -23,6 +23,9 @@ ANSWER_SETTINGS = {
 }
 JUDGE_SETTINGS = {"model": "gpt-3.5-turbo", "temperature": 0}
 
+# Tasks that call the model unless the caller says otherwise.
+REQUESTS = 32
+
 ANSWER_SCHEMA = "prompt_key string, answer string, error_kind string, error_message string"
 
 
@@ -38,16 +41,31 @@ class ModelError(Exception):
 Model = Callable[[list[str], dict], list]
 
 
+# Errors of the service itself, which the other prompts of a batch would meet as well.
+OUTAGES = ("authentication", "rate_limit", "connection")
+
+
 def _ask(model: Model, prompts: list[str], settings: dict) -> list:
+    """One text or ModelError per prompt.
+
+    An outage is the answer to the whole batch and is left to a rerun. After any other failure
+    the batch is asked again by halves, so that one bad prompt costs few calls.
+    """
     try:
         replies = list(model(prompts, settings))
         if len(replies) != len(prompts):
             raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-        return replies
     except Exception as error:
+        if isinstance(error, ModelError) and error.kind in OUTAGES:
+            return [error] * len(prompts)
         if len(prompts) > 1:
-            return [_ask(model, [prompt], settings)[0] for prompt in prompts]
+            half = len(prompts) // 2
+            return _ask(model, prompts[:half], settings) + _ask(model, prompts[half:], settings)
         return [error if isinstance(error, ModelError) else ModelError("unexpected", str(error))]
+    return [
+        reply if isinstance(reply, str | ModelError) else ModelError("unexpected", f"reply of type {type(reply).__name__}")
+        for reply in replies
+    ]
 
 
 def prompt_key(prompt: Column, settings: dict) -> Column:
@@ -55,25 +73,26 @@ def prompt_key(prompt: Column, settings: dict) -> Column:
     return F.sha2(F.concat(F.lit(json.dumps(settings, sort_keys=True) + "\n"), prompt), 256)
 
 
-def batch_infer(
-    df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, requests: int | None = None,
-    batch_size: int = 64, done: DataFrame | None = None,
-) -> DataFrame:
-    """Answers of the distinct prompts of a column, keyed by ``prompt_key``.
-
-    ``requests`` is the number of tasks that call the model at the same time. Prompts already
-    answered in ``done`` are skipped. A task that is retried asks again: write the result before
-    use, and let the model function tolerate repeats.
-    """
-    partitions = requests or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def distinct_prompts(df: DataFrame, prompt: str, settings: dict, done: DataFrame | None = None) -> DataFrame:
+    """(prompt_key, prompt) of the prompts of a column, without those answered in ``done``."""
     asked = (
         df.select(prompt_key(F.col(prompt), settings).alias("prompt_key"), F.col(prompt).alias("prompt"))
         .where(F.col("prompt").isNotNull()).dropDuplicates(["prompt_key"])
     )
-    if done is not None:
-        answered = done.where(F.col("error_kind").isNull()).select("prompt_key")
-        asked = asked.join(answered, "prompt_key", "left_anti")
+    if done is None:
+        return asked
+    return asked.join(done.where(F.col("error_kind").isNull()).select("prompt_key"), "prompt_key", "left_anti")
+
 
+def call_model(
+    asked: DataFrame, model: Model, settings: dict = ANSWER_SETTINGS, requests: int = REQUESTS, batch_size: int = 64,
+) -> DataFrame:
+    """Answers of (prompt_key, prompt) rows, asked by exactly ``requests`` tasks.
+
+    The rows are dealt by a hash of the key's hash with a stated number of partitions: an
+    exchange on the key alone would be dropped where the rows lie by key already, and one
+    without a number would be merged by adaptive execution, as prompts are small and calls slow.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), batch_size):
@@ -87,7 +106,20 @@ def batch_infer(
                     "error_message": [reply.message if bad else None for reply, bad in zip(replies, failed)],
                 })
 
-    return asked.repartition(partitions, "prompt_key").mapInPandas(run, ANSWER_SCHEMA)
+    return asked.repartition(requests, F.xxhash64("prompt_key")).mapInPandas(run, ANSWER_SCHEMA)
+
+
+def batch_infer(
+    df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, requests: int = REQUESTS,
+    batch_size: int = 64, done: DataFrame | None = None,
+) -> DataFrame:
+    """Answers of the distinct prompts of a column, keyed by ``prompt_key``.
+
+    ``requests`` is the number of tasks that call the model. Prompts already answered in ``done``
+    are skipped. A task that is retried asks again: write the result before use, and let the
+    model function tolerate repeats.
+    """
+    return call_model(distinct_prompts(df, prompt, settings, done), model, settings, requests, batch_size)
 
 
 def batch_judge(df: DataFrame, prompt: str, model: Model, **options) -> DataFrame:
@@ -97,28 +129,39 @@ def batch_judge(df: DataFrame, prompt: str, model: Model, **options) -> DataFram
 
 def ask_once(
     df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, path: str | None = None,
-    requests: int | None = None, batch_size: int = 64,
+    requests: int = REQUESTS, batch_size: int = 64, slices: int = 1,
 ) -> DataFrame:
     """Written answers of the prompts of a column, one row per ``prompt_key``.
 
     Answers are written before use, so later steps never ask again. With a ``path`` they are
     added to the answers of earlier runs found there, whose prompts are not asked a second time;
-    failed ones are. A success wins over a failure.
+    failed ones are. A success wins over a failure. The prompts are asked in ``slices`` of the
+    key space, each written before the next begins: a run that dies loses one slice at most.
     """
-    options = {"requests": requests, "batch_size": batch_size}
+    spark = df.sparkSession
     if path is None:
-        return stage(batch_infer(df, prompt, model, settings, **options), name="answers")
-    written = df.sparkSession.read.schema(ANSWER_SCHEMA)
+        path, done = new_path(spark, "answers"), None
+    else:
+        done = _written_answers(spark, path)
+    asked = distinct_prompts(df, prompt, settings, done)
+    if slices > 1:
+        asked = stage(asked.withColumn("slice", F.pmod(F.xxhash64("prompt_key"), F.lit(slices))), name="prompts")
+    for number in range(slices):
+        part = asked.where(F.col("slice") == number).drop("slice") if slices > 1 else asked
+        call_model(part, model, settings, requests, batch_size).write.mode("append").parquet(path)
+    reply = F.struct("answer", "error_kind", "error_message")
+    best = F.max_by(reply, F.struct(F.col("error_kind").isNull(), "answer", "error_kind", "error_message"))
+    answers = spark.read.schema(ANSWER_SCHEMA).parquet(path)
+    return answers.groupBy("prompt_key").agg(best.alias("r")).select("prompt_key", "r.*")
+
+
+def _written_answers(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        done = written.parquet(path)
+        return spark.read.schema(ANSWER_SCHEMA).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        done = None
-    batch_infer(df, prompt, model, settings, done=done, **options).write.mode("append").parquet(path)
-    reply = F.struct("answer", "error_kind", "error_message")
-    best = F.max_by(reply, F.struct(F.col("error_kind").isNull(), "answer", "error_kind", "error_message"))
-    return written.parquet(path).groupBy("prompt_key").agg(best.alias("r")).select("prompt_key", "r.*")
+        return None
 
 
 def attach_answers(df: DataFrame, prompt: str, answers: DataFrame, settings: dict = ANSWER_SETTINGS) -> DataFrame:

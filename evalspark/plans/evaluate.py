@@ -13,7 +13,7 @@ from evalspark.functions.grading import (
 from evalspark.functions.prompts import build_judge_prompt, build_prompt
 from evalspark.functions.text import is_blank, truncate_answer
 from evalspark.operators.inference import (
-    ANSWER_SETTINGS, JUDGE_SETTINGS, Model, ask_once, attach_answers,
+    ANSWER_SETTINGS, JUDGE_SETTINGS, REQUESTS, Model, ask_once, attach_answers,
 )
 from evalspark.operators.joins import join_results, join_silver_text
 from evalspark.operators.mutations import checked_updates, upsert_results
@@ -29,6 +29,15 @@ class Evaluation(NamedTuple):
     results: DataFrame
 
 
+class Review(NamedTuple):
+    """An ``Evaluation``, and the reviews that were not recorded, with the reason."""
+
+    attempts: DataFrame
+    updates: DataFrame
+    results: DataFrame
+    rejects: DataFrame
+
+
 def plan_attempts(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, split: str,
     method: str = PYMUPDF_METHOD,
@@ -56,7 +65,7 @@ def plan_attempts(
 
 
 def answer_attempts(
-    attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int | None = None
+    attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int = REQUESTS, slices: int = 1
 ) -> DataFrame:
     """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed.
 
@@ -64,7 +73,7 @@ def answer_attempts(
     whatever happens to the tables meanwhile; so is the result, because judging reads it twice.
     """
     attempts = stage(attempts.drop("context"), name="attempts")
-    answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests)
+    answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests, slices=slices)
     joined = attach_answers(attempts, "prompt", answers, ANSWER_SETTINGS)
     return stage(joined.withColumns({
         "chatgpt_response": truncate_answer(F.col("answer")),
@@ -78,14 +87,14 @@ def _has_response() -> Column:
 
 
 def judge_attempts(
-    answered: DataFrame, judge: Model, verdicts_path: str | None = None, requests: int | None = None,
-    strict: bool = False,
+    answered: DataFrame, judge: Model, verdicts_path: str | None = None, requests: int = REQUESTS,
+    strict: bool = False, slices: int = 1,
 ) -> DataFrame:
     """Answered attempts with the ``status`` their verdict gives."""
     asked = answered.where(_has_response()).withColumn(
         "prompt", build_judge_prompt(F.col("Question"), F.col("FinalAnswer"), F.col("chatgpt_response"))
     )
-    verdicts = ask_once(asked, "prompt", judge, JUDGE_SETTINGS, verdicts_path, requests)
+    verdicts = ask_once(asked, "prompt", judge, JUDGE_SETTINGS, verdicts_path, requests, slices=slices)
     judged = attach_answers(asked, "prompt", verdicts, JUDGE_SETTINGS)
     status = F.coalesce(
         judge_error_status(F.col("error_kind")),
@@ -97,24 +106,25 @@ def judge_attempts(
 def run_evaluation(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, judge: Model,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
-    requests: int | None = None, strict: bool = False, retries_only: bool = False,
-    work_path: str | None = None, created: Column | None = None,
+    requests: int = REQUESTS, strict: bool = False, retries_only: bool = False,
+    work_path: str | None = None, created: Column | None = None, slices: int = 1,
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
     With ``retries_only`` just the questions that an earlier attempt left for an instructed one.
     Failed calls are left out; with ``keep_errors`` their error texts are judged and recorded as
     if they were answers. ``seq`` orders this run among all updates. A run that is repeated with
-    the same ``work_path`` goes on with the answers and verdicts it already has.
+    the same ``work_path`` goes on with the answers and verdicts it already has; ``slices`` says
+    in how many steps they are written.
     """
     answers_path, verdicts_path = work_path and f"{work_path}/answers", work_path and f"{work_path}/verdicts"
     attempts = plan_attempts(questions, results, silver, user_id, split, method)
     if retries_only:
         attempts = attempts.where(F.col("is_retry"))
-    answered = answer_attempts(attempts, model, answers_path, requests)
+    answered = answer_attempts(attempts, model, answers_path, requests, slices)
     if keep_errors:
         answered = answered.withColumn("chatgpt_response", F.coalesce("error_text", "chatgpt_response"))
-    judged = judge_attempts(answered, judge, verdicts_path, requests, strict)
+    judged = judge_attempts(answered, judge, verdicts_path, requests, strict, slices)
     updates = stage(judged.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",
         F.lit(seq).cast("long").alias("seq"),
@@ -124,20 +134,26 @@ def run_evaluation(
 
 def run_manual_review(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, reviews: DataFrame,
-    seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int | None = None,
-    work_path: str | None = None, created: Column | None = None,
-) -> Evaluation:
+    seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int = REQUESTS,
+    work_path: str | None = None, created: Column | None = None, slices: int = 1,
+) -> Review:
     """Answers for a split without reference answers, with the statuses reviewers gave them.
 
-    ``reviews`` is (task_id, status), one per task. Answers without a review are not recorded,
-    nor are reviews with a status that is not an accepted one.
+    ``reviews`` is (task_id, status), one per task. Answers without a review are not recorded.
+    Reviews of no answer, and those with a status that is not an accepted one, come back as rejects.
     """
     attempts = plan_attempts(questions, results, silver, user_id, split, method)
-    answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests)
+    answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests, slices)
     reviewed = answered.where(_has_response()).join(reviews.select("task_id", "status"), "task_id")
     updates = reviewed.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",
         F.lit(seq).cast("long").alias("seq"),
     )
-    good = stage(checked_updates(updates, schemas.STATUSES)[0], name="updates")
-    return Evaluation(answered, good, upsert_results(results, good, created))
+    good, bad = checked_updates(updates, schemas.STATUSES)
+    good = stage(good, name="updates")
+    recorded = answered.where(_has_response()).select("task_id")
+    unanswered = reviews.select("task_id", "status").join(recorded, "task_id", "left_anti")
+    rejects = bad.select("task_id", "status", "reject_reason").unionByName(
+        unanswered.withColumn("reject_reason", F.lit("no answer"))
+    )
+    return Review(answered, good, upsert_results(results, good, created), rejects)

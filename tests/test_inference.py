@@ -1,10 +1,11 @@
 """Batched model calls and document extraction."""
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from evalspark.operators import documents, inference
-from evalspark.staging import new_path
+from evalspark.staging import new_path, stage
 
 
 def _asked(spark, prompts):
@@ -66,14 +67,14 @@ def test_one_bad_prompt_does_not_fail_its_batch(spark):
         if "bad" in prompts:
             raise ValueError("no")
         if "limit" in prompts:
-            raise inference.ModelError("rate_limit", "slow")
+            raise inference.ModelError("service", "slow")
         return shout(prompts, settings)
 
     asked = _asked(spark, ["a", "bad", "c", "limit"])
     answers = inference.batch_infer(asked, "prompt", strict, requests=1)
     joined = inference.attach_answers(asked, "prompt", answers).orderBy("i")
     assert [tuple(row)[1:] for row in joined.collect()] == [
-        ("A", None, None), (None, "unexpected", "no"), ("C", None, None), (None, "rate_limit", "slow")
+        ("A", None, None), (None, "unexpected", "no"), ("C", None, None), (None, "service", "slow")
     ]
 
 
@@ -92,6 +93,86 @@ def test_batches_are_bounded(spark):
     assert sorted(row.answer for row in sizes.collect()) == ["2"] * 2 + ["4"] * 8
 
 
+def test_an_outage_is_not_asked_again_prompt_by_prompt(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def down(prompts, settings):
+        with open(log, "a") as file:
+            file.write("call\n")
+        raise inference.ModelError("connection", "down")
+
+    asked = _asked(spark, [str(i) for i in range(100)])
+    answers = stage(inference.batch_infer(asked, "prompt", down, requests=1, batch_size=50))
+    assert {row.error_kind for row in answers.collect()} == {"connection"} and answers.count() == 100
+    assert log.read_text().count("call") == 2
+
+
+def test_a_bad_prompt_is_found_by_halves(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def strict(prompts, settings):
+        with open(log, "a") as file:
+            file.write("call\n")
+        if "7" in prompts:
+            raise ValueError("no")
+        return shout(prompts, settings)
+
+    answers = stage(inference.batch_infer(_asked(spark, [str(i) for i in range(64)]), "prompt", strict, requests=1))
+    assert answers.where("error_kind is not null").count() == 1
+    assert log.read_text().count("call") == 13
+
+
+def test_replies_that_are_no_text_are_errors_and_asked_again(spark, tmp_path):
+    path = new_path(spark, "answers")
+
+    def odd(prompts, settings):
+        return [None if prompt == "a" else 5 if prompt == "b" else prompt for prompt in prompts]
+
+    asked = _asked(spark, ["a", "b", "c"])
+    first = inference.ask_once(asked, "prompt", odd, path=path)
+    assert rows(first.select("answer", "error_kind")) == [("c", None), (None, "unexpected"), (None, "unexpected")]
+    again = inference.ask_once(asked, "prompt", shout, path=path)
+    assert rows(again.select("answer", "error_kind")) == [("A", None), ("B", None), ("c", None)]
+
+
+def _tasks(spark, **options):
+    """Partitions in which the model was called for many small prompts."""
+    def where(prompts, settings):
+        from pyspark import TaskContext
+        return [str(TaskContext.get().partitionId())] * len(prompts)
+
+    asked = _asked(spark, [f"prompt {i}" for i in range(400)])
+    return len({row.answer for row in inference.batch_infer(asked, "prompt", where, **options).collect()})
+
+
+def test_the_model_is_called_in_as_many_tasks_as_asked(spark, conf):
+    conf({"spark.sql.shuffle.partitions": "8"})
+    assert _tasks(spark) == inference.REQUESTS
+    assert [_tasks(spark, requests=n) for n in (1, 5, 8, 20)] == [1, 5, 8, 20]
+
+
+def test_a_run_that_dies_keeps_its_slices(spark, tmp_path):
+    path, log = new_path(spark, "answers"), tmp_path / "log"
+
+    def dies(prompts, settings):
+        with open(log, "a") as file:
+            file.writelines(prompt + "\n" for prompt in prompts)
+        if len(log.read_text().split()) > 60:
+            import os
+            os._exit(1)
+        return shout(prompts, settings)
+
+    asked = _asked(spark, [f"p{i}" for i in range(100)])
+    with pytest.raises(Exception):
+        inference.ask_once(asked, "prompt", dies, path=path, requests=1, slices=10)
+    stored = spark.read.schema(inference.ANSWER_SCHEMA).parquet(path).count()
+    assert 40 <= stored <= 60
+    asked_before = len(log.read_text().split())
+    answers = inference.ask_once(asked, "prompt", recording(str(log)), path=path, requests=1, slices=10)
+    assert answers.where("answer is not null").count() == 100
+    assert len(log.read_text().split()) - asked_before == 100 - stored
+
+
 def _files(spark):
     data = [("test", "a.pdf", bytearray(b"one|two")), ("test", "b.pdf", bytearray(b"!")), ("test", "c.pdf", bytearray())]
     return spark.createDataFrame(data, "dataset_split string, file_name string, content binary")
