@@ -1,7 +1,6 @@
 """Counts, totals, facets, summaries and ordered concatenation."""
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -9,29 +8,30 @@ from evalspark import schemas
 from evalspark.functions.files import file_extension, file_type_bucket
 from evalspark.functions.text import is_blank
 from evalspark.operators.filters import filter_answered
-from evalspark.operators.joins import key_join
 
 STATUS = "user_result_status"
 
-# Most pieces of a document that one group collects.
-PIECES_PER_PART = 10_000
+def _rows(weight: str | None, condition: Column | None = None) -> Column:
+    """Number of rows, or the sum of the rows that each one stands for."""
+    number = F.lit(1) if weight is None else F.col(weight)
+    return F.coalesce(F.sum(number if condition is None else F.when(condition, number)), F.lit(0)).cast("long")
 
-# Largest document that is brought together in one cell.
-MAX_TEXT_BYTES = 1 << 30
 
+def status_counts(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Answered rows per status, largest first and ties by status; optionally per further columns.
 
-def status_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Answered rows per status, largest first and ties by status; optionally per further columns."""
-    counts = filter_answered(df).groupBy(*by, STATUS).agg(F.count("*").alias("n"))
+    ``weight`` names the number of rows that each one stands for, as in ``join_statuses``.
+    """
+    counts = filter_answered(df).groupBy(*by, STATUS).agg(_rows(weight).alias("n"))
     return counts.orderBy(*by, F.desc("n"), STATUS)
 
 
-def status_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def status_totals(df: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     answered = F.col(STATUS) != schemas.NOT_ANSWERED
     return df.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.count_if(answered).alias("answered"),
-        F.count_if(~answered).alias("unanswered"),
+        _rows(weight).alias("total"),
+        _rows(weight, answered).alias("answered"),
+        _rows(weight, ~answered).alias("unanswered"),
     )
 
 
@@ -69,26 +69,27 @@ def attachment_summary(matched: DataFrame) -> DataFrame:
     )
 
 
-def ingest_summary(loaded: DataFrame, landed: DataFrame, written: DataFrame) -> DataFrame:
-    """Per split: status, records loaded, files landed and whether all records were written."""
-    spark = loaded.sparkSession
-    splits = spark.createDataFrame([(split,) for split in schemas.SPLITS], "dataset_split string")
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("dataset_split").agg(F.count("*").alias(name))
+def ingest_summary(
+    loaded: DataFrame, rejected: DataFrame, landed: DataFrame, written: DataFrame,
+    splits: Sequence[str] = schemas.SPLITS,
+) -> DataFrame:
+    """Per split of one load: status, records, rejects, files landed, rows written, and whether none is missing.
 
-    report = splits
-    for df, name in ((loaded, "records"), (landed, "files_landed"), (written, "rows_written")):
-        report = report.join(counted(df, name), "dataset_split", "left")
-    zero = {name: F.coalesce(name, F.lit(0)) for name in ("records", "files_landed", "rows_written")}
+    Every record must be either written or rejected. The frames hold what this load brought.
+    """
+    report = loaded.sparkSession.createDataFrame([(split,) for split in splits], "dataset_split string")
+    frames = {"records": loaded, "rejected": rejected, "files_landed": landed, "rows_written": written}
+    for name, df in frames.items():
+        report = report.join(df.groupBy("dataset_split").agg(F.count("*").alias(name)), "dataset_split", "left")
     status = F.when(F.col("records").isNull(), "Not Processed").otherwise("Loaded")
-    return report.withColumn("status", status).withColumns(zero).withColumn(
-        "table_written", (F.col("status") == "Loaded") & (F.col("rows_written") == F.col("records"))
-    )
+    whole = F.col("rows_written") + F.col("rejected") == F.col("records")
+    return report.withColumn("status", status).withColumns(
+        {name: F.coalesce(name, F.lit(0)) for name in frames}
+    ).withColumn("table_written", (F.col("status") == "Loaded") & whole)
 
 
 def _concat(df: DataFrame, keys: Sequence[str], order: str, piece: Column, end: str, pieces: int) -> DataFrame:
-    part = F.floor(F.col(order) / pieces).cast("long")
+    part = F.floor(F.coalesce(F.col(order), F.lit(0)) / pieces).cast("long")
     grouped = df.groupBy(*keys, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col(order).alias("o"), piece.alias("t")))))
         .alias("pieces")
@@ -97,17 +98,17 @@ def _concat(df: DataFrame, keys: Sequence[str], order: str, piece: Column, end:
     return grouped.select(*keys, "part", text.alias("text"))
 
 
-def concat_pages(pages: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = PIECES_PER_PART) -> DataFrame:
+def concat_pages(pages: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000) -> DataFrame:
     """Page texts in page order without a separator, as (keys, part, text).
 
-    A part covers a fixed range of page numbers, each of which a document has once. A document
-    of up to ``pieces`` pages is one part, number 0; a longer one has several, which in order
-    make up its text, so that no task collects a document of unlimited length.
+    A part covers ``pieces`` consecutive page numbers, each of which a document has once, so no
+    task collects more of a document than that; its parts in order make up its text. A page
+    without a number belongs to part 0 and comes before or after the others as nulls sort.
     """
     return _concat(pages, keys, "page", F.col("text"), "", pieces)
 
 
-def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = PIECES_PER_PART) -> DataFrame:
+def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000) -> DataFrame:
     """Texts of LINE blocks in order, a newline after each, as (keys, part, text).
 
     Only documents whose job succeeded have a text; without LINE blocks it is empty. Other
@@ -118,31 +119,6 @@ def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int
     return _concat(done, keys, "pos", line, "\n", pieces)
 
 
-class Documents(NamedTuple):
-    """``oversize`` are the keys and bytes of documents too large for one text; their parts remain."""
-
-    texts: DataFrame
-    oversize: DataFrame
-
-
-def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), max_bytes: int = MAX_TEXT_BYTES) -> Documents:
-    """One text per document, for readers that need it in one cell, such as a prompt.
-
-    Documents of one part, nearly all, pass through. The parts of a longer one are brought
-    together only after their sizes have been added up.
-    """
-    long = parts.where(F.col("part") > 0).select(*keys).distinct()
-    short_texts = key_join(parts, long, keys, "left_anti").select(*keys, "text")
-    long_parts = key_join(parts, long, keys, "left_semi")
-    sizes = long_parts.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    fitting = key_join(long_parts, sizes.where(F.col("bytes") <= max_bytes), keys, "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    long_texts = fitting.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")
-    )
-    return Documents(short_texts.unionByName(long_texts), sizes.where(F.col("bytes") > max_bytes))
-
-
 def extract_counts(documents: DataFrame) -> DataFrame:
     """Documents listed and processed per method; a job in any state but SUCCEEDED is not processed."""
     return documents.groupBy("method").agg(

@@ -30,11 +30,12 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[str], right_unique
 
     An outer join cannot split a hot key of its right side over tasks, an inner join can split
     both sides. Unless the right keys are unique the join is therefore the inner matches plus
-    the left rows that have none among the distinct right keys. Both read the same shuffle of
-    the left side.
+    the left rows that have none among the distinct right keys. In a shuffled plan both read the
+    same shuffle of the left side.
     """
     if right_unique:
         return key_join(left, right, on, "left")
+    # Where the right side is broadcast the left side is read twice: stage one that is costly to compute.
     unmatched = key_join(left, right.select(*on).distinct(), on, "left_anti")
     return key_join(left, right, on, "inner").unionByName(unmatched, allowMissingColumns=True)
 
@@ -50,6 +51,19 @@ def join_results(
     return joined.withColumns({name: fill_na(F.col(name)) for name in FILLED})
 
 
+def join_statuses(questions: DataFrame, results: DataFrame, on: Sequence[str] = ("task_id",)) -> DataFrame:
+    """``join_results`` for counting: status only, with ``n``, the joined rows that each row stands for.
+
+    Results are folded per key and status before the join, so a task answered very often brings
+    one row per status.
+    """
+    folded = results.groupBy(*on, "user_result_status").agg(F.count("*").alias("n"))
+    joined = key_join(questions.drop(*FILLED), folded, on, "left")
+    return joined.withColumns({
+        "user_result_status": fill_na(F.col("user_result_status")), "n": F.coalesce("n", F.lit(1)),
+    })
+
+
 def join_results_text_key(
     questions: DataFrame, results: DataFrame, on: Sequence[str] = ("task_id",), one_per_task: bool = False
 ) -> DataFrame:
@@ -76,20 +90,50 @@ def join_attachments(questions: DataFrame, files: DataFrame) -> DataFrame:
     )
     keyed = questions.withColumn("_key", _spread(F.col("file_name"), ~is_blank(F.col("file_name"))))
     joined = key_join(keyed, listed, ["dataset_split", "_key"], "left")
-    found = F.coalesce("_listed", F.lit(False))
+    # A private key may equal a listed name, so only usable names count.
+    found = F.coalesce("_listed", F.lit(False)) & ~is_blank(F.col("file_name"))
     return joined.select(*[F.col(f"`{name}`") for name in questions.columns], found.alias("found"))
 
 
-def join_silver_text(questions: DataFrame, silver: DataFrame, method: str) -> DataFrame:
+def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), largest: int | None = None) -> DataFrame:
+    """One row per document as (keys, text, bytes), for readers that need the text in one cell, such as a prompt.
+
+    Documents of one part, nearly all, pass through. The parts of a longer one are brought
+    together only after their sizes have been added up: with ``largest`` a document of more
+    bytes keeps its row, with its size and a null text.
+    """
+    long = parts.where(F.col("part") > 0).select(*keys).distinct()
+    single = key_join(parts, long, keys, "left_anti").select(*keys, "text", F.octet_length("text").cast("long").alias("bytes"))
+    several = key_join(parts, long, keys, "left_semi")
+    sizes = several.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    fits = F.lit(True) if largest is None else F.col("bytes") <= largest
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    whole = key_join(several, sizes.where(fits), keys, "left_semi").groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")
+    )
+    return single.withColumn("text", F.when(fits, F.col("text"))).unionByName(
+        key_join(sizes, whole, keys, "left").select(*keys, "text", "bytes")
+    )
+
+
+def join_silver_text(
+    questions: DataFrame, silver: DataFrame, method: str, largest: int | None = None
+) -> DataFrame:
     """Add ``context``: the text extracted by a method from the PDF of a row, null without one.
 
-    The silver table holds one text per (method, split, base name).
+    The silver table holds the parts of one text per (method, split, base name). With
+    ``largest`` a text of more bytes is not brought together; ``too_large`` marks its rows.
     """
     folder = method_folder(F.lit(method))
-    texts = silver.where(F.col("method") == folder).select(
-        "dataset_split", F.col("base_name").alias("_key"), F.col("text").alias("context")
+    named = ["dataset_split", "base_name"]
+    texts = join_parts(silver.where(F.col("method") == folder), named, largest).select(
+        "dataset_split", F.col("base_name").alias("_key"), F.col("text").alias("context"), "bytes"
     )
     pdf = F.coalesce(F.lower(file_extension(F.col("file_name"))) == ".pdf", F.lit(False))
-    keyed = questions.withColumn("_key", _spread(base_name(F.col("file_name")), pdf))
+    keyed = questions.withColumn("_key", _spread(base_name(F.col("file_name")), pdf)).withColumn("_pdf", pdf)
     joined = key_join(keyed, texts, ["dataset_split", "_key"], "left")
-    return joined.select(*[F.col(f"`{name}`") for name in questions.columns], "context")
+    too_large = F.col("_pdf") & F.col("bytes").isNotNull() & F.col("context").isNull()
+    return joined.select(
+        *[F.col(f"`{name}`") for name in questions.columns],
+        F.when(F.col("_pdf"), F.col("context")).alias("context"), too_large.alias("too_large"),
+    )

@@ -15,48 +15,66 @@ KEY = schemas.RESULT_KEY
 
 def latest_updates(updates: DataFrame) -> DataFrame:
     """The update with the highest seq per key, folded before the shuffle; ties go by payload."""
-    payload = F.struct("status", "chatgpt_response", "seq")
-    latest = F.max_by(payload, F.struct("seq", "status", "chatgpt_response"))
+    latest = F.max(F.struct("seq", "status", "chatgpt_response"))
     return updates.groupBy(*KEY).agg(latest.alias("u")).select(*KEY, "u.status", "u.chatgpt_response", "u.seq")
 
 
+def is_fresh(stored_seq: Column, given_seq: Column) -> Column:
+    """Whether an update changes a stored row: a row without a seq is older than any update."""
+    return stored_seq.isNull() | (given_seq > stored_seq)
+
+
+def _with_seq(target: DataFrame) -> DataFrame:
+    return target if "seq" in target.columns else target.withColumn("seq", F.lit(None).cast("long"))
+
+
+def _unknown(given: DataFrame, target: DataFrame) -> DataFrame:
+    """Updates whose key the table does not have.
+
+    The table's matching keys are found first, so what meets the updates is no larger than they
+    are; of the table only the key columns are read.
+    """
+    matched = target.select(*KEY).join(given.select(*KEY), KEY, "left_semi").distinct()
+    return given.join(matched, KEY, "left_anti")
+
+
 def merge_match(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """What an upsert does with every key: 'update', 'insert' or 'keep'."""
-    stored = target.select(*KEY, F.lit(True).alias("_stored"))
-    given = updates.select(*KEY).distinct().withColumn("_given", F.lit(True))
-    action = (
-        F.when(F.col("_stored").isNull(), "insert").when(F.col("_given").isNull(), "keep").otherwise("update")
+    """What an upsert does with every key: 'update', 'stale', 'insert' or 'keep'."""
+    given = updates.groupBy(*KEY).agg(F.max("seq").alias("_seq"))
+    fresh = F.when(is_fresh(F.col("seq"), F.col("_seq")), "update").otherwise("stale")
+    marked = given.withColumn("_given", F.lit(True))
+    known = _with_seq(target).select(*KEY, "seq").join(marked, KEY, "left").select(
+        *KEY, F.when(F.col("_given"), fresh).otherwise("keep").alias("action")
     )
-    return stored.join(given, KEY, "full_outer").select(*KEY, action.alias("action"))
+    return known.unionByName(_unknown(given, target).select(*KEY, F.lit("insert").alias("action")))
 
 
 def upsert_results(target: DataFrame, updates: DataFrame, created: Column | None = None) -> DataFrame:
     """Stored results after a batch of updates.
 
     A known key gets the new status and response and keeps its creation time, an unknown one is
-    inserted. An update whose seq is not above the stored one is stale and changes nothing; rows
-    stored without a seq are older than any update.
+    inserted. An update whose seq is not above the stored one is stale and changes nothing.
+
+    The updates join the table from the right, so Spark can broadcast a small batch; the table,
+    with its responses, is then neither shuffled nor sorted.
     """
     moment = F.current_timestamp() if created is None else created
-    if "seq" not in target.columns:
-        target = target.withColumn("seq", F.lit(None).cast("long"))
-    stored = target.withColumn("_stored", F.lit(True))
-    given = latest_updates(updates).withColumnsRenamed({
-        "status": "_status", "chatgpt_response": "_response", "seq": "_seq"
-    }).withColumn("_given", F.lit(True))
-    joined = stored.join(given, KEY, "full_outer")
-    fresh = F.col("_given").isNotNull() & (
-        F.col("_stored").isNull() | F.col("seq").isNull() | (F.col("_seq") > F.col("seq"))
-    )
+    given = latest_updates(updates)
+    renamed = given.withColumnsRenamed({"status": "_status", "chatgpt_response": "_response", "seq": "_seq"})
+    joined = _with_seq(target).join(renamed.withColumn("_given", F.lit(True)), KEY, "left")
+    fresh = F.col("_given").isNotNull() & is_fresh(F.col("seq"), F.col("_seq"))
 
     def new(name: str, old: str) -> Column:
         return F.when(fresh, F.col(name)).otherwise(F.col(old)).alias(old)
 
-    return joined.select(
-        *KEY, new("_status", "user_result_status"), new("_response", "chatgpt_response"),
-        F.when(F.col("_stored").isNull(), moment).otherwise(F.col("created_date")).alias("created_date"),
+    kept = joined.select(
+        *KEY, new("_status", "user_result_status"), new("_response", "chatgpt_response"), "created_date",
         new("_seq", "seq"),
     )
+    inserted = _unknown(given, target).select(
+        *KEY, F.col("status").alias("user_result_status"), "chatgpt_response", moment.alias("created_date"), "seq"
+    )
+    return kept.unionByName(inserted)
 
 
 def checked_updates(updates: DataFrame, statuses: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

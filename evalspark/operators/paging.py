@@ -9,11 +9,8 @@ from evalspark.staging import stage
 # Fixed value: rows on a page.
 PAGE_SIZE = 9
 
-# Up to this many leading rows a page is taken by a bounded top-n; deeper pages use page numbers.
-SHALLOW_ROWS = 10_000
-
-# Copies of one row that one task unfolds at a time.
-COPIES_PER_BLOCK = 100_000
+# Names of the position and the page of a row unless the caller says otherwise.
+NUMBERS = ("position", "page")
 
 # monotonically_increasing_id keeps the partition above this bit and the row number below it.
 _ROW_BITS = 33
@@ -33,53 +30,56 @@ def page_clamp(requested: Column, rows: Column, page_size: int = PAGE_SIZE) -> C
 def page_slice(
     df: DataFrame, page: int, order_by: Sequence[str] = ("task_id",), page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """Rows of one page; ``order_by`` should identify rows, else equal ones may change places."""
-    if (page + 1) * page_size <= SHALLOW_ROWS:
-        return df.orderBy(*order_by).offset(page * page_size).limit(page_size)
-    return page_assign(df, order_by, page_size).where(F.col("page") == page).drop("page", "position")
+    """Rows of one page as a bounded top-n, which holds all rows up to the page's end in one task.
+
+    For pages far down number the rows once with ``page_assign`` and take ``numbered_page``.
+    ``order_by`` should identify rows, else equal ones may change places.
+    """
+    return df.orderBy(*order_by).offset(page * page_size).limit(page_size)
+
 
+def numbered_page(numbered: DataFrame, page: int, names: Sequence[str] = NUMBERS) -> DataFrame:
+    """Rows of one page of a table that ``page_assign`` has numbered, without the numbers."""
+    return numbered.where(F.col(names[1]) == page).drop(*names)
 
-def _unfold(rows: DataFrame, partitions: int) -> DataFrame:
+
+def _unfold(rows: DataFrame, position: str, partitions: int, block: int) -> DataFrame:
     """Each row once per copy, with consecutive positions from ``_start``.
 
-    Many copies of one row are cut into blocks, and the blocks spread over tasks.
+    The copies of a row are cut into blocks, and the blocks spread over tasks.
     """
-    def copies(start: Column, count: Column) -> Column:
-        return F.explode(F.sequence(start, start + count - 1))
-
-    few = rows.where(F.col("_copies") <= COPIES_PER_BLOCK).withColumn(
-        "position", copies(F.col("_start"), F.col("_copies"))
-    )
-    last = F.floor((F.col("_copies") - 1) / COPIES_PER_BLOCK)
-    blocks = rows.where(F.col("_copies") > COPIES_PER_BLOCK).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), last))
-    ).repartition(partitions, "_id", "_block")
-    done = F.col("_block") * COPIES_PER_BLOCK
-    size = F.least(F.lit(COPIES_PER_BLOCK).cast("long"), F.col("_copies") - done)
-    many = blocks.withColumn("position", copies(F.col("_start") + done, size)).drop("_block")
-    return few.unionByName(many)
+    last = F.floor((F.col("_copies") - 1) / block)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    done = F.col("_block") * block
+    size = F.least(F.lit(block).cast("long"), F.col("_copies") - done)
+    start = F.col("_start") + done
+    spread = blocks.repartition(partitions, "_id", "_block")
+    return spread.withColumn(position, F.explode(F.sequence(start, start + size - 1))).drop("_block")
 
 
 def page_assign(
     df: DataFrame, order_by: Sequence[str] = ("task_id",), page_size: int = PAGE_SIZE,
-    unique: bool = True, partitions: int | None = None,
+    unique: bool = True, partitions: int | None = None, names: Sequence[str] = NUMBERS, block: int = 100_000,
 ) -> DataFrame:
-    """Add the 0-based ``position`` and ``page`` of every row, without a single-task sort.
+    """Add the 0-based position and page of every row under two new ``names``, without a single-task sort.
 
     Rows are range-partitioned, sorted within partitions and staged; the offset of a partition
     is the number of rows before it. Pass ``unique=False`` when ``order_by`` does not identify
     rows: copies are then counted before the shuffle, ties are ordered by content and the
-    copies are unfolded again at the end.
+    copies are unfolded again at the end, up to ``block`` of a row in one task.
     """
+    position, page_name = names
+    if {name.lower() for name in names} & {name.lower() for name in df.columns}:
+        raise ValueError(f"the table has a column named {position} or {page_name}")
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = df.columns
+    columns = df.columns
     order = [F.col(name) for name in order_by]
     if unique:
         rows = df.withColumn("_copies", F.lit(1).cast("long"))
     else:
-        rows = df.groupBy(*names).agg(F.count("*").alias("_copies"))
-        order.append(F.xxhash64(*names))
+        rows = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+        order.append(F.xxhash64(*columns))
     numbered = stage(
         rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id()),
@@ -95,10 +95,10 @@ def page_assign(
     placed = numbered.withColumn("_part", part).join(offsets, "_part")
     if unique:
         inside = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-        placed = placed.withColumn("position", F.col("_offset") + inside)
+        placed = placed.withColumn(position, F.col("_offset") + inside)
     else:
         running = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
         end = F.col("_offset") + F.sum("_copies").over(running)
-        placed = _unfold(placed.withColumn("_start", end - F.col("_copies")), partitions)
-    page = F.floor(F.col("position") / page_size).cast("long")
-    return placed.select(*[F.col(f"`{name}`") for name in names], "position", page.alias("page"))
+        placed = _unfold(placed.withColumn("_start", end - F.col("_copies")), position, partitions, block)
+    page = F.floor(F.col(position) / page_size).cast("long")
+    return placed.select(*[F.col(f"`{name}`") for name in columns], position, page.alias(page_name))

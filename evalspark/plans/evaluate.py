@@ -40,24 +40,28 @@ class Review(NamedTuple):
 
 def plan_attempts(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, split: str,
-    method: str = PYMUPDF_METHOD,
+    method: str = PYMUPDF_METHOD, largest_context: int | None = None,
 ) -> DataFrame:
     """Every question of a split with its current status, route, instructions and prompt.
 
     A question answered before without success, or with instructions, is a retry: it takes the
     annotator's steps along and is sent whatever its attachment is. Any other is sent when its
-    route allows.
+    route allows. An attachment of more than ``largest_context`` bytes has the route ``too_large``
+    and is not sent, retry or not.
     """
     mine = scan_user_results(results, user_id, split)
     joined = join_results(scan_questions(questions, split), mine, one_per_task=True)
-    joined = join_silver_text(joined, silver, method)
+    joined = join_silver_text(joined, silver, method, largest_context)
     status = F.col("user_result_status")
     is_retry = retry_candidate(status) & (F.col("dataset_split") == "validation")
     steps = prefill_instructions(F.col("Annotator_Metadata_Steps"))
-    route = route_eligibility(F.col("file_name"), F.col("context"))
+    route = F.when(F.col("too_large"), "too_large").otherwise(
+        route_eligibility(F.col("file_name"), F.col("context"))
+    )
+    sent = (is_retry | (route == "send")) & ~F.col("too_large")
     planned = joined.select(
         "task_id", "dataset_split", "Question", "FinalAnswer", "user_result_status", "context",
-        is_retry.alias("is_retry"), route.alias("route"), (is_retry | (route == "send")).alias("sent"),
+        is_retry.alias("is_retry"), route.alias("route"), sent.alias("sent"),
         instruction_policy(F.col("dataset_split"), status, is_retry, steps).alias("instructions"),
     )
     prompt = build_prompt(F.col("Question"), F.col("instructions"), F.col("context"))
@@ -108,6 +112,7 @@ def run_evaluation(
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
     requests: int = REQUESTS, strict: bool = False, retries_only: bool = False,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
+    largest_context: int | None = None,
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
@@ -118,7 +123,7 @@ def run_evaluation(
     in how many steps they are written.
     """
     answers_path, verdicts_path = work_path and f"{work_path}/answers", work_path and f"{work_path}/verdicts"
-    attempts = plan_attempts(questions, results, silver, user_id, split, method)
+    attempts = plan_attempts(questions, results, silver, user_id, split, method, largest_context)
     if retries_only:
         attempts = attempts.where(F.col("is_retry"))
     answered = answer_attempts(attempts, model, answers_path, requests, slices)
@@ -136,13 +141,14 @@ def run_manual_review(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, reviews: DataFrame,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int = REQUESTS,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
+    largest_context: int | None = None,
 ) -> Review:
     """Answers for a split without reference answers, with the statuses reviewers gave them.
 
     ``reviews`` is (task_id, status), one per task. Answers without a review are not recorded.
     Reviews of no answer, and those with a status that is not an accepted one, come back as rejects.
     """
-    attempts = plan_attempts(questions, results, silver, user_id, split, method)
+    attempts = plan_attempts(questions, results, silver, user_id, split, method, largest_context)
     answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests, slices)
     reviewed = answered.where(_has_response()).join(reviews.select("task_id", "status"), "task_id")
     updates = reviewed.select(

@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.functions.files import PYMUPDF_METHOD, TEXTRACT_METHOD, is_pdf
-from evalspark.operators.aggregates import concat_lines, extract_counts, join_parts
+from evalspark.operators.aggregates import concat_lines, extract_counts
 from evalspark.operators.documents import Extractor, extract_texts
 from evalspark.sources.objects import silver_write
 from evalspark.staging import stage
@@ -17,31 +17,31 @@ class Extraction(NamedTuple):
 
 
 def run_extract(
-    bronze: DataFrame, blocks: DataFrame, extractor: Extractor, silver_path: str, case_sensitive: bool = True
+    bronze: DataFrame, blocks: DataFrame, extractor: Extractor, silver_path: str, written: int,
+    case_sensitive: bool = True,
 ) -> Extraction:
-    """Extract the PDFs of the bronze table by both methods and write their texts.
+    """Extract the PDFs of the bronze table by both methods and add their texts to the silver log.
 
-    ``blocks`` is (dataset_split, file_name, pos, block_type, text, job_status). A document that
-    fails is reported with its error and does not stop the others.
+    ``blocks`` is (dataset_split, file_name, pos, block_type, text, job_status); ``written``
+    numbers the batch. A document that fails is logged and reported with its error and does not
+    stop the others.
     """
+    keys = ["dataset_split", "file_name"]
     pdfs = bronze.where(is_pdf(F.col("file_name"), case_sensitive))
     pages = stage(extract_texts(pdfs, extractor), name="texts")
-    read = pages.where(F.col("error").isNull()).select(
-        F.lit(PYMUPDF_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text"
+    read = pages.select(
+        F.lit(PYMUPDF_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"),
+        F.lit(0).cast("long").alias("part"), "text", "error",
     )
-    keys = ["dataset_split", "file_name"]
-    recognised = join_parts(concat_lines(blocks, keys), keys)
-    lines = recognised.texts.select(
-        F.lit(TEXTRACT_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text"
+    lines = concat_lines(blocks, keys).select(
+        F.lit(TEXTRACT_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "part", "text",
+        F.lit(None).cast("string").alias("error"),
     )
-    silver_write(read.unionByName(lines).withColumn("written", F.lit(0)), silver_path)
+    silver_write(read.unionByName(lines), silver_path, written)
 
     status = F.when(F.col("error").isNull(), "SUCCEEDED").otherwise("FAILED")
     jobs = blocks.select(*keys, "job_status").distinct()
     documents = pages.select(F.lit("pymupdf").alias("method"), status.alias("job_status")).unionByName(
         jobs.select(F.lit("textract").alias("method"), "job_status")
     )
-    failed = pages.where(F.col("error").isNotNull()).drop("text").unionByName(
-        recognised.oversize.select(*keys, F.lit("too large for one text").alias("error"))
-    )
-    return Extraction(failed, extract_counts(documents))
+    return Extraction(pages.where(F.col("error").isNotNull()).drop("text"), extract_counts(documents))

@@ -1,5 +1,6 @@
 """Load, clean, match, land and write both splits of the questions."""
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from evalspark.functions.files import bronze_key, rewrite_path
 from evalspark.operators.aggregates import attachment_summary, ingest_summary
 from evalspark.operators.joins import join_attachments
 from evalspark.operators.shaping import conform_schema, split_rejects
-from evalspark.sources.objects import bronze_ingest
+from evalspark.sources.objects import Reader, bronze_ingest, read_bronze
 from evalspark.sources.tables import overwrite_table, prepare_questions, read_table
 from evalspark.staging import stage
 
@@ -33,17 +34,19 @@ def conformed(raw: DataFrame, files: DataFrame, bucket: str, created: Column | N
 
 def run_ingest(
     spark: SparkSession, raw: DataFrame, files: DataFrame, bucket: str, table_path: str, bronze_path: str,
-    created: Column | None = None,
+    written: int, created: Column | None = None, splits: Sequence[str] = schemas.SPLITS, read: Reader | None = None,
 ) -> Ingest:
-    """Write the questions table and the bronze table, and report on both.
+    """Replace the splits of the questions table, add a batch to the bronze table, and report on this load.
 
-    ``files`` is (dataset_split, file_name, path, length, content). The joined rows are staged
-    once; table, rejects and reports all read them back.
+    ``files`` is (dataset_split, file_name, path) with ``content``, or without it and with a
+    function that reads a path. The joined rows are staged once; table, rejects and reports all
+    read them back.
     """
-    tagged = stage(conformed(raw, files.drop("content"), bucket, created), name="ingest")
+    tagged = stage(conformed(raw, files.select("dataset_split", "file_name"), bucket, created), name="ingest")
     good, rejects = split_rejects(tagged)
-    bronze_ingest(files, tagged, bronze_path)
-    overwrite_table(good.drop("found"), table_path)
+    bronze_ingest(files, tagged, bronze_path, written, read)
+    overwrite_table(good.drop("found"), table_path, splits)
     questions = read_table(spark, table_path, schemas.QUESTIONS)
-    landed = read_table(spark, bronze_path, schemas.BRONZE)
-    return Ingest(questions, rejects, attachment_summary(tagged), ingest_summary(tagged, landed, questions))
+    landed = read_bronze(spark, bronze_path, written)
+    stored = questions.where(F.col("dataset_split").isin(list(splits)))
+    return Ingest(questions, rejects, attachment_summary(tagged), ingest_summary(tagged, rejects, landed, stored))

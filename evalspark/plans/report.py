@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from evalspark.operators.aggregates import STATUS, facet_values, status_counts, status_totals
 from evalspark.operators.filters import filter_answered, filter_facets
-from evalspark.operators.joins import join_results, join_results_text_key
+from evalspark.operators.joins import FILLED, join_results, join_results_text_key, key_join
 from evalspark.operators.paging import clamp_page, page_slice
 from evalspark.schemas import SPLITS
 from evalspark.sources.tables import scan_questions, scan_user_results
+from evalspark.staging import stage
 
 # Task ids are unique within a split; the rest settles the order should they ever repeat.
 BROWSE_ORDER = ["task_id", STATUS, "chatgpt_response"]
+VIEWED = ["task_id", STATUS, "chatgpt_response", "Level", "file_name"]
 
 
 class Browse(NamedTuple):
@@ -27,13 +29,23 @@ def run_browse(
     questions: DataFrame, results: DataFrame, user_id: str, split: str, levels: Sequence[int] = (),
     file_types: Sequence[str] = (), statuses: Sequence[str] = (), page: int = 0,
 ) -> Browse:
-    """One page of a user's view of a split. Only the row count comes to the driver."""
+    """One page of a user's view of a split. Only the row count comes to the driver.
+
+    The joined rows without their long texts are staged once; count, facets and page read them,
+    and the texts are looked up for the page alone.
+    """
+    asked = scan_questions(questions, split)
     mine = scan_user_results(results, user_id, split)
-    joined = join_results(scan_questions(questions, split), mine, one_per_task=True)
-    shown = filter_facets(joined, levels, file_types, statuses)
+    joined = join_results(asked.select("task_id", "Level", "file_name"), mine, one_per_task=True)
+    narrow = stage(joined.select(*VIEWED), name="browse")
+    shown = filter_facets(narrow, levels, file_types, statuses)
     total = shown.count()
     page = clamp_page(page, total)
-    return Browse(page_slice(shown, page, BROWSE_ORDER), facet_values(joined), page, total)
+    rows = stage(page_slice(shown, page, VIEWED), name="page")
+    # A page has a fixed number of rows.
+    texts = asked.drop(*FILLED).join(F.broadcast(rows.select("task_id").distinct()), "task_id", "left_semi")
+    whole = key_join(texts, rows, ["task_id", "Level", "file_name"], "inner")
+    return Browse(whole.orderBy(*BROWSE_ORDER), facet_values(narrow), page, total)
 
 
 class Summary(NamedTuple):

@@ -40,13 +40,12 @@ QUESTION_LIMITS = {
 
 # Columns cleaned as text when a split is loaded.
 QUESTION_TEXT_COLUMNS = [
-    "task_id", "Question", "FinalAnswer", "file_name", "file_path",
-    "Annotator_Metadata_Steps", "Annotator_Metadata_Number_of_steps",
-    "Annotator_Metadata_How_long_did_this_take", "Annotator_Metadata_Tools", "result_status",
+    field.name for field in QUESTIONS if isinstance(field.dataType, T.StringType) and field.name != "dataset_split"
 ]
 
 NESTED_COLUMN = "Annotator Metadata"
 NESTED_PREFIX = "Annotator_Metadata_"
+# Names as they arrive and as they are stored.
 RAW_RENAMES = {
     "Final answer": "FinalAnswer",
     "Annotator_Metadata_Number of steps": "Annotator_Metadata_Number_of_steps",
@@ -114,12 +113,27 @@ BRONZE = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("length", T.LongType()),
     T.StructField("content", T.BinaryType()),
+    T.StructField("written", T.LongType()),
     T.StructField("dataset_split", T.StringType()),
 ])
 
+# The parts of a document's text in order make up the text; most documents have part 0 only.
 SILVER = T.StructType([
+    T.StructField("method", T.StringType()),
     T.StructField("dataset_split", T.StringType()),
     T.StructField("base_name", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("text", T.StringType()),
+])
+
+# ``written`` numbers the batches; a failed document has an error and no text.
+SILVER_LOG = T.StructType([
     T.StructField("method", T.StringType()),
+    T.StructField("dataset_split", T.StringType()),
+    T.StructField("base_name", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("part", T.LongType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("written", T.LongType()),
 ])

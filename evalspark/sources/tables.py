@@ -1,5 +1,7 @@
 """The questions, results and users tables on Parquet."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evalspark import schemas
@@ -62,9 +64,14 @@ def scan_user_results(results: DataFrame, user_id: str, split: str) -> DataFrame
     return mine.select("user_id", "task_id", "user_result_status", "chatgpt_response")
 
 
-def overwrite_table(df: DataFrame, path: str, partition: str = "dataset_split") -> None:
-    """Replace the partitions present in ``df``; other splits of the table stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+def overwrite_table(df: DataFrame, path: str, splits: Sequence[str], partition: str = "dataset_split") -> None:
+    """Replace the named splits by their rows in ``df``; one without rows is emptied.
+
+    Other splits of the table stay as they are, and rows of other splits are not written.
+    """
+    for split in splits:
+        rows = df.where(F.col(partition) == split).drop(partition)
+        rows.write.mode("overwrite").parquet(f"{path}/{partition}={split}")
 
 
 def overwrite_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql.streaming import StreamingQuery
 from evalspark import schemas
 from evalspark.functions.files import PYMUPDF_METHOD, is_pdf
 from evalspark.operators.documents import Extractor, extract_texts
-from evalspark.sources.objects import relative_name, silver_rows
+from evalspark.sources.objects import qualified, relative_name, silver_write
+from evalspark.streaming.results import batch_number
 
 _BINARY_FILE = T.StructType([
     T.StructField("path", T.StringType()),
@@ -15,19 +16,9 @@ _BINARY_FILE = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
-_LOGGED = T.StructType([
-    T.StructField("method", T.StringType()),
-    T.StructField("dataset_split", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("written", T.LongType()),
-    T.StructField("error", T.StringType()),
-])
-
-
 def read_files(spark: SparkSession, root: str, split: str) -> DataFrame:
     """Stream of the files below ``root/{split}/``, each read once."""
-    folder = f"{root.rstrip('/')}/{split}"
+    folder = qualified(spark, f"{root.rstrip('/')}/{split}")
     files = (spark.readStream.schema(_BINARY_FILE).format("binaryFile")
              .option("recursiveFileLookup", "true").load(folder))
     return files.select(
@@ -36,33 +27,27 @@ def read_files(spark: SparkSession, root: str, split: str) -> DataFrame:
     )
 
 
-def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of the rows added to the bronze table."""
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of the files landed in the bronze table; every landing adds files, so each is read once."""
     return spark.readStream.schema(schemas.BRONZE).parquet(path)
 
 
 def stream_documents(
     files: DataFrame, extractor: Extractor, log_path: str, checkpoint: str, method: str = PYMUPDF_METHOD,
-    pdf_only: bool = True,
+    pdf_only: bool = True, run: int = 0,
 ) -> StreamingQuery:
-    """Start a run that extracts the documents that have arrived since the last one.
+    """Start a run that extracts the documents that have arrived since the last one into the silver log.
 
-    Each batch has its own folder, so a replay rewrites it. Failing documents are logged with
-    their error beside the texts.
+    Each batch has its own folder, so a replay rewrites it. ``run`` comes before the batch in the
+    order of writing: give a higher one with a new checkpoint, whose batches count from 0 again.
+    Failing documents are logged with their error beside the texts.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         wanted = batch.where(is_pdf(F.col("file_name"))) if pdf_only else batch
         done = extract_texts(wanted, extractor).select(
-            F.lit(method).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text",
-            F.lit(batch_id).cast("long").alias("written"), "error",
+            F.lit(method).alias("method"), "dataset_split", F.col("file_name").alias("path"), "text", "error",
         )
-        done.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        silver_write(done, log_path, batch_number(run, batch_id))
 
     return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def read_silver(spark: SparkSession, log_path: str) -> DataFrame:
-    """The silver table of a log: the document written last wins."""
-    logged = spark.read.schema(_LOGGED).parquet(log_path)
-    return silver_rows(logged.where(F.col("error").isNull()))

@@ -26,17 +26,27 @@ def read_updates(
     return reader.load(path)
 
 
-def write_batch(batch: DataFrame, batch_id: int, log_path: str) -> None:
+def batch_number(run: int, batch_id: int) -> int:
+    """Order of a batch among those of all runs; batches of a new checkpoint count from 0 again."""
+    return run << 32 | batch_id
+
+
+def write_batch(batch: DataFrame, number: int, log_path: str) -> None:
     """Log one batch. Updates outside the accepted splits go to a folder of their own."""
     good, bad = checked_updates(batch)
-    latest_updates(good).write.mode("overwrite").parquet(f"{log_path}/accepted/batch={batch_id}")
-    bad.write.mode("overwrite").parquet(f"{log_path}/rejected/batch={batch_id}")
+    latest_updates(good).write.mode("overwrite").parquet(f"{log_path}/accepted/batch={number}")
+    bad.write.mode("overwrite").parquet(f"{log_path}/rejected/batch={number}")
+
 
+def stream_results(updates: DataFrame, log_path: str, checkpoint: str, run: int = 0) -> StreamingQuery:
+    """Start a run over all updates that have arrived; the next one goes on from its checkpoint.
 
-def stream_results(updates: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Start a run over all updates that have arrived; the next run goes on from its checkpoint."""
+    Give a higher ``run`` with a new checkpoint, or its batches would replace the logged ones.
+    """
     return (
-        updates.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, log_path))
+        updates.writeStream.foreachBatch(
+            lambda batch, batch_id: write_batch(batch, batch_number(run, batch_id), log_path)
+        )
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -47,6 +57,12 @@ def read_log(spark: SparkSession, log_path: str, after: int = -1) -> DataFrame:
     return logged.where(F.col("batch") > after).drop("batch")
 
 
+def read_rejected(spark: SparkSession, log_path: str) -> DataFrame:
+    """Updates that were not accepted, with the reason."""
+    schema = T.StructType([*_LOGGED.fields, T.StructField("reject_reason", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{log_path}/rejected").drop("batch")
+
+
 def current_results(base: DataFrame, log: DataFrame, created: Column | None = None) -> DataFrame:
     return upsert_results(base, log, created)
 

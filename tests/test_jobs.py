@@ -36,7 +36,8 @@ def _results(spark, data):
 
 def _silver(spark):
     return spark.createDataFrame(
-        [("validation", "has", "the text", "pymupdf"), ("test", "has", "test text", "pymupdf")], schemas.SILVER
+        [("pymupdf", "validation", "has", 0, "the "), ("pymupdf", "validation", "has", 1, "text"),
+         ("pymupdf", "test", "has", 0, "test text")], schemas.SILVER
     )
 
 
@@ -87,6 +88,15 @@ def test_plan_attempts(tables_in):
     }
 
 
+def test_large_attachments_are_shown_and_not_sent(tables_in):
+    attempts = evaluate.plan_attempts(*tables_in, "u", "validation", largest_context=7)
+    routes = {row.task_id: (row.route, row.sent) for row in attempts.collect()}
+    assert routes["pdf"] == ("too_large", False) and routes["nopdf"] == ("missing_text", False)
+    assert len(routes) == 8
+    done = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, largest_context=7)
+    assert "pdf" not in {row.task_id for row in done.updates.collect()} and done.attempts.count() == 8
+
+
 def test_run_evaluation(tables_in):
     done = evaluate.run_evaluation(*tables_in, "u", model, judge, seq=3, created=F.lit(NEW))
     updates = {row.task_id: (row.status, row.chatgpt_response) for row in done.updates.collect()}
@@ -152,6 +162,9 @@ def test_run_manual_review(spark, tables_in):
     assert rows(done.updates.select("task_id", "status")) == [("t1", "Incorrect with Instruction")]
     stored = done.results.where("task_id = 't1'").first()
     assert (stored.user_result_status, stored.created_date) == ("Incorrect with Instruction", OLD)
+    assert rows(done.rejects) == [
+        ("t2", "Great", "status not accepted"), ("t4", "Correct with Instruction", "no answer")
+    ]
 
 
 def test_run_ingest(spark, tmp_path):
@@ -166,7 +179,9 @@ def test_run_ingest(spark, tmp_path):
     (tmp_path / "repo" / "test" / "a.pdf").write_bytes(b"A")
     (tmp_path / "repo" / "test" / "unused.pdf").write_bytes(b"U")
     files = objects.read_split_files(spark, str(tmp_path / "repo"), schemas.SPLITS)
-    done = ingest.run_ingest(spark, raw, files, "bkt", str(tmp_path / "q"), str(tmp_path / "b"))
+    old = _questions(spark, [("gone", "", "validation")])
+    tables.overwrite_table(old, str(tmp_path / "q"), schemas.SPLITS)
+    done = ingest.run_ingest(spark, raw, files, "bkt", str(tmp_path / "q"), str(tmp_path / "b"), 0)
     assert rows(done.questions.select("task_id", "file_path")) == [
         ("a", "https://bkt.s3.amazonaws.com/bronze/test/a.pdf"), ("b", "old"), ("c", "old")
     ]
@@ -176,16 +191,29 @@ def test_run_ingest(spark, tmp_path):
     assert rows(done.attachments) == [("test", 2, 1, 1, ".pdf")]
     report_rows = {row.dataset_split: row for row in done.summary.collect()}
     test = report_rows["test"]
-    assert (test.records, test.files_landed, test.rows_written, test.table_written) == (5, 1, 3, False)
+    assert (test.records, test.rejected, test.files_landed, test.rows_written, test.table_written) == (5, 2, 1, 3, True)
     assert report_rows["validation"].status == "Not Processed"
-    bronze = tables.read_table(spark, str(tmp_path / "b"), schemas.BRONZE)
-    assert rows(bronze.select("file_name")) == [("a.pdf",)]
+    assert rows(objects.read_bronze(spark, str(tmp_path / "b")).select("file_name")) == [("a.pdf",)]
+    # A later load reports what it did itself, and reads the bytes where they are written.
+    def read(path):
+        with open(path.removeprefix("file:"), "rb") as file:
+            return file.read() + b"!"
+    again = ingest.run_ingest(
+        spark, raw.where("task_id = 'b'"), files.drop("content"), "bkt", str(tmp_path / "q"), str(tmp_path / "b"), 1,
+        splits=["test"], read=read,
+    )
+    first = again.summary.where("dataset_split = 'test'").first()
+    assert (first.records, first.files_landed, first.rows_written, first.table_written) == (1, 0, 1, True)
+    assert rows(objects.read_bronze(spark, str(tmp_path / "b")).select("file_name")) == [("a.pdf",)]
+    objects.bronze_ingest(files.drop("content"), raw, str(tmp_path / "b"), 2, read)
+    landed = objects.read_bronze(spark, str(tmp_path / "b"))
+    assert rows(landed.select("file_name", F.decode("content", "UTF-8"), "written")) == [("a.pdf", "A!", 2)]
 
 
 def test_run_extract(spark, tmp_path):
     bronze = spark.createDataFrame(
-        [("a.pdf", 1, bytearray(b"x|y"), "test"), ("bad.pdf", 1, bytearray(b"!"), "test"),
-         ("c.txt", 1, bytearray(b"z"), "test")], schemas.BRONZE
+        [("a.pdf", 1, bytearray(b"x|y"), 0, "test"), ("bad.pdf", 1, bytearray(b"!"), 0, "test"),
+         ("c.txt", 1, bytearray(b"z"), 0, "test")], schemas.BRONZE
     )
     blocks = spark.createDataFrame(
         [("test", "a.pdf", 1, "LINE", "second", "SUCCEEDED"), ("test", "a.pdf", 0, "LINE", "first", "SUCCEEDED"),
@@ -199,8 +227,8 @@ def test_run_extract(spark, tmp_path):
         return content.decode().split("|")
 
     path = str(tmp_path / "silver")
-    done = extract.run_extract(bronze, blocks, pages, path)
-    silver = tables.read_table(spark, path, schemas.SILVER)
+    done = extract.run_extract(bronze, blocks, pages, path, 0)
+    silver = objects.read_silver(spark, path)
     assert rows(silver.select("method", "base_name", "text")) == [
         ("pymupdf", "a", "xy"), ("textract", "a", "first\nsecond\n")
     ]

@@ -174,8 +174,9 @@ def test_join_silver_text(spark):
         "task_id string, file_name string, dataset_split string",
     )
     silver = spark.createDataFrame(
-        [("pymupdf", "test", "a", "T1"), ("textract", "test", "a", "T2"), ("pymupdf", "test", "a.PDF", "T3")],
-        "method string, dataset_split string, base_name string, text string",
+        [("pymupdf", "test", "a", 0, "T"), ("pymupdf", "test", "a", 1, "1"), ("textract", "test", "a", 0, "T2"),
+         ("pymupdf", "test", "a.PDF", 0, "T3"), ("pymupdf", "test", "/5", 0, "not a file of row 5")],
+        schemas.SILVER,
     )
     def texts(method):
         return [row.context for row in joins.join_silver_text(q, silver, method).orderBy("task_id").collect()]
@@ -215,10 +216,33 @@ def test_long_documents_come_in_parts(spark):
     parts = aggregates.concat_pages(pages, pieces=4)
     assert rows(parts) == [("d", 0, "0123"), ("d", 1, "4567"), ("d", 2, "89")]
     one_part = spark.createDataFrame([("e", 0, "x")], "doc string, part long, text string")
-    whole = aggregates.join_parts(parts.unionByName(one_part))
-    assert rows(whole.texts) == [("d", "0123456789"), ("e", "x")] and whole.oversize.count() == 0
-    limited = aggregates.join_parts(parts.unionByName(one_part), max_bytes=9)
-    assert rows(limited.texts) == [("e", "x")] and rows(limited.oversize) == [("d", 10)]
+    whole = joins.join_parts(parts.unionByName(one_part))
+    assert rows(whole) == [("d", "0123456789", 10), ("e", "x", 1)]
+    assert rows(joins.join_parts(parts.unionByName(one_part), largest=9)) == [("d", None, 10), ("e", "x", 1)]
+    assert rows(joins.join_parts(parts.unionByName(one_part), largest=0)) == [("d", None, 10), ("e", None, 1)]
+
+
+def test_a_page_without_a_number_does_not_split_its_document(spark):
+    pages = spark.createDataFrame([("d", 0, "a"), ("d", None, "?"), ("d", 1, "b")], "doc string, page int, text string")
+    assert rows(joins.join_parts(aggregates.concat_pages(pages)).select("doc", F.length("text"))) == [("d", 3)]
+
+
+def test_a_private_key_is_no_file(spark):
+    questions = spark.createDataFrame([("1", None, "test"), ("2", "/1", "test")], "task_id string, file_name string, dataset_split string")
+    files = spark.createDataFrame([("test", "/1")], "dataset_split string, file_name string")
+    assert rows(joins.join_attachments(questions, files).select("task_id", "found")) == [("1", False), ("2", True)]
+
+
+def test_folded_statuses_count_like_the_join(spark):
+    questions = spark.createDataFrame([("1", 1, "a.pdf"), ("2", 2, ""), ("3", 1, None), (None, 3, "")], "task_id string, Level int, file_name string")
+    results = spark.createDataFrame(
+        [("1", "A", "x"), ("1", "A", "y"), ("1", "B", "z"), (None, "A", "n"), ("9", "A", "u")],
+        "task_id string, user_result_status string, chatgpt_response string",
+    )
+    whole, folded = joins.join_results(questions, results), joins.join_statuses(questions, results)
+    assert rows(aggregates.status_counts(folded, weight="n")) == rows(aggregates.status_counts(whole))
+    assert rows(aggregates.status_totals(folded, weight="n")) == rows(aggregates.status_totals(whole))
+    assert rows(aggregates.facet_values(folded)) == rows(aggregates.facet_values(whole))
 
 
 def test_extract_counts(spark):
@@ -231,9 +255,13 @@ def test_extract_counts(spark):
 
 def test_ingest_summary_shows_empty_splits(spark):
     df = spark.createDataFrame([("test",), ("test",)], "dataset_split string")
-    summary = aggregates.ingest_summary(df, df.limit(1), df.limit(1)).orderBy("dataset_split")
+    one, none = df.limit(1), df.limit(0)
+    summary = aggregates.ingest_summary(df, none, one, one).orderBy("dataset_split")
     assert [row.asDict() for row in summary.collect()] == [
-        dict(dataset_split="test", status="Loaded", records=2, files_landed=1, rows_written=1, table_written=False),
-        dict(dataset_split="validation", status="Not Processed", records=0, files_landed=0, rows_written=0,
+        dict(dataset_split="test", status="Loaded", records=2, rejected=0, files_landed=1, rows_written=1,
              table_written=False),
+        dict(dataset_split="validation", status="Not Processed", records=0, rejected=0, files_landed=0,
+             rows_written=0, table_written=False),
     ]
+    with_reject = aggregates.ingest_summary(df, one, none, one).where("dataset_split = 'test'").first()
+    assert with_reject.table_written

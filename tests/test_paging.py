@@ -23,22 +23,31 @@ def test_pages_partition_the_table(spark):
     assert [row.page for row in paged] == [i // 9 for i in range(100)]
 
 
-def test_shallow_and_deep_pages_agree(spark, monkeypatch):
+def test_slices_and_numbered_pages_agree(spark):
     df = _table(spark)
-    shallow = [rows(paging.page_slice(df, page)) for page in range(13)]
-    monkeypatch.setattr(paging, "SHALLOW_ROWS", 0)
-    assert [rows(paging.page_slice(df, page)) for page in range(13)] == shallow
-    assert [len(page) for page in shallow] == [9] * 11 + [1, 0]
+    sliced = [rows(paging.page_slice(df, page)) for page in range(13)]
+    numbered = paging.page_assign(df)
+    assert [rows(paging.numbered_page(numbered, page)) for page in range(13)] == sliced
+    assert [len(page) for page in sliced] == [9] * 11 + [1, 0]
+
+
+def test_tables_with_columns_of_the_same_name(spark):
+    df = _table(spark).select("task_id", F.col("id").alias("page"), (-F.col("id")).alias("Position"))
+    with pytest.raises(ValueError):
+        paging.page_assign(df)
+    numbered = paging.page_assign(df, names=("row_number", "row_page"))
+    page = paging.numbered_page(numbered, 2, ("row_number", "row_page"))
+    assert page.columns == df.columns and rows(page) == rows(paging.page_slice(df, 2))
+    assert [row.page for row in page.orderBy("task_id").collect()] == list(range(18, 27))
 
 
 @pytest.mark.parametrize("block", [1, 7, 100_000])
-def test_pages_of_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(paging, "COPIES_PER_BLOCK", block)
+def test_pages_of_copies(spark, block):
     df = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 10)).alias("k"),
         (F.col("id") % 2).alias("v"),
     )
-    paged = paging.page_assign(df, ["k"], unique=False, partitions=4).orderBy("position").collect()
+    paged = paging.page_assign(df, ["k"], unique=False, partitions=4, block=block).orderBy("position").collect()
     assert [row.position for row in paged] == list(range(300))
     assert [row.k for row in paged] == sorted(row.k for row in df.collect())
     assert sorted((row.k, row.v) for row in paged) == rows(df)

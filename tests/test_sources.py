@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -24,12 +25,15 @@ def test_shared_dir_follows_the_session(spark):
 def test_overwrite_keeps_the_other_split(spark, tmp_path):
     path = str(tmp_path / "questions")
     both = spark.createDataFrame([_question("a", "test"), _question("b", "validation")], schemas.QUESTIONS)
-    tables.overwrite_table(both, path)
-    tables.overwrite_table(spark.createDataFrame([_question("c", "test")], schemas.QUESTIONS), path)
+    tables.overwrite_table(both, path, schemas.SPLITS)
+    tables.overwrite_table(spark.createDataFrame([_question("c", "test")], schemas.QUESTIONS), path, ["test"])
     stored = tables.read_table(spark, path, schemas.QUESTIONS)
     assert rows(stored.select("task_id", "dataset_split")) == [("b", "validation"), ("c", "test")]
     assert rows(tables.scan_questions(stored, "anything").select("task_id")) == [("c",)]
     assert rows(tables.scan_questions(stored, "validation").select("task_id")) == [("b",)]
+    tables.overwrite_table(both.limit(0), path, ["validation"])
+    stored = tables.read_table(spark, path, schemas.QUESTIONS)
+    assert rows(stored.select("task_id", "dataset_split")) == [("c", "test")]
 
 
 def test_load_split_reads_json(spark, tmp_path):
@@ -88,9 +92,12 @@ def test_list_objects(spark, tmp_path):
 def test_relative_name(spark):
     def name(path, folder):
         return spark.range(1).select(objects.relative_name(F.lit(path), folder)).first()[0]
-    assert name("file:/data/r/test/a.pdf", "/data/r/test") == "a.pdf"
-    assert name("file:/data/r/test/x/a b.pdf", "file:///data/r/test/") == "x/a b.pdf"
+    assert name("file:/data/r/test/a.pdf", "file:/data/r/test") == "a.pdf"
+    assert name("file:///data/r/test/x/a b.pdf", "file:/data/r/test") == "x/a b.pdf"
     assert name("s3a://b/r/test/b/r/test/a.pdf", "s3a://b/r/test") == "b/r/test/a.pdf"
+    assert name("file:/data/r/mytest/y/test/a.pdf", "file:/y/test") is None
+    assert name("file:/data/r/test2/a.pdf", "file:/data/r/test") is None
+    assert objects.qualified(spark, "some/test/") == "file:" + os.path.abspath("some/test")
 
 
 def test_listing_does_not_read_bytes(spark, tmp_path, plan):
@@ -111,20 +118,48 @@ def test_split_files_bronze_and_counts(spark, tmp_path):
         "dataset_split string, file_name string",
     )
     bronze = str(tmp_path / "bronze")
-    objects.bronze_ingest(files, wanted, bronze)
-    landed = tables.read_table(spark, bronze, schemas.BRONZE)
-    assert rows(landed.withColumn("content", F.decode("content", "UTF-8"))) == [("a.pdf", 1, "A", "test")]
+    objects.bronze_ingest(files, wanted, bronze, 0)
+    landed = objects.read_bronze(spark, bronze)
+    assert rows(landed.withColumn("content", F.decode("content", "UTF-8"))) == [("a.pdf", 1, "A", 0, "test")]
+    # Another landing leaves the first one alone, and a repeated one replaces itself.
+    more = spark.createDataFrame([("test", "b.PDF"), ("validation", "a.pdf")], "dataset_split string, file_name string")
+    for _ in range(2):
+        objects.bronze_ingest(files, more, bronze, 1)
+    assert rows(objects.read_bronze(spark, bronze).select("dataset_split", "file_name", "written")) == [
+        ("test", "a.pdf", 0), ("test", "b.PDF", 1), ("validation", "a.pdf", 1)
+    ]
+    assert objects.read_bronze(spark, bronze, 0).count() == 1
 
 
-def test_silver_last_write_wins(spark, tmp_path):
-    documents = spark.createDataFrame(
-        [("PyMuPDF", "test", "x/a.pdf", "old", 1), ("PyMuPDF", "test", "a.pdf", "new", 2),
-         ("PyMuPDF", "validation", "a.pdf", "v", 1), ("Amazon Textract", "test", "a.pdf", "t", 1)],
-        "method string, dataset_split string, path string, text string, written int",
+def test_bytes_are_read_where_they_are_written(spark, tmp_path, plan, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    files = objects.read_split_files(spark, _files(tmp_path), schemas.SPLITS)
+    listing = files.drop("content")
+    assert "content" not in plan(listing).split("ReadSchema")[1]
+
+    def read(path):
+        with open(path.removeprefix("file:"), "rb") as file:
+            return file.read()
+
+    bronze = str(tmp_path / "bronze")
+    objects.bronze_ingest(listing, listing, bronze, 0, read, tasks=3)
+    landed = objects.read_bronze(spark, bronze, 0)
+    assert rows(landed.select("dataset_split", "file_name", F.decode("content", "UTF-8"))) == rows(
+        files.select("dataset_split", "file_name", F.decode("content", "UTF-8"))
     )
+
+
+def test_silver_last_write_wins(spark, tmp_path):
+    schema = "method string, dataset_split string, path string, part long, text string"
     path = str(tmp_path / "silver")
-    objects.silver_write(documents, path)
-    silver = tables.read_table(spark, path, schemas.SILVER)
+    objects.silver_write(spark.createDataFrame(
+        [("PyMuPDF", "test", "x/a.pdf", 0, "old"), ("PyMuPDF", "test", "x/a.pdf", 1, " text"),
+         ("PyMuPDF", "validation", "a.pdf", 0, "v"), ("Amazon Textract", "test", "a.pdf", 0, "t")], schema), path, 1)
+    objects.silver_write(spark.createDataFrame([("PyMuPDF", "test", "a.pdf", 0, "new")], schema), path, 2)
+    silver = objects.read_silver(spark, path)
+    assert silver.count() == 3
+    objects.compact_silver(spark, path, str(tmp_path / "compacted"), 2)
+    assert rows(objects.read_silver(spark, str(tmp_path / "compacted"))) == rows(silver)
     requests = spark.createDataFrame(
         [("PyMuPDF", "test", "a.pdf"), ("Amazon Textract", "test", "a.pdf"), ("PyMuPDF", "test", "b.pdf")],
         "method string, dataset_split string, file_name string",

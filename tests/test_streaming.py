@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.operators.mutations import upsert_results
+from evalspark.sources import objects
 from evalspark.streaming import documents, results
 
 OLD, NEW = datetime.datetime(2024, 1, 1), datetime.datetime(2025, 1, 1)
@@ -31,7 +32,9 @@ def test_stream_equals_batch(spark, tmp_path):
     accepted = [row for row in FIRST + SECOND if row[4] != "train"]
     expected = rows(upsert_results(_base(spark), _updates(spark, accepted), F.lit(NEW)))
     assert rows(streamed) == expected
-    assert spark.read.parquet(f"{log}/rejected").count() == 1
+    assert rows(results.read_rejected(spark, log).select("task_id", "reject_reason")) == [
+        ("t9", "dataset_split not accepted")
+    ]
 
     results.write_batch(_updates(spark, SECOND), 1, log)  # a replayed batch
     assert rows(results.current_results(_base(spark), results.read_log(spark, log), F.lit(NEW))) == expected
@@ -66,7 +69,7 @@ def test_documents_are_extracted_once_as_they_arrive(spark, tmp_path):
     def run():
         arriving = documents.read_files(spark, str(root), "test")
         documents.stream_documents(arriving, text_pages, log, check).awaitTermination()
-        return rows(documents.read_silver(spark, log))
+        return rows(objects.read_silver(spark, log).drop("part"))
 
     (root / "test" / "a.pdf").write_bytes(b"one")
     (root / "test" / "b.txt").write_bytes(b"skipped")
@@ -76,3 +79,40 @@ def test_documents_are_extracted_once_as_they_arrive(spark, tmp_path):
     (root / "test" / "bad.pdf").write_bytes(b"!")
     assert run() == [("pymupdf", "test", "a", "newer")]
     assert spark.read.parquet(log).where("error is not null").count() == 1
+
+
+def test_landed_documents_are_extracted_once(spark, tmp_path):
+    """Three landings; a later one neither repeats nor disturbs the documents of an earlier one."""
+    bronze, log, check, seen = (str(tmp_path / name) for name in ("bronze", "log", "check", "seen"))
+
+    def pages(content):
+        with open(seen, "a") as file:
+            file.write(content.decode() + "\n")
+        return [content.decode()]
+
+    def land(number, *names):
+        files = spark.createDataFrame(
+            [("test", name, bytearray(f"{name} {number}".encode())) for name in names],
+            "dataset_split string, file_name string, content binary",
+        )
+        objects.bronze_ingest(files, files, bronze, number)
+        arriving = documents.read_landed(spark, bronze)
+        documents.stream_documents(arriving, pages, log, check).awaitTermination()
+
+    land(0, "a.pdf")
+    land(1, "b.pdf")
+    land(2, "a.pdf", "c.pdf")
+    with open(seen) as file:
+        assert sorted(file.read().split("\n")[:-1]) == ["a.pdf 0", "a.pdf 2", "b.pdf 1", "c.pdf 2"]
+    assert rows(objects.read_silver(spark, log).select("base_name", "text")) == [
+        ("a", "a.pdf 2"), ("b", "b.pdf 1"), ("c", "c.pdf 2")
+    ]
+
+
+def test_a_new_checkpoint_does_not_replace_logged_batches(spark, tmp_path):
+    feed, log = str(tmp_path / "feed"), str(tmp_path / "log")
+    for run, batch in enumerate((FIRST, SECOND)):
+        _updates(spark, batch).coalesce(1).write.mode("overwrite").parquet(f"{feed}{run}")
+        updates = results.read_updates(spark, f"{feed}{run}")
+        results.stream_results(updates, log, str(tmp_path / f"check{run}"), run).awaitTermination()
+    assert results.read_log(spark, log).count() == 5

@@ -1,31 +1,33 @@
 """Stand-ins for the model and the document parser, simple enough to say in SQL."""
 
+import hashlib
 import re
 
 from evalspark.operators.inference import ModelError
 
-LONGEST_PROMPT = 15_000
 _TAG = re.compile(r"<[^>]*>")
 
 
+def _digit(prompt: str) -> str:
+    return hashlib.md5(prompt.encode()).hexdigest()[0]
+
+
 def echo_model(prompts: list[str], settings: dict) -> list:
-    """Answers with the prompt; refuses very long ones."""
-    return [
-        ModelError("rate_limit", "too long") if len(prompt) > LONGEST_PROMPT else prompt for prompt in prompts
-    ]
+    """Answers with the prompt; fails for one in sixteen, by the first digit of its hash."""
+    return [ModelError("rate_limit", "too many") if _digit(prompt) == "f" else prompt for prompt in prompts]
 
 
-def length_judge(prompts: list[str], settings: dict) -> list:
-    """Verdict by the length of the prompt."""
+def digest_judge(prompts: list[str], settings: dict) -> list:
+    """Verdict by the first digit of the prompt's hash."""
     def verdict(prompt: str):
-        size = len(prompt)
-        if size < 2500:
+        digit = _digit(prompt)
+        if digit in "0123456":
             return " Yes. "
-        if size < 3500:
+        if digit in "789a":
             return "No"
-        if size < 4500:
+        if digit == "b":
             return "unclear"
-        return "it does NOT" if size < 9000 else ModelError("connection", "")
+        return "it does NOT" if digit in "cde" else ModelError("connection", "")
     return [verdict(prompt) for prompt in prompts]
 
 

@@ -2,7 +2,6 @@
 
 from evalspark.functions.prompts import ANSWER_RULES, JUDGE_RULES
 from evalspark.functions.text import MAX_SENTENCES, MAX_WORDS, WHITESPACE
-from workload.models import LONGEST_PROMPT
 
 
 def lit(text: str) -> str:
@@ -44,17 +43,17 @@ VIEW_SQL = {
     "page_files": """SELECT CASE WHEN contains(url, '/en/') THEN 'validation' ELSE 'test' END AS dataset_split,
         page_id || '.html' AS file_name, CAST(strlen(html) AS BIGINT) AS length, html, page_id FROM pages""",
     "files": f"""SELECT dataset_split, file_name, 'bronze/' || dataset_split || '/' || file_name AS path, length FROM (
-        SELECT {SPLIT} AS dataset_split, {FILE_NAME} AS file_name, n_chars AS length FROM documents
-            WHERE n_chars >= 1000 AND coalesce({FILE_NAME}, '') <> ''
+        SELECT CASE WHEN lang = 'fr' THEN 'validation' ELSE {SPLIT} END AS dataset_split, {FILE_NAME} AS file_name,
+            n_chars AS length FROM documents WHERE coalesce({FILE_NAME}, '') <> ''
         UNION ALL SELECT dataset_split, file_name, length FROM page_files)""",
     "blocks": """SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INTEGER) AS pos,
         CASE WHEN role = 'assistant' THEN 'LINE' ELSE 'WORD' END AS block_type, text,
         CASE WHEN conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system') THEN 'FAILED'
             ELSE 'SUCCEEDED' END AS job_status FROM conversations""",
-    "silver": """SELECT 'pymupdf' AS method, dataset_split, CAST(page_id AS VARCHAR) AS base_name, html AS text
-            FROM page_files
-        UNION ALL SELECT 'textract', s.split, CAST(item_id AS VARCHAR), text
-            FROM benchmark, (VALUES ('test'), ('validation')) s(split)""",
+    "pages_text": """SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INTEGER) AS page, text FROM conversations""",
+    "silver": f"""SELECT 'pymupdf' AS method, {SPLIT} AS dataset_split, CAST(doc_id AS VARCHAR) AS base_name, text
+            FROM documents WHERE lang <> 'fr'
+        UNION ALL SELECT 'textract', {SPLIT}, CAST(doc_id AS VARCHAR), text FROM documents WHERE lang <> 'en'""",
     "feed": f"""SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS task_id, {FEED_STATUS} AS status,
         props AS chatgpt_response,
         CASE WHEN event_type IN ('view', 'click') THEN 'test' ELSE 'validation' END AS dataset_split,
@@ -77,11 +76,12 @@ VIEW_SQL = {
         ON q.file_name = f.file_name AND q.dataset_split = f.dataset_split""",
 }
 NEEDS = {
-    "files": ["page_files"], "silver": ["page_files"], "updates": ["feed"], "stored_results": ["feed"],
+    "files": ["page_files"], "updates": ["feed"], "stored_results": ["feed"],
     "joined": ["questions", "user_results"], "matched": ["questions", "page_files", "files"],
 }
 
 
+
 def with_views(query: str, *names: str) -> str:
     """Query preceded by the derived views it names and those they need."""
     wanted = []
@@ -163,10 +163,14 @@ def route(name: str, context: str) -> str:
             f"WHEN {ext} = '.pdf' THEN 'missing_text' ELSE 'unsupported' END")
 
 
-def length_judge(x: str) -> str:
-    """Status of the stand-in judge for a judge prompt; errors give the unavailable text."""
-    return (f"CASE WHEN length({x}) < 2500 THEN 'yes' WHEN length({x}) < 3500 THEN 'no' "
-            f"WHEN length({x}) < 4500 THEN 'unclear' WHEN length({x}) < 9000 THEN 'it does not' END")
+def digit(x: str) -> str:
+    return f"substr(md5({x}), 1, 1)"
+
+
+def digest_judge(x: str) -> str:
+    """Reply of the stand-in judge to a prompt, null where it fails."""
+    return (f"CASE WHEN {digit(x)} <= '6' THEN ' Yes. ' WHEN {digit(x)} <= 'a' THEN 'No' "
+            f"WHEN {digit(x)} = 'b' THEN 'unclear' WHEN {digit(x)} <= 'e' THEN 'it does NOT' END")
 
 
 CLEAN_SELECT = f"""SELECT {clean('task_id')} AS task_id, {clean('"Question"')} AS "Question",
@@ -195,8 +199,11 @@ UPSERT = f"""SELECT coalesce(s.user_id, u.user_id) AS user_id, coalesce(s.task_i
     ON s.user_id = u.user_id AND s.task_id = u.task_id AND s.dataset_split = u.dataset_split"""
 
 
-def evaluation(split: str, user: str) -> str:
+def evaluation(split: str, user: str, keep_errors: bool = False) -> str:
     """Attempts of one user at one split with prompt, answer and error; needs questions, results, silver."""
+    asked = (f"SELECT *, CASE WHEN {digit('prompt')} = 'f' THEN 'Error: too many' ELSE {truncated('prompt')} END "
+             "AS response FROM prompts" if keep_errors else
+             f"SELECT *, {truncated('prompt')} AS response FROM prompts WHERE {digit('prompt')} <> 'f'")
     status = "coalesce(r.user_result_status, 'N/A')"
     is_retry = f"({retry(status)} AND q.dataset_split = 'validation')"
     passes = f"(q.dataset_split = 'test' OR {is_retry} OR {status} LIKE 'Incorrect%')"
@@ -210,7 +217,7 @@ def evaluation(split: str, user: str) -> str:
         WHERE q.dataset_split = '{split}'),
     prompts AS (SELECT *, {prompt('"Question"', 'instructions', 'context')} AS prompt
         FROM attempts WHERE is_retry OR route = 'send'),
-    answered AS (SELECT *, {truncated('prompt')} AS response FROM prompts WHERE length(prompt) <= {LONGEST_PROMPT}),
+    answered AS ({asked}),
     judged AS (SELECT *, {judge_prompt('"Question"', '"FinalAnswer"', 'response')} AS judge_prompt FROM answered)"""
 
 
@@ -226,8 +233,8 @@ def recorded(updates: str, user: str) -> str:
         ON s.task_id = u.task_id AND s.dataset_split = u.dataset_split AND s.user_id = '{user}'"""
 
 
-JUDGED_STATUS = (f"CASE WHEN length(judge_prompt) >= 9000 THEN 'Error: OpenAI service is currently unavailable.' "
-                 f"ELSE {verdict(length_judge('judge_prompt'), 'instructions')} END")
+JUDGED_STATUS = (f"CASE WHEN {digit('judge_prompt')} = 'f' THEN 'Error: OpenAI service is currently unavailable.' "
+                 f"ELSE {verdict(digest_judge('judge_prompt'), 'instructions')} END")
 EVALUATED = f"SELECT task_id, dataset_split, {JUDGED_STATUS} AS status, response FROM judged"
 REVIEWED = """SELECT a.task_id, dataset_split, CASE WHEN quality = 1 THEN 'Correct with Instruction'
     ELSE 'Incorrect with Instruction' END AS status, response
@@ -239,6 +246,12 @@ EXTRACTED = """SELECT dataset_split, file_name, CAST(i AS INTEGER) - 1 AS page,
     regexp_replace(parts[i], '<[^>]*>', '', 'g') AS text, CAST(NULL AS VARCHAR) AS error
     FROM (SELECT dataset_split, file_name, string_split(html, '</p>') AS parts FROM page_files),
     LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)"""
+STATUS_LABELS = """CASE WHEN toxic = 1 THEN 'Undecided' WHEN quality = 1 THEN 'Correct with Instruction'
+    ELSE 'Incorrect with Instruction' END"""
+# A bucket of the listing that an ingest of the pages finds.
+INGESTED = f"""SELECT c.*, f.file_name IS NOT NULL AS found, c.number_of_tools = 'inf' AS bad FROM raw_questions c
+    LEFT JOIN (SELECT dataset_split, page_id || '.pdf' AS file_name FROM page_files) f
+    ON c.file_name = f.file_name AND c.dataset_split = f.dataset_split"""
 DOCUMENT_TEXT = """list_aggregate(list_transform(string_split(html, '</p>'),
     lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), 'string_agg', '')"""
 
@@ -250,10 +263,17 @@ ORACLE = {
         """SELECT user_id, task_id, user_result_status, chatgpt_response FROM user_results
         WHERE user_id = 'src3' AND dataset_split = 'validation'""", "user_results"),
     "overwrite_table": with_views("SELECT * FROM questions", "questions"),
+    "overwrite_table_emptied": with_views(
+        "SELECT task_id, dataset_split FROM questions WHERE dataset_split = 'test'", "questions"),
     "bronze_ingest": with_views(
-        "SELECT dataset_split, file_name, length, md5(html) AS digest FROM page_files", "page_files"),
+        """SELECT dataset_split, file_name,
+        CASE WHEN dataset_split = 'test' THEN length ELSE CAST(strlen(file_name) AS BIGINT) END AS length,
+        md5(CASE WHEN dataset_split = 'test' THEN html ELSE file_name END) AS digest FROM page_files""", "page_files"),
     "silver_write": with_views(
-        "SELECT method, dataset_split, base_name, md5(text) AS digest FROM silver", "page_files", "silver"),
+        """SELECT method, dataset_split, base_name, CAST(part AS BIGINT) AS part,
+        md5(CASE WHEN lang = 'es' THEN 'first' WHEN part = 0 THEN substr(s.text, 1, 1000) ELSE substr(s.text, 1001) END)
+        AS digest FROM silver s JOIN documents d ON s.base_name = CAST(d.doc_id AS VARCHAR),
+        (VALUES (0), (1)) p(part) WHERE part = 0 OR length(s.text) > 1000 AND lang <> 'es'""", "silver"),
     "silver_lookup": with_views(
         f"""SELECT m.method, q.dataset_split, q.file_name, s.text
         FROM questions q CROSS JOIN (VALUES ('PyMuPDF', 'pymupdf'), ('Amazon Textract', 'textract')) m(method, folder)
@@ -271,11 +291,20 @@ ORACLE = {
         number_of_tools AS "Annotator_Metadata_Number_of_tools" FROM raw_questions""", "raw_questions"),
     "default_column": with_views("SELECT task_id, 'N/A' AS result_status FROM raw_questions", "raw_questions"),
     "stamp_created": "SELECT event_id, date_trunc('second', ts) AS created_date FROM events",
-    "conform_schema": """SELECT CAST(page_id AS VARCHAR) AS task_id, url AS file_name,
-        CASE WHEN length(html) > 2147483647 THEN NULL ELSE CAST(page_id AS INTEGER) END AS "Level",
-        html AS result_status,
-        CASE WHEN length(html) + length(regexp_replace(html, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 2000
-            THEN 'result_status too long' END AS reject_reason FROM pages""",
+    "conform_schema": """SELECT CAST(doc_id AS VARCHAR) AS task_id, text AS "Question",
+        CASE WHEN lang <> 'de' THEN CAST(n_chars AS INTEGER) END AS "Level", lang AS "FinalAnswer",
+        source AS file_name, '' AS file_path, text AS "Annotator_Metadata_Steps",
+        CAST(n_chars AS VARCHAR) AS "Annotator_Metadata_Number_of_steps",
+        text AS "Annotator_Metadata_How_long_did_this_take", lang AS "Annotator_Metadata_Tools",
+        CASE WHEN lang = 'en' THEN 3 END AS "Annotator_Metadata_Number_of_tools",
+        CASE WHEN lang = 'es' THEN repeat(source, 20) ELSE 'N/A' END AS result_status,
+        CASE WHEN lang <> 'fr' THEN TIMESTAMP '2024-01-01 00:00:00' END AS created_date, 'test' AS dataset_split,
+        nullif(concat_ws('; ', CASE WHEN lang = 'de' THEN 'Level has a wrong type' END,
+        CASE WHEN length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 100
+            THEN 'Annotator_Metadata_How_long_did_this_take too long' END,
+        CASE WHEN lang <> 'en' THEN 'Annotator_Metadata_Number_of_tools has a wrong type' END,
+        CASE WHEN lang = 'es' THEN 'result_status too long' END,
+        CASE WHEN lang = 'fr' THEN 'created_date has a wrong type' END), '') AS reject_reason FROM documents""",
     "project_response": with_views(f"SELECT {RESPONSE_COLUMNS} FROM questions", "questions"),
     "project_result": with_views(
         "SELECT user_id, task_id, user_result_status, chatgpt_response FROM user_results", "user_results"),
@@ -315,11 +344,18 @@ ORACLE = {
         LEFT JOIN silver t ON t.method = 'textract' AND t.dataset_split = q.dataset_split
             AND t.base_name = {base_name('q.file_name')} AND lower({extension('q.file_name')}) = '.pdf'""",
         "questions", "silver"),
+    "join_silver_text_bounded": with_views(
+        f"""SELECT q.task_id, CASE WHEN strlen(t.text) <= 3000 THEN t.text END AS context,
+        coalesce(strlen(t.text) > 3000, FALSE) AS too_large FROM questions q
+        LEFT JOIN silver t ON t.method = 'pymupdf' AND t.dataset_split = q.dataset_split
+            AND t.base_name = {base_name('q.file_name')} AND lower({extension('q.file_name')}) = '.pdf'""",
+        "questions", "silver"),
     "merge_match": with_views(
-        """SELECT coalesce(s.user_id, u.user_id) AS user_id, coalesce(s.task_id, u.task_id) AS task_id,
+        f"""SELECT coalesce(s.user_id, u.user_id) AS user_id, coalesce(s.task_id, u.task_id) AS task_id,
         coalesce(s.dataset_split, u.dataset_split) AS dataset_split,
-        CASE WHEN s.user_id IS NULL THEN 'insert' WHEN u.user_id IS NULL THEN 'keep' ELSE 'update' END AS action
-        FROM stored_results s FULL JOIN (SELECT DISTINCT user_id, task_id, dataset_split FROM updates) u
+        CASE WHEN s.user_id IS NULL THEN 'insert' WHEN u.user_id IS NULL THEN 'keep'
+        WHEN s.seq >= u.top THEN 'stale' ELSE 'update' END AS action
+        FROM stored_results s FULL JOIN ({LATEST}) u
         ON s.user_id = u.user_id AND s.task_id = u.task_id AND s.dataset_split = u.dataset_split""",
         "feed", "updates", "stored_results"),
     "cascade_anti": with_views(
@@ -337,23 +373,33 @@ ORACLE = {
         UNION SELECT 'file_type', {bucket('file_name')} FROM joined
         UNION SELECT 'status', user_result_status FROM joined""", "joined"),
     "ingest_summary": with_views(
-        """SELECT q.dataset_split, 'Loaded' AS status, q.records, f.files_landed, q.records AS rows_written,
-        TRUE AS table_written FROM (SELECT dataset_split, count(*) AS records FROM questions GROUP BY 1) q
+        """SELECT q.*, f.files_landed, 'Loaded' AS status, rejected + rows_written = records AS table_written
+        FROM (SELECT dataset_split, count(*) AS records, count(*) FILTER ("FinalAnswer" = 'de') AS rejected,
+            count(*) FILTER ("FinalAnswer" NOT IN ('de', 'es')) AS rows_written FROM questions GROUP BY 1) q
         JOIN (SELECT dataset_split, count(*) AS files_landed FROM files GROUP BY 1) f
-        ON q.dataset_split = f.dataset_split""", "questions", "files"),
+        ON q.dataset_split = f.dataset_split""", "questions", "page_files", "files"),
     "attachment_summary": with_views(
         f"""SELECT dataset_split, count(*) FILTER (coalesce(file_name, '') <> '') AS total_files,
         count(*) FILTER (found) AS files_found, count(*) FILTER (found) AS paths_updated,
         array_to_string(list_sort(list(DISTINCT lower({extension('file_name')})) FILTER (found)), ', ') AS file_types
         FROM matched GROUP BY dataset_split""", "matched"),
-    "concat_pages": """SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(0 AS BIGINT) AS part,
-        string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
-    "join_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(text, '' ORDER BY turn) AS text
-        FROM conversations GROUP BY conv_id""",
+    "concat_pages": """SELECT CAST(conv_id AS VARCHAR) AS doc, turn // 1000 AS part,
+        string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // 1000""",
+    "concat_pages_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, turn // 3 AS part,
+        string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // 3""",
+    "join_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(text, '' ORDER BY turn) AS text,
+        CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id""",
+    "join_parts_bounded": """SELECT CAST(conv_id AS VARCHAR) AS doc,
+        CASE WHEN sum(strlen(text)) <= 2000 THEN string_agg(text, '' ORDER BY turn) END AS text,
+        CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id""",
     "concat_lines": with_views(
-        """SELECT doc, CAST(0 AS BIGINT) AS part,
+        """SELECT doc, CAST(pos // 1000 AS BIGINT) AS part,
         coalesce(string_agg(text || chr(10), '' ORDER BY pos) FILTER (block_type = 'LINE'), '') AS text
-        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc""", "blocks"),
+        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc, pos // 1000""", "blocks"),
+    "concat_lines_parts": with_views(
+        """SELECT doc, CAST(pos // 3 AS BIGINT) AS part,
+        coalesce(string_agg(text || chr(10), '' ORDER BY pos) FILTER (block_type = 'LINE'), '') AS text
+        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc, pos // 3""", "blocks"),
     "extract_counts": with_views(
         """SELECT 'textract' AS method, count(*) AS listed, count(*) FILTER (job_status = 'SUCCEEDED') AS processed
         FROM (SELECT DISTINCT doc, job_status FROM blocks)
@@ -366,6 +412,8 @@ ORACLE = {
         """SELECT task_id, dataset_split, "Level" FROM questions ORDER BY task_id LIMIT 9 OFFSET 27""", "questions"),
     "page_slice_deep": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 9 OFFSET 10800""",
+    "page_slice_clashing": with_views(
+        "SELECT doc, page, text FROM pages_text ORDER BY doc, page LIMIT 9 OFFSET 27", "pages_text"),
     "page_clamp": """SELECT user_id, count(*) AS rows, greatest(0, least(max(event_id) // 100, (count(*) - 1) // 9))
         ::BIGINT AS page FROM events GROUP BY user_id""",
     "page_assign": with_views(
@@ -377,7 +425,6 @@ ORACLE = {
     "sort_facets": with_views(
         f"""SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value) AS INTEGER) AS place FROM (
         SELECT DISTINCT 'Level' AS facet, CAST("Level" AS VARCHAR) AS value FROM joined
-        UNION SELECT 'file_type', {bucket('file_name')} FROM joined
         UNION SELECT 'status', user_result_status FROM joined)""", "joined"),
     "sort_counts": with_views(
         """SELECT "Level", user_result_status, n, CAST(row_number() OVER
@@ -441,9 +488,12 @@ ORACLE = {
         "SELECT task_id, coalesce(file_name, 'N/A') AS file_name FROM questions", "questions"),
     # Streaming and mutations
     "stream_results": with_views(UPSERT, "updates", "stored_results"),
+    "stream_results_rejected": with_views(
+        """SELECT user_id, task_id, status, chatgpt_response, 'train' AS dataset_split,
+        'dataset_split not accepted' AS reject_reason FROM feed WHERE task_id = 'view'""", "feed"),
     "stream_documents": with_views(
-        f"""SELECT 'pymupdf' AS method, dataset_split, file_name AS base_name, {DOCUMENT_TEXT} AS text
-        FROM page_files""", "page_files"),
+        f"""SELECT 'pymupdf' AS method, dataset_split, file_name AS base_name, CAST(0 AS BIGINT) AS part,
+        {DOCUMENT_TEXT} AS text FROM page_files""", "page_files"),
     "upsert_results": with_views(UPSERT, "updates", "stored_results"),
     "insert_if_absent": with_views(
         """SELECT username, role FROM users UNION ALL SELECT DISTINCT username, 'user' FROM wanted_names
@@ -462,28 +512,68 @@ ORACLE = {
     "update_role": with_views(
         """SELECT user_id, username, CASE WHEN user_id IN (SELECT user_id FROM wanted_ids) THEN 'admin'
         ELSE role END AS role FROM users""", "users", "wanted_ids"),
+    "update_role_unknown": with_views(
+        "SELECT DISTINCT user_id FROM wanted_ids WHERE user_id NOT IN (SELECT user_id FROM users)",
+        "users", "wanted_ids"),
     # Jobs
     "batch_infer": with_views(
-        f"""SELECT task_id, CASE WHEN length("Question") <= {LONGEST_PROMPT} THEN "Question" END AS answer,
-        CASE WHEN length("Question") > {LONGEST_PROMPT} THEN 'rate_limit' END AS error_kind,
-        CASE WHEN length("Question") > {LONGEST_PROMPT} THEN 'too long' END AS error_message FROM questions""",
-        "questions"),
+        f"""SELECT task_id, CASE WHEN {digit('"Question"')} <> 'f' THEN "Question" END AS answer,
+        CASE WHEN {digit('"Question"')} = 'f' THEN 'rate_limit' END AS error_kind,
+        CASE WHEN {digit('"Question"')} = 'f' THEN 'too many' END AS error_message FROM questions""", "questions"),
     "batch_judge": with_views(
-        """SELECT task_id, CASE WHEN length("Question") < 2500 THEN ' Yes. ' WHEN length("Question") < 3500 THEN 'No'
-        WHEN length("Question") < 4500 THEN 'unclear' WHEN length("Question") < 9000 THEN 'it does NOT' END AS answer,
-        CASE WHEN length("Question") >= 9000 THEN 'connection' END AS error_kind,
-        CASE WHEN length("Question") >= 9000 THEN '' END AS error_message FROM questions""", "questions"),
+        f"""SELECT task_id, {digest_judge('"Question"')} AS answer,
+        CASE WHEN {digit('"Question"')} = 'f' THEN 'connection' END AS error_kind,
+        CASE WHEN {digit('"Question"')} = 'f' THEN '' END AS error_message FROM questions""", "questions"),
     "extract_documents": with_views(EXTRACTED, "page_files"),
     "run_evaluation": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
         + evaluation("validation", "src3") + "\n" + recorded(EVALUATED, "src3"),
     "run_evaluation_retry": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
         + evaluation("validation", "src3")
         + f"\nSELECT task_id, {JUDGED_STATUS} AS status, response AS chatgpt_response FROM judged WHERE is_retry",
+    "run_evaluation_keep_errors": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
+        + evaluation("validation", "src3", keep_errors=True)
+        + f"\nSELECT task_id, {JUDGED_STATUS} AS status, response AS chatgpt_response FROM judged",
+    "run_evaluation_attempts": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
+        + evaluation("validation", "src3")
+        + f"""\nSELECT task_id, large_route AS route, sent,
+        CASE WHEN sent AND {digit('prompt')} <> 'f' THEN {truncated('prompt')} END AS chatgpt_response,
+        CASE WHEN sent AND {digit('prompt')} = 'f' THEN 'Error: too many' END AS error_text FROM (
+        SELECT *, {prompt('"Question"', 'instructions', 'context')} AS prompt,
+        coalesce(strlen(context) > 3000, FALSE) AS large,
+        CASE WHEN large THEN 'too_large' ELSE route END AS large_route,
+        (is_retry OR route = 'send') AND NOT large AS sent FROM attempts)""",
     "run_extract": with_views(
-        f"""SELECT dataset_split, CAST(page_id AS VARCHAR) AS base_name, {DOCUMENT_TEXT} AS text, 'pymupdf' AS method
-        FROM page_files UNION ALL SELECT 'test', doc,
+        f"""SELECT dataset_split, CAST(page_id AS VARCHAR) AS base_name, CAST(0 AS BIGINT) AS part,
+        {DOCUMENT_TEXT} AS text, 'pymupdf' AS method FROM page_files WHERE html LIKE '%</html>'
+        UNION ALL SELECT 'test', doc, CAST(pos // 1000 AS BIGINT),
         coalesce(string_agg(text || chr(10), '' ORDER BY pos) FILTER (block_type = 'LINE'), ''), 'textract'
-        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc""", "page_files", "blocks"),
+        FROM blocks WHERE job_status = 'SUCCEEDED' GROUP BY doc, pos // 1000""", "page_files", "blocks"),
+    "run_extract_failed": with_views(
+        """SELECT dataset_split, page_id || '.pdf' AS file_name FROM page_files WHERE NOT html LIKE '%</html>'""",
+        "page_files"),
+    "run_extract_counts": with_views(
+        """SELECT 'textract' AS method, count(*) AS listed, count(*) FILTER (job_status = 'SUCCEEDED') AS processed
+        FROM (SELECT DISTINCT doc, job_status FROM blocks)
+        UNION ALL SELECT 'pymupdf', count(*), count(*) FILTER (html LIKE '%</html>') FROM page_files""",
+        "blocks", "page_files"),
+    "run_manual_review_rejects": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
+        + evaluation("test", "src3")
+        + f"""\nSELECT CAST(l.doc_id AS VARCHAR) AS task_id, {STATUS_LABELS} AS status,
+        CASE WHEN a.task_id IS NULL THEN 'no answer' ELSE 'status not accepted' END AS reject_reason
+        FROM labels l LEFT JOIN answered a ON a.task_id = CAST(l.doc_id AS VARCHAR)
+        WHERE a.task_id IS NULL OR toxic = 1""",
+    "run_ingest_rejects": with_views(
+        """SELECT task_id, dataset_split, 'Annotator_Metadata_Number_of_tools: number out of range' AS reject_reason
+        FROM raw_questions WHERE number_of_tools = 'inf'""", "raw_questions"),
+    "run_ingest_attachments": with_views(
+        f"""SELECT dataset_split, count(*) FILTER (file_name IS NULL OR file_name <> '') AS total_files,
+        count(*) FILTER (found) AS files_found, count(*) FILTER (found) AS paths_updated,
+        array_to_string(list_sort(list(DISTINCT lower({extension('file_name')})) FILTER (found)), ', ') AS file_types
+        FROM ({INGESTED}) GROUP BY dataset_split""", "raw_questions", "page_files"),
+    "run_ingest_summary": with_views(
+        f"""SELECT dataset_split, 'Loaded' AS status, count(*) AS records, count(*) FILTER (bad) AS rejected,
+        count(DISTINCT file_name) FILTER (found) AS files_landed, count(*) FILTER (NOT bad) AS rows_written,
+        TRUE AS table_written FROM ({INGESTED}) GROUP BY dataset_split""", "raw_questions", "page_files"),
     "run_manual_review": with_views("", "questions", "user_results", "silver").rstrip() + ",\n"
         + evaluation("test", "src3") + "\n" + recorded(REVIEWED, "src3"),
     "run_ingest": with_views(
@@ -497,6 +587,11 @@ ORACLE = {
         """SELECT r.user_result_status, count(*) AS n FROM questions q JOIN user_results r
         ON q.task_id = r.task_id AND r.user_id = 'src3' AND r.dataset_split = 'validation'
         WHERE q.dataset_split = 'validation' GROUP BY ALL""", "questions", "user_results"),
+    "run_summary_totals": with_views(
+        """SELECT count(*) AS total, count(r.task_id) AS answered, count(*) - count(r.task_id) AS unanswered
+        FROM questions q LEFT JOIN user_results r
+        ON q.task_id = r.task_id AND r.user_id = 'src3' AND r.dataset_split = 'validation'
+        WHERE q.dataset_split = 'validation'""", "questions", "user_results"),
     "run_summary_all": with_views(
         """SELECT user_id, dataset_split, total, answered, total - answered AS unanswered FROM
         (SELECT user_id, dataset_split, count(*) AS answered FROM user_results GROUP BY ALL)
@@ -506,9 +601,20 @@ ORACLE = {
         """SELECT user_id, dataset_split, user_result_status, count(*) AS n FROM user_results GROUP BY ALL""",
         "user_results"),
     "run_browse": with_views(
-        f"""SELECT q.task_id, q."Level", q.file_name, coalesce(r.user_result_status, 'N/A') AS user_result_status
-        FROM questions q LEFT JOIN user_results r
+        f"""SELECT q.task_id, q."Level", q.file_name, coalesce(r.user_result_status, 'N/A') AS user_result_status,
+        q."Question" FROM questions q LEFT JOIN user_results r
         ON q.task_id = r.task_id AND r.user_id = 'src3' AND r.dataset_split = 'validation'
         WHERE q.dataset_split = 'validation' AND "Level" IN (2, 3) AND {bucket('q.file_name')} IN ('No File', '.pdf')
         ORDER BY q.task_id LIMIT 9 OFFSET 9""", "questions", "user_results"),
+    "run_browse_facets": with_views(
+        f"""SELECT DISTINCT 'Level' AS facet, CAST("Level" AS VARCHAR) AS value FROM questions
+        WHERE dataset_split = 'validation'
+        UNION SELECT 'file_type', {bucket('file_name')} FROM questions WHERE dataset_split = 'validation'
+        UNION SELECT 'status', coalesce(r.user_result_status, 'N/A') FROM questions q LEFT JOIN user_results r
+        ON q.task_id = r.task_id AND r.user_id = 'src3' AND r.dataset_split = 'validation'
+        WHERE q.dataset_split = 'validation'""", "questions", "user_results"),
+    "run_browse_total": with_views(
+        f"""SELECT count(*) AS questions, count(*) FILTER (dataset_split = 'validation' AND "Level" IN (2, 3)
+        AND {bucket('file_name')} IN ('No File', '.pdf')) AS total,
+        least(1, greatest(total - 1, 0) // 9) AS page FROM questions""", "questions"),
 }

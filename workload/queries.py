@@ -49,33 +49,48 @@ def scan_user_results(spark, sf):
 def overwrite_table(spark, sf):
     path = new_path(spark, "questions")
     questions = views.questions(spark, sf)
+    tables.overwrite_table(questions, path, schemas.SPLITS)
     for split in schemas.SPLITS:
-        tables.overwrite_table(tables.scan_questions(questions, split), path)
+        tables.overwrite_table(tables.scan_questions(questions, split), path, [split])
     return tables.read_table(spark, path, schemas.QUESTIONS)
 
 
-def list_objects(spark, sf):
-    listing = objects.list_objects(spark, sf, ".parquet")
-    return listing.select(names.file_name(F.col("path")).alias("file_name"), "length")
+def overwrite_table_emptied(spark, sf):
+    """A second load without rows for one split."""
+    path = new_path(spark, "questions")
+    questions = views.questions(spark, sf)
+    tables.overwrite_table(questions, path, schemas.SPLITS)
+    tables.overwrite_table(tables.scan_questions(questions, "test"), path, schemas.SPLITS)
+    return tables.read_table(spark, path, schemas.QUESTIONS).select("task_id", "dataset_split")
 
 
 def bronze_ingest(spark, sf):
+    """All files, then those of one split with other contents."""
     path, files = new_path(spark, "bronze"), views.page_files(spark, sf)
-    objects.bronze_ingest(files, files.drop("content"), path)
-    bronze = tables.read_table(spark, path, schemas.BRONZE)
-    return bronze.select("dataset_split", "file_name", "length", F.md5("content").alias("digest"))
+    objects.bronze_ingest(files.withColumn("content", F.encode("file_name", "UTF-8")), files, path, 0)
+    objects.bronze_ingest(files.where(F.col("dataset_split") == "test"), files, path, 1)
+    return objects.read_bronze(spark, path).select(
+        "dataset_split", "file_name", "length", F.md5("content").alias("digest")
+    )
 
 
 def silver_write(spark, sf):
-    path = new_path(spark, "silver")
+    """Every document, then one split after the other without the Spanish ones, whose first text stays."""
+    path, rows = new_path(spark, "silver"), views.silver(spark, sf)
     method = F.when(F.col("method") == "textract", names.TEXTRACT_METHOD).otherwise(names.PYMUPDF_METHOD)
-    documents_in = views.silver(spark, sf).select(
-        method.alias("method"), "dataset_split", F.concat("base_name", F.lit(".pdf")).alias("path"), "text",
-        F.lit(0).alias("written"),
+    spanish = views.table(spark, sf, "documents").where(F.col("lang") == "es").select(F.col("doc_id").cast("string"))
+    documents_in = rows.select(
+        method.alias("method"), "dataset_split", F.concat("base_name", F.lit(".pdf")).alias("path"), "part", "text",
+    )
+    later = rows.join(spanish, F.col("base_name") == F.col("doc_id"), "left_anti").select(
+        method.alias("method"), "dataset_split", F.concat("base_name", F.lit(".pdf")).alias("path"), "part", "text",
+    )
+    objects.silver_write(documents_in.where(F.col("part") == 0).withColumn("text", F.lit("first")), path, 0)
+    for written, split in enumerate(schemas.SPLITS, 1):
+        objects.silver_write(later.where(F.col("dataset_split") == split), path, written)
+    return objects.read_silver(spark, path).select(
+        "method", "dataset_split", "base_name", "part", F.md5(F.encode("text", "UTF-8")).alias("digest")
     )
-    objects.silver_write(documents_in, path)
-    silver = tables.read_table(spark, path, schemas.SILVER)
-    return silver.select("method", "dataset_split", "base_name", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def silver_lookup(spark, sf):
@@ -117,13 +132,19 @@ def stamp_created(spark, sf):
 
 
 def conform_schema(spark, sf):
-    pages = views.table(spark, sf, "pages").select(
-        F.col("page_id").alias("task_id"), F.col("url").alias("file_name"), F.col("page_id").alias("Level"),
-        F.col("html").alias("result_status"),
+    lang = F.col("lang")
+    given = views.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("TASK_ID"), F.col("text").alias("question"),
+        F.when(lang == "de", "many").otherwise(F.col("n_chars").cast("string")).alias("Level"),
+        lang.alias("FinalAnswer"), F.col("source").alias("file_name"), F.lit("").alias("file_path"),
+        F.col("text").alias("Annotator_Metadata_Steps"), F.col("n_chars").alias("Annotator_Metadata_Number_of_steps"),
+        F.col("text").alias("Annotator_Metadata_How_long_did_this_take"), lang.alias("Annotator_Metadata_Tools"),
+        F.when(lang == "en", "3").otherwise(F.col("source")).alias("Annotator_Metadata_Number_of_tools"),
+        F.when(lang == "es", F.repeat("source", 20)).otherwise("N/A").alias("result_status"),
+        F.when(lang == "fr", "someday").otherwise("2024-01-01 00:00:00").alias("created_date"),
+        F.lit("test").alias("dataset_split"),
     )
-    wanted = ["task_id", "file_name", "Level", "result_status"]
-    schema = T.StructType([schemas.QUESTIONS[name] for name in wanted])
-    return shaping.conform_schema(pages, schema, {"task_id": 50, "file_name": 255, "result_status": 2000})
+    return shaping.conform_schema(given, schemas.QUESTIONS, schemas.QUESTION_LIMITS)
 
 
 def project_response(spark, sf):
@@ -208,6 +229,12 @@ def join_silver_text(spark, sf):
     return _with_text(spark, sf, names.TEXTRACT_METHOD).select("task_id", "dataset_split", "file_name", "context")
 
 
+def join_silver_text_bounded(spark, sf):
+    """Texts of more than 3,000 bytes are not brought together."""
+    joined = joins.join_silver_text(views.questions(spark, sf), views.silver(spark, sf), names.PYMUPDF_METHOD, 3000)
+    return joined.select("task_id", "context", "too_large")
+
+
 def merge_match(spark, sf):
     return mutations.merge_match(views.stored_results(spark, sf), views.updates(spark, sf))
 
@@ -218,21 +245,28 @@ def cascade_anti(spark, sf):
 
 # Aggregations
 
+def _statuses(spark, sf):
+    return joins.join_statuses(views.questions(spark, sf), views.user_results(spark, sf), KEY)
+
+
 def status_counts(spark, sf):
-    return aggregates.status_counts(_joined(spark, sf))
+    return aggregates.status_counts(_statuses(spark, sf), weight="n")
 
 
 def status_totals(spark, sf):
-    return aggregates.status_totals(_joined(spark, sf))
+    return aggregates.status_totals(_statuses(spark, sf), weight="n")
 
 
 def facet_values(spark, sf):
-    return aggregates.facet_values(_joined(spark, sf))
+    return aggregates.facet_values(_statuses(spark, sf))
 
 
 def ingest_summary(spark, sf):
+    """German rows are rejected; Spanish ones are missing from the table, which the report must notice."""
     questions = views.questions(spark, sf)
-    return aggregates.ingest_summary(questions, views.files(spark, sf), questions)
+    rejected = questions.where(F.col("FinalAnswer") == "de")
+    written = questions.where(~F.col("FinalAnswer").isin("de", "es"))
+    return aggregates.ingest_summary(questions, rejected, views.files(spark, sf), written)
 
 
 def attachment_summary(spark, sf):
@@ -243,15 +277,27 @@ def concat_pages(spark, sf):
     return aggregates.concat_pages(views.pages_text(spark, sf))
 
 
+def concat_pages_parts(spark, sf):
+    return aggregates.concat_pages(views.pages_text(spark, sf), pieces=3)
+
+
 def join_parts(spark, sf):
-    parts = aggregates.concat_pages(views.pages_text(spark, sf), pieces=3)
-    return aggregates.join_parts(parts).texts
+    return joins.join_parts(aggregates.concat_pages(views.pages_text(spark, sf), pieces=3))
+
+
+def join_parts_bounded(spark, sf):
+    """Documents of more than 2,000 bytes keep their size only."""
+    return joins.join_parts(aggregates.concat_pages(views.pages_text(spark, sf), pieces=3), largest=2000)
 
 
 def concat_lines(spark, sf):
     return aggregates.concat_lines(views.blocks(spark, sf))
 
 
+def concat_lines_parts(spark, sf):
+    return aggregates.concat_lines(views.blocks(spark, sf), pieces=3)
+
+
 def extract_counts(spark, sf):
     blocks = views.blocks(spark, sf).select("doc", "job_status").distinct()
     whole = F.decode("content", "UTF-8").endswith("</html>")
@@ -274,7 +320,14 @@ def page_slice(spark, sf):
 
 def page_slice_deep(spark, sf):
     items = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return paging.page_slice(items, 1200, items.columns)
+    return paging.numbered_page(paging.page_assign(items, items.columns), 1200)
+
+
+def page_slice_clashing(spark, sf):
+    """A page of a table that has a column named page."""
+    turns = views.pages_text(spark, sf)
+    own = ("row_place", "row_page")
+    return paging.numbered_page(paging.page_assign(turns, ["doc", "page"], names=own), 3, own)
 
 
 def page_clamp(spark, sf):
@@ -296,13 +349,15 @@ def page_assign_copies(spark, sf):
 
 
 def sort_facets(spark, sf):
+    """Levels and statuses, which are few, with their place."""
     place = F.row_number().over(Window.partitionBy("facet").orderBy("value"))
-    return aggregates.facet_values(_joined(spark, sf)).withColumn("place", place)
+    bounded = aggregates.facet_values(_statuses(spark, sf)).where(F.col("facet").isin("Level", "status"))
+    return bounded.withColumn("place", place)
 
 
 def sort_counts(spark, sf):
     place = F.row_number().over(Window.partitionBy("Level").orderBy(F.desc("n"), "user_result_status"))
-    return aggregates.status_counts(_joined(spark, sf), ["Level"]).withColumn("place", place)
+    return aggregates.status_counts(_statuses(spark, sf), ["Level"], "n").withColumn("place", place)
 
 
 def first_n_listing(spark, sf):
@@ -432,25 +487,37 @@ def fill_na(spark, sf):
 
 # Streaming
 
-def stream_results(spark, sf):
+def _streamed(spark, sf):
+    """The log of a feed in which the views name a split that is not accepted."""
     feed, log, checkpoint = (new_path(spark, name) for name in ("feed", "log", "checkpoint"))
-    views.updates(spark, sf).write.parquet(feed)
+    views.feed_with_unknown_split(spark, sf).write.parquet(feed)
     updates = result_stream.read_updates(spark, feed)
     result_stream.stream_results(updates, log, checkpoint).awaitTermination()
-    return result_stream.current_results(
-        views.stored_results(spark, sf), result_stream.read_log(spark, log), created()
-    )
+    return log
+
+
+def stream_results(spark, sf):
+    log = result_stream.read_log(spark, _streamed(spark, sf))
+    return result_stream.current_results(views.stored_results(spark, sf), log, created())
+
+
+def stream_results_rejected(spark, sf):
+    return result_stream.read_rejected(spark, _streamed(spark, sf)).drop("seq")
 
 
 def stream_documents(spark, sf):
+    """Three landings: every file with old contents, then one split after the other."""
     bronze, log, checkpoint = (new_path(spark, name) for name in ("bronze", "log", "checkpoint"))
     files = views.page_files(spark, sf)
-    objects.bronze_ingest(files, files.drop("content"), bronze)
-    arriving = document_stream.read_bronze(spark, bronze)
-    document_stream.stream_documents(
-        arriving, models.html_pages, log, checkpoint, pdf_only=False
-    ).awaitTermination()
-    return document_stream.read_silver(spark, log)
+    landings = [files.withColumn("content", F.encode("file_name", "UTF-8"))]
+    landings += [files.where(F.col("dataset_split") == split) for split in schemas.SPLITS]
+    for written, landing in enumerate(landings):
+        objects.bronze_ingest(landing, files, bronze, written)
+        arriving = document_stream.read_landed(spark, bronze)
+        document_stream.stream_documents(
+            arriving, models.html_pages, log, checkpoint, pdf_only=False
+        ).awaitTermination()
+    return objects.read_silver(spark, log)
 
 
 # Mutations
@@ -493,6 +560,10 @@ def update_role(spark, sf):
     return mutations.update_role(views.users(spark, sf), views.wanted_ids(spark, sf)).users
 
 
+def update_role_unknown(spark, sf):
+    return mutations.update_role(views.users(spark, sf), views.wanted_ids(spark, sf)).unknown
+
+
 # Jobs
 
 def _answers(spark, sf, settings, ask):
@@ -509,7 +580,7 @@ def batch_infer(spark, sf):
 
 def batch_judge(spark, sf):
     def ask(df, prompt):
-        return inference.batch_judge(df, prompt, models.length_judge)
+        return inference.batch_judge(df, prompt, models.digest_judge)
     return _answers(spark, sf, inference.JUDGE_SETTINGS, ask)
 
 
@@ -520,46 +591,107 @@ def extract_documents(spark, sf):
 def run_evaluation(spark, sf):
     done = evaluate.run_evaluation(
         views.questions(spark, sf), views.user_results(spark, sf), views.silver(spark, sf), USER,
-        models.echo_model, models.length_judge, seq=1, created=created(),
+        models.echo_model, models.digest_judge, seq=1, created=created(),
     )
     return done.results
 
 
-def run_manual_review(spark, sf):
-    labels = views.table(spark, sf, "labels").where(F.col("toxic") != 1)
-    status = F.when(F.col("quality") == 1, "Correct with Instruction").otherwise("Incorrect with Instruction")
-    reviews = labels.select(F.col("doc_id").cast("string").alias("task_id"), status.alias("status"))
-    done = evaluate.run_manual_review(
+def run_evaluation_keep_errors(spark, sf):
+    """Every question sent, those with a failed call by their error text."""
+    done = evaluate.run_evaluation(
+        views.questions(spark, sf), views.user_results(spark, sf), views.silver(spark, sf), USER,
+        models.echo_model, models.digest_judge, seq=1, keep_errors=True, created=created(),
+    )
+    return done.updates.select("task_id", "status", "chatgpt_response")
+
+
+def run_evaluation_attempts(spark, sf):
+    """The route of every question, with attachments of more than 3,000 bytes held back."""
+    done = evaluate.run_evaluation(
+        views.questions(spark, sf), views.user_results(spark, sf), views.silver(spark, sf), USER,
+        models.echo_model, models.digest_judge, seq=1, largest_context=3000, created=created(),
+    )
+    return done.attempts.select("task_id", "route", "sent", "chatgpt_response", "error_text")
+
+
+def _reviewed(spark, sf):
+    """Reviews of all labelled documents; those of toxic ones have a status that is not accepted."""
+    status = (
+        F.when(F.col("toxic") == 1, "Undecided").when(F.col("quality") == 1, "Correct with Instruction")
+        .otherwise("Incorrect with Instruction")
+    )
+    reviews = views.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("task_id"), status.alias("status")
+    )
+    return evaluate.run_manual_review(
         views.questions(spark, sf), views.user_results(spark, sf), views.silver(spark, sf), USER,
         models.echo_model, reviews, seq=1, created=created(),
     )
-    return done.results
 
 
-def run_ingest(spark, sf):
+def run_manual_review(spark, sf):
+    return _reviewed(spark, sf).results
+
+
+def run_manual_review_rejects(spark, sf):
+    return _reviewed(spark, sf).rejects
+
+
+def _ingested(spark, sf):
     files = views.page_files(spark, sf, ".pdf")
     path = F.concat(F.lit("repo/"), "dataset_split", F.lit("/"), "file_name")
-    done = ingest.run_ingest(
+    return ingest.run_ingest(
         spark, views.raw_questions(spark, sf), files.withColumn("path", path), "attachments",
-        new_path(spark, "questions"), new_path(spark, "bronze"), created(),
+        new_path(spark, "questions"), new_path(spark, "bronze"), 0, created(),
     )
-    return done.questions
 
 
-def run_extract(spark, sf):
+def run_ingest(spark, sf):
+    return _ingested(spark, sf).questions
+
+
+def run_ingest_rejects(spark, sf):
+    return _ingested(spark, sf).rejects.select("task_id", "dataset_split", "reject_reason")
+
+
+def run_ingest_attachments(spark, sf):
+    return _ingested(spark, sf).attachments
+
+
+def run_ingest_summary(spark, sf):
+    return _ingested(spark, sf).summary
+
+
+def _extracted(spark, sf):
+    """Pages without an end are broken: their bytes are no UTF-8."""
     path = new_path(spark, "silver")
     blocks = views.blocks(spark, sf).select(
         F.lit("test").alias("dataset_split"), F.concat("doc", F.lit(".pdf")).alias("file_name"),
         "pos", "block_type", "text", "job_status",
     )
-    extract.run_extract(views.page_files(spark, sf, ".pdf"), blocks, models.html_pages, path)
-    return tables.read_table(spark, path, schemas.SILVER)
+    whole = F.decode("content", "UTF-8").endswith("</html>")
+    files = views.page_files(spark, sf, ".pdf").withColumn(
+        "content", F.when(whole, F.col("content")).otherwise(F.unhex(F.lit("ff")))
+    )
+    return path, extract.run_extract(files, blocks, models.html_pages, path, 0)
+
+
+def run_extract(spark, sf):
+    return objects.read_silver(spark, _extracted(spark, sf)[0])
+
+
+def run_extract_failed(spark, sf):
+    return _extracted(spark, sf)[1].failed.select("dataset_split", "file_name")
+
+
+def run_extract_counts(spark, sf):
+    return _extracted(spark, sf)[1].counts
 
 
 def run_evaluation_retry(spark, sf):
     questions, silver = views.questions(spark, sf), views.silver(spark, sf)
     done = evaluate.run_evaluation(
-        questions, views.user_results(spark, sf), silver, USER, models.echo_model, models.length_judge, seq=1,
+        questions, views.user_results(spark, sf), silver, USER, models.echo_model, models.digest_judge, seq=1,
         retries_only=True, created=created(),
     )
     return done.updates.select("task_id", "status", "chatgpt_response")
@@ -569,6 +701,10 @@ def run_summary(spark, sf):
     return report.run_summary(views.questions(spark, sf), views.user_results(spark, sf), USER, "validation").counts
 
 
+def run_summary_totals(spark, sf):
+    return report.run_summary(views.questions(spark, sf), views.user_results(spark, sf), USER, "validation").totals
+
+
 def run_summary_all(spark, sf):
     return report.run_summary_all(views.questions(spark, sf), views.user_results(spark, sf)).totals
 
@@ -577,36 +713,53 @@ def run_summary_all_counts(spark, sf):
     return report.run_summary_all(views.questions(spark, sf), views.user_results(spark, sf)).counts
 
 
-def run_browse(spark, sf):
-    view = report.run_browse(
+def _browsed(spark, sf):
+    return report.run_browse(
         views.questions(spark, sf), views.user_results(spark, sf), USER, "validation",
         [2, 3], ["No File", ".pdf"], page=1,
     )
-    return view.rows.select("task_id", "Level", "file_name", "user_result_status")
+
+
+def run_browse(spark, sf):
+    return _browsed(spark, sf).rows.select("task_id", "Level", "file_name", "user_result_status", "Question")
+
+
+def run_browse_facets(spark, sf):
+    return _browsed(spark, sf).facets
+
+
+def run_browse_total(spark, sf):
+    """The row count and the page shown, beside the rows of the table the view was taken from."""
+    view = _browsed(spark, sf)
+    rows = views.questions(spark, sf).agg(F.count("*").alias("questions"))
+    return rows.withColumns({"total": F.lit(view.total).cast("long"), "page": F.lit(view.page).cast("long")})
 
 
 QUERIES = {
     query.__name__: query for query in (
-        load_split, scan_questions, scan_user_results, overwrite_table, list_objects, bronze_ingest, silver_write,
-        silver_lookup, json_records,
+        load_split, scan_questions, scan_user_results, overwrite_table, overwrite_table_emptied, bronze_ingest,
+        silver_write, silver_lookup, json_records,
         flatten_struct, rename_columns, default_column, stamp_created, conform_schema, project_response,
         project_result, project_users, drop_conflicting, question_preview,
         filter_facets, filter_answered, lookup_key, lookup_keys, filter_has_file, filter_pdf, filter_line_blocks,
         validate_domain,
-        join_results, join_results_text_key, join_empty_default, join_attachments, join_silver_text, merge_match,
-        cascade_anti,
-        status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages, join_parts,
-        concat_lines, extract_counts, prefix_counts,
-        page_slice, page_slice_deep, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
+        join_results, join_results_text_key, join_empty_default, join_attachments, join_silver_text,
+        join_silver_text_bounded, merge_match, cascade_anti,
+        status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages,
+        concat_pages_parts, join_parts, join_parts_bounded, concat_lines, concat_lines_parts, extract_counts,
+        prefix_counts,
+        page_slice, page_slice_deep, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
         first_n_listing, union_splits,
         clean_strings, coerce_int, file_extension, file_type_bucket, base_name, silver_key, rewrite_path,
         build_prompt, build_judge_prompt, truncate_answer, truncate_pages, parse_verdict, map_model_error,
         instruction_policy, retry_candidate, prefill_instructions, route_eligibility, is_correct, fill_na,
-        stream_results, stream_documents,
+        stream_results, stream_results_rejected, stream_documents,
         upsert_results, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
-        delete_cascade_unknown, update_role,
+        delete_cascade_unknown, update_role, update_role_unknown,
         batch_infer, batch_judge, extract_documents, run_evaluation, run_evaluation_retry,
-        run_manual_review, run_ingest, run_extract, run_summary,
-        run_summary_all, run_summary_all_counts, run_browse,
+        run_evaluation_keep_errors, run_evaluation_attempts, run_manual_review, run_manual_review_rejects,
+        run_ingest, run_ingest_rejects, run_ingest_attachments, run_ingest_summary,
+        run_extract, run_extract_failed, run_extract_counts, run_summary, run_summary_totals,
+        run_summary_all, run_summary_all_counts, run_browse, run_browse_facets, run_browse_total,
     )
 }

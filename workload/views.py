@@ -9,15 +9,25 @@ def created() -> Column:
     return F.to_timestamp(F.lit("2024-01-01 00:00:00"))
 
 
-_SCHEMAS = {}
+SCHEMAS = {
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "labels": "doc_id long, quality int, toxic int",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "pages": "page_id long, url string, html string",
+}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. Its schema is looked up once, as in a catalog, not for every query."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A given table under its declared schema."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _split(lang):
@@ -109,9 +119,13 @@ def user_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Listing of attachments: those of the longer documents, and every page as a file of its own."""
-    documents = table(spark, sf, "documents").where(F.col("n_chars") >= 1000).select(
-        _split(F.col("lang")).alias("dataset_split"), _file_name().alias("file_name"),
+    """Listing of attachments: those of all documents, and every page as a file of its own.
+
+    Attachments of French documents lie in the other split, where their questions do not find them.
+    """
+    listed = F.when(F.col("lang") == "fr", "validation").otherwise(_split(F.col("lang")))
+    documents = table(spark, sf, "documents").select(
+        listed.alias("dataset_split"), _file_name().alias("file_name"),
         F.col("n_chars").alias("length"),
     ).where(F.coalesce("file_name", F.lit("")) != "")
     pages = page_files(spark, sf).select("dataset_split", "file_name", "length")
@@ -153,17 +167,24 @@ def pages_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, sf: str) -> DataFrame:
-    """Extracted texts: pages by one method, benchmark items (for either split) by the other."""
-    pages = page_files(spark, sf, "").select(
-        F.lit("pymupdf").alias("method"), "dataset_split", F.col("file_name").alias("base_name"),
-        F.decode("content", "UTF-8").alias("text"),
-    )
-    items = table(spark, sf, "benchmark").select(
-        F.lit("textract").alias("method"),
-        F.explode(F.array(F.lit("test"), F.lit("validation"))).alias("dataset_split"),
-        F.col("item_id").cast("string").alias("base_name"), "text",
-    )
-    return pages.unionByName(items)
+    """Extracted texts: those of documents, but French ones by one method and English ones by the other.
+
+    A text of more than 1,000 signs has a second part.
+    """
+    documents = table(spark, sf, "documents")
+    methods = F.array_compact(F.array(
+        F.when(F.col("lang") != "fr", "pymupdf"), F.when(F.col("lang") != "en", "textract")
+    ))
+    parts = F.array_compact(F.array(
+        F.struct(F.lit(0).cast("long").alias("part"), F.substring("text", 1, 1000).alias("text")),
+        F.when(F.length("text") > 1000, F.struct(
+            F.lit(1).cast("long").alias("part"), F.expr("substring(text, 1001)").alias("text")
+        )),
+    ))
+    return documents.select(
+        F.explode(methods).alias("method"), _split(F.col("lang")).alias("dataset_split"),
+        F.col("doc_id").cast("string").alias("base_name"), parts.alias("parts"),
+    ).select("method", "dataset_split", "base_name", F.inline("parts"))
 
 
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,6 +208,12 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
     return _feed(spark, sf).where(F.col("task_id") != "view")
 
 
+def feed_with_unknown_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All events; the views name a split that is not accepted."""
+    views_of_train = F.when(F.col("task_id") == "view", "train").otherwise(F.col("dataset_split"))
+    return _feed(spark, sf).withColumn("dataset_split", views_of_train)
+
+
 def stored_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results before the feed: the first view, click and purchase of a user. Clicks are newer than the feed."""
     stored = _feed(spark, sf).where(F.col("task_id").isin("view", "click", "purchase"))
