@@ -17,7 +17,7 @@ from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import fit_quality, quality_score
 from evalspark.llm.repeats import remove_repeats
 from evalspark.llm.simhash import near_duplicates_removed
-from evalspark.staging import stage
+from evalspark.staging import stage, use_own_folder
 
 # Python workers may start in another folder, so they get the functions themselves.
 cloudpickle.register_pickle_by_value(evalspark)
@@ -64,6 +64,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each on the written result of the one before, in the shared folder."""
+    use_own_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name=name)
