@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.llm.common import arrow_schema, batches_of, kept, texts_of
+from evalspark.staging import stage
 
 BLOCK_ITEMS = 8
 MOST_BLOCKS = 64
@@ -262,6 +263,10 @@ def question_and_answer(text: Column, answer_share: float = 0.25) -> tuple[Colum
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, question: Column, answer: Column, item_key: str = "item_id", rules: Rules = Rules(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that contain no test item, with all their columns. Rows with a null key are judged by key as well."""
+    """The documents that contain no test item, with all their columns. Rows with a null key are judged by key as well.
+
+    The leaking keys are written first: Spark then knows how few they are before it decides whether to shuffle texts.
+    """
     leaks = find_leaks(docs, items, question, answer, item_key, rules, key=key, text=text).select(F.col(key).alias("leaking")).distinct()
+    leaks = stage(leaks, name="leaks")
     return docs.join(leaks, F.col(key).eqNullSafe(F.col("leaking")), "left_anti")

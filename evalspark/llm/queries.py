@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.decontamination import find_leaks, question_and_answer
 from evalspark.llm.language import identify_language
 from evalspark.llm.line_quality import judge_lines
+from evalspark.llm.oracle import ORACLE
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import classify_quality
 from evalspark.llm.repeats import find_repeats
@@ -67,48 +68,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(documents(spark, sf_dir), weights=[1.0] * 40)
 
 
-OP5_SQL = r"""
-WITH texts AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
-), worded AS (
-  SELECT *, row_number() OVER () AS rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts
-), windows AS (
-  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
-  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM worded)
-), counted_windows AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows
-), covered AS (
-  SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM counted_windows WHERE n > 1) GROUP BY rid
-), raw_lines AS (
-  SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM worded
-), lines AS (
-  SELECT rid, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-         lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h
-  FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), repeated AS (
-  SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid
-), sizes AS (
-  SELECT host, count(*) AS documents FROM worded GROUP BY host
-), frequent AS (
-  SELECT host, h FROM (SELECT host, h, count(DISTINCT rid) AS n FROM lines GROUP BY host, h) JOIN sizes USING (host)
-  WHERE n > 20 AND n > documents * 0.01::DOUBLE
-), lost AS (
-  SELECT rid, sum(words)::BIGINT AS removed FROM lines JOIN frequent USING (host, h) GROUP BY rid
-), base AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words,
-         length(array_to_string(words, ''))::BIGINT AS word_chars,
-         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         coalesce(repeated.n, 0)::BIGINT AS n_dup_lines,
-         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         coalesce(removed, 0)::BIGINT AS removed_words
-  FROM worded LEFT JOIN covered USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN lost USING (rid)
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= n_words * 0.5::DOUBLE AS kept,
-       removed_words
-FROM base
-"""
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -122,6 +82,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_shard": op10_shard,
 }
-ORACLE: dict[str, str] = {
-    "op5_lines": OP5_SQL,
-}
