@@ -19,7 +19,6 @@ very many phrases is not brought together: its phrases are dealt out one by one,
 """
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
