@@ -98,22 +98,34 @@ def join_attachments(questions: DataFrame, files: DataFrame) -> DataFrame:
 def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), largest: int | None = None) -> DataFrame:
     """One row per document as (keys, text, bytes), for readers that need the text in one cell, such as a prompt.
 
-    Documents of one part, nearly all, pass through. The parts of a longer one are brought
-    together only after their sizes have been added up: with ``largest`` a document of more
+    Only parts after the first, which few documents have, are grouped; first parts meet them in
+    one join. With ``largest`` sizes are added up before any text is, and a document of more
     bytes keeps its row, with its size and a null text.
     """
-    long = parts.where(F.col("part") > 0).select(*keys).distinct()
-    single = key_join(parts, long, keys, "left_anti").select(*keys, "text", F.octet_length("text").cast("long").alias("bytes"))
-    several = key_join(parts, long, keys, "left_semi")
-    sizes = several.groupBy(*keys).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    fits = F.lit(True) if largest is None else F.col("bytes") <= largest
+    size = F.octet_length("text").cast("long")
+    first = parts.where(F.col("part") == 0).select(*keys, "text", size.alias("bytes"))
+    rest = parts.where(F.col("part") > 0)
+    sizes = rest.groupBy(*keys).agg(F.sum(size).alias("_more"))
+    if largest is not None:
+        rest = key_join(rest, sizes.where(F.col("_more") <= largest), keys, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    whole = key_join(several, sizes.where(fits), keys, "left_semi").groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text")
+    tails = rest.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("_rest"), F.sum(size).alias("_more")
     )
-    return single.withColumn("text", F.when(fits, F.col("text"))).unionByName(
-        key_join(sizes, whole, keys, "left").select(*keys, "text", "bytes")
+    if largest is not None:
+        tails = key_join(sizes, tails.drop("_more"), keys, "left")
+    joined = key_join(first, tails, keys, "left").select(
+        *keys, F.when(F.col("_more").isNull(), F.col("text")).otherwise(F.concat("text", "_rest")).alias("text"),
+        (F.col("bytes") + F.coalesce("_more", F.lit(0))).alias("bytes"),
     )
+    # Documents whose first piece has a high number have no part 0.
+    headless = key_join(tails, first, keys, "left_anti").select(
+        *keys, F.col("_rest").alias("text"), F.col("_more").alias("bytes")
+    )
+    whole = joined.unionByName(headless)
+    if largest is None:
+        return whole
+    return whole.withColumn("text", F.when(F.col("bytes") <= largest, F.col("text")))
 
 
 def join_silver_text(

@@ -218,6 +218,8 @@ def test_long_documents_come_in_parts(spark):
     one_part = spark.createDataFrame([("e", 0, "x")], "doc string, part long, text string")
     whole = joins.join_parts(parts.unionByName(one_part))
     assert rows(whole) == [("d", "0123456789", 10), ("e", "x", 1)]
+    assert rows(joins.join_parts(parts.where("part > 0"))) == [("d", "456789", 6)]
+    assert rows(joins.join_parts(parts.where("part > 0"), largest=5)) == [("d", None, 6)]
     assert rows(joins.join_parts(parts.unionByName(one_part), largest=9)) == [("d", None, 10), ("e", "x", 1)]
     assert rows(joins.join_parts(parts.unionByName(one_part), largest=0)) == [("d", None, 10), ("e", None, 1)]
 
