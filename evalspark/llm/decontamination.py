@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from evalspark.llm.common import arrow_schema, batches_of, kept, texts_of
 from evalspark.staging import stage
-from evalspark.staging import stage
 
 BLOCK_ITEMS = 8
 MOST_BLOCKS = 64
+MOST_MAXIMA = 1 << 22
 INDEX_BYTES = 4 << 20
 CACHED = 400_000
 LONGEST_CACHED = 48
@@ -82,7 +82,8 @@ class ItemIndex:
             for word, impact in impacts.items():
                 posts[self.terms[word]].append((item, impact / own))
         self.posts = [([item for item, _ in post], [weight for _, weight in post]) for post in posts]
-        self.block_items = max(BLOCK_ITEMS, -(-len(bags) // MOST_BLOCKS))
+        blocks = max(1, min(MOST_BLOCKS, MOST_MAXIMA // max(1, len(posts))))
+        self.block_items = max(BLOCK_ITEMS, -(-len(bags) // blocks))
         self.block_max = np.zeros((-(-len(bags) // self.block_items), len(posts)), np.float32)
         for term, post in enumerate(posts):
             for item, weight in post:
@@ -186,9 +187,12 @@ class Searcher:
         left, right = np.searchsorted(places, starts), np.searchsorted(places, starts + 2 * self.stride)
         known = words[places]
         passages, blocks = index.open_blocks(known, left, right)
-        for k in np.flatnonzero(np.bincount(passages)).tolist():
-            terms = np.unique(known[left[k] : right[k]])
-            opened = blocks[passages == k]
+        order = np.argsort(passages, kind="stable")
+        passages, blocks = passages[order], blocks[order]
+        edges = np.flatnonzero(np.diff(passages, prepend=-1, append=len(starts)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            k = int(passages[a])
+            terms, opened = np.unique(known[left[k] : right[k]]), blocks[a:b]
             opened = opened[index.block_max[np.ix_(opened, terms)].sum(axis=1) >= 1 - 1e-6]
             for block in opened.tolist():
                 for item, score in index.wand(terms.tolist(), block):

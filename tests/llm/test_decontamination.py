@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.llm import decontamination
 from evalspark.llm.decontamination import ItemIndex, Rules, Searcher, decontaminate, find_leaks, question_and_answer, words_of
 
 RULES = Rules()
@@ -101,3 +102,12 @@ def test_question_and_answer(spark):
     rows = spark.createDataFrame([("a b c d e f g h",), (" one ",), (None,), ("",)], "text string")
     q, a = question_and_answer(F.col("text"))
     assert [tuple(r) for r in rows.select(q, a).collect()] == [("a b c d e f", "g h"), ("", "one"), (None, None), ("", "")]
+
+
+@pytest.mark.parametrize(("name", "value"), [("MOST_MAXIMA", 200), ("MOST_BLOCKS", 2), ("BLOCK_ITEMS", 1), ("POSITIONS_AT_ONCE", 1)])
+def test_any_block_size_finds_the_same(monkeypatch, name, value):
+    texts, items = _data(4)
+    monkeypatch.setattr(decontamination, name, value)
+    index = ItemIndex([(k, q or "", a or "") for k, q, a in items], RULES)
+    search = Searcher(index)
+    assert {(key, index.keys[i]) for key, text in texts for i in search(text or "")} == _brute(texts, items)
