@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import evalspark
-from evalspark.llm.decontamination import decontaminate, question_and_answer
+from evalspark.llm.decontamination import LEAKS, decontaminate, question_and_answer
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import fit_quality, quality_score
 from evalspark.llm.repeats import remove_repeats
@@ -42,7 +42,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, items, *question_and_answer(F.col("text")))
+    return decontaminate(docs, items, *question_and_answer(F.col("text")), rules=LEAKS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

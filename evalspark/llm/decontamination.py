@@ -7,7 +7,7 @@ windows over a whole text that overlap by half and are long enough for the longe
 
 A passage first meets the block maxima: only blocks whose maxima add up to 1 are opened, and inside them WAND moves
 from pivot to pivot. Every item retrieved is verified: enough word shingles of its question and of its answer must
-occur in the passage.
+occur in the passage, or, where the rules name a share for it, enough of the whole item's.
 """
 
 import uuid
@@ -50,15 +50,29 @@ def _shingles(ids: list[int], n: int) -> set[tuple[int, ...]]:
 
 @dataclass(frozen=True)
 class Rules:
-    """Share of an item's own BM25 score that retrieves it, shingle length and shares of shingles that verify it."""
+    """Share of an item's own BM25 score that retrieves it, shingle length and shares of shingles that verify it.
+
+    With `whole`, an item is also verified by that share of the shingles of its whole text, if each part has `part_words`
+    of its distinct words in the passage. A part is short, so one changed word can take most of its shingles.
+    """
 
     share: float = 0.7
     shingle_words: int = 5
     question: float = 0.8
     answer: float = 0.8
+    whole: float | None = None
+    part_words: float = 0.5
     k1: float = 1.2
     b: float = 0.75
 
+    def whole_shingle_words(self, words: int) -> int:
+        """The longest shingle, of two words at least, of which one changed word leaves the share `whole` of an item."""
+        return max(2, min(self.shingle_words, int((1 - self.whole) * (words + 1) / (2 - self.whole) + 1e-9)))
+
+
+#: What the registered query and the pipeline take for a leak.
+LEAKS = Rules(whole=0.8)
+
 
 class ItemIndex:
     """Inverted index of items (key, question, answer). `frequency` and `total` describe all items, if these are a part."""
@@ -74,6 +88,8 @@ class ItemIndex:
         self.terms = {word: i for i, word in enumerate(sorted(set().union(*bags)))}
         self.longest = max((sum(bag.values()) for bag in bags), default=0)
         self.shingles = [tuple(_shingles([self.terms[w] for w in part], rules.shingle_words) for part in parts) for _, *parts in texts]
+        self.wholes = [[self.terms[w] for w in question + answer] for _, question, answer in texts] if rules.whole is not None else []
+        self.question_words = [len(question) for _, question, _ in texts]
         posts: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, bag in enumerate(bags):
             norm = rules.k1 * (1 - rules.b + rules.b * sum(bag.values()) / mean_words)
@@ -138,19 +154,29 @@ class ItemIndex:
         return found
 
     def verified(self, item: int, passage: list[int]) -> tuple[float, float] | None:
-        """Shares of the question's and the answer's shingles in the passage, if both are high enough.
+        """Shares of the question's and the answer's shingles in the passage, if both are high enough or the whole item's are.
 
         An item without an answer is verified by its question alone, and the other way round.
         """
         shares = []
-        for part, least in zip(self.shingles[item], (self.rules.question, self.rules.answer)):
+        for part in self.shingles[item]:
             lengths = {len(shingle) for shingle in part}
             there = set().union(*[_shingles(passage, n) for n in lengths])
             shares.append(len(part & there) / len(part) if part else 1.0)
-            if shares[-1] < least:
+        if shares[0] < self.rules.question or shares[1] < self.rules.answer:
+            if self.rules.whole is None or not self._whole_verified(item, passage):
                 return None
         return shares[0], shares[1]
 
+    def _whole_verified(self, item: int, passage: list[int]) -> bool:
+        whole, cut, there = self.wholes[item], self.question_words[item], set(passage)
+        for part in (set(whole[:cut]), set(whole[cut:])):
+            if len(part & there) < self.rules.part_words * len(part):
+                return False
+        n = self.rules.whole_shingle_words(len(whole))
+        shingles = _shingles(whole, n)
+        return len(shingles & _shingles(passage, n)) >= self.rules.whole * len(shingles) - 1e-9
+
 
 class Searcher:
     """Finds the items of one index in whole texts."""

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.decontamination import find_leaks, question_and_answer
+from evalspark.llm.decontamination import LEAKS, find_leaks, question_and_answer
 from evalspark.llm.language import identify_language
 from evalspark.llm.line_quality import judge_lines
 from evalspark.llm.oracle import ORACLE
@@ -27,7 +27,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")))
+    return find_leaks(documents(spark, sf_dir), items, *question_and_answer(F.col("text")), rules=LEAKS)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

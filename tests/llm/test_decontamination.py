@@ -7,8 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import without_test_items
 from evalspark.llm import decontamination
-from evalspark.llm.decontamination import ItemIndex, Rules, Searcher, decontaminate, find_leaks, question_and_answer, words_of
+from evalspark.llm.decontamination import LEAKS, ItemIndex, Rules, Searcher, decontaminate, find_leaks, question_and_answer, words_of
+from evalspark.llm.queries import op1_decontaminate
 
 RULES = Rules()
 
@@ -111,3 +113,49 @@ def test_any_block_size_finds_the_same(monkeypatch, name, value):
     index = ItemIndex([(k, q or "", a or "") for k, q, a in items], RULES)
     search = Searcher(index)
     assert {(key, index.keys[i]) for key, text in texts for i in search(text or "")} == _brute(texts, items)
+
+
+def _items_of_one_text(seed):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(1500)}" for _ in range(n)) for n in range(11, 60)]
+
+
+def _changed_everywhere(texts):
+    """(item, text with one other word) for every word of every item."""
+    for item, text in enumerate(texts):
+        words = text.split()
+        for place in range(len(words)):
+            yield item, " ".join([*words[:place], "CHANGED", *words[place + 1 :]])
+
+
+def test_one_changed_word_at_any_place_is_found(spark, tmp_path):
+    texts = _items_of_one_text(5)
+    changed = [(i, item, f"before {text} after") for i, (item, text) in enumerate(_changed_everywhere(texts))]
+    docs = spark.createDataFrame([(i, text) for i, _, text in changed] + [(-1, "nothing of the kind")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in op1_decontaminate(spark, str(tmp_path)).collect()}
+    assert found == {(i, item) for i, item, _ in changed}
+    assert [r.doc_id for r in without_test_items(spark, docs, str(tmp_path)).collect()] == [-1]
+
+
+def test_whole_item_rule_adds_to_the_rule_of_the_parts():
+    texts, items = _data(6)
+    listed = [(k, q or "", a or "") for k, q, a in items]
+    parts, whole = ({(key, index.keys[i]) for key, text in texts for i in Searcher(index)(text or "")} for index in (ItemIndex(listed, RULES), ItemIndex(listed, LEAKS)))
+    assert parts < whole
+
+
+def test_half_an_item_or_its_words_in_another_order_are_no_leak():
+    texts = _items_of_one_text(7)
+    items = [(i, " ".join(words[: len(words) * 3 // 4]), " ".join(words[len(words) * 3 // 4 :])) for i, words in enumerate(text.split() for text in texts)]
+    search = Searcher(ItemIndex(items, LEAKS))
+    rng = random.Random(8)
+    for text, (_, question, answer) in zip(texts, items):
+        words = text.split()
+        rng.shuffle(words)
+        assert not search(question) and not search(answer) and not search(" ".join(words))
+    # An answer too short to be missed among the shingles of the whole item.
+    question = " ".join(f"q{i}" for i in range(40))
+    search = Searcher(ItemIndex([(0, question, "yes indeed")], LEAKS))
+    assert search(f"{question} yes indeed") and search(f"{question} yes changed") and not search(f"{question} no never")
