@@ -21,10 +21,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Tree:
-    """Depth of the tree, siblings a parent keeps by name, and the statistics of merging and rejecting."""
+    """Depth of the tree, siblings a parent keeps by name, and the statistics of merging and rejecting.
+
+    With `pool_labelled`, rare children with labels are pooled with the rare ones that have none, as the SQL of the
+    registered query has it. Without, every child with labels keeps its name, so labels never reach other sections.
+    """
 
     depth: int = 4
     named_children: int = 64
+    pool_labelled: bool = True
     same_z: float = 1.0
     prior: float = 2.0
     purity: float = 0.8
@@ -82,7 +87,8 @@ def _grown(leaves: DataFrame, at: int, rule: Tree) -> DataFrame:
     """`leaves` with the branch of depth `at` appended to their templates.
 
     A parent keeps children by name only if they hold at least one in `named_children` of its pages, so the windows over
-    siblings see a bounded number of them.
+    siblings see a bounded number of them. If children with labels keep their names whatever their size, the windows see
+    siblings with equal counts as one, and a branch of several is named by the least of them and the number of others.
     """
     child = F.get(F.split("shape", "/"), at)
     here = leaves.withColumn("child", F.when((child != "") & child.isNotNull(), child))
@@ -90,18 +96,25 @@ def _grown(leaves: DataFrame, at: int, rule: Tree) -> DataFrame:
     children = here.filter("child is not null").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     sized = children.join(parents, (F.col("host") == F.col("p_host")) & (F.col("template") == F.col("p_template")))
     named = F.col("n") * rule.named_children >= F.col("p_n")
+    if not rule.pool_labelled:
+        named = named | (F.col("labelled") > 0)
     sized = sized.select("host", "template", "child", F.when(named | F.col("child").startswith("{"), F.col("child")).otherwise("*").alias("name"), "labelled", "blocked")
     names = sized.groupBy("host", "template", "name").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     # Siblings with labels, in order of their share; a new branch begins where the step is significant.
     share = _share(F.col("blocked"), F.col("labelled"), F.lit(0.5), 2.0)
     spread = share * (1 - share) / (F.col("labelled") + 2.0)
-    order = Window.partitionBy("host", "template").orderBy("share", "name")
+    siblings = names.filter("labelled > 0")
+    alike = siblings if rule.pool_labelled else siblings.select("host", "template", "labelled", "blocked").distinct()
+    order = Window.partitionBy("host", "template").orderBy("share", "name" if rule.pool_labelled else "labelled")
     step = F.col("share") - F.lag("share").over(order)
     apart = F.coalesce(step > F.lit(rule.same_z) * F.sqrt(F.col("spread") + F.lag("spread").over(order)), F.lit(True))
-    cluster = names.filter("labelled > 0").withColumn("share", share).withColumn("spread", spread).withColumn("apart", apart)
+    cluster = alike.withColumn("share", share).withColumn("spread", spread).withColumn("apart", apart)
     cluster = cluster.withColumn("branch", F.sum(F.col("apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = cluster.groupBy(F.col("host").alias("m_host"), F.col("template").alias("m_template"), "branch").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    merged = merged.select("m_host", "m_template", F.explode("names").alias("m_name"), F.array_join("names", "|").alias("branch_name"))
+    if rule.pool_labelled:
+        merged = cluster.groupBy(F.col("host").alias("m_host"), F.col("template").alias("m_template"), "branch").agg(F.sort_array(F.collect_set("name")).alias("names"))
+        merged = merged.select("m_host", "m_template", F.explode("names").alias("m_name"), F.array_join("names", "|").alias("branch_name"))
+    else:
+        merged = _named_by_least(siblings, cluster.select("host", "template", "labelled", "blocked", "branch"))
     branches = sized.join(merged, (F.col("host") == F.col("m_host")) & (F.col("template") == F.col("m_template")) & (F.col("name") == F.col("m_name")), "left")
     branches = branches.select(F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("child").alias("b_child"), F.coalesce("branch_name", "name").alias("branch_name"))
     joined = here.join(branches, (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template")) & (F.col("child") == F.col("b_child")), "left")
@@ -109,6 +122,15 @@ def _grown(leaves: DataFrame, at: int, rule: Tree) -> DataFrame:
     return joined.select("host", "shape", longer.alias("template"), "n", "labelled", "blocked")
 
 
+def _named_by_least(siblings: DataFrame, cluster: DataFrame) -> DataFrame:
+    """The branch of each sibling, found by its counts; names of any number of siblings are not brought together."""
+    own = siblings.join(cluster, ["host", "template", "labelled", "blocked"])
+    least = own.groupBy("host", "template", "branch").agg(F.min("name").alias("least"), F.count(F.lit(1)).alias("n"))
+    label = F.when(F.col("n") == 1, F.col("least")).otherwise(F.concat("least", F.lit("|+"), (F.col("n") - 1).cast("string")))
+    found = own.join(least, ["host", "template", "branch"])
+    return found.select(F.col("host").alias("m_host"), F.col("template").alias("m_template"), F.col("name").alias("m_name"), label.alias("branch_name"))
+
+
 def judged_templates(pages: DataFrame, rule: Tree = Tree()) -> DataFrame:
     """Pages (host, shape, blocked or null) as shapes with their template, its smoothed share and whether it is rejected."""
     blocked = F.sum(F.when(F.col("blocked"), 1).otherwise(0))

@@ -210,3 +210,31 @@ def test_urls(spark, tree):
         expected.append((key, host, path, _rule(host, path), "block" if (rejected if blocked is None else blocked) else "allow", template))
     assert sorted((tuple(row)[:6] for row in found), key=repr) == sorted(expected, key=repr)
     assert filter_urls(frame.limit(0), ALLOW, BLOCK).collect() == []
+
+
+def _section(host, name, pages):
+    return [f"http://{host}/{name}/{page}.html" for page in range(pages)]
+
+
+def test_rare_sections_without_labels_do_not_share_the_labels_of_others(spark):
+    sections = {"en": 400, "de": 400, "fr": 12, **{f"clean{c}": 12 for c in "abcdefghijklmno"}}
+    urls = [url for name, pages in sections.items() for url in _section("a.net", name, pages)]
+    # Of two rare labelled sections with different shares, each is judged by itself.
+    urls += _section("b.net", "big", 2000) + _section("b.net", "es", 10) + _section("b.net", "fr", 10)
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = filter_urls(frame, ["b.net/fr/"], ["net/es/", "net/fr/"], rule=Tree(pool_labelled=False)).collect()
+    blocked = Counter((r.host, r.path.split("/")[1]) for r in found if r.verdict == "block")
+    assert len(found) == len(urls) and blocked == {("a.net", "fr"): 12, ("b.net", "es"): 10}
+    templates = defaultdict(set)
+    for r in found:
+        templates[r.host, r.path.split("/")[1]].add(r.template)
+    assert templates["a.net", "fr"] == {"/fr/{n}.html"} and templates["a.net", "cleana"] == {"/*/{n}.html"}
+    assert templates["b.net", "es"] == {"/es/{n}.html"} and templates["b.net", "fr"] == {"/fr/{n}.html"}
+
+
+def test_many_labelled_sections_of_equal_counts_make_one_branch(spark):
+    urls = [url for i in range(300) for url in _section("a.net", "s" + "".join(chr(97 + int(d)) for d in f"{i:03}"), 2)]
+    urls += _section("a.net", "open", 5)
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = filter_urls(frame, [], ["a.net/s"], rule=Tree(pool_labelled=False)).collect()
+    assert Counter((r.template, r.verdict) for r in found) == {("/saaa|+299/{n}.html", "block"): 600, ("/*/{n}.html", "allow"): 5}
