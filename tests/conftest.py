@@ -61,8 +61,3 @@ def plan():
         df.collect()
         return df._jdf.queryExecution().executedPlan().toString()
     return text
-
-
-def rows(df):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(row) for row in df.collect()), key=repr)

@@ -1,7 +1,7 @@
 """Batched model calls and document extraction."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from evalspark.operators import documents, inference

@@ -2,7 +2,7 @@
 
 import datetime
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import Row, functions as F, types as T
 
 from evalspark import schemas

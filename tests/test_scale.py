@@ -1,7 +1,7 @@
 """Plans that must hold on large tables, and hot keys."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from evalspark import schemas

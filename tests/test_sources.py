@@ -4,7 +4,7 @@ import datetime
 import json
 import os
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from evalspark import schemas, staging
