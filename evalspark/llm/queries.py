@@ -11,10 +11,13 @@ from evalspark.llm.oracle import ORACLE
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality import classify_quality
 from evalspark.llm.repeats import find_repeats
+from evalspark.llm.secret_scan import scan_secrets
 from evalspark.llm.sharding import shard_records
 from evalspark.llm.simhash import simhash_near_dedup
+from evalspark.llm.spelling import spelling_variants
 from evalspark.llm.toxicity import classify_toxicity
 from evalspark.llm.url_templates import filter_urls
+from evalspark.llm.whitening import whiten_embeddings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(documents(spark, sf_dir), weights=[1.0] * 40)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir), least=0.5)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), one_in=97, shortest=5, least=3, ratio=2)
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds, which takes some 10^6 rows of these tables, is null here and whole in the operator."""
+    found = whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {
@@ -81,4 +98,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_shard": op10_shard,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_whiten": op13_whiten,
 }
