@@ -107,11 +107,14 @@ LEFT = re.compile(
     r"""[ \t]*(?:\][ ]*["'`](?P<of>[^"'`\n]{1,128})["'`][ ]*\[|["'`](?P<quoted>[^"'`\n]{1,128})["'`]"""
     r"""|(?P<type>[\w.?*&\]\[]{1,64})[ ]*:[ ]*(?P<typed>[\w$]{1,128})(?![\w"'])|(?P<go>gnirts)[ ]+(?P<bare_go>[\w$]{1,128})[ ]+(?:rav|tsnoc)\b|(?P<bare>[\w$.-]{1,128}))"""
 )
+# No pattern looks back over what it has passed, and none that may fail looks further than the next of its end signs.
 STRING = re.compile(
-    r'''[A-Za-z@$]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''', re.S
+    r'''[A-Za-z@$]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]++|\\.)*+)"|'(?P<d>(?:[^'\\\n]++|\\.)*+)'|`(?P<e>[^`]*+)`)''', re.S
 )
-REFERENCE = re.compile(r"\$\{\{?[ ]*([\w.-]+)[^}\n]*\}?\}|\$\(?([\w.]+)\)?|\{\{[ ]*([\w.-]+)[ ]*\}\}|%\(([\w.]+)\)s|%([\w.]+)%")
-BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+REFERENCE = re.compile(
+    r"\$\{\{?[ ]{0,8}([\w.-]{1,128})[^}\n]{0,256}\}|\$\(?([\w.]{1,128})\)?|\{\{[ ]{0,8}([\w.-]{1,128})[ ]{0,8}\}\}|%\(([\w.]{1,128})\)s|%([\w.]{1,128})%"
+)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>=]{1,4096}={0,2}""")
 JOIN = re.compile(r"""\s*(?:\+|\.\.|\.(?=\s*["'])|\|\||\?\?|\bor\b)\s*|[ \t]+(?=["'])""")
 NEXT, SPACE, ARGUMENT = re.compile(r"[, ]*"), re.compile(r"\s*"), re.compile(r"([\w.]+)(?=[),])[, ]*")
 SCHEME = re.compile(r"(?:bearer|basic|token|apikey)[ \t]+", re.I)
@@ -198,6 +201,8 @@ def pairs_of(text: str) -> list[Pair]:
             continue
         if ahead in ("=", ":", "/") or behind and behind in "=!<>:" and not (sign == "=" and behind == ":"):
             continue
+        if sign == ":" and ahead not in (" ", "\t", '"', "'"):
+            continue
         if sign == "=":
             right += ahead == ">"
             left -= len(behind) if behind and behind in ":?+|&" else 0
