@@ -9,6 +9,7 @@ from evalspark import schemas
 from evalspark.operators.filters import validate_domain
 from evalspark.operators.joins import key_join
 from evalspark.operators.shaping import split_rejects
+from evalspark.staging import stage
 
 KEY = schemas.RESULT_KEY
 
@@ -34,34 +35,36 @@ def _unknown(given: DataFrame, target: DataFrame) -> DataFrame:
     The table's matching keys are found first, so what meets the updates is no larger than they
     are; of the table only the key columns are read.
     """
-    matched = target.select(*KEY).join(given.select(*KEY), KEY, "left_semi").distinct()
-    return given.join(matched, KEY, "left_anti")
+    matched = key_join(target.select(*KEY), given.select(*KEY), KEY, "left_semi").distinct()
+    return key_join(given, matched, KEY, "left_anti")
 
 
 def merge_match(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """What an upsert does with every key: 'update', 'stale', 'insert' or 'keep'."""
-    given = updates.groupBy(*KEY).agg(F.max("seq").alias("_seq"))
+    """What an upsert does with every key: 'update', 'stale', 'insert' or 'keep'. Null keys match each other."""
+    given = stage(updates.groupBy(*KEY).agg(F.max("seq").alias("_seq")), name="given")
     fresh = F.when(is_fresh(F.col("seq"), F.col("_seq")), "update").otherwise("stale")
     marked = given.withColumn("_given", F.lit(True))
-    known = _with_seq(target).select(*KEY, "seq").join(marked, KEY, "left").select(
+    known = key_join(_with_seq(target).select(*KEY, "seq"), marked, KEY, "left").select(
         *KEY, F.when(F.col("_given"), fresh).otherwise("keep").alias("action")
     )
     return known.unionByName(_unknown(given, target).select(*KEY, F.lit("insert").alias("action")))
 
 
-def upsert_results(target: DataFrame, updates: DataFrame, created: Column | None = None) -> DataFrame:
-    """Stored results after a batch of updates.
+# Columns that ``merged_results`` adds to those of the results.
+BEFORE, CHANGE = "status_before", "change"
 
-    A known key gets the new status and response and keeps its creation time, an unknown one is
-    inserted. An update whose seq is not above the stored one is stale and changes nothing.
+
+def merged_results(target: DataFrame, given: DataFrame, created: Column | None = None) -> DataFrame:
+    """Stored results after written ``latest_updates``, with the status each had before and its change.
+
+    The change is 'update' or 'insert', and null for a row that stays as it is.
 
     The updates join the table from the right, so Spark can broadcast a small batch; the table,
     with its responses, is then neither shuffled nor sorted.
     """
     moment = F.current_timestamp() if created is None else created
-    given = latest_updates(updates)
     renamed = given.withColumnsRenamed({"status": "_status", "chatgpt_response": "_response", "seq": "_seq"})
-    joined = _with_seq(target).join(renamed.withColumn("_given", F.lit(True)), KEY, "left")
+    joined = key_join(_with_seq(target), renamed.withColumn("_given", F.lit(True)), KEY, "left")
     fresh = F.col("_given").isNotNull() & is_fresh(F.col("seq"), F.col("_seq"))
 
     def new(name: str, old: str) -> Column:
@@ -69,14 +72,26 @@ def upsert_results(target: DataFrame, updates: DataFrame, created: Column | None
 
     kept = joined.select(
         *KEY, new("_status", "user_result_status"), new("_response", "chatgpt_response"), "created_date",
-        new("_seq", "seq"),
+        new("_seq", "seq"), F.col("user_result_status").alias(BEFORE), F.when(fresh, "update").alias(CHANGE),
     )
     inserted = _unknown(given, target).select(
-        *KEY, F.col("status").alias("user_result_status"), "chatgpt_response", moment.alias("created_date"), "seq"
+        *KEY, F.col("status").alias("user_result_status"), "chatgpt_response", moment.alias("created_date"), "seq",
+        F.lit(None).cast("string").alias(BEFORE), F.lit("insert").alias(CHANGE),
     )
     return kept.unionByName(inserted)
 
 
+def upsert_results(target: DataFrame, updates: DataFrame, created: Column | None = None) -> DataFrame:
+    """Stored results after a batch of updates.
+
+    A known key gets the new status and response and keeps its creation time, an unknown one is
+    inserted. An update whose seq is not above the stored one is stale and changes nothing. Null
+    keys match each other. The batch is folded once, and written.
+    """
+    given = stage(latest_updates(updates), name="given")
+    return merged_results(target, given, created).drop(BEFORE, CHANGE)
+
+
 def checked_updates(updates: DataFrame, statuses: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Updates with an accepted split (and status, if given), and the rejected ones."""
     domains = {"dataset_split": schemas.SPLITS}

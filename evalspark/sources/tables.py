@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from evalspark import schemas
 from evalspark.functions.cleaning import clean_string, coerce_int, coerce_int_reject
 from evalspark.operators.shaping import default_column, flatten_struct, rename_columns
+from evalspark.sources import versions
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -64,29 +65,32 @@ def scan_user_results(results: DataFrame, user_id: str, split: str) -> DataFrame
     return mine.select("user_id", "task_id", "user_result_status", "chatgpt_response")
 
 
-def overwrite_table(df: DataFrame, path: str, splits: Sequence[str], partition: str = "dataset_split") -> None:
-    """Replace the named splits by their rows in ``df``; one without rows is emptied.
-
-    Other splits of the table stay as they are, and rows of other splits are not written.
-    """
-    for split in splits:
-        rows = df.where(F.col(partition) == split).drop(partition)
-        rows.write.mode("overwrite").parquet(f"{path}/{partition}={split}")
+QUESTIONS_TABLE = "questions"
 
 
-def overwrite_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """Write a table in buckets of its key, one sorted file each.
+def overwrite_table(df: DataFrame, path: str, splits: Sequence[str], partition: str = "dataset_split") -> versions.Version:
+    """Publish a version of the table with the named splits replaced by their rows in ``df``; one without rows is emptied.
 
-    A join on the whole key, such as an upsert, then reads the table without shuffling it, as
-    long as there are at least as many buckets as shuffle partitions.
+    Other splits stay as they are, and rows of other splits are not written. The rows are evaluated and written once.
+    Until all of them are, readers see the version before, whole; a load that fails changes nothing.
     """
-    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
-     .option("path", path).saveAsTable(name))
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    base = versions.current(spark, path)
+    written = versions.write_parts(df.where(F.col(partition).isin(list(splits))), path, QUESTIONS_TABLE, [partition])
+    parts = [versions.part_name({partition: split}) for split in splits]
+    return versions.publish(spark, path, base, {QUESTIONS_TABLE: {part: written.get(part) for part in parts}})
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+    """Rows of a table that ``overwrite_table`` wrote, by default of its last version, or of a plain folder of Parquet files.
+
+    The frame goes on reading its version whatever is published later.
+    """
+    numbers = versions.history(spark, path)
+    if not numbers:
+        return spark.read.schema(schema).parquet(path)
+    snapshot = versions.read_version(spark, path, numbers[-1] if version is None else version)
+    return versions.read(spark, path, snapshot, QUESTIONS_TABLE, schema)
 
 
 def empty_tables(spark: SparkSession, users_path: str, results_path: str) -> None:

@@ -1,6 +1,8 @@
-"""Feed of result updates.
+"""Feed of result updates, into a store or into a log.
 
-A batch is folded to its latest update per key and written to its own folder of a log, so its
+Into a store of results (``stream_store``) every batch is applied as it comes, at the cost of the parts it touches.
+
+Into a log (``stream_results``) a batch is folded to its latest update per key and written to its own folder, so its
 cost follows the batch and not the table, and replaying it rewrites the same folder. The
 current results are the base table with the log applied; compaction writes that as a new base.
 Rows carry the seq that wrote them, so applying an old log again changes nothing.
@@ -11,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evalspark import schemas
 from evalspark.operators.mutations import checked_updates, latest_updates, upsert_results
+from evalspark.sources.results import apply_updates
+from evalspark.staging import stage
 
 
 _LOGGED = T.StructType(schemas.RESULT_UPDATES.fields + [T.StructField("batch", T.LongType())])
@@ -33,7 +37,7 @@ def batch_number(run: int, batch_id: int) -> int:
 
 def write_batch(batch: DataFrame, number: int, log_path: str) -> None:
     """Log one batch. Updates outside the accepted splits go to a folder of their own."""
-    good, bad = checked_updates(batch)
+    good, bad = checked_updates(stage(batch, name="batch"))
     latest_updates(good).write.mode("overwrite").parquet(f"{log_path}/accepted/batch={number}")
     bad.write.mode("overwrite").parquet(f"{log_path}/rejected/batch={number}")
 
@@ -51,6 +55,23 @@ def stream_results(updates: DataFrame, log_path: str, checkpoint: str, run: int
     )
 
 
+def stream_store(
+    updates: DataFrame, root: str, checkpoint: str, run: int = 0, source: str = "feed", created: Column | None = None
+) -> StreamingQuery:
+    """Start a run that applies all updates that have arrived to a store of results, batch by batch.
+
+    The store remembers the last batch of the source that it took, so a replayed one changes nothing. Updates outside
+    the accepted splits go to a folder of their own, see ``read_rejected``.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark, number = batch.sparkSession, batch_number(run, batch_id)
+        good, bad = checked_updates(stage(batch, name="batch"))
+        bad.write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
+        apply_updates(spark, root, good, created, source, number)
+
+    return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_log(spark: SparkSession, log_path: str, after: int = -1) -> DataFrame:
     """Logged updates; those of the batches up to ``after``, compacted before, are not read."""
     logged = spark.read.schema(_LOGGED).parquet(f"{log_path}/accepted")

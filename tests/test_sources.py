@@ -1,6 +1,5 @@
 """Tables and objects on disk."""
 
-import datetime
 import json
 import os
 
@@ -8,7 +7,6 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from evalspark import schemas, staging
-from evalspark.operators import mutations
 from evalspark.sources import objects, tables
 
 
@@ -166,20 +164,3 @@ def test_silver_last_write_wins(spark, tmp_path):
     )
     found = objects.silver_lookup(requests, silver).select("method", "file_name", "text")
     assert rows(found) == [("Amazon Textract", "a.pdf", "t"), ("PyMuPDF", "a.pdf", "new"), ("PyMuPDF", "b.pdf", None)]
-
-
-def test_upsert_reads_a_bucketed_table_without_shuffling_it(spark, tmp_path, plan, conf):
-    conf({"spark.sql.autoBroadcastJoinThreshold": "-1"})
-    moment = datetime.datetime(2024, 1, 1)
-    target = spark.createDataFrame(
-        [("u", f"t{i}", "test", "A", "r", moment, 1) for i in range(50)], schemas.USER_RESULTS
-    )
-    stored = tables.overwrite_bucketed(target, "stored_results", str(tmp_path / "t"), schemas.RESULT_KEY, 8)
-    updates = spark.createDataFrame([("u", "t1", "B", "n", "test", 2)], schemas.RESULT_UPDATES)
-    result = mutations.upsert_results(stored, updates, F.lit(moment))
-    assert result.where("user_result_status = 'B'").count() == 1 and result.count() == 50
-    lines = plan(result).split("== Initial")[0].split("\n")
-    scan = next(i for i, line in enumerate(lines) if "stored_results" in line)
-    assert "Bucketed: true" in lines[scan]
-    assert not any("Exchange" in line for line in lines[:scan])
-    spark.sql("DROP TABLE stored_results")

@@ -59,6 +59,7 @@ VIEW_SQL = {
         CASE WHEN event_type IN ('view', 'click') THEN 'test' ELSE 'validation' END AS dataset_split,
         event_id AS seq FROM events""",
     "updates": "SELECT * FROM feed WHERE task_id <> 'view'",
+    "nameless": "SELECT * REPLACE (CASE WHEN seq % 3 <> 0 THEN task_id END AS task_id) FROM updates",
     "stored_results": f"""SELECT user_id, task_id, dataset_split, arg_min(status, seq) AS user_result_status,
         arg_min(chatgpt_response, seq) AS chatgpt_response, {CREATED} AS created_date,
         CASE WHEN task_id = 'click' THEN 1000000000000 ELSE min(seq) END AS seq
@@ -76,7 +77,7 @@ VIEW_SQL = {
         ON q.file_name = f.file_name AND q.dataset_split = f.dataset_split""",
 }
 NEEDS = {
-    "files": ["page_files"], "updates": ["feed"], "stored_results": ["feed"],
+    "files": ["page_files"], "updates": ["feed"], "nameless": ["feed", "updates"], "stored_results": ["feed"],
     "joined": ["questions", "user_results"], "matched": ["questions", "page_files", "files"],
 }
 
@@ -199,6 +200,10 @@ UPSERT = f"""SELECT coalesce(s.user_id, u.user_id) AS user_id, coalesce(s.task_i
     ON s.user_id = u.user_id AND s.task_id = u.task_id AND s.dataset_split = u.dataset_split"""
 
 
+COUNTED = f"SELECT user_id, dataset_split, user_result_status, count(*) AS n FROM ({UPSERT}) GROUP BY ALL"
+UPSERT_NAMELESS = UPSERT.replace("FROM updates", "FROM nameless")
+
+
 def evaluation(split: str, user: str, keep_errors: bool = False) -> str:
     """Attempts of one user at one split with prompt, answer and error; needs questions, results, silver."""
     asked = (f"SELECT *, CASE WHEN {digit('prompt')} = 'f' THEN 'Error: too many' ELSE {truncated('prompt')} END "
@@ -263,6 +268,7 @@ ORACLE = {
         """SELECT user_id, task_id, user_result_status, chatgpt_response FROM user_results
         WHERE user_id = 'src3' AND dataset_split = 'validation'""", "user_results"),
     "overwrite_table": with_views("SELECT * FROM questions", "questions"),
+    "overwrite_table_earlier": with_views('SELECT task_id, dataset_split, "Level" FROM questions', "questions"),
     "overwrite_table_emptied": with_views(
         "SELECT task_id, dataset_split FROM questions WHERE dataset_split = 'test'", "questions"),
     "bronze_ingest": with_views(
@@ -495,6 +501,23 @@ ORACLE = {
         f"""SELECT 'pymupdf' AS method, dataset_split, file_name AS base_name, CAST(0 AS BIGINT) AS part,
         {DOCUMENT_TEXT} AS text FROM page_files""", "page_files"),
     "upsert_results": with_views(UPSERT, "updates", "stored_results"),
+    "upsert_results_null_keys": with_views(UPSERT_NAMELESS, "nameless", "stored_results"),
+    "merge_match_null_keys": with_views(
+        f"""SELECT s.user_id, s.task_id, s.dataset_split, CASE WHEN u.top IS NULL THEN 'keep' ELSE 'stale' END AS action
+        FROM ({UPSERT_NAMELESS}) s LEFT JOIN ({LATEST.replace("FROM updates", "FROM nameless")}) u
+        ON s.user_id = u.user_id AND s.task_id IS NOT DISTINCT FROM u.task_id AND s.dataset_split = u.dataset_split""",
+        "nameless", "stored_results"),
+    "upsert_results_store": with_views(UPSERT, "updates", "stored_results"),
+    "status_counts_kept": with_views(COUNTED, "updates", "stored_results"),
+    "status_counts_kept_user": with_views(
+        f"SELECT dataset_split, user_result_status, n FROM ({COUNTED}) WHERE user_id = '7'", "updates", "stored_results"),
+    "erase_users_store": with_views(
+        f"SELECT * FROM ({UPSERT}) WHERE CAST(user_id AS BIGINT) % 2 <> 0", "updates", "stored_results"),
+    "erase_users_store_proof": with_views(
+        f"""SELECT user_id, count(*) AS results FROM ({UPSERT}) WHERE CAST(user_id AS BIGINT) % 2 = 0 GROUP BY user_id""",
+        "updates", "stored_results"),
+    "stream_results_store": with_views(UPSERT, "updates", "stored_results"),
+    "stream_results_counts": with_views(COUNTED, "updates", "stored_results"),
     "insert_if_absent": with_views(
         """SELECT username, role FROM users UNION ALL SELECT DISTINCT username, 'user' FROM wanted_names
         WHERE username NOT IN (SELECT username FROM users)""", "users", "wanted_names"),

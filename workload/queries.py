@@ -6,7 +6,7 @@ from evalspark import schemas
 from evalspark.functions import cleaning, files as names, grading, prompts, text
 from evalspark.operators import aggregates, documents, filters, inference, joins, mutations, paging, shaping
 from evalspark.plans import evaluate, extract, ingest, report
-from evalspark.sources import objects, tables
+from evalspark.sources import objects, results as result_store, tables, versions
 from evalspark.staging import new_path, stage
 from evalspark.streaming import documents as document_stream, results as result_stream
 from workload import models, views
@@ -55,6 +55,16 @@ def overwrite_table(spark, sf):
     return tables.read_table(spark, path, schemas.QUESTIONS)
 
 
+def overwrite_table_earlier(spark, sf):
+    """The table as of its first version, read after two more were published."""
+    path = new_path(spark, "questions")
+    questions = views.questions(spark, sf)
+    first = tables.overwrite_table(questions, path, schemas.SPLITS)
+    tables.overwrite_table(questions.limit(0), path, ["validation"])
+    tables.overwrite_table(questions.where(F.col("FinalAnswer") == "de"), path, ["test"])
+    return tables.read_table(spark, path, schemas.QUESTIONS, first.number).select("task_id", "dataset_split", "Level")
+
+
 def overwrite_table_emptied(spark, sf):
     """A second load without rows for one split."""
     path = new_path(spark, "questions")
@@ -505,6 +515,23 @@ def stream_results_rejected(spark, sf):
     return result_stream.read_rejected(spark, _streamed(spark, sf)).drop("seq")
 
 
+def _streamed_store(spark, sf):
+    root, feed, checkpoint = (new_path(spark, name) for name in ("store", "feed", "checkpoint"))
+    result_store.create_results(views.stored_results(spark, sf), root)
+    views.feed_with_unknown_split(spark, sf).write.parquet(feed)
+    updates = result_stream.read_updates(spark, feed)
+    result_stream.stream_store(updates, root, checkpoint, created=created()).awaitTermination()
+    return root
+
+
+def stream_results_store(spark, sf):
+    return result_store.read_results(spark, _streamed_store(spark, sf))
+
+
+def stream_results_counts(spark, sf):
+    return result_store.read_counts(spark, _streamed_store(spark, sf))
+
+
 def stream_documents(spark, sf):
     """Three landings: every file with old contents, then one split after the other."""
     bronze, log, checkpoint = (new_path(spark, name) for name in ("bronze", "log", "checkpoint"))
@@ -526,6 +553,64 @@ def upsert_results(spark, sf):
     return mutations.upsert_results(views.stored_results(spark, sf), views.updates(spark, sf), created())
 
 
+def upsert_results_null_keys(spark, sf):
+    """Updates of which a third names no task, applied twice."""
+    nameless = F.when(F.col("seq") % 3 != 0, F.col("task_id"))
+    given = views.updates(spark, sf).withColumn("task_id", nameless)
+    once = mutations.upsert_results(views.stored_results(spark, sf), given, created())
+    return mutations.upsert_results(stage(once, name="once"), given, created())
+
+
+def merge_match_null_keys(spark, sf):
+    nameless = F.when(F.col("seq") % 3 != 0, F.col("task_id"))
+    given = views.updates(spark, sf).withColumn("task_id", nameless)
+    once = stage(mutations.upsert_results(views.stored_results(spark, sf), given, created()), name="once")
+    return mutations.merge_match(once, given)
+
+
+def _store_after_feed(spark, sf):
+    """A store of the results after three batches of updates, the last of which is older and the second comes twice."""
+    root = new_path(spark, "store")
+    result_store.create_results(views.stored_results(spark, sf), root)
+    feed = views.updates(spark, sf)
+    # The median of the order numbers parts the feed; rows below it come last.
+    middle = feed.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    batches = [feed.where((F.col("seq") >= middle) & (F.col("seq") % 2 == i)) for i in range(2)]
+    for number, batch in ((0, batches[0]), (1, batches[1]), (1, batches[1]), (2, feed.where(F.col("seq") < middle))):
+        result_store.apply_updates(spark, root, batch, created(), "feed", number)
+    return root
+
+
+def upsert_results_store(spark, sf):
+    return result_store.read_results(spark, _store_after_feed(spark, sf))
+
+
+def status_counts_kept(spark, sf):
+    return result_store.read_counts(spark, _store_after_feed(spark, sf))
+
+
+def status_counts_kept_user(spark, sf):
+    """Counts per status of one user, from the parts of one bucket."""
+    found = result_store.read_user(spark, _store_after_feed(spark, sf), "7")[1]
+    return aggregates.status_counts(found, ["dataset_split"], "n")
+
+
+def erase_users_store(spark, sf):
+    """Results after every second user of the feed has been erased, and the files of older versions with them."""
+    root = _store_after_feed(spark, sf)
+    ids = views.table(spark, sf, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("user_id"))
+    result_store.erase_users(spark, root, ids)
+    versions.remove_unused(spark, root, 1)
+    return result_store.read_results(spark, root)
+
+
+def erase_users_store_proof(spark, sf):
+    """How many results each erased user had."""
+    root = _store_after_feed(spark, sf)
+    ids = views.table(spark, sf, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("user_id"))
+    return result_store.erase_users(spark, root, ids).removed
+
+
 def _registered(spark, sf):
     return mutations.insert_if_absent(views.users(spark, sf), views.wanted_names(spark, sf))
 
@@ -737,7 +822,8 @@ def run_browse_total(spark, sf):
 
 QUERIES = {
     query.__name__: query for query in (
-        load_split, scan_questions, scan_user_results, overwrite_table, overwrite_table_emptied, bronze_ingest,
+        load_split, scan_questions, scan_user_results, overwrite_table, overwrite_table_earlier, overwrite_table_emptied,
+        bronze_ingest,
         silver_write, silver_lookup, json_records,
         flatten_struct, rename_columns, default_column, stamp_created, conform_schema, project_response,
         project_result, project_users, drop_conflicting, question_preview,
@@ -753,8 +839,9 @@ QUERIES = {
         clean_strings, coerce_int, file_extension, file_type_bucket, base_name, silver_key, rewrite_path,
         build_prompt, build_judge_prompt, truncate_answer, truncate_pages, parse_verdict, map_model_error,
         instruction_policy, retry_candidate, prefill_instructions, route_eligibility, is_correct, fill_na,
-        stream_results, stream_results_rejected, stream_documents,
-        upsert_results, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
+        stream_results, stream_results_rejected, stream_results_store, stream_results_counts, stream_documents,
+        upsert_results, upsert_results_null_keys, merge_match_null_keys, upsert_results_store, status_counts_kept,
+        status_counts_kept_user, erase_users_store, erase_users_store_proof, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
         delete_cascade_unknown, update_role, update_role_unknown,
         batch_infer, batch_judge, extract_documents, run_evaluation, run_evaluation_retry,
         run_evaluation_keep_errors, run_evaluation_attempts, run_manual_review, run_manual_review_rejects,
