@@ -9,6 +9,7 @@ from evalspark.functions.files import base_name, file_extension, method_folder
 from evalspark.functions.grading import fill_na
 from evalspark.functions.text import is_blank
 from evalspark.operators.shaping import drop_conflicting
+from evalspark.staging import stage
 
 FILLED = ["user_result_status", "chatgpt_response"]
 
@@ -95,57 +96,101 @@ def join_attachments(questions: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"`{name}`") for name in questions.columns], found.alias("found"))
 
 
-def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), largest: int | None = None) -> DataFrame:
-    """One row per document as (keys, text, bytes), for readers that need the text in one cell, such as a prompt.
+# Longest text, in bytes, that is brought together in one cell unless a caller says otherwise.
+LARGEST_TEXT = 64 << 20
 
-    Only parts after the first, which few documents have, are grouped; first parts meet them in
-    one join. With ``largest`` sizes are added up before any text is, and a document of more
-    bytes keeps its row, with its size and a null text.
-    """
-    size = F.octet_length("text").cast("long")
-    first = parts.where(F.col("part") == 0).select(*keys, "text", size.alias("bytes"))
-    rest = parts.where(F.col("part") > 0)
-    sizes = rest.groupBy(*keys).agg(F.sum(size).alias("_more"))
-    if largest is not None:
-        rest = key_join(rest, sizes.where(F.col("_more") <= largest), keys, "left_semi")
+# Rows that one copy of a document's text is joined to.
+ROWS_PER_COPY = 100_000
+
+
+def _ordered_text() -> Column:
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    tails = rest.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("_rest"), F.sum(size).alias("_more")
-    )
-    if largest is not None:
-        tails = key_join(sizes, tails.drop("_more"), keys, "left")
-    joined = key_join(first, tails, keys, "left").select(
-        *keys, F.when(F.col("_more").isNull(), F.col("text")).otherwise(F.concat("text", "_rest")).alias("text"),
-        (F.col("bytes") + F.coalesce("_more", F.lit(0))).alias("bytes"),
-    )
-    # Documents whose first piece has a high number have no part 0.
-    headless = key_join(tails, first, keys, "left_anti").select(
-        *keys, F.col("_rest").alias("text"), F.col("_more").alias("bytes")
-    )
-    whole = joined.unionByName(headless)
+    return F.array_join(F.transform(ordered, lambda x: x["text"]), "")
+
+
+def _size() -> Column:
+    return F.octet_length("text").cast("long")
+
+
+def _too_large(parts: DataFrame, keys: Sequence[str], largest: int | None) -> DataFrame | None:
+    """(keys, bytes) of the documents that have more bytes than ``largest``; None if there are none.
+
+    Sizes are added up before any text moves, and what is found is written, so Spark knows its size.
+    """
     if largest is None:
+        return None
+    sizes = parts.groupBy(*keys).agg(F.sum(_size()).alias("bytes"))
+    found = stage(sizes.where(F.col("bytes") > largest), name="too_large")
+    return None if found.isEmpty() else found
+
+
+def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), largest: int | None = LARGEST_TEXT) -> DataFrame:
+    """One row per document as (keys, text, bytes), for readers that need the text in one cell, such as a prompt.
+
+    A document of more than ``largest`` bytes keeps its row, with its size and a null text; its parts are left out
+    before the others are shuffled, once, to be put in order.
+    """
+    over = _too_large(parts, keys, largest)
+    kept = parts if over is None else key_join(parts, over, keys, "left_anti")
+    whole = kept.groupBy(*keys).agg(_ordered_text().alias("text"), F.sum(_size()).alias("bytes"))
+    if over is None:
         return whole
-    return whole.withColumn("text", F.when(F.col("bytes") <= largest, F.col("text")))
+    return whole.unionByName(over.select(*keys, F.lit(None).cast("string").alias("text"), "bytes"))
 
 
-def join_silver_text(
-    questions: DataFrame, silver: DataFrame, method: str, largest: int | None = None
+def attach_texts(
+    rows: DataFrame, parts: DataFrame, keys: Sequence[tuple[Column, Column]], usable: Column, name: str = "context",
+    largest: int | None = LARGEST_TEXT,
 ) -> DataFrame:
-    """Add ``context``: the text extracted by a method from the PDF of a row, null without one.
+    """Rows with the text of their document as ``name``, null without one; ``too_large`` marks those whose text is too long.
 
-    The silver table holds the parts of one text per (method, split, base name). With
-    ``largest`` a text of more bytes is not brought together; ``too_large`` marks its rows.
+    ``keys`` pairs expressions over the rows with expressions over the parts of the documents; null keys match each
+    other. Rows that are not ``usable`` match nothing and are spread. The parts of a document meet under the key
+    of the join, so every text is shuffled once and stays where it is joined. A document that very many rows want is
+    joined in as many copies as it takes for ``ROWS_PER_COPY`` rows each; the rows are dealt to them.
     """
-    folder = method_folder(F.lit(method))
-    named = ["dataset_split", "base_name"]
-    texts = join_parts(silver.where(F.col("method") == folder), named, largest).select(
-        "dataset_split", F.col("base_name").alias("_key"), F.col("text").alias("context"), "bytes"
+    def one_key(columns: list[Column]) -> Column:
+        # One column, so that the optimizer cannot take a part of the key out of the join but not out of the grouping.
+        return F.concat_ws("\x1f", *[F.coalesce(column.cast("string"), F.lit("\x1e")) for column in columns])
+
+    lone = F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    marked = rows.withColumn("_usable", F.coalesce(usable, F.lit(False))).withColumn(
+        "_key", F.when(F.col("_usable"), one_key([of_row for of_row, _ in keys])).otherwise(lone)
     )
-    pdf = F.coalesce(F.lower(file_extension(F.col("file_name"))) == ".pdf", F.lit(False))
-    keyed = questions.withColumn("_key", _spread(base_name(F.col("file_name")), pdf)).withColumn("_pdf", pdf)
-    joined = key_join(keyed, texts, ["dataset_split", "_key"], "left")
-    too_large = F.col("_pdf") & F.col("bytes").isNotNull() & F.col("context").isNull()
+    pieces = parts.select(one_key([of_part for _, of_part in keys]).alias("_key"), "part", "text")
+    over = _too_large(pieces, ["_key"], largest)
+    if over is not None:
+        pieces = pieces.join(over, "_key", "left_anti")
+    wanted = marked.where("_usable").groupBy("_key").agg(F.count("*").alias("_rows"))
+    copies = F.ceil(F.col("_rows") / ROWS_PER_COPY).cast("int")
+    hot = stage(wanted.where(F.col("_rows") > ROWS_PER_COPY).select("_key", copies.alias("_copies")), name="hot")
+    on = ["_key"]
+    if not hot.isEmpty():
+        on = ["_key", "_copy"]
+        last = F.coalesce("_copies", F.lit(1)) - 1
+        pieces = pieces.join(hot, "_key", "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).drop("_copies")
+        dealt = F.pmod(F.monotonically_increasing_id(), last + 1).cast("int")
+        marked = marked.join(hot, "_key", "left").withColumn("_copy", dealt).drop("_copies")
+    texts = pieces.groupBy(*on).agg(_ordered_text().alias("_text"))
+    joined = marked.join(texts, on, "left")
+    if over is not None:
+        joined = joined.join(over.withColumn("_over", F.lit(True)), "_key", "left")
+    too_large = F.col("_usable") & (F.lit(False) if over is None else F.col("_over").isNotNull())
     return joined.select(
-        *[F.col(f"`{name}`") for name in questions.columns],
-        F.when(F.col("_pdf"), F.col("context")).alias("context"), too_large.alias("too_large"),
+        *[F.col(f"`{column}`") for column in rows.columns],
+        F.when(F.col("_usable"), F.col("_text")).alias(name), too_large.alias("too_large"),
     )
+
+
+def join_silver_text(
+    questions: DataFrame, silver: DataFrame, method: str, largest: int | None = LARGEST_TEXT
+) -> DataFrame:
+    """Add ``context``: the text extracted by a method from the PDF of a row, null without one.
+
+    The silver table holds the parts of one text per (method, split, base name). A text of more than ``largest`` bytes
+    is not brought together; ``too_large`` marks its rows.
+    """
+    name = F.col("file_name")
+    keys = [(F.col("dataset_split"), F.col("dataset_split")), (base_name(name), F.col("base_name"))]
+    parts = silver.where(F.col("method") == method_folder(F.lit(method)))
+    return attach_texts(questions, parts, keys, F.lower(file_extension(name)) == ".pdf", largest=largest)

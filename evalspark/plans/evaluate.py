@@ -15,7 +15,7 @@ from evalspark.functions.text import is_blank, truncate_answer
 from evalspark.operators.inference import (
     ANSWER_SETTINGS, JUDGE_SETTINGS, REQUESTS, Model, ask_once, attach_answers,
 )
-from evalspark.operators.joins import join_results, join_silver_text
+from evalspark.operators.joins import LARGEST_TEXT, join_results, join_silver_text
 from evalspark.operators.mutations import checked_updates, upsert_results
 from evalspark.sources.tables import scan_questions, scan_user_results
 from evalspark.staging import stage
@@ -40,7 +40,7 @@ class Review(NamedTuple):
 
 def plan_attempts(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, split: str,
-    method: str = PYMUPDF_METHOD, largest_context: int | None = None,
+    method: str = PYMUPDF_METHOD, largest_context: int | None = LARGEST_TEXT,
 ) -> DataFrame:
     """Every question of a split with its current status, route, instructions and prompt.
 
@@ -112,7 +112,7 @@ def run_evaluation(
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
     requests: int = REQUESTS, strict: bool = False, retries_only: bool = False,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
-    largest_context: int | None = None,
+    largest_context: int | None = LARGEST_TEXT,
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
@@ -141,7 +141,7 @@ def run_manual_review(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, reviews: DataFrame,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int = REQUESTS,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
-    largest_context: int | None = None,
+    largest_context: int | None = LARGEST_TEXT,
 ) -> Review:
     """Answers for a split without reference answers, with the statuses reviewers gave them.
 

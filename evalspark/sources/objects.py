@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evalspark import schemas
 from evalspark.functions.files import base_name, is_pdf, method_folder
 from evalspark.functions.text import is_blank
-from evalspark.operators.joins import join_parts, key_join
+from evalspark.operators.joins import LARGEST_TEXT, attach_texts, key_join
 
 
 def read_objects(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -166,12 +166,14 @@ def compact_silver(spark: SparkSession, path: str, new_path: str, written: int)
     rows.write.mode("overwrite").parquet(f"{new_path}/written={written}")
 
 
-def silver_lookup(requests: DataFrame, silver: DataFrame) -> DataFrame:
-    """Text for each (file_name, dataset_split, method) request, null where there is none."""
-    keyed = requests.withColumns({
-        "base_name": base_name(F.col("file_name")),
-        "folder": method_folder(F.col("method")),
-    })
-    texts = join_parts(silver, SILVER_KEY).withColumnRenamed("method", "folder").drop("bytes")
-    joined = key_join(keyed, texts, ["folder", "dataset_split", "base_name"], "left")
-    return joined.drop("folder", "base_name")
+def silver_lookup(requests: DataFrame, silver: DataFrame, largest: int | None = LARGEST_TEXT) -> DataFrame:
+    """Text for each (file_name, dataset_split, method) request, null where there is none.
+
+    A text of more than ``largest`` bytes is not brought together either; ``too_large`` marks its requests.
+    """
+    name = F.col("file_name")
+    keys = [
+        (method_folder(F.col("method")), F.col("method")), (F.col("dataset_split"), F.col("dataset_split")),
+        (base_name(name), F.col("base_name")),
+    ]
+    return attach_texts(requests, silver, keys, ~is_blank(name), "text", largest)

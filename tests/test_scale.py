@@ -130,6 +130,52 @@ def test_a_small_batch_does_not_shuffle_the_results(spark, plan):
     assert above and not any("Exchange" in line or "Sort " in line for line in above)
 
 
+@pytest.fixture
+def silver(spark, tmp_path):
+    parts = spark.range(400).select(
+        F.lit("pymupdf").alias("method"), F.lit("test").alias("dataset_split"), (F.col("id") % 100).cast("string").alias("base_name"),
+        F.floor(F.col("id") / 100).alias("part"), F.concat(F.lit("text "), F.floor(F.col("id") / 100).cast("string"), F.lit(";")).alias("text"),
+    )
+    parts.write.parquet(str(tmp_path / "silver"))
+    return spark.read.parquet(str(tmp_path / "silver"))
+
+
+def _asking(spark, rows_each):
+    number = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 120)
+    return spark.range(rows_each).select(
+        F.col("id").cast("string").alias("task_id"), F.lit("test").alias("dataset_split"),
+        F.concat(number.cast("string"), F.lit(".pdf")).alias("file_name"),
+    )
+
+
+def test_a_text_is_shuffled_once(spark, plan, conf, silver):
+    conf(SHUFFLED)
+    joined = joins.join_silver_text(_asking(spark, 600), silver, "PyMuPDF")
+    above = _above(plan(joined), "FileScan", "base_name")
+    assert sum("Exchange" in line for line in above) == 1
+    assert joined.where("context = 'text 0;text 1;text 2;text 3;'").count() == joined.where("context is not null").count()
+    assert joined.where("context is null").count() == _asking(spark, 600).where("file_name >= '100' and length(file_name) = 7").count()
+
+
+def test_a_document_that_many_rows_want_is_joined_in_copies(spark, conf, silver, monkeypatch):
+    conf({**SHUFFLED, "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    expected = rows(joins.join_silver_text(_asking(spark, 3000), silver, "PyMuPDF"))
+    monkeypatch.setattr(joins, "ROWS_PER_COPY", 100)
+    joined = joins.join_silver_text(_asking(spark, 3000), silver, "PyMuPDF")
+    assert rows(joined) == expected
+    of_one = joined.where("file_name = '7.pdf'").groupBy(F.spark_partition_id()).count()
+    assert len(of_one.collect()) > 1
+
+
+def test_texts_that_are_too_large_are_not_brought_together(spark, plan, conf, silver):
+    big = silver.withColumn("text", F.when(F.col("base_name") == "7", F.repeat("text", 50)).otherwise(F.col("text")))
+    joined = joins.join_silver_text(_asking(spark, 600), big, "PyMuPDF", largest=200)
+    assert rows(joined.where("too_large").select("file_name", "context").distinct()) == [("7.pdf", None)]
+    assert joined.where("not too_large and context is not null").count() > 0
+    whole = joins.join_parts(big.where("method = 'pymupdf'"), ["base_name"], largest=200)
+    assert rows(whole.where("text is null")) == [("7", None, 4 * 350)] and whole.count() == 100
+
+
 def _written_results(spark):
     path = new_path(spark, "results")
     views.stored_results(spark, SF).write.parquet(path)

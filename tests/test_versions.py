@@ -1,0 +1,216 @@
+"""Versions of tables, and the store of results."""
+
+import datetime
+import random
+
+import pytest
+from helpers import rows
+from pyspark.sql import functions as F
+
+from evalspark import schemas
+from evalspark.operators import mutations
+from evalspark.sources import results as store, tables, versions
+from evalspark.streaming import results as feed
+
+OLD, NEW = datetime.datetime(2024, 1, 1), datetime.datetime(2025, 1, 1)
+BUCKETS = (4, 2)
+
+
+def _question(task, split):
+    return {**dict.fromkeys(schemas.QUESTIONS.fieldNames()), "task_id": task, "dataset_split": split}
+
+
+def _questions(spark, *pairs):
+    return spark.createDataFrame([_question(*pair) for pair in pairs], schemas.QUESTIONS)
+
+
+def _stored(spark, path, version=None):
+    return rows(tables.read_table(spark, path, schemas.QUESTIONS, version).select("task_id", "dataset_split"))
+
+
+def test_a_load_that_dies_leaves_the_table_readable(spark, tmp_path):
+    path = str(tmp_path / "q")
+    tables.overwrite_table(_questions(spark, ("a", "test"), ("b", "validation")), path, schemas.SPLITS)
+    broken = _questions(spark, ("c", "test"), ("d", "test")).withColumn(
+        "Level", F.when(F.col("task_id") == "d", F.raise_error(F.lit("lost"))).otherwise(1).cast("int")
+    )
+    with pytest.raises(Exception, match="lost"):
+        tables.overwrite_table(broken, path, ["test"])
+    assert _stored(spark, path) == [("a", "test"), ("b", "validation")]
+    assert versions.history(spark, path) == [1]
+    # The next load is not disturbed by what is left of the one that died, which can be removed.
+    tables.overwrite_table(_questions(spark, ("e", "test")), path, ["test"])
+    assert _stored(spark, path) == [("b", "validation"), ("e", "test")]
+    versions.remove_unused(spark, path, 1)
+    assert _stored(spark, path) == [("b", "validation"), ("e", "test")]
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    path = str(tmp_path / "q")
+    first = tables.overwrite_table(_questions(spark, ("a", "test")), path, ["test"])
+    held = tables.read_table(spark, path, schemas.QUESTIONS)
+    tables.overwrite_table(_questions(spark, ("b", "test"), ("c", "test")), path, ["test"])
+    assert rows(held.select("task_id")) == [("a",)]
+    assert _stored(spark, path, first.number) == [("a", "test")]
+    assert _stored(spark, path) == [("b", "test"), ("c", "test")]
+
+
+def test_the_rows_of_a_load_are_evaluated_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    counted = _questions(spark, ("a", "test"), ("b", "validation"), ("c", "test")).mapInPandas(count, schemas.QUESTIONS)
+    tables.overwrite_table(counted, str(tmp_path / "q"), schemas.SPLITS)
+    assert seen.value == 3
+
+
+def test_two_changes_of_one_version_conflict(spark, tmp_path):
+    path = str(tmp_path / "q")
+    base = tables.overwrite_table(_questions(spark, ("a", "test")), path, ["test"])
+    tables.overwrite_table(_questions(spark, ("b", "test")), path, ["test"])
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, path, base, {"questions": {}})
+    assert versions.history(spark, path) == [1, 2]
+
+
+def test_parts_with_odd_names(spark, tmp_path):
+    path, names = str(tmp_path / "t"), ["a b", "x/y", "50%", "k=v", "ü:?", ""]
+    df = spark.createDataFrame([(name, i) for i, name in enumerate(names)] + [(None, 9)], "kind string, n int")
+    written = versions.write_parts(df, path, "t", ["kind"])
+    assert set(written) == {versions.part_name({"kind": name}) for name in [*names, None]}
+    version = versions.publish(spark, path, versions.current(spark, path), {"t": written})
+    schema = df.schema
+    assert versions.read(spark, path, version, "t", schema).count() == 7
+    assert rows(versions.read(spark, path, version, "t", schema, [versions.part_name({"kind": "x/y"})])) == [("x/y", 1)]
+
+
+def test_old_versions_go_and_shared_parts_stay(spark, tmp_path):
+    path = str(tmp_path / "q")
+    tables.overwrite_table(_questions(spark, ("a", "test"), ("b", "validation")), path, schemas.SPLITS)
+    for task in "cde":
+        tables.overwrite_table(_questions(spark, (task, "test")), path, ["test"])
+    removed = versions.remove_unused(spark, path, 2)
+    assert sum("dataset_split=test" in name for name in removed) == 2 and not any("validation" in name for name in removed)
+    assert versions.history(spark, path) == [3, 4]
+    assert _stored(spark, path) == [("b", "validation"), ("e", "test")]
+    assert _stored(spark, path, 3) == [("b", "validation"), ("d", "test")]
+    assert versions.remove_unused(spark, path, 2) == []
+
+
+def _results(spark, data):
+    return spark.createDataFrame(data, schemas.USER_RESULTS)
+
+
+def _updates(spark, data):
+    return spark.createDataFrame(data, schemas.RESULT_UPDATES)
+
+
+def _recount(df):
+    return rows(df.groupBy(*store.COUNTED).count())
+
+
+def test_store_equals_upsert_and_counts_equal_a_recount(spark, tmp_path):
+    """Random batches with late, tied and repeated updates, null keys and null statuses, each applied twice."""
+    draw, root = random.Random(1), str(tmp_path / "s")
+
+    def update(seq):
+        return (draw.choice(["u", "v", "w", None]), draw.choice(["t1", "t2", None]), draw.choice(["A", "B", None]), f"r{seq}",
+                draw.choice(schemas.SPLITS), draw.randrange(20))
+
+    base = _results(spark, [("u", "t1", "test", None, "r", OLD, 3), ("x", "t1", "test", "A", "r", OLD, None)])
+    store.create_results(base, root, BUCKETS)
+    everything = []
+    for number in range(3):
+        batch = [update(i) for i in range(15)]
+        everything += batch
+        for _ in range(2):
+            store.apply_updates(spark, root, _updates(spark, batch), F.lit(NEW), "feed" if number else None, number if number else None)
+        expected = mutations.upsert_results(base, _updates(spark, everything), F.lit(NEW))
+        assert rows(store.read_results(spark, root)) == rows(expected)
+        assert rows(store.read_counts(spark, root)) == _recount(expected)
+
+
+def test_a_batch_writes_the_parts_it_touches(spark, tmp_path):
+    root = str(tmp_path / "s")
+    many = spark.range(4000).select(
+        F.concat(F.lit("u"), (F.col("id") % 50).cast("string")).alias("user_id"), F.col("id").cast("string").alias("task_id"),
+        F.lit("test").alias("dataset_split"), F.lit("A").alias("user_result_status"), F.sha2(F.col("id").cast("string"), 256).alias("chatgpt_response"),
+        F.lit(OLD).alias("created_date"), F.lit(1).cast("long").alias("seq"),
+    )
+    first = store.create_results(many, root, (16, 4))
+    second = store.apply_updates(spark, root, _updates(spark, [("u7", "7", "B", "n", "test", 2)]), F.lit(NEW))
+    for table, most in ((store.RESULTS, 1), (store.COUNTS, 1)):
+        old, new = first.tables[table], second.tables[table]
+        assert old.keys() == new.keys() and sum(old[part] != new[part] for part in old) == most
+    mine, counts = store.read_user(spark, root, "u7")
+    assert len(mine.inputFiles()) <= 4 * 8 < len(store.read_results(spark, root).inputFiles())
+    assert mine.count() == 80 and rows(counts.select("user_result_status", "n")) == [("A", 79), ("B", 1)]
+    # An update that is late changes no count.
+    store.apply_updates(spark, root, _updates(spark, [("u7", "7", "C", "n", "test", 1)]), F.lit(NEW))
+    assert rows(store.read_user(spark, root, "u7")[1].select("user_result_status", "n")) == [("A", 79), ("B", 1)]
+
+
+def test_a_user_with_many_results_is_spread_over_the_task_buckets(spark, tmp_path):
+    hot = spark.range(2000).select(
+        F.lit("u").alias("user_id"), F.col("id").cast("string").alias("task_id"), F.lit("test").alias("dataset_split"), F.lit("A").alias("user_result_status")
+    )
+    version = store.create_results(hot, str(tmp_path / "s"), (4, 8))
+    assert len(version.tables[store.RESULTS]) == 8 and len(version.tables[store.COUNTS]) == 1
+
+
+def test_results_and_counts_change_together(spark, tmp_path, monkeypatch):
+    """A batch that dies after its results are written has changed neither table."""
+    root = str(tmp_path / "s")
+    store.create_results(_results(spark, [("u", "t", "test", "A", "r", OLD, 1)]), root, BUCKETS)
+
+    def dies(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_counts_after", dies)
+        with pytest.raises(OSError):
+            store.apply_updates(spark, root, _updates(spark, [("u", "t", "B", "n", "test", 2)]), F.lit(NEW), "feed", 0)
+    assert rows(store.read_results(spark, root).select("user_result_status")) == [("A",)]
+    store.apply_updates(spark, root, _updates(spark, [("u", "t", "B", "n", "test", 2)]), F.lit(NEW), "feed", 0)
+    assert rows(store.read_counts(spark, root)) == [("u", "test", "B", 1)]
+
+
+def test_erased_users_leave_no_row_in_any_file(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store.create_results(_results(spark, [
+        ("u", "t1", "test", "A", "r", OLD, 1), ("u", "t2", "validation", "B", "r", OLD, 1), ("v", "t1", "test", "A", "r", OLD, 1),
+    ]), root, (2, 2))
+    ids = spark.createDataFrame([("u",), ("u",), ("nobody",), (None,)], "user_id string")
+    erased = store.erase_users(spark, root, ids)
+    assert rows(erased.removed) == [("u", 2)] and rows(erased.unknown) == [("nobody",)]
+    assert rows(store.read_counts(spark, root)) == [("v", "test", "A", 1)]
+    versions.remove_unused(spark, root, 1)
+    for table in (store.RESULTS, store.COUNTS):
+        assert rows(spark.read.parquet(f"{root}/{table}").select("user_id").distinct()) == [("v",)]
+    assert store.erase_users(spark, root, ids.limit(0)).removed.count() == 0
+
+
+def test_stream_into_a_store(spark, tmp_path):
+    source, root, check = (str(tmp_path / name) for name in ("feed", "store", "check"))
+    base = _results(spark, [("u", "t1", "test", "A", "r", OLD, 1)])
+    store.create_results(base, root, BUCKETS)
+    batches = [
+        [("u", "t1", "B", "x", "test", 5), ("u", "t2", "B", "y", "test", 6), ("u", "t9", "B", "y", "train", 6)],
+        [("u", "t1", "C", "late", "test", 3), ("u", "t2", "C", "z", "test", 9), ("w", "t1", "A", "n", "validation", 7)],
+    ]
+    for batch in batches:
+        _updates(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        feed.stream_store(feed.read_updates(spark, source), root, check, created=F.lit(NEW)).awaitTermination()
+    accepted = [row for batch in batches for row in batch if row[4] != "train"]
+    expected = mutations.upsert_results(base, _updates(spark, accepted), F.lit(NEW))
+    assert rows(store.read_results(spark, root)) == rows(expected)
+    assert rows(store.read_counts(spark, root)) == _recount(expected)
+    assert rows(feed.read_rejected(spark, root).select("task_id", "reject_reason")) == [("t9", "dataset_split not accepted")]
+    # All of it again from a lost checkpoint, under the same run: every batch is a replay.
+    feed.stream_store(feed.read_updates(spark, source, files_per_batch=1), root, str(tmp_path / "new"), created=F.lit(OLD)).awaitTermination()
+    assert len(versions.history(spark, root)) == 3
+    assert rows(store.read_results(spark, root)) == rows(expected)
