@@ -138,6 +138,23 @@ def join_parts(parts: DataFrame, keys: Sequence[str] = ("doc",), largest: int |
     return whole.unionByName(over.select(*keys, F.lit(None).cast("string").alias("text"), "bytes"))
 
 
+def _exceptions(pieces: DataFrame, marked: DataFrame, largest: int | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Keys of texts that are too large, and keys that many rows want with the copies they take; None where there are none.
+
+    Sizes and rows are counted in one job before any text moves. What is found is written, so Spark knows its size.
+    """
+    wanted = marked.where("_usable").groupBy("_key").agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("bytes"))
+    if largest is not None:
+        sizes = pieces.groupBy("_key").agg(F.lit(0).cast("long").alias("rows"), F.sum(_size()).alias("bytes"))
+        wanted = wanted.where(F.col("rows") > ROWS_PER_COPY).unionByName(sizes.where(F.col("bytes") > largest))
+    found = stage(wanted.where((F.col("rows") > ROWS_PER_COPY) | (F.col("bytes") > 0)), name="exceptions")
+    if found.isEmpty():
+        return None, None
+    copies = F.ceil(F.col("rows") / ROWS_PER_COPY).cast("int")
+    over, hot = found.where("bytes > 0").select("_key"), found.where("rows > 0").select("_key", copies.alias("_copies"))
+    return None if over.isEmpty() else over, None if hot.isEmpty() else hot
+
+
 def attach_texts(
     rows: DataFrame, parts: DataFrame, keys: Sequence[tuple[Column, Column]], usable: Column, name: str = "context",
     largest: int | None = LARGEST_TEXT,
@@ -158,14 +175,11 @@ def attach_texts(
         "_key", F.when(F.col("_usable"), one_key([of_row for of_row, _ in keys])).otherwise(lone)
     )
     pieces = parts.select(one_key([of_part for _, of_part in keys]).alias("_key"), "part", "text")
-    over = _too_large(pieces, ["_key"], largest)
+    over, hot = _exceptions(pieces, marked, largest)
+    on = ["_key"]
     if over is not None:
         pieces = pieces.join(over, "_key", "left_anti")
-    wanted = marked.where("_usable").groupBy("_key").agg(F.count("*").alias("_rows"))
-    copies = F.ceil(F.col("_rows") / ROWS_PER_COPY).cast("int")
-    hot = stage(wanted.where(F.col("_rows") > ROWS_PER_COPY).select("_key", copies.alias("_copies")), name="hot")
-    on = ["_key"]
-    if not hot.isEmpty():
+    if hot is not None:
         on = ["_key", "_copy"]
         last = F.coalesce("_copies", F.lit(1)) - 1
         pieces = pieces.join(hot, "_key", "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).drop("_copies")

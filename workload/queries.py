@@ -517,7 +517,7 @@ def stream_results_rejected(spark, sf):
 
 def _streamed_store(spark, sf):
     root, feed, checkpoint = (new_path(spark, name) for name in ("store", "feed", "checkpoint"))
-    result_store.create_results(views.stored_results(spark, sf), root)
+    result_store.create_results(views.stored_results(spark, sf), root, (8, 2))
     views.feed_with_unknown_split(spark, sf).write.parquet(feed)
     updates = result_stream.read_updates(spark, feed)
     result_stream.stream_store(updates, root, checkpoint, created=created()).awaitTermination()
@@ -571,7 +571,7 @@ def merge_match_null_keys(spark, sf):
 def _store_after_feed(spark, sf):
     """A store of the results after three batches of updates, the last of which is older and the second comes twice."""
     root = new_path(spark, "store")
-    result_store.create_results(views.stored_results(spark, sf), root)
+    result_store.create_results(views.stored_results(spark, sf), root, (8, 2))
     feed = views.updates(spark, sf)
     # The median of the order numbers parts the feed; rows below it come last.
     middle = feed.agg(F.percentile_approx("seq", 0.5)).first()[0]
