@@ -38,22 +38,23 @@ LONGEST_PHRASE = 128
 CROWD_IN_TASK = 48
 CROWD = 2048
 NO_KEY = (1 << 63) - 1
-PLACE_BITS = 25
+PLACE_BITS = 9
 ONCE, SHARED, REPEAT, CROWDED = 0, 1, 2, 3
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
-SCHEMA = "k long, h long, doc long, at long"
+SCHEMA = "k long, h long, doc long, at long, tie long"
+PLACES = "doc long, at long, tie long"
 WITH_TEXT = SCHEMA + ", text binary"
 U64 = np.uint64
 
 
-def _pack(start: np.ndarray, n: np.ndarray, kind: np.ndarray | int, tie: np.ndarray) -> np.ndarray:
-    """Start byte, number of string starts (up to 128), kind, and the text's tie value, in one sortable number."""
-    return (start << PLACE_BITS) | (tie << 9) | ((n - 1) << 2) | kind
+def _pack(start: np.ndarray, n: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """Start byte, number of string starts (up to 128) and kind in one sortable number."""
+    return (start << PLACE_BITS) | ((n - 1) << 2) | kind
 
 
-def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return at >> PLACE_BITS, ((at >> 2) & 127) + 1, at & 3, (at >> 9) & 0xFFFF
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> PLACE_BITS, ((at >> 2) & 127) + 1, at & 3
 
 
 def _powers(base: int, size: int) -> np.ndarray:
@@ -118,7 +119,7 @@ def _segments(rows: Iterator[tuple], length: int) -> Iterator[tuple]:
 
 
 def _phrases(rows: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
-    """The parse: trigger, phrase hash, doc, packed place, for the texts of a segment."""
+    """The parse: trigger, phrase hash, doc, packed place and tie, for the texts of a segment."""
     for segment, first, sizes, doc, tie, at, _ in _segments(rows, length):
         starts = sizes - length + 1
         owner = np.repeat(np.arange(len(first)), starts)
@@ -135,7 +136,7 @@ def _phrases(rows: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
         n = np.diff(np.concatenate((new, [len(owner)])))
         h = _mixed(segment.hashes(position[new], n - 1 + length) + n.astype(U64))
         whose = owner[new]
-        yield [least[new], h, doc[whose], _pack(place[new] + at[whose], n, ONCE, tie[whose])]
+        yield [least[new], h, doc[whose], _pack(place[new] + at[whose], n, ONCE), tie[whose]]
 
 
 def _kind(at: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
@@ -147,33 +148,33 @@ def _listed_phrases(rows: Iterator[tuple], length: int, kinds: tuple[int, ...])
     for doc, tie, text, places in rows:
         listed = np.array(places, np.int64)
         listed = listed[np.isin(listed & 3, kinds)]
-        start, n, _, _ = _unpack(listed)
+        start, n, _ = _unpack(listed)
         for at, a, b in zip(listed.tolist(), start.tolist(), (start + n - 1 + length).tolist()):
             yield doc, tie, text[a:b], at, text[a:b]
 
 
 def _suffixes(phrases: Iterator[tuple], length: int) -> Iterator[list[np.ndarray]]:
-    """All suffixes of phrases, up to the judged length: content hash twice, doc, packed place."""
+    """All suffixes of phrases, up to the judged length: content hash twice, doc, packed place, tie."""
     for segment, first, sizes, doc, tie, _, others in _segments(phrases, length):
         n = sizes - length + 1
         whose = np.repeat(np.arange(len(first)), n)
         place = np.arange(len(whose)) - np.repeat(n.cumsum() - n, n)
         position = place + first[whose]
         start = _unpack(np.array([at for at, *_ in others], np.int64))[0]
-        yield [_mixed(segment.hashes(position, length)), segment.least[position], doc[whose], _pack(place + start[whose], np.ones(len(place), np.int64), ONCE, tie[whose])]
+        yield [_mixed(segment.hashes(position, length)), segment.least[position], doc[whose], _pack(place + start[whose], np.ones(len(place), np.int64), ONCE), tie[whose]]
 
 
-def _ranges(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(doc: np.ndarray, at: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of single starts, joined where they follow each other in one text."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    start, _, _, tie = _unpack(at)
+    order = np.lexsort((at, tie, doc))
+    doc, at, tie = doc[order], at[order], tie[order]
+    start = _unpack(at)[0]
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (tie[1:] != tie[:-1]))) if len(at) else np.zeros(0, bool)
     run = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
     cuts = -(-run // LONGEST_PHRASE)
     firsts = np.repeat(np.flatnonzero(new), cuts) + (np.arange(cuts.sum()) - np.repeat(cuts.cumsum() - cuts, cuts)) * LONGEST_PHRASE
     n = np.diff(np.concatenate((firsts, [len(at)])))
-    return doc[firsts], _pack(start[firsts], n, REPEAT, tie[firsts])
+    return doc[firsts], _pack(start[firsts], n, REPEAT), tie[firsts]
 
 
 def _ranked(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -190,9 +191,9 @@ def _later(rows: list[np.ndarray], new: np.ndarray) -> np.ndarray:
     return (rows[2] != rows[2][first]) | (rows[3] >> PLACE_BITS != rows[3][first] >> PLACE_BITS)
 
 
-def _dealt_anyhow(doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def _dealt_anyhow(doc: np.ndarray, at: np.ndarray, tie: np.ndarray) -> list[np.ndarray]:
     """Settled places, to be dealt out evenly."""
-    return [_mixed(doc.view(U64) * U64(31) + at.view(U64)), np.zeros(len(doc), U64), doc, at]
+    return [_mixed(doc.view(U64) * U64(31) + at.view(U64)), np.zeros(len(doc), U64), doc, at, tie]
 
 
 def _joined(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
@@ -223,7 +224,7 @@ def _settled_phrases(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.nda
         rows[3] = np.where(crowded, _kind(rows[3], CROWDED), rows[3])
         rows[0] = np.where(crowded & (nth >= 2), _mixed(rows[0] ^ rows[1]), rows[0])
         yield [row[~later] for row in rows]
-        yield _dealt_anyhow(rows[2][later], _kind(rows[3][later], REPEAT))
+        yield _dealt_anyhow(rows[2][later], _kind(rows[3][later], REPEAT), rows[4][later])
 
 
 def _settled_suffixes(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
@@ -232,7 +233,7 @@ def _settled_suffixes(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.nd
         rows, _, new = _ranked(rows)
         later = _later(rows, new)
         yield [row[~later] for row in rows]
-        yield _dealt_anyhow(*_ranges(rows[2][later], rows[3][later]))
+        yield _dealt_anyhow(*_ranges(rows[2][later], rows[3][later], rows[4][later]))
 
 
 def _batch(rows: list, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -250,21 +251,21 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _merged(dealt: DataFrame, judge) -> DataFrame:
     """Deal rows by k, sort them within partitions, and let `judge` turn the batches into places."""
-    arrow = arrow_schema(T.StructType.fromDDL("doc long, at long"))
+    arrow = arrow_schema(T.StructType.fromDDL(PLACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, at in judge(batches):
+        for doc, at, tie in judge(batches):
             if len(doc):
-                yield from batches_of({"doc": doc, "at": at}, arrow)
+                yield from batches_of({"doc": doc, "at": at, "tie": tie}, arrow)
 
-    return dealt.repartition("k").sortWithinPartitions("k", "h", "doc", "at").mapInArrow(run, "doc long, at long")
+    return dealt.repartition("k").sortWithinPartitions("k", "h", "doc", "at").mapInArrow(run, PLACES)
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
 
 
-def _judged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _judged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of whole triggers: the repeats, and the first occurrences whose trigger has other phrases."""
     rows, new_k, new = _ranked(rows)
     repeats = _later(rows, new) | (rows[3] & 3 == REPEAT)
@@ -273,10 +274,10 @@ def _judged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     crowded = ((np.bincount(group, rows[3] & 3 == CROWDED) > 0) | (phrases > CROWD))[group]
     kind = np.where(repeats, REPEAT, np.where(crowded, CROWDED, SHARED))
     out = repeats | crowded | (phrases > 1)[group]
-    return rows[2][out], _kind(rows[3], kind)[out]
+    return rows[2][out], _kind(rows[3], kind)[out], rows[4][out]
 
 
-def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Whole triggers at a time. One with too many rows is passed on as crowded, row by row, with its last phrase's first row in mind."""
     waiting, first = None, None
     for batch in batches:
@@ -288,7 +289,7 @@ def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
             crowd = [np.concatenate(([value], row[same])) for value, row in zip(first, rows)]
             new = np.concatenate(([True], crowd[1][1:] != crowd[1][:-1]))
             repeats = _later(crowd, new)
-            yield crowd[2][1:], _kind(crowd[3], np.where(repeats, REPEAT, CROWDED))[1:]
+            yield crowd[2][1:], _kind(crowd[3], np.where(repeats, REPEAT, CROWDED))[1:], crowd[4][1:]
             rows = [row[~same] for row in rows]
             first = [row[np.flatnonzero(new)[-1]] for row in crowd] if not len(rows[0]) else None
             if not len(rows[0]):
@@ -302,28 +303,28 @@ def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         if len(waiting[0]) > CROWD:
             new = np.concatenate(([True], waiting[1][1:] != waiting[1][:-1]))
             repeats = _later(waiting, new) | (waiting[3] & 3 == REPEAT)
-            yield waiting[2], _kind(waiting[3], np.where(repeats, REPEAT, CROWDED))
+            yield waiting[2], _kind(waiting[3], np.where(repeats, REPEAT, CROWDED)), waiting[4]
             waiting, first = None, [row[np.flatnonzero(new)[-1]] for row in waiting]
     if waiting is not None:
         yield _judged(waiting)
 
 
-def _judge_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _judge_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of all but the first of equal suffixes: of the phrases of whole triggers, and of suffixes that came alone."""
     phrases, first = [], None
 
-    def of_phrases(listed: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(_suffixes(((doc, at >> 9 & 0xFFFF, text, at) for _, doc, at, text in listed), length))
+    def of_phrases(listed: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = list(_suffixes(((doc, tie, text, at) for _, doc, at, tie, text in listed), length))
         rows, _, new = _ranked([np.concatenate(row) for row in zip(*found)])
         later = _later(rows, new)
-        return _ranges(rows[2][later], rows[3][later])
+        return _ranges(rows[2][later], rows[3][later], rows[4][later])
 
     for batch in batches:
-        rows, texts = _columns(batch), batch.column(4)
+        rows, texts = _columns(batch), batch.column(5)
         alone = texts.is_null().to_numpy(zero_copy_only=False)
         if not alone.all():
             at = np.flatnonzero(~alone)
-            phrases += zip(rows[0][at].tolist(), rows[2][at].tolist(), rows[3][at].tolist(), texts.take(pa.array(at)).to_pylist())
+            phrases += zip(*[rows[i][at].tolist() for i in (0, 2, 3, 4)], texts.take(pa.array(at)).to_pylist())
             last = phrases[-1][0]
             whole = next((i for i in range(len(phrases) - 1, -1, -1) if phrases[i][0] != last), -1) + 1
             if whole:
@@ -331,14 +332,14 @@ def _judge_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
                 del phrases[:whole]
         rows = [row[alone] for row in rows]
         settled = rows[3] & 3 == REPEAT
-        yield rows[2][settled], rows[3][settled]
+        yield rows[2][settled], rows[3][settled], rows[4][settled]
         rows = [row[~settled] for row in rows]
         if len(rows[0]):
             if first is not None:
                 rows = [np.concatenate(([value], row)) for value, row in zip(first, rows)]
             new = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
             later = _later(rows, new)
-            yield _ranges(rows[2][later], rows[3][later])
+            yield _ranges(rows[2][later], rows[3][later], rows[4][later])
             first = [row[np.flatnonzero(new)[-1]] for row in rows]
     if phrases:
         yield of_phrases(phrases)
@@ -346,8 +347,7 @@ def _judge_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 def _listed(places: DataFrame) -> DataFrame:
     """The packed places of each document in a list, which is bounded by the length of its text."""
-    tie = F.shiftright("at", 9).bitwiseAND(0xFFFF).cast("int")
-    return places.groupBy(F.col("doc").alias("of_doc"), tie.alias("of_tie")).agg(F.collect_list("at").alias("places"))
+    return places.groupBy(F.col("doc").alias("of_doc"), F.col("tie").alias("of_tie")).agg(F.collect_list("at").alias("places"))
 
 
 def _repeats(frame: DataFrame, length: int) -> DataFrame:
@@ -362,9 +362,9 @@ def _repeats(frame: DataFrame, length: int) -> DataFrame:
         """Shared phrases with their texts, under their triggers; crowded ones as suffixes."""
         for batch in batches:
             rows = list(_texts(iter([batch])))
-            for segment, first, _, doc, _, _, others in _segments(_listed_phrases(iter(rows), length, (SHARED,)), length):
+            for segment, first, _, doc, tie, _, others in _segments(_listed_phrases(iter(rows), length, (SHARED,)), length):
                 at, texts = zip(*others)
-                yield from batches_of({"k": segment.least[first].view(np.int64), "h": np.zeros(len(doc), np.int64), "doc": doc, "at": list(at), "text": list(texts)}, with_text)
+                yield from batches_of({"k": segment.least[first].view(np.int64), "h": np.zeros(len(doc), np.int64), "doc": doc, "at": list(at), "tie": tie, "text": list(texts)}, with_text)
             for found in _settled_suffixes(_suffixes(_listed_phrases(iter(rows), length, (CROWDED,)), length)):
                 yield from _batch([*found, [None] * len(found[0])], with_text)
 
@@ -380,7 +380,7 @@ def removed_spans(places: list[int] | None, length: int) -> list[tuple[int, int]
     """Maximal runs of bytes that the repeated strings cover."""
     if not places:
         return []
-    start, n, _, _ = _unpack(np.sort(np.array(places, np.int64)))
+    start, n, _ = _unpack(np.sort(np.array(places, np.int64)))
     end = np.maximum.accumulate(start + n - 1 + length)
     new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
     return list(zip(start[new].tolist(), end[np.concatenate((new[1:] - 1, [len(end) - 1]))].tolist()))
@@ -392,18 +392,17 @@ def _kept_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _marks(key: str, text: str) -> list[Column]:
-    """Non-null doc, tie and text; the tie is a small checksum that tells texts under one key apart."""
+    """Non-null doc, tie and text; the tie is a 64-bit hash that tells texts under one key apart."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    tie = F.coalesce(F.crc32(whole.cast("binary")).bitwiseAND(0xFFFF).cast("int"), F.lit(0))
-    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), tie.alias("tie"), whole.alias("text")]
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.xxhash64(whole).alias("tie"), whole.alias("text")]
 
 
 def find_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A byte is removed if a string of `length` bytes covers it that also starts earlier: under a smaller key, or under
-    the same key at an earlier byte. Null texts are empty, null keys come after all others. Rows with the same key and
-    text are no repeats of each other and share their result. Keys are whole numbers below 2**63 - 1. Other columns
+    the same key at an earlier byte. Null texts are empty, null keys are one key after all others. Rows with the same key
+    and text are no repeats of each other and share their result; texts under one key are told apart by 64 bits of hash. Keys are whole numbers below 2**63 - 1. Other columns
     are not read. An empty table gives an empty result.
     """
     if length < 8:

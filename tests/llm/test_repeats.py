@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -77,6 +78,22 @@ def test_small_segments_chunks_and_crowds(spark, monkeypatch, conf, limits):
     assert sorted(map(tuple, find_repeats(frame, 100).collect()), key=repr) == _expected(rows, 100)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_of_one_key_with_equal_checksum_bits_keep_their_bytes(spark, key):
+    """A text that repeats, and others of its key whose crc32 ends in the same 16 bits and that repeat nothing."""
+    rng = random.Random(9)
+    first = "".join(rng.choices("abcdefgh ", k=250))
+    bits, same = zlib.crc32(("prefix " + first).encode()) & 0xFFFF, []
+    while len(same) < 3:
+        text = "".join(rng.choices("qrstuvwxyz ", k=264))
+        if zlib.crc32(text.encode()) & 0xFFFF == bits:
+            same.append((key, text))
+    rows = [(1, first), (key, "prefix " + first), *same]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, find_repeats(frame, 100).collect()), key=repr) == _expected(rows, 100)
+    assert sorted(row.text for row in remove_repeats(frame, 100).collect()) == sorted([first, "prefix ", *[text for _, text in same]])
+
+
 def test_removed_texts(spark):
     rows = _texts(5, 40)
     frame = spark.createDataFrame([(t, i, k) for i, (k, t) in enumerate(rows)], "text string, doc long, doc_id long")
