@@ -2,12 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark import schemas
 from evalspark.functions.files import file_extension, file_type_bucket
 from evalspark.functions.text import is_blank
 from evalspark.operators.filters import filter_answered
+from evalspark.operators.joins import key_join
+from evalspark.staging import stage
 
 STATUS = "user_result_status"
 
@@ -98,17 +100,65 @@ def _concat(df: DataFrame, keys: Sequence[str], order: str, piece: Column, end:
     return grouped.select(*keys, "part", text.alias("text"))
 
 
-def concat_pages(pages: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000) -> DataFrame:
+# What a piece counts for in a part bounded by size, beside its bytes, so that parts hold a bounded number of pieces.
+PIECE_COST = 16
+
+
+def _concat_by_size(
+    df: DataFrame, keys: Sequence[str], order: str, piece: Column, end: str, pieces: int, part_bytes: int
+) -> DataFrame:
+    """Parts of (keys, part, text) that begin at multiples of ``part_bytes``, counting ``PIECE_COST`` for each piece.
+
+    Sizes are added up in two steps, over groups of ``pieces`` consecutive numbers and over the groups of a document, and
+    every piece learns what lies before it. Groups with more pieces, because these have no number or a repeated one,
+    are split by number and by a hash of the text, so no task gets all pieces of one document. Of the last step
+    it sees one narrow row for each group.
+    """
+    number = F.col(order).cast("long")
+    rows = df.select(
+        *keys, number.alias("_number"), F.floor(number / pieces).cast("long").alias("_bucket"), F.concat(piece, F.lit(end)).alias("_text")
+    ).withColumn("_size", F.when(F.col("_text") != "", F.octet_length("_text").cast("long") + PIECE_COST).otherwise(0))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > pieces)
+    crowded = stage(counts.select(*keys, "_bucket", F.ceil(F.col("_n") / pieces).cast("long").alias("_spread")), name="crowded")
+    sub = F.lit(0).cast("long")
+    if not crowded.isEmpty():
+        rows = key_join(rows, crowded, [*keys, "_bucket"], "left")
+        inside = F.coalesce(F.col("_number") - F.col("_bucket") * pieces, F.lit(0))
+        spread = inside * F.col("_spread") + F.pmod(F.xxhash64("_text"), F.col("_spread"))
+        sub = F.coalesce(spread, sub)
+    rows = rows.withColumn("_sub", sub).drop("_spread")
+    group = [*keys, "_bucket", "_sub"]
+    earlier = Window.partitionBy(*keys).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))
+    sizes = rows.groupBy(*group).agg(F.sum("_size").alias("_bytes")).select(*group, before.alias("_before"))
+    own = Window.partitionBy(*group).orderBy("_number", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_size").over(own), F.lit(0))
+    placed = key_join(rows, sizes, group, "inner").withColumn("part", F.floor(start / part_bytes).cast("long"))
+    place = F.struct(F.col("_bucket").isNotNull().alias("numbered"), "_bucket", "_sub", "_number", "_text")
+    listed = F.array_sort(F.collect_list(F.when(F.col("_size") > 0, place)))
+    return placed.groupBy(*keys, "part").agg(F.array_join(F.transform(listed, lambda x: x["_text"]), "").alias("text"))
+
+
+def concat_pages(
+    pages: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000, part_bytes: int | None = None
+) -> DataFrame:
     """Page texts in page order without a separator, as (keys, part, text).
 
     A part covers ``pieces`` consecutive page numbers, each of which a document has once, so no
     task collects more of a document than that; its parts in order make up its text. A page
     without a number belongs to part 0 and comes before or after the others as nulls sort.
+
+    With ``part_bytes`` a part has less than that and one page, whatever the numbers are; repeated and missing ones are
+    no matter. Pages without a number then come first, in no particular order.
     """
+    if part_bytes is not None:
+        return _concat_by_size(pages, keys, "page", F.col("text"), "", pieces, part_bytes)
     return _concat(pages, keys, "page", F.col("text"), "", pieces)
 
 
-def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000) -> DataFrame:
+def concat_lines(
+    blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int = 1000, part_bytes: int | None = None
+) -> DataFrame:
     """Texts of LINE blocks in order, a newline after each, as (keys, part, text).
 
     Only documents whose job succeeded have a text; without LINE blocks it is empty. Other
@@ -116,6 +166,8 @@ def concat_lines(blocks: DataFrame, keys: Sequence[str] = ("doc",), pieces: int
     """
     line = F.when(F.col("block_type") == "LINE", F.col("text"))
     done = blocks.where(F.col("job_status") == "SUCCEEDED")
+    if part_bytes is not None:
+        return _concat_by_size(done, keys, "pos", line, "\n", pieces, part_bytes)
     return _concat(done, keys, "pos", line, "\n", pieces)
 
 

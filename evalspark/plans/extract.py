@@ -18,12 +18,12 @@ class Extraction(NamedTuple):
 
 def run_extract(
     bronze: DataFrame, blocks: DataFrame, extractor: Extractor, silver_path: str, written: int,
-    case_sensitive: bool = True,
+    case_sensitive: bool = True, part_bytes: int = 16 << 20,
 ) -> Extraction:
     """Extract the PDFs of the bronze table by both methods and add their texts to the silver log.
 
     ``blocks`` is (dataset_split, file_name, pos, block_type, text, job_status); ``written``
-    numbers the batch. A document that fails is logged and reported with its error and does not
+    numbers the batch. Recognised texts are stored in parts of about ``part_bytes``. A document that fails is logged and reported with its error and does not
     stop the others.
     """
     keys = ["dataset_split", "file_name"]
@@ -33,7 +33,7 @@ def run_extract(
         F.lit(PYMUPDF_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"),
         F.lit(0).cast("long").alias("part"), "text", "error",
     )
-    lines = concat_lines(blocks, keys).select(
+    lines = concat_lines(blocks, keys, part_bytes=part_bytes).select(
         F.lit(TEXTRACT_METHOD).alias("method"), "dataset_split", F.col("file_name").alias("path"), "part", "text",
         F.lit(None).cast("string").alias("error"),
     )

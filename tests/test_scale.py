@@ -222,3 +222,27 @@ def test_concat_collects_bounded_groups(spark):
     assert [tuple(row) for row in parts.select("part", F.length("text")).orderBy("part").collect()] == [
         (i, 1000) for i in range(5)
     ]
+
+
+def test_unnumbered_pieces_of_one_document_meet_in_no_task(spark, conf, plan):
+    """Parts keep within the size, no group of one document is larger than it should be, and nothing is lost."""
+    conf({**SHUFFLED, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"})
+    text = F.concat(F.lit("piece "), F.col("id").cast("string"), F.lit(";"))
+    page = F.when(F.col("id") % 3 == 0, F.col("id") % 40).when(F.col("id") % 3 == 1, F.col("id"))
+    pages = spark.range(20000).select(F.lit("d").alias("doc"), page.cast("int").alias("page"), text.alias("text"))
+    parts = aggregates.concat_pages(pages, pieces=100, part_bytes=4000).orderBy("part").collect()
+    assert max(len(row.text) for row in parts) < 4000 + 30 and len(parts) > 50
+    found = [piece for row in parts for piece in row.text.split(";")[:-1]]
+    assert sorted(found) == sorted(f"piece {i}" for i in range(20000))
+    number = {f"piece {i}": i % 40 if i % 3 == 0 else i for i in range(20000) if i % 3 < 2}
+    order = [number.get(piece) for piece in found]
+    assert order[:6666] == [None] * 6666 and order[6666:] == sorted(order[6666:])
+
+
+def test_empty_pieces_and_documents_without_text_have_a_part(spark):
+    pages = spark.createDataFrame([("a", 1, None), ("b", None, ""), ("c", 5, "x"), (None, 1, "y"), ("c", 5, "x")], "doc string, page int, text string")
+    parts = aggregates.concat_pages(pages, part_bytes=10)
+    assert rows(parts.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("text")), "").alias("t"))) == [
+        ("a", ""), ("b", ""), ("c", "xx"), (None, "y")
+    ]
+    assert aggregates.concat_pages(pages.limit(0), part_bytes=10).count() == 0

@@ -393,6 +393,18 @@ ORACLE = {
         string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // 1000""",
     "concat_pages_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, turn // 3 AS part,
         string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // 3""",
+    "concat_pages_bytes": """SELECT doc, part, string_agg(text, '' ORDER BY turn) AS text FROM (
+        SELECT CAST(conv_id AS VARCHAR) AS doc, turn, text, CAST(coalesce(sum(CASE WHEN text = '' THEN 0 ELSE strlen(text) + 16 END)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS BIGINT) AS part
+        FROM conversations) GROUP BY doc, part""",
+    "concat_lines_bytes": with_views(
+        """SELECT doc, part, coalesce(string_agg(line, '' ORDER BY pos), '') AS text FROM (
+        SELECT doc, pos, line, CAST(coalesce(sum(CASE WHEN line IS NULL THEN 0 ELSE strlen(line) + 16 END)
+        OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 300 AS BIGINT) AS part
+        FROM (SELECT doc, pos, CASE WHEN block_type = 'LINE' THEN text || chr(10) END AS line FROM blocks
+        WHERE job_status = 'SUCCEEDED')) GROUP BY doc, part""", "blocks"),
+    "concat_pages_unnumbered": """SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(sum(strlen(text)) AS BIGINT) AS bytes
+        FROM conversations GROUP BY conv_id""",
     "join_parts": """SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(text, '' ORDER BY turn) AS text,
         CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id""",
     "join_parts_bounded": """SELECT CAST(conv_id AS VARCHAR) AS doc,

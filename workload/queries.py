@@ -291,6 +291,21 @@ def concat_pages_parts(spark, sf):
     return aggregates.concat_pages(views.pages_text(spark, sf), pieces=3)
 
 
+def concat_pages_bytes(spark, sf):
+    return aggregates.concat_pages(views.pages_text(spark, sf), pieces=3, part_bytes=500)
+
+
+def concat_lines_bytes(spark, sf):
+    return aggregates.concat_lines(views.blocks(spark, sf), pieces=2, part_bytes=300)
+
+
+def concat_pages_unnumbered(spark, sf):
+    """Every second page without a number: what all parts of a document hold together."""
+    odd = F.when(F.col("page") % 2 == 0, F.col("page"))
+    parts = aggregates.concat_pages(views.pages_text(spark, sf).withColumn("page", odd), pieces=2, part_bytes=200)
+    return parts.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("bytes"))
+
+
 def join_parts(spark, sf):
     return joins.join_parts(aggregates.concat_pages(views.pages_text(spark, sf), pieces=3))
 
@@ -832,7 +847,7 @@ QUERIES = {
         join_results, join_results_text_key, join_empty_default, join_attachments, join_silver_text,
         join_silver_text_bounded, merge_match, cascade_anti,
         status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages,
-        concat_pages_parts, join_parts, join_parts_bounded, concat_lines, concat_lines_parts, extract_counts,
+        concat_pages_parts, concat_pages_bytes, concat_lines_bytes, concat_pages_unnumbered, join_parts, join_parts_bounded, concat_lines, concat_lines_parts, extract_counts,
         prefix_counts,
         page_slice, page_slice_deep, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
         first_n_listing, union_splits,
