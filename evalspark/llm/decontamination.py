@@ -10,13 +10,16 @@ from pivot to pivot. Every item retrieved is verified: enough word shingles of i
 occur in the passage, or, where the rules name a share for it, enough of the whole item's.
 """
 
+import pickle
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,9 +78,9 @@ LEAKS = Rules(whole=0.8)
 
 
 class ItemIndex:
-    """Inverted index of items (key, question, answer). `frequency` and `total` describe all items, if these are a part."""
+    """Inverted index of items (key, question, answer). The other arguments describe all items, if these are a part."""
 
-    def __init__(self, items: list[tuple], rules: Rules, frequency: dict[str, int] | None = None, total: int | None = None, mean_words: float | None = None):
+    def __init__(self, items: list[tuple], rules: Rules, frequency: dict[str, int] | None = None, total: int | None = None, mean_words: float | None = None, longest: int | None = None):
         texts = [(key, words_of(question), words_of(answer)) for key, question, answer in items]
         texts = [(key, question, answer) for key, question, answer in texts if question or answer]
         self.rules, self.keys = rules, [key for key, _, _ in texts]
@@ -86,7 +89,7 @@ class ItemIndex:
             frequency, total = Counter(word for bag in bags for word in bag), len(bags)
             mean_words = sum(sum(bag.values()) for bag in bags) / max(1, len(bags))
         self.terms = {word: i for i, word in enumerate(sorted(set().union(*bags)))}
-        self.longest = max((sum(bag.values()) for bag in bags), default=0)
+        self.longest = max((sum(bag.values()) for bag in bags), default=0) if longest is None else longest
         self.shingles = [tuple(_shingles([self.terms[w] for w in part], rules.shingle_words) for part in parts) for _, *parts in texts]
         self.wholes = [[self.terms[w] for w in question + answer] for _, question, answer in texts] if rules.whole is not None else []
         self.question_words = [len(question) for _, question, _ in texts]
@@ -228,10 +231,8 @@ class Searcher:
         return best
 
 
-def _index_parts(items: DataFrame, rules: Rules, index_bytes: int) -> Iterator[ItemIndex]:
-    """One index if the items' size is within the bound, else one for each part of them, with the statistics of all."""
-    size = items.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
-    parts = -(-size // index_bytes) if size else 1
+def _index_parts(items: DataFrame, rules: Rules, parts: int) -> Iterator[ItemIndex]:
+    """One index for each part of the items, with the statistics and the longest item of all, so that parts change no result."""
     if parts == 1:
         yield ItemIndex([tuple(row) for row in items.collect()], rules)
         return
@@ -241,22 +242,22 @@ def _index_parts(items: DataFrame, rules: Rules, index_bytes: int) -> Iterator[I
         return words_of(question) + words_of(answer)
 
     bags = items.select("key", words("question", "answer").alias("words")).filter(F.size("words") > 0)
-    total, mean_words = bags.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    total, mean_words, longest = bags.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
     terms = bags.select("key", F.explode(F.array_distinct("words")).alias("word"))
     frequency = terms.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     part_of = F.pmod(F.xxhash64("key", "question", "answer"), F.lit(parts))
     for part in range(parts):
         own = items.filter(part_of == part)
         listed = own.select(F.explode(words("question", "answer")).alias("word")).distinct().join(frequency, "word")
-        yield ItemIndex([tuple(row) for row in own.collect()], rules, {row.word: row.n for row in listed.collect()}, total, mean_words)
+        yield ItemIndex([tuple(row) for row in own.collect()], rules, {row.word: row.n for row in listed.collect()}, total, mean_words, longest)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Column, item_key: str = "item_id", rules: Rules = Rules(), index_bytes: int = INDEX_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and test item it contains: key, item key, passage_word, score, question_overlap, answer_overlap.
 
     `question` and `answer` are expressions over `items`. The score is the BM25 score of the best passage as a share of
-    the item's score on itself. An index larger than `index_bytes` of item text is searched in parts, one scan of the
-    documents each. Documents without words and items without words match nothing; null texts have no words, null keys
+    the item's score on itself. An index larger than `index_bytes` of item text is searched in parts, one after the other:
+    a scan of the documents each, whose leaks are written before the next part is built. Documents without words and items without words match nothing; null texts have no words, null keys
     stay null, and repeated documents or items give a row each. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -269,7 +270,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Colu
         tag = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = kept("search", tag, lambda: Searcher(shared.value))
+            search = kept("search", tag, lambda: Searcher(pickle.loads(shared.value)))
             for batch in batches:
                 rows = []
                 for key_value, value in zip(batch.column(0).to_pylist(), texts_of(batch)):
@@ -279,11 +280,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Colu
 
         return frame.mapInArrow(run, schema)
 
-    found = [searched(spark.sparkContext.broadcast(index)) for index in _index_parts(listed, rules, index_bytes)]
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    size = listed.agg(F.sum(F.octet_length("question").cast("long") + F.octet_length("answer"))).first()[0] or 0
+    parts, found = max(1, -(-size // index_bytes)), []
+    for index in _index_parts(listed, rules, parts):
+        # By value, for workers that cannot import this package.
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+        found.append(searched(shared) if parts == 1 else stage(searched(shared), name="leaks"))
+        if parts > 1:
+            shared.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def question_and_answer(text: Column, answer_share: float = 0.25) -> tuple[Column, Column]:
@@ -294,10 +299,14 @@ def question_and_answer(text: Column, answer_share: float = 0.25) -> tuple[Colum
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, question: Column, answer: Column, item_key: str = "item_id", rules: Rules = Rules(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that contain no test item, with all their columns. Rows with a null key are judged by key as well.
+    """The documents that contain no test item, with all their columns. Every row is judged by its own text, whatever its key.
 
-    The leaking keys are written first: Spark then knows how few they are before it decides whether to shuffle texts.
+    Hashes of the leaking texts are written first: Spark then knows how few they are before it decides whether to shuffle
+    texts. The documents travel in a column of their own, so that none of their names can clash.
     """
-    leaks = find_leaks(docs, items, question, answer, item_key, rules, key=key, text=text).select(F.col(key).alias("leaking")).distinct()
-    leaks = stage(leaks, name="leaks")
-    return docs.join(leaks, F.col(key).eqNullSafe(F.col("leaking")), "left_anti")
+    mark = F.concat_ws(":", F.xxhash64(text), F.hash(text), F.octet_length(text))
+    marked = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), mark.alias("mark"))
+    texts = docs.select(mark.alias("mark"), F.col(text).alias("text"))
+    leaks = find_leaks(texts, items, question, answer, item_key, rules, key="mark", text="text")
+    leaks = stage(leaks.select(F.col("mark").alias("leaking")).distinct(), name="leaks")
+    return marked.join(leaks, F.col("mark") == F.col("leaking"), "left_anti").select("row.*")

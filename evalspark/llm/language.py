@@ -5,12 +5,14 @@ frequent first. A text's profile is compared with each language's: every n-gram
 two ranks, or the greatest possible one if the language's profile does not have it. The least sum wins.
 """
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,6 @@ from pyspark.sql import types as T
 from evalspark.llm.common import arrow_schema, batches_of, held_out, kept, keyed_texts, texts_of
 
 UNKNOWN = "und"
-LANGUAGES = 1000
 SIGN_BITS = 21
 BLANK = 32
 
@@ -73,16 +74,16 @@ class Profiles:
         return self.names[best], 1 - float(distance[best]) / (self.size * len(own))
 
 
-def fit_profiles(docs: DataFrame, size: int = 400, rows: int = 1500, parts: int = 4, part: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
+def fit_profiles(docs: DataFrame, size: int = 400, rows: int = 1500, parts: int = 4, part: int = 2, key: str = "doc_id", text: str = "text", lang: str = "lang", languages: int = 1_000) -> Profiles:
     """Profiles from about `rows` documents of each language that are not held out.
 
-    The sample is bounded per language, and so is the number of languages: the 1,000 most frequent values are learned.
+    The sample is bounded per language, and so is the number of languages: the `languages` most frequent values are learned.
 
     N-grams are counted within tasks, then summed by Spark; only the `size` most frequent of each language come back.
     """
     usable = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = usable.filter(F.col("key").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key"), parts, part))
-    sizes = usable.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "of_lang").limit(LANGUAGES)
+    sizes = usable.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "of_lang").limit(languages)
     luck = F.shiftrightunsigned(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
     rates = sizes.select("of_lang", (F.lit(float(rows)) / F.col("n")).alias("rate"))
     chosen = usable.join(F.broadcast(rates), F.col("lang") == F.col("of_lang")).filter(luck < F.col("rate")).select("lang", "text")
@@ -116,11 +117,12 @@ def identify_language(docs: DataFrame, size: int = 400, rows: int = 1500, parts:
     read. An empty table gives an empty result.
     """
     model = fit_profiles(docs, size, rows, parts, part, key, text, lang)
-    shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    # By value, for workers that cannot import this package.
+    shared, tag = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        profiles, letters = kept("profiles", tag, lambda: shared.value), kept("letters", "all", _letters)
+        profiles, letters = kept("profiles", tag, lambda: pickle.loads(shared.value)), kept("letters", "all", _letters)
         return pd.DataFrame([profiles.nearest(grams(value, letters)) for value in texts], columns=["lang_pred", "score"])
 
     found = keyed_texts(docs, key, text).select("key", held_out(F.col("key"), parts, part).alias("held_out"), predict("text").alias("p"))

@@ -249,6 +249,7 @@ def near_duplicates_removed(docs: DataFrame, shingle_words: int = 3, distance: i
     own = _classes(docs, shingle_words, distance, key, text).filter(F.col("key").eqNullSafe(F.col("component_id")))
     kept = own.groupBy("root").agg(F.min(F.struct("mark", "mark_2")).alias("first"))
     kept = kept.select(F.col("first.mark").alias("kept_mark"), F.col("first.mark_2").alias("kept_mark_2")).distinct()
-    marked = docs.select("*", *[mark.alias(f"kept {name}") for mark, name in zip(row_marks(key, text), ("mark", "mark_2"))])
-    joined = marked.join(kept, (F.col("kept mark") == F.col("kept_mark")) & (F.col("kept mark_2") == F.col("kept_mark_2")))
-    return joined.dropDuplicates(["kept mark", "kept mark_2"]).select(*[F.col(f"`{name}`") for name in docs.columns])
+    # The documents travel in a column of their own, so that none of their names can clash.
+    marked = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), *row_marks(key, text))
+    joined = marked.join(kept, (F.col("mark") == F.col("kept_mark")) & (F.col("mark_2") == F.col("kept_mark_2")))
+    return joined.dropDuplicates(["mark", "mark_2"]).select("row.*")

@@ -92,6 +92,37 @@ def test_parts_of_the_index_give_the_same(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((k for k, _ in texts if k not in leaking), key=repr)
 
 
+def _rounded(df):
+    return sorted((*row[:3], *[round(value, 9) for value in row[3:]]) for row in df.collect())
+
+
+def test_a_long_item_in_another_part_changes_nothing(spark):
+    """A leak whose question and answer lie 30 words apart, beside an item of 120 words."""
+    def say(start, n):
+        return " ".join(f"word{start + i}" for i in range(n))
+
+    items = [(1, say(0, 9), say(20, 6)), (2, say(100, 100), say(300, 20)), *[(10 + i, say(1000 * i + 500, 8), say(1000 * i + 600, 5)) for i in range(20)]]
+    texts = [(1, f"{say(90000, 40)} {items[0][1]} {say(91000, 30)} {items[0][2]} {say(92000, 50)}"), (2, f"{items[1][1]} {items[1][2]}"), (3, say(95000, 300))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, question string, answer string")
+    for rules in (Rules(), LEAKS):
+        expected = _rounded(find_leaks(docs, frame, F.col("question"), F.col("answer"), rules=rules))
+        assert [row[:2] for row in expected] == [(1, 1), (2, 2)]
+        for index_bytes in (2000, 700):
+            found = find_leaks(docs, frame, F.col("question"), F.col("answer"), rules=rules, index_bytes=index_bytes)
+            assert _rounded(found) == expected
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated keys, and columns named like those the operator uses."""
+    leak, clean = "what is the tallest mountain of the island then it is mount ararat of the north", "a text with words of its own and nothing else in it"
+    schema = "doc_id long, text string, leaking string, mark long, row int"
+    docs = spark.createDataFrame([(None, leak, "a", 1, 1), (None, clean, "b", 2, 2), (1, leak, "c", 3, 3), (1, clean, "d", 4, 4), (2, None, "e", 5, 5)], schema)
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = decontaminate(docs, items, *question_and_answer(F.col("text")), rules=LEAKS)
+    assert kept.columns == docs.columns and sorted(row.leaking for row in kept.collect()) == ["b", "d", "e"]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

@@ -38,6 +38,22 @@ def test_stages_keep_the_columns(written):
     assert all(written[name].columns == wanted for name in list(written)[1:-1])
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_stand_columns_with_names_of_their_own(spark, name):
+    """Extra columns with the names that operators use inside, a very long text, and rows that are alike."""
+    names = ["mark", "mark_2", "kept_mark", "leaking", "row", "root", "tie", "places", "key", "score", "fingerprint", "found", "of_doc"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = spark.createDataFrame([(10**6, "word by word and so on " * 40_000, "en", "s", 0)] * 2, docs.schema)
+    wide = docs.unionByName(long).select("*", *[F.lit(i).alias(extra) for i, extra in enumerate(names)])
+    result = dict(corpus_pipeline.STAGES)[name](spark, wide, SF)
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert result.count() >= 42
+        return
+    assert result.columns == wide.columns
+    rows = result.select(*names).distinct().collect()
+    assert [tuple(row) for row in rows] == [tuple(range(len(names)))]
+
+
 def test_quality_keeps_the_good_ones(spark, written):
     labels = {row.doc_id: row.quality for row in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {key for key, _ in _rows(written["quality"])}
