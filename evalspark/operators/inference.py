@@ -1,7 +1,9 @@
 """Batched calls of a model function supplied by the caller."""
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -45,10 +47,59 @@ Model = Callable[[list[str], dict], list]
 OUTAGES = ("authentication", "rate_limit", "connection")
 
 
+# Errors that pass, so that asking again later may help.
+PASSING = ("rate_limit", "connection")
+
+
+class Budget(NamedTuple):
+    """What a run may ask of a model.
+
+    ``prompts_per_second`` is the most that all tasks together ask, each its equal share; none by default. Prompts whose
+    call met a passing error are asked again up to ``retries`` times, after a wait that doubles from ``first_wait`` seconds
+    to ``longest_wait``, so a batch waits a bounded time. What still fails is left to a rerun.
+    """
+
+    prompts_per_second: float | None = None
+    retries: int = 0
+    first_wait: float = 1.0
+    longest_wait: float = 60.0
+
+    def wait(self, attempt: int, share: float) -> float:
+        """Seconds before a retry; ``share`` (0 to 1) differs from task to task, so that they do not return together."""
+        return min(self.longest_wait, self.first_wait * 2.0 ** attempt) * (0.5 + share / 2)
+
+
+class _Pace:
+    """Calls a model no faster than one task's share of a budget allows."""
+
+    def __init__(self, model: Model, prompts_per_second: float | None):
+        self.model, self.gap, self.free_at = model, 1 / prompts_per_second if prompts_per_second else 0.0, 0.0
+
+    def __call__(self, prompts: list[str], settings: dict) -> list:
+        now = time.monotonic()
+        if now < self.free_at:
+            time.sleep(self.free_at - now)
+        self.free_at = max(now, self.free_at) + self.gap * len(prompts)
+        return self.model(prompts, settings)
+
+
+def _ask_within(model: Model, prompts: list[str], settings: dict, budget: Budget, share: float) -> list:
+    """``_ask``, and again for the prompts that met a passing error, as often as the budget says."""
+    replies = _ask(model, prompts, settings)
+    for attempt in range(budget.retries):
+        again = [i for i, reply in enumerate(replies) if isinstance(reply, ModelError) and reply.kind in PASSING]
+        if not again:
+            break
+        time.sleep(budget.wait(attempt, share))
+        for i, reply in zip(again, _ask(model, [prompts[i] for i in again], settings)):
+            replies[i] = reply
+    return replies
+
+
 def _ask(model: Model, prompts: list[str], settings: dict) -> list:
     """One text or ModelError per prompt.
 
-    An outage is the answer to the whole batch and is left to a rerun. After any other failure
+    An outage is the answer to the whole batch and is left to the budget or a rerun. After any other failure
     the batch is asked again by halves, so that one bad prompt costs few calls.
     """
     try:
@@ -86,18 +137,23 @@ def distinct_prompts(df: DataFrame, prompt: str, settings: dict, done: DataFrame
 
 def call_model(
     asked: DataFrame, model: Model, settings: dict = ANSWER_SETTINGS, requests: int = REQUESTS, batch_size: int = 64,
+    budget: Budget = Budget(),
 ) -> DataFrame:
-    """Answers of (prompt_key, prompt) rows, asked by exactly ``requests`` tasks.
+    """Answers of (prompt_key, prompt) rows, asked by exactly ``requests`` tasks within a budget.
 
     The rows are dealt by a hash of the key's hash with a stated number of partitions: an
     exchange on the key alone would be dropped where the rows lie by key already, and one
     without a number would be merged by adaptive execution, as prompts are small and calls slow.
     """
+    rate = budget.prompts_per_second and budget.prompts_per_second / requests
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paced = _Pace(model, rate)
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 rows = batch.iloc[start:start + batch_size]
-                replies = _ask(model, list(rows["prompt"]), settings)
+                share = int(rows["prompt_key"].iloc[0][:8], 16) / 2**32
+                replies = _ask_within(paced, list(rows["prompt"]), settings, budget, share)
                 failed = [isinstance(reply, ModelError) for reply in replies]
                 yield pd.DataFrame({
                     "prompt_key": list(rows["prompt_key"]),
@@ -111,7 +167,7 @@ def call_model(
 
 def batch_infer(
     df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, requests: int = REQUESTS,
-    batch_size: int = 64, done: DataFrame | None = None,
+    batch_size: int = 64, done: DataFrame | None = None, budget: Budget = Budget(),
 ) -> DataFrame:
     """Answers of the distinct prompts of a column, keyed by ``prompt_key``.
 
@@ -119,7 +175,7 @@ def batch_infer(
     are skipped. A task that is retried asks again: write the result before use, and let the
     model function tolerate repeats.
     """
-    return call_model(distinct_prompts(df, prompt, settings, done), model, settings, requests, batch_size)
+    return call_model(distinct_prompts(df, prompt, settings, done), model, settings, requests, batch_size, budget)
 
 
 def batch_judge(df: DataFrame, prompt: str, model: Model, **options) -> DataFrame:
@@ -129,7 +185,7 @@ def batch_judge(df: DataFrame, prompt: str, model: Model, **options) -> DataFram
 
 def ask_once(
     df: DataFrame, prompt: str, model: Model, settings: dict = ANSWER_SETTINGS, path: str | None = None,
-    requests: int = REQUESTS, batch_size: int = 64, slices: int = 1,
+    requests: int = REQUESTS, batch_size: int = 64, slices: int = 1, budget: Budget = Budget(),
 ) -> DataFrame:
     """Written answers of the prompts of a column, one row per ``prompt_key``.
 
@@ -148,7 +204,7 @@ def ask_once(
         asked = stage(asked.withColumn("slice", F.pmod(F.xxhash64("prompt_key"), F.lit(slices))), name="prompts")
     for number in range(slices):
         part = asked.where(F.col("slice") == number).drop("slice") if slices > 1 else asked
-        call_model(part, model, settings, requests, batch_size).write.mode("append").parquet(path)
+        call_model(part, model, settings, requests, batch_size, budget).write.mode("append").parquet(path)
     reply = F.struct("answer", "error_kind", "error_message")
     best = F.max_by(reply, F.struct(F.col("error_kind").isNull(), "answer", "error_kind", "error_message"))
     answers = spark.read.schema(ANSWER_SCHEMA).parquet(path)

@@ -13,7 +13,7 @@ from evalspark.functions.grading import (
 from evalspark.functions.prompts import build_judge_prompt, build_prompt
 from evalspark.functions.text import is_blank, truncate_answer
 from evalspark.operators.inference import (
-    ANSWER_SETTINGS, JUDGE_SETTINGS, REQUESTS, Model, ask_once, attach_answers,
+    ANSWER_SETTINGS, JUDGE_SETTINGS, REQUESTS, Budget, Model, ask_once, attach_answers,
 )
 from evalspark.operators.joins import LARGEST_TEXT, join_results, join_silver_text
 from evalspark.operators.mutations import checked_updates, upsert_results
@@ -69,7 +69,8 @@ def plan_attempts(
 
 
 def answer_attempts(
-    attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int = REQUESTS, slices: int = 1
+    attempts: DataFrame, model: Model, answers_path: str | None = None, requests: int = REQUESTS, slices: int = 1,
+    budget: Budget = Budget(),
 ) -> DataFrame:
     """Attempts with ``chatgpt_response``, or with ``error_text`` where the call failed.
 
@@ -77,7 +78,7 @@ def answer_attempts(
     whatever happens to the tables meanwhile; so is the result, because judging reads it twice.
     """
     attempts = stage(attempts.drop("context"), name="attempts")
-    answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests, slices=slices)
+    answers = ask_once(attempts, "prompt", model, ANSWER_SETTINGS, answers_path, requests, slices=slices, budget=budget)
     joined = attach_answers(attempts, "prompt", answers, ANSWER_SETTINGS)
     return stage(joined.withColumns({
         "chatgpt_response": truncate_answer(F.col("answer")),
@@ -92,13 +93,13 @@ def _has_response() -> Column:
 
 def judge_attempts(
     answered: DataFrame, judge: Model, verdicts_path: str | None = None, requests: int = REQUESTS,
-    strict: bool = False, slices: int = 1,
+    strict: bool = False, slices: int = 1, budget: Budget = Budget(),
 ) -> DataFrame:
     """Answered attempts with the ``status`` their verdict gives."""
     asked = answered.where(_has_response()).withColumn(
         "prompt", build_judge_prompt(F.col("Question"), F.col("FinalAnswer"), F.col("chatgpt_response"))
     )
-    verdicts = ask_once(asked, "prompt", judge, JUDGE_SETTINGS, verdicts_path, requests, slices=slices)
+    verdicts = ask_once(asked, "prompt", judge, JUDGE_SETTINGS, verdicts_path, requests, slices=slices, budget=budget)
     judged = attach_answers(asked, "prompt", verdicts, JUDGE_SETTINGS)
     status = F.coalesce(
         judge_error_status(F.col("error_kind")),
@@ -112,7 +113,7 @@ def run_evaluation(
     seq: int, method: str = PYMUPDF_METHOD, split: str = "validation", keep_errors: bool = False,
     requests: int = REQUESTS, strict: bool = False, retries_only: bool = False,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
-    largest_context: int | None = LARGEST_TEXT,
+    largest_context: int | None = LARGEST_TEXT, budget: Budget = Budget(),
 ) -> Evaluation:
     """One attempt of a user at every question of a split, judged and recorded.
 
@@ -120,16 +121,16 @@ def run_evaluation(
     Failed calls are left out; with ``keep_errors`` their error texts are judged and recorded as
     if they were answers. ``seq`` orders this run among all updates. A run that is repeated with
     the same ``work_path`` goes on with the answers and verdicts it already has; ``slices`` says
-    in how many steps they are written.
+    in how many steps they are written. ``budget`` holds for the model and for the judge.
     """
     answers_path, verdicts_path = work_path and f"{work_path}/answers", work_path and f"{work_path}/verdicts"
     attempts = plan_attempts(questions, results, silver, user_id, split, method, largest_context)
     if retries_only:
         attempts = attempts.where(F.col("is_retry"))
-    answered = answer_attempts(attempts, model, answers_path, requests, slices)
+    answered = answer_attempts(attempts, model, answers_path, requests, slices, budget)
     if keep_errors:
         answered = answered.withColumn("chatgpt_response", F.coalesce("error_text", "chatgpt_response"))
-    judged = judge_attempts(answered, judge, verdicts_path, requests, strict, slices)
+    judged = judge_attempts(answered, judge, verdicts_path, requests, strict, slices, budget)
     updates = stage(judged.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",
         F.lit(seq).cast("long").alias("seq"),
@@ -141,7 +142,7 @@ def run_manual_review(
     questions: DataFrame, results: DataFrame, silver: DataFrame, user_id: str, model: Model, reviews: DataFrame,
     seq: int, method: str = PYMUPDF_METHOD, split: str = "test", requests: int = REQUESTS,
     work_path: str | None = None, created: Column | None = None, slices: int = 1,
-    largest_context: int | None = LARGEST_TEXT,
+    largest_context: int | None = LARGEST_TEXT, budget: Budget = Budget(),
 ) -> Review:
     """Answers for a split without reference answers, with the statuses reviewers gave them.
 
@@ -149,7 +150,7 @@ def run_manual_review(
     Reviews of no answer, and those with a status that is not an accepted one, come back as rejects.
     """
     attempts = plan_attempts(questions, results, silver, user_id, split, method, largest_context)
-    answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests, slices)
+    answered = answer_attempts(attempts, model, work_path and f"{work_path}/answers", requests, slices, budget)
     reviewed = answered.where(_has_response()).join(reviews.select("task_id", "status"), "task_id")
     updates = reviewed.select(
         F.lit(user_id).alias("user_id"), "task_id", "status", "chatgpt_response", "dataset_split",

@@ -1,5 +1,7 @@
 """Batched model calls and document extraction."""
 
+import time
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -196,3 +198,71 @@ def test_extract_texts(spark, plan):
     out = documents.extract_texts(_files(spark), pages).drop("dataset_split")
     assert rows(out) == [("a.pdf", "onetwo", None), ("b.pdf", None, "ValueError: broken"), ("c.pdf", "", None)]
     assert "Exchange" not in plan(out)
+
+
+def refusing(log, every=3):
+    """A model that refuses every third call, as a whole or one prompt of it, and writes down when it was called."""
+    calls = []
+
+    def model(prompts, settings):
+        calls.append(1)
+        with open(log, "a") as file:
+            file.write(f"{time.monotonic()} {len(prompts)}\n")
+        if len(calls) % every == 0:
+            raise inference.ModelError("rate_limit", "slow down")
+        if len(calls) % every == 1:
+            return [inference.ModelError("rate_limit", "slow down"), *shout(prompts[1:], settings)]
+        return shout(prompts, settings)
+
+    return model
+
+
+def _times(log):
+    return sorted(tuple(map(float, line.split())) for line in log.read_text().split("\n")[:-1])
+
+
+def test_a_refused_call_is_answered_within_the_run(spark, tmp_path):
+    asked, log = _asked(spark, [f"p{i}" for i in range(60)]), tmp_path / "log"
+    budget = inference.Budget(retries=4, first_wait=0.01)
+    answers = inference.batch_infer(asked, "prompt", refusing(str(log)), requests=2, batch_size=5, budget=budget)
+    assert sorted(row.answer for row in answers.collect()) == sorted(f"P{i}" for i in range(60))
+
+
+def test_retries_end_and_their_waits_grow(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def down(prompts, settings):
+        with open(log, "a") as file:
+            file.write(f"{time.monotonic()} {len(prompts)}\n")
+        raise inference.ModelError("connection", "down")
+
+    budget = inference.Budget(retries=3, first_wait=0.2, longest_wait=0.4)
+    answers = inference.batch_infer(_asked(spark, ["a", "b"]), "prompt", down, requests=1, budget=budget)
+    assert [row.error_kind for row in answers.collect()] == ["connection"] * 2
+    times = [at for at, _ in _times(log)]
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    assert len(gaps) == 3 and 0.1 <= gaps[0] < 0.35 and 0.2 <= gaps[1] < 0.6 and 0.2 <= gaps[2] < 0.6
+    assert budget.wait(0, 0) < budget.wait(0, 1) <= 0.2 and budget.wait(9, 1) == 0.4
+
+
+def test_errors_that_do_not_pass_are_not_asked_again(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def barred(prompts, settings):
+        with open(log, "a") as file:
+            file.write(f"{time.monotonic()} {len(prompts)}\n")
+        raise inference.ModelError("authentication", "no")
+
+    inference.batch_infer(_asked(spark, ["a"]), "prompt", barred, requests=1, budget=inference.Budget(retries=3)).collect()
+    assert len(_times(log)) == 1
+
+
+def test_prompts_per_second_hold_over_all_tasks(spark, tmp_path):
+    log = tmp_path / "log"
+    budget = inference.Budget(prompts_per_second=40, retries=3, first_wait=0.01)
+    asked = _asked(spark, [f"p{i}" for i in range(60)])
+    inference.batch_infer(asked, "prompt", refusing(str(log)), requests=2, batch_size=2, budget=budget).collect()
+    times = _times(log)
+    prompts = sum(n for _, n in times)
+    # Each task may make its first call at once.
+    assert times[-1][0] - times[0][0] >= (prompts - 2 * 2 - 2) / 40 - 0.1

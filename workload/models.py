@@ -17,6 +17,14 @@ def echo_model(prompts: list[str], settings: dict) -> list:
     return [ModelError("rate_limit", "too many") if _digit(prompt) == "f" else prompt for prompt in prompts]
 
 
+def refusing_model(prompts: list[str], settings: dict, calls: list = []) -> list:
+    """Answers with the prompt, but refuses every third call of a worker."""
+    calls.append(1)
+    if len(calls) % 3 == 0:
+        raise ModelError("rate_limit", "too many")
+    return prompts
+
+
 def digest_judge(prompts: list[str], settings: dict) -> list:
     """Verdict by the first digit of the prompt's hash."""
     def verdict(prompt: str):

@@ -555,6 +555,9 @@ ORACLE = {
         f"""SELECT task_id, CASE WHEN {digit('"Question"')} <> 'f' THEN "Question" END AS answer,
         CASE WHEN {digit('"Question"')} = 'f' THEN 'rate_limit' END AS error_kind,
         CASE WHEN {digit('"Question"')} = 'f' THEN 'too many' END AS error_message FROM questions""", "questions"),
+    "batch_infer_budget": with_views(
+        """SELECT task_id, "Question" AS answer, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS error_message
+        FROM questions""", "questions"),
     "batch_judge": with_views(
         f"""SELECT task_id, {digest_judge('"Question"')} AS answer,
         CASE WHEN {digit('"Question"')} = 'f' THEN 'connection' END AS error_kind,

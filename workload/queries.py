@@ -678,6 +678,15 @@ def batch_infer(spark, sf):
     return _answers(spark, sf, inference.ANSWER_SETTINGS, ask)
 
 
+def batch_infer_budget(spark, sf):
+    """A model that refuses every third call answers all within one run."""
+    budget = inference.Budget(prompts_per_second=50_000, retries=8, first_wait=0.001)
+
+    def ask(df, prompt):
+        return inference.batch_infer(df, prompt, models.refusing_model, requests=4, budget=budget)
+    return _answers(spark, sf, inference.ANSWER_SETTINGS, ask)
+
+
 def batch_judge(spark, sf):
     def ask(df, prompt):
         return inference.batch_judge(df, prompt, models.digest_judge)
@@ -858,7 +867,7 @@ QUERIES = {
         upsert_results, upsert_results_null_keys, merge_match_null_keys, upsert_results_store, status_counts_kept,
         status_counts_kept_user, erase_users_store, erase_users_store_proof, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
         delete_cascade_unknown, update_role, update_role_unknown,
-        batch_infer, batch_judge, extract_documents, run_evaluation, run_evaluation_retry,
+        batch_infer, batch_infer_budget, batch_judge, extract_documents, run_evaluation, run_evaluation_retry,
         run_evaluation_keep_errors, run_evaluation_attempts, run_manual_review, run_manual_review_rejects,
         run_ingest, run_ingest_rejects, run_ingest_attachments, run_ingest_summary,
         run_extract, run_extract_failed, run_extract_counts, run_summary, run_summary_totals,
