@@ -3,7 +3,7 @@
 Fingerprints within `distance` bits of each other agree on at least two of `distance + 2` blocks. So every distinct
 fingerprint goes to one group for each pair of blocks, under the bits it has there: these masked patterns are the
 uppermost nodes of the index. Below them, the fingerprints of a group lie in Gray order, in which neighbours differ in
-few bits. Runs of neighbours become nodes that hold the bits all of them share; bits that a node above holds already
+few bits. Small groups that follow each other share an index, whatever links it finds among them. Runs of neighbours become nodes that hold the bits all of them share; bits that a node above holds already
 are masked out. A search adds up the differing bits from the top down and drops a whole node once they exceed the
 distance. Groups that are too large for one index are dealt again by pairs of blocks of their free bits.
 """
@@ -24,7 +24,7 @@ from evalspark.staging import stage
 SEED = 42
 BLOCK = 1 << 16
 FANOUT = 8
-SMALL = 24
+LEAST_INDEXED = 4096
 LARGEST_GROUP = 8192
 QUERIES_AT_ONCE = 512
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -98,6 +98,7 @@ class GrayIndex:
     """Nodes over fingerprints in Gray order. Level 0 holds the fingerprints, the last level one or few nodes."""
 
     def __init__(self, fingerprints: np.ndarray):
+        self.visited = 0
         self.order = np.argsort(gray_rank(fingerprints), kind="stable")
         pattern = fingerprints[self.order]
         same = np.full(len(pattern), np.uint64((1 << 64) - 1))
@@ -123,6 +124,7 @@ class GrayIndex:
         differing = np.zeros(len(query), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, held = self.levels[depth]
+            self.visited += len(node)
             differing = differing + np.bitwise_count((queries[query] ^ pattern[node]) & held[node])
             near = differing <= distance
             query, node, differing = query[near], node[near], differing[near]
@@ -159,19 +161,15 @@ def _linked(frame: DataFrame, distance: int, largest: int | None) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def links(mask: np.ndarray, pattern: np.ndarray, found: np.ndarray) -> dict[str, np.ndarray]:
-        """Of whole groups, in order."""
+        """Of whole groups, in order; those of a run of small groups together."""
         new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))))
-        sizes = np.diff(np.concatenate((new, [len(found)])))
-        group = np.repeat(np.arange(len(new)), sizes)
-        small = sizes[group] <= SMALL
         a, b, at = [], [], [np.zeros(0, np.int64)]
-        for step in range(1, min(SMALL, int(sizes.max()))):
-            near = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-            near = near[np.bitwise_count(found[near] ^ found[near + step]) <= distance]
-            a.append(found[near]), b.append(found[near + step]), at.append(near)
-        for k in np.flatnonzero(sizes > SMALL):
-            left, right = _spanning(found[new[k] : new[k] + sizes[k]], distance)
-            a.append(left), b.append(right), at.append(np.full(len(left), new[k]))
+        first = 0
+        for end in [*new[1:].tolist(), len(found)]:
+            if end - first >= LEAST_INDEXED or end == len(found):
+                left, right = _spanning(np.unique(found[first:end]), distance)
+                a.append(left), b.append(right), at.append(np.full(len(left), first))
+                first = end
         at = np.concatenate(at)
         return {"a": np.concatenate([np.zeros(0, np.uint64), *a]).view(np.int64), "b": np.concatenate([np.zeros(0, np.uint64), *b]).view(np.int64), "mask": mask[at], "pattern": pattern[at]}
 

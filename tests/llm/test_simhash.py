@@ -58,13 +58,25 @@ def test_gray_index_finds_all_pairs():
     assert set(zip(query.tolist(), other.tolist())) == expected
 
 
+def test_the_index_prunes():
+    """Random fingerprints, and groups of near ones: few nodes are looked at beside those on the way to a hit."""
+    rng = random.Random(4)
+    for prints in ([rng.getrandbits(64) for _ in range(4096)], _close_prints(rng, 400, 10)):
+        prints = np.array(sorted(set(prints)), np.uint64)
+        index = GrayIndex(prints)
+        hits = len(index.search(prints, 2)[0])
+        nodes = sum(len(pattern) for pattern, _ in index.levels)
+        assert hits >= len(prints) and index.visited < 0.2 * nodes * len(prints)
+
+
 def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     rng = random.Random(2)
     prints = _close_prints(rng, 6, 60) + [0, 1, 3, 7]
     prints = sorted(set(prints))
     frame = spark.createDataFrame([(_signed(p),) for p in prints], "fingerprint long")
     expected = _classes(prints, 2)
-    for largest in (8192, 10, 1):
+    for largest, indexed in ((8192, 4096), (8192, 1), (10, 4096), (1, 3)):
+        monkeypatch.setattr(simhash, "LEAST_INDEXED", indexed)
         roots = {row.node & (1 << 64) - 1: row.root & (1 << 64) - 1 for row in components(near_links(frame, 2, largest)).collect()}
         groups, wanted = {}, {}
         for p in prints:
