@@ -3,6 +3,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from evalspark.operators import paging
+from evalspark.sources import pages
 
 
 @pytest.mark.parametrize("requested, total, page", [(5, 18, 1), (5, 19, 2), (3, 0, 0), (-1, 50, 0), (1, 50, 1)])
@@ -56,3 +57,30 @@ def test_pages_of_copies(spark, block):
 def test_empty_table(spark):
     assert paging.page_assign(_table(spark, 0)).count() == 0
     assert paging.page_slice(_table(spark, 0), 0).count() == 0
+
+
+def test_a_stored_page_is_read_from_one_part(spark, tmp_path, plan):
+    path, df = str(tmp_path / "p"), _table(spark, 500).repartition(7, "id")
+    version = pages.write_pages(df, path, pages_per_part=4)
+    assert len(version.tables["pages"]) == 14
+    for number in (0, 1, 3, 4, 30, 55):
+        found = pages.read_page(spark, path, number)
+        assert [tuple(row) for row in found.rows.collect()] == [tuple(row) for row in paging.page_slice(df, number).orderBy("task_id").collect()]
+        assert (found.page, found.pages, found.total) == (number, 56, 500)
+        files = found.rows.inputFiles()
+        assert files and all(f"page_part={number // 4}/" in name for name in files)
+    assert pages.read_page(spark, path, 99).page == 55 and pages.read_page(spark, path, -1).page == 0
+
+
+def test_stored_pages_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "p")
+    first = pages.write_pages(_table(spark, 40), path, pages_per_part=1)
+    held = pages.read_page(spark, path, 2).rows
+    copies = spark.createDataFrame([("a", 1)] * 30 + [("b", 2)], "task_id string, id int")
+    pages.write_pages(copies, path, unique=False, pages_per_part=1)
+    assert [row.task_id for row in pages.read_page(spark, path, 3).rows.collect()] == ["a"] * 3 + ["b"]
+    assert [row.id for row in held.collect()] == list(range(18, 27))
+    assert pages.read_page(spark, path, 4, first.number).rows.count() == 4
+    pages.write_pages(copies.limit(0), path)
+    empty = pages.read_page(spark, path, 7)
+    assert (empty.rows.count(), empty.page, empty.total) == (0, 0, 0)

@@ -430,6 +430,8 @@ ORACLE = {
         """SELECT task_id, dataset_split, "Level" FROM questions ORDER BY task_id LIMIT 9 OFFSET 27""", "questions"),
     "page_slice_deep": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 9 OFFSET 10800""",
+    "page_slice_stored": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+        ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 9 OFFSET 2700""",
     "page_slice_clashing": with_views(
         "SELECT doc, page, text FROM pages_text ORDER BY doc, page LIMIT 9 OFFSET 27", "pages_text"),
     "page_clamp": """SELECT user_id, count(*) AS rows, greatest(0, least(max(event_id) // 100, (count(*) - 1) // 9))

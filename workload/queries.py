@@ -6,7 +6,7 @@ from evalspark import schemas
 from evalspark.functions import cleaning, files as names, grading, prompts, text
 from evalspark.operators import aggregates, documents, filters, inference, joins, mutations, paging, shaping
 from evalspark.plans import evaluate, extract, ingest, report
-from evalspark.sources import objects, results as result_store, tables, versions
+from evalspark.sources import objects, pages as stored_pages, results as result_store, tables, versions
 from evalspark.staging import new_path, stage
 from evalspark.streaming import documents as document_stream, results as result_stream
 from workload import models, views
@@ -348,6 +348,13 @@ def page_slice_deep(spark, sf):
     return paging.numbered_page(paging.page_assign(items, items.columns), 1200)
 
 
+def page_slice_stored(spark, sf):
+    """A page far down, from the one part of a stored table that holds it."""
+    path, items = new_path(spark, "pages"), views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    stored_pages.write_pages(items, path, items.columns, pages_per_part=50)
+    return stored_pages.read_page(spark, path, 300).rows
+
+
 def page_slice_clashing(spark, sf):
     """A page of a table that has a column named page."""
     turns = views.pages_text(spark, sf)
@@ -858,7 +865,7 @@ QUERIES = {
         status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages,
         concat_pages_parts, concat_pages_bytes, concat_lines_bytes, concat_pages_unnumbered, join_parts, join_parts_bounded, concat_lines, concat_lines_parts, extract_counts,
         prefix_counts,
-        page_slice, page_slice_deep, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
+        page_slice, page_slice_deep, page_slice_stored, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
         first_n_listing, union_splits,
         clean_strings, coerce_int, file_extension, file_type_bucket, base_name, silver_key, rewrite_path,
         build_prompt, build_judge_prompt, truncate_answer, truncate_pages, parse_verdict, map_model_error,
