@@ -446,6 +446,9 @@ ORACLE = {
         f"""SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value) AS INTEGER) AS place FROM (
         SELECT DISTINCT 'Level' AS facet, CAST("Level" AS VARCHAR) AS value FROM joined
         UNION SELECT 'status', user_result_status FROM joined)""", "joined"),
+    "sort_facets_paged": with_views(
+        f"""SELECT value, row_number() OVER (ORDER BY value) - 1 AS position, (row_number() OVER (ORDER BY value) - 1) // 9 AS page
+        FROM (SELECT DISTINCT {bucket('file_name')} AS value FROM joined)""", "joined"),
     "sort_counts": with_views(
         """SELECT "Level", user_result_status, n, CAST(row_number() OVER
         (PARTITION BY "Level" ORDER BY n DESC, user_result_status) AS INTEGER) AS place

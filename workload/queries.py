@@ -387,6 +387,12 @@ def sort_facets(spark, sf):
     return bounded.withColumn("place", place)
 
 
+def sort_facets_paged(spark, sf):
+    """File types, of which there may be many, with their place: numbered without a window over all of them."""
+    facets = aggregates.facet_values(_statuses(spark, sf)).where(F.col("facet") == "file_type").select("value")
+    return paging.page_assign(facets, ["value"])
+
+
 def sort_counts(spark, sf):
     place = F.row_number().over(Window.partitionBy("Level").orderBy(F.desc("n"), "user_result_status"))
     return aggregates.status_counts(_statuses(spark, sf), ["Level"], "n").withColumn("place", place)
@@ -865,7 +871,8 @@ QUERIES = {
         status_counts, status_totals, facet_values, ingest_summary, attachment_summary, concat_pages,
         concat_pages_parts, concat_pages_bytes, concat_lines_bytes, concat_pages_unnumbered, join_parts, join_parts_bounded, concat_lines, concat_lines_parts, extract_counts,
         prefix_counts,
-        page_slice, page_slice_deep, page_slice_stored, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets, sort_counts,
+        page_slice, page_slice_deep, page_slice_stored, page_slice_clashing, page_clamp, page_assign, page_assign_copies, sort_facets,
+        sort_facets_paged, sort_counts,
         first_n_listing, union_splits,
         clean_strings, coerce_int, file_extension, file_type_bucket, base_name, silver_key, rewrite_path,
         build_prompt, build_judge_prompt, truncate_answer, truncate_pages, parse_verdict, map_model_error,
