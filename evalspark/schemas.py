@@ -126,7 +126,8 @@ SILVER = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
-# ``written`` numbers the batches; a failed document has an error and no text.
+# ``written`` numbers the batches; a failed document has an error and no text. ``digest`` is that of the bytes a text
+# was extracted from, where the writer gave it.
 SILVER_LOG = T.StructType([
     T.StructField("method", T.StringType()),
     T.StructField("dataset_split", T.StringType()),
@@ -135,5 +136,6 @@ SILVER_LOG = T.StructType([
     T.StructField("part", T.LongType()),
     T.StructField("text", T.StringType()),
     T.StructField("error", T.StringType()),
+    T.StructField("digest", T.StringType()),
     T.StructField("written", T.LongType()),
 ])

@@ -112,7 +112,7 @@ def bronze_ingest(
     landed.write.mode("overwrite").partitionBy("dataset_split").parquet(f"{path}/written={written}")
 
 
-def _newest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def newest_rows(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Rows of the last writer of each key, by ``order``.
 
     The writers that lost are found on the key and order columns alone and taken out; they are
@@ -129,19 +129,21 @@ def read_bronze(spark: SparkSession, path: str, written: int | None = None) -> D
     landed = spark.read.schema(schemas.BRONZE).parquet(path)
     if written is not None:
         return landed.where(F.col("written") == written)
-    return _newest(landed, ["dataset_split", "file_name"], "written")
+    return newest_rows(landed, ["dataset_split", "file_name"], "written")
 
 
 SILVER_KEY = ["method", "dataset_split", "base_name"]
 
 
 def silver_rows(documents: DataFrame) -> DataFrame:
-    """Log rows of (method, dataset_split, path, text), with ``part`` and ``error`` if there are any."""
+    """Log rows of (method, dataset_split, path, text), with ``part``, ``error`` and ``digest`` if there are any."""
     part = F.col("part").cast("long") if "part" in documents.columns else F.lit(0).cast("long")
     error = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
+    digest = F.col("digest") if "digest" in documents.columns else F.lit(None).cast("string")
     return documents.select(
         method_folder(F.col("method")).alias("method"), "dataset_split",
         base_name(F.col("path")).alias("base_name"), "path", part.alias("part"), "text", error.alias("error"),
+        digest.alias("digest"),
     )
 
 
@@ -150,20 +152,31 @@ def silver_write(documents: DataFrame, path: str, written: int) -> None:
     silver_rows(documents).write.mode("overwrite").parquet(f"{path}/written={written}")
 
 
+def read_silver_log(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a silver log; none where nothing has been written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schemas.SILVER_LOG)
+    return spark.read.schema(schemas.SILVER_LOG).parquet(path)
+
+
+def _newest_texts(spark: SparkSession, path: str) -> DataFrame:
+    logged = spark.read.schema(schemas.SILVER_LOG).parquet(path)
+    return newest_rows(logged.where(F.col("error").isNull()), SILVER_KEY, "written", "path")
+
+
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
     """The silver table of a log: the parts of one document per (method, split, base name).
 
     The one written last wins; of several in one batch the last path.
     """
-    logged = spark.read.schema(schemas.SILVER_LOG).parquet(path)
-    newest = _newest(logged.where(F.col("error").isNull()), SILVER_KEY, "written", "path")
-    return newest.select("method", "dataset_split", "base_name", "part", "text")
+    return _newest_texts(spark, path).select("method", "dataset_split", "base_name", "part", "text")
 
 
 def compact_silver(spark: SparkSession, path: str, new_path: str, written: int) -> None:
     """Write what a log holds now as the first batch of a new one, numbered like the last it contains."""
-    rows = read_silver(spark, path).withColumns({"path": F.col("base_name"), "error": F.lit(None).cast("string")})
-    rows.write.mode("overwrite").parquet(f"{new_path}/written={written}")
+    rows = _newest_texts(spark, path).withColumns({"path": F.col("base_name"), "error": F.lit(None).cast("string")})
+    rows.drop("written").write.mode("overwrite").parquet(f"{new_path}/written={written}")
 
 
 def silver_lookup(requests: DataFrame, silver: DataFrame, largest: int | None = LARGEST_TEXT) -> DataFrame:

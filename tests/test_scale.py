@@ -197,7 +197,7 @@ def test_split_scan_prunes_partitions(spark, plan, tmp_path):
     assert "Question" not in text.split("ReadSchema")[1]
 
 
-PYTHON = {"batch_infer", "batch_infer_budget", "batch_judge", "extract_documents", "stream_documents", "run_evaluation",
+PYTHON = {"batch_infer", "batch_infer_budget", "batch_judge", "extract_documents", "stream_documents", "stream_documents_once", "run_evaluation",
           "run_evaluation_retry", "run_evaluation_keep_errors", "run_evaluation_attempts", "run_extract",
           "run_extract_failed", "run_extract_counts", "run_manual_review", "run_manual_review_rejects"}
 

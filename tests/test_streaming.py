@@ -116,3 +116,62 @@ def test_a_new_checkpoint_does_not_replace_logged_batches(spark, tmp_path):
         updates = results.read_updates(spark, f"{feed}{run}")
         results.stream_results(updates, log, str(tmp_path / f"check{run}"), run).awaitTermination()
     assert results.read_log(spark, log).count() == 5
+
+
+def test_equal_bytes_are_extracted_once(spark, tmp_path):
+    """Four landings, then all of them again from a new checkpoint: the extractor sees every content once."""
+    bronze, log, check, seen = (str(tmp_path / name) for name in ("bronze", "log", "check", "seen"))
+
+    def pages(content):
+        with open(seen, "a") as file:
+            file.write(content.decode() + "\n")
+        return text_pages(content)
+
+    def stream(checkpoint, run=0):
+        arriving = documents.read_landed(spark, bronze)
+        documents.stream_documents(arriving, pages, log, checkpoint, run=run, once_per_content=True).awaitTermination()
+
+    def land(number, **contents):
+        files = spark.createDataFrame(
+            [("test", f"{name}.pdf", bytearray(content.encode())) for name, content in contents.items()],
+            "dataset_split string, file_name string, content binary",
+        )
+        objects.bronze_ingest(files, files, bronze, number)
+        stream(check)
+
+    def extracted():
+        with open(seen) as file:
+            return sorted(file.read().split("\n")[:-1])
+
+    def silver():
+        return dict(rows(objects.read_silver(spark, log).select("base_name", "text")))
+
+    land(0, a="one", b="two", c="one", bad="!x")
+    assert extracted() == ["!x", "one", "two"] and silver() == {"a": "one", "b": "two", "c": "one"}
+    written = spark.read.parquet(log).count()
+    land(1, a="one", b="two")  # as they were
+    assert extracted() == ["!x", "one", "two"] and spark.read.parquet(log).count() == written
+    land(2, a="two", d="three")  # old bytes under another name
+    assert extracted() == ["!x", "one", "three", "two"]
+    assert silver() == {"a": "two", "b": "two", "c": "one", "d": "three"}
+    land(3, a="one")  # and back
+    assert silver()["a"] == "one" and extracted() == ["!x", "one", "three", "two"]
+    stream(str(tmp_path / "new"), run=1)
+    assert extracted() == ["!x", "!x", "one", "three", "two"]  # only the one that failed is tried again
+    assert silver() == {"a": "one", "b": "two", "c": "one", "d": "three"}
+
+
+def test_a_batch_with_several_landings_takes_the_last(spark, tmp_path):
+    bronze, log = str(tmp_path / "bronze"), str(tmp_path / "log")
+    for number, content in enumerate((b"first", b"second")):
+        files = spark.createDataFrame([("test", "a.pdf", bytearray(content))], "dataset_split string, file_name string, content binary")
+        objects.bronze_ingest(files, files, bronze, number)
+    documents.stream_documents(documents.read_landed(spark, bronze), text_pages, log, str(tmp_path / "check")).awaitTermination()
+    assert rows(objects.read_silver(spark, log).select("base_name", "text")) == [("a", "second")]
+
+
+def test_compaction_keeps_the_digests(spark, tmp_path):
+    log = str(tmp_path / "log")
+    objects.silver_write(spark.createDataFrame([("PyMuPDF", "test", "a.pdf", "t", "d")], "method string, dataset_split string, path string, text string, digest string"), log, 0)
+    objects.compact_silver(spark, log, str(tmp_path / "compacted"), 5)
+    assert spark.read.parquet(str(tmp_path / "compacted")).where("digest is null").count() == 0

@@ -517,6 +517,9 @@ ORACLE = {
     "stream_documents": with_views(
         f"""SELECT 'pymupdf' AS method, dataset_split, file_name AS base_name, CAST(0 AS BIGINT) AS part,
         {DOCUMENT_TEXT} AS text FROM page_files""", "page_files"),
+    "stream_documents_once": with_views(
+        f"""SELECT 'pymupdf' AS method, dataset_split, prefix || file_name AS base_name, CAST(0 AS BIGINT) AS part,
+        {DOCUMENT_TEXT} AS text FROM page_files, (VALUES (''), ('copy-')) p(prefix)""", "page_files"),
     "upsert_results": with_views(UPSERT, "updates", "stored_results"),
     "upsert_results_null_keys": with_views(UPSERT_NAMELESS, "nameless", "stored_results"),
     "merge_match_null_keys": with_views(

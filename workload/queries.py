@@ -575,6 +575,21 @@ def stream_documents(spark, sf):
     return objects.read_silver(spark, log)
 
 
+def stream_documents_once(spark, sf):
+    """Three landings, the second with the contents of the first under other names, all read again by a new checkpoint."""
+    bronze, log = new_path(spark, "bronze"), new_path(spark, "log")
+    files = views.page_files(spark, sf)
+    landings = [files, files.withColumn("file_name", F.concat(F.lit("copy-"), "file_name")), files.where(F.col("dataset_split") == "test")]
+    for run in range(2):
+        for written, landing in enumerate(landings if run == 0 else []):
+            objects.bronze_ingest(landing, landing, bronze, written)
+        document_stream.stream_documents(
+            document_stream.read_landed(spark, bronze), models.html_pages, log, new_path(spark, "checkpoint"), pdf_only=False,
+            run=run, once_per_content=True,
+        ).awaitTermination()
+    return objects.read_silver(spark, log)
+
+
 # Mutations
 
 def upsert_results(spark, sf):
@@ -878,6 +893,7 @@ QUERIES = {
         build_prompt, build_judge_prompt, truncate_answer, truncate_pages, parse_verdict, map_model_error,
         instruction_policy, retry_candidate, prefill_instructions, route_eligibility, is_correct, fill_na,
         stream_results, stream_results_rejected, stream_results_store, stream_results_counts, stream_documents,
+        stream_documents_once,
         upsert_results, upsert_results_null_keys, merge_match_null_keys, upsert_results_store, status_counts_kept,
         status_counts_kept_user, erase_users_store, erase_users_store_proof, insert_if_absent, insert_if_absent_rejected, delete_cascade, delete_cascade_users,
         delete_cascade_unknown, update_role, update_role_unknown,
