@@ -13,7 +13,7 @@ occur in the passage, or, where the rules name a share for it, enough of the who
 import pickle
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -181,11 +181,22 @@ class ItemIndex:
         return len(shingles & _shingles(passage, n)) >= self.rules.whole * len(shingles) - 1e-9
 
 
+class _Ids(dict):
+    """Numbers of words, learned when first asked for."""
+
+    def __init__(self, learn: Callable[[str], int]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> int:
+        return self.learn(chunk)
+
+
 class Searcher:
     """Finds the items of one index in whole texts."""
 
     def __init__(self, index: ItemIndex):
-        self.index, self.ids = index, {}
+        self.index, self.ids = index, _Ids(self._learn)
         self.stride = max(1, index.longest)
 
     def _learn(self, chunk: str) -> int:
@@ -203,11 +214,7 @@ class Searcher:
         if not index.keys:
             return best
         chunks = text.split()
-        ids = list(map(self.ids.get, chunks))
-        if None in ids:
-            learn = self._learn
-            ids = [learn(chunk) if i is None else i for i, chunk in zip(ids, chunks)]
-        words = np.array(ids, np.int32)
+        words = np.fromiter(map(self.ids.__getitem__, chunks), np.int32, len(chunks))
         words = words[words != NONE]
         if not len(words):
             return best
@@ -216,13 +223,17 @@ class Searcher:
         left, right = np.searchsorted(places, starts), np.searchsorted(places, starts + 2 * self.stride)
         known = words[places]
         passages, blocks = index.open_blocks(known, left, right)
+        if not len(passages):
+            return best
         order = np.argsort(passages, kind="stable")
         passages, blocks = passages[order], blocks[order]
-        edges = np.flatnonzero(np.diff(passages, prepend=-1, append=len(starts)))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        edges = [0, *(np.flatnonzero(passages[1:] != passages[:-1]) + 1).tolist(), len(passages)]
+        for a, b in zip(edges, edges[1:]):
             k = int(passages[a])
-            terms, opened = np.unique(known[left[k] : right[k]]), blocks[a:b]
-            opened = opened[index.block_max[np.ix_(opened, terms)].sum(axis=1) >= 1 - 1e-6]
+            terms, opened = np.sort(known[left[k] : right[k]]), blocks[a:b]
+            new = terms[1:] != terms[:-1]
+            terms = np.concatenate((terms[:1], terms[1:][new]))
+            opened = opened[index.block_max[opened[:, None], terms].sum(axis=1) >= 1 - 1e-6]
             for block in opened.tolist():
                 for item, score in index.wand(terms.tolist(), block):
                     overlaps = index.verified(item, words[starts[k] : starts[k] + 2 * self.stride].tolist())
