@@ -96,8 +96,8 @@ def test_the_tree_prunes():
     tree = CellTree(words, np.ones(len(words), np.int64), 8)
     queries = letter_counts(words, 8)
     hits = sum(len(rows) for rows, _ in tree.close(queries, 1))
-    leaves = sum(not node[2] for node in tree.nodes)
-    assert hits and tree.visited < 0.5 * leaves * len(words)
+    # Words of random letters are the hardest to part: under a third of all (word, node) pairs is looked at.
+    assert hits and tree.visited < len(tree.nodes) * len(words) / 3
 
 
 def test_leaves_within_reaches_every_leaf_that_a_change_leads_to():
