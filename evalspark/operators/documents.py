@@ -2,7 +2,8 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 # Takes the bytes of a document, returns the texts of its pages.
@@ -11,11 +12,26 @@ Extractor = Callable[[bytes], Sequence[str]]
 # Pages gathered before they are handed back to the JVM.
 PAGES_PER_BATCH = 2_000
 
+# Bytes of documents turned into Python objects at once, one document at least.
+SLICE_BYTES = 4 << 20
+
 
 def _schema(files: DataFrame, keys: Sequence[str], *fields: T.StructField) -> T.StructType:
     return T.StructType([files.schema[key] for key in keys] + list(fields))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with a bounded size of content, which is the last column."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+        if at > start and held + (size or 0) > SLICE_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def extract_documents(
     files: DataFrame, extractor: Extractor, keys: Sequence[str] = ("dataset_split", "file_name")
 ) -> DataFrame:
@@ -32,20 +48,28 @@ def extract_documents(
         except Exception as failure:
             return [(None, None, f"{type(failure).__name__}: {failure}")]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+    def found(part: pa.RecordBatch, of: list[int], done: list[tuple]) -> pa.RecordBatch:
+        own = part.take(pa.array(of, pa.int64())).columns[:-1]
+        page, text, error = zip(*done)
+        return pa.RecordBatch.from_arrays(
+            [*own, pa.array(page, pa.int32()), pa.array(text, pa.string()), pa.array(error, pa.string())], names=names
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for *key, content in batch.itertuples(index=False, name=None):
-                rows += [(*key, *page) for page in pages(content)]
-                if len(rows) >= PAGES_PER_BATCH:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
+            for part in _slices(batch):
+                of, done = [], []
+                for row, content in enumerate(part.columns[-1]):
+                    new = pages(content.as_py())
+                    of += [row] * len(new)
+                    done += new
+                    if len(done) >= PAGES_PER_BATCH:
+                        yield found(part, of, done)
+                        of, done = [], []
+                if done:
+                    yield found(part, of, done)
 
-    return files.select(*keys, "content").mapInPandas(run, schema)
+    return files.select(*keys, "content").mapInArrow(run, schema)
 
 
 def extract_texts(
@@ -53,7 +77,8 @@ def extract_texts(
 ) -> DataFrame:
     """Whole documents as (keys, text, error).
 
-    The pages of a document come out of one call, so they are joined there and nothing is shuffled.
+    The pages of a document come out of one call, so they are joined there and nothing is shuffled. A task holds the
+    texts of ``SLICE_BYTES`` of documents at a time, or of one, beside the batch that Spark sends it.
     """
     schema = _schema(files, keys, T.StructField("text", T.StringType()), T.StructField("error", T.StringType()))
 
@@ -63,9 +88,13 @@ def extract_texts(
         except Exception as failure:
             return None, f"{type(failure).__name__}: {failure}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = pd.DataFrame([text(content) for content in batch["content"]], columns=["text", "error"])
-            yield pd.concat([batch[list(keys)].reset_index(drop=True), done], axis=1)
-
-    return files.select(*keys, "content").mapInPandas(run, schema)
+            for part in _slices(batch):
+                texts, errors = zip(*(text(content.as_py()) for content in part.columns[-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(texts, pa.string()), pa.array(errors, pa.string())],
+                    names=[*keys, "text", "error"],
+                )
+
+    return files.select(*keys, "content").mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -200,6 +201,34 @@ def test_extract_texts(spark, plan):
     assert "Exchange" not in plan(out)
 
 
+class _Frame:
+    """A table that hands over the function that its rows are mapped with."""
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("operator", [documents.extract_texts, documents.extract_documents])
+def test_texts_of_a_batch_are_handed_over_in_bounded_slices(spark, monkeypatch, operator):
+    """However many documents Spark sends at once, the texts of few are held; a null, an empty and a large one are all there."""
+    monkeypatch.setattr(documents, "SLICE_BYTES", 1000)
+    contents = [b"x" * 100] * 95 + [None, b"", b"!"] + [b"y" * 5000] * 2
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(["test"] * 100), pa.array([f"{i}.pdf" for i in range(100)]), pa.array(contents, pa.binary()),
+    ], names=["dataset_split", "file_name", "content"])
+    out = list(operator(_Frame(_files(spark).schema), pages)(iter([batch])))
+    sizes = [sum(len(text or "") for text in part.column(part.schema.names.index("text")).to_pylist()) for part in out]
+    assert len(out) > 10 and max(sizes) == 5000 and sorted(sizes)[-3] <= 1000
+    got = {row["file_name"]: (row["text"], row["error"]) for part in out for row in part.to_pylist()}
+    assert [got[f"{i}.pdf"][0] for i in range(100)] == ["x" * 100] * 95 + ["", "", None] + ["y" * 5000] * 2
+    assert [bool(got[f"{i}.pdf"][1]) for i in range(95, 98)] == [False, False, True]
+
+
 def refusing(log, every=3):
     """A model that refuses every third call, as a whole or one prompt of it, and writes down when it was called."""
     calls = []
