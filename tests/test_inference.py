@@ -1,10 +1,12 @@
 """Batched model calls and document extraction."""
 
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 from helpers import rows
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from evalspark.operators import documents, inference
@@ -176,6 +178,27 @@ def test_a_run_that_dies_keeps_its_slices(spark, tmp_path):
     assert len(log.read_text().split()) - asked_before == 100 - stored
 
 
+def test_many_prompts_are_asked_in_rounds_of_bounded_tasks(spark, tmp_path, monkeypatch):
+    """No task is given much more than its bytes, each prompt is asked once, and what an action repeats asks nobody."""
+    monkeypatch.setattr(inference, "TASK_BYTES", 4000)
+    log = tmp_path / "log"
+
+    def model(prompts, settings):
+        context = TaskContext.get()
+        with open(log, "a") as file:
+            file.writelines(f"{context.stageId()} {context.partitionId()} {prompt}\n" for prompt in prompts)
+        return shout(prompts, settings)
+
+    asked = _asked(spark, [f"p{i}" for i in range(600)] * 2 + [None, ""])
+    answers = inference.batch_infer(asked, "prompt", model, requests=2, batch_size=7)
+    assert sorted(row.answer for row in answers.collect()) == sorted(["", *(f"P{i}" for i in range(600))])
+    answers.count()
+    calls = [line.split(" ") for line in log.read_text().splitlines()]
+    assert len(calls) == 601
+    tasks = Counter((stage, part) for stage, part, _ in calls)
+    assert {part for _, part in tasks} == {"0", "1"} and max(tasks.values()) <= 60
+
+
 def _files(spark):
     data = [("test", "a.pdf", bytearray(b"one|two")), ("test", "b.pdf", bytearray(b"!")), ("test", "c.pdf", bytearray())]
     return spark.createDataFrame(data, "dataset_split string, file_name string, content binary")
