@@ -81,14 +81,18 @@ def part_name(values: Mapping[str, object]) -> str:
     return "/".join(f"{column}={escaped(value)}" for column, value in values.items())
 
 
-def write_parts(df: DataFrame, root: str, table: str, by: Sequence[str]) -> dict[str, str]:
+def write_parts(df: DataFrame, root: str, table: str, by: Sequence[str], order: Sequence[str] = ()) -> dict[str, str]:
     """Write rows as new folders, one for each combination of values that occurs, and name them; publishes nothing.
 
-    The rows are brought together by part, and a part that is large is split over tasks.
+    The rows are brought together by part, and a part that is large is split over tasks. With ``order`` each file of a
+    part is sorted by these columns.
     """
     spark, root = df.sparkSession, root.rstrip("/")
     load = f"{table}/{_LOAD}={uuid.uuid4().hex}"
-    df.hint("rebalance", *[F.col(name) for name in by]).write.partitionBy(*by).parquet(f"{root}/{load}")
+    together = df.hint("rebalance", *[F.col(name) for name in by])
+    if order:
+        together = together.sortWithinPartitions(*by, *order)
+    together.write.partitionBy(*by).parquet(f"{root}/{load}")
     path, fs = _open(spark, f"{root}/{load}" + "".join(f"/{name}=*" for name in by))
     found = [status.getPath().toString() for status in fs.globStatus(path)]
     parts = ["/".join(name.split("/")[-len(by):]) for name in found]

@@ -72,6 +72,22 @@ def test_a_stored_page_is_read_from_one_part(spark, tmp_path, plan):
     assert pages.read_page(spark, path, 99).page == 55 and pages.read_page(spark, path, -1).page == 0
 
 
+def test_many_parts_lie_in_a_bounded_number_of_folders(spark, tmp_path, monkeypatch, plan):
+    monkeypatch.setattr(pages, "MOST_PARTS", 5)
+    path, df = str(tmp_path / "p"), _table(spark, 500).repartition(7, "id")
+    version = pages.write_pages(df, path, pages_per_part=4)
+    assert len(version.tables["pages"]) == 5 and version.notes["pages_per_part"] == 4
+    for number in range(56):
+        found = pages.read_page(spark, path, number)
+        assert [row.id for row in found.rows.collect()] == list(range(number * 9, min(number * 9 + 9, 500)))
+        files = found.rows.inputFiles()
+        assert files and all(f"page_part={number // 12}/" in name for name in files)
+    assert "EqualTo(page,7)" in plan(pages.read_page(spark, path, 7).rows)
+    for file in sorted({name for name in spark.read.parquet(f"{path}/pages").inputFiles()}):
+        places = [row.position for row in spark.read.parquet(file).select("position").collect()]
+        assert places == sorted(places)
+
+
 def test_stored_pages_are_replaced_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "p")
     first = pages.write_pages(_table(spark, 40), path, pages_per_part=1)
