@@ -27,7 +27,7 @@ from evalspark.staging import stage
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xC0, 0x100)]
 LEAD = 0xC3
 
-SLICE_BYTES = 16 << 20  # text that is split into words at once
+SLICE_BYTES = 4 << 20  # text that is split into words at once
 TABLE_BYTES = 64  # longest word whose checksum is composed of tables
 LEAF = 32  # letter vectors in a leaf of a cell's tree
 QUERIES = 4_096  # words searched at once

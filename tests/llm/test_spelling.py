@@ -71,6 +71,15 @@ def test_words_are_those_of_a_plain_reading(spark):
         assert got == {word: n for word, n in expected.items() if word}
 
 
+def test_a_task_splits_few_texts_at_once():
+    """A worker holds arrays of several times the text that it splits, so a slice has 4 MB at most, or one text."""
+    texts = ["a" * (1 << 20)] * 10 + ["b" * (5 << 20), "", "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(13)]), pa.array(texts)], names=["key", "text"])
+    parts = [part.column(1).to_pylist() for part in spelling._slices(batch)]
+    assert [text for part in parts for text in part] == texts
+    assert all(sum(map(len, part)) <= 4 << 20 for part in parts if len(part) > 1)
+
+
 def test_small_cells_find_what_all_pairs_find(spark):
     docs = spark.createDataFrame(made_up_rows(2, 60), "doc_id long, text string")
     expected = plain_variants(plain_words(docs.collect()))
